@@ -22,8 +22,8 @@ def first_match(c: Column, rules: Rules, default: str | None = None) -> Column:
 
 
 def any_match(c: Column, patterns: Iterable[str]) -> Column:
-    """NULL and empty texts match nothing."""
-    return reduce(lambda a, b: a | b, [F.coalesce(c.rlike(p), F.lit(False)) for p in patterns])
+    """One alternation of all patterns; NULL matches nothing."""
+    return F.coalesce(c.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
 
 def lookup(c: Column, table: Mapping[str, str], default: str | None = None) -> Column:
@@ -53,7 +53,7 @@ def classify_document(title: Column, filename: Column) -> tuple[Column, Column]:
 def normalize_competition(c: Column, keys: Iterable[str] = tuple(fixed.COMPETITION_LABELS),
                           aliases: Mapping[str, str] = fixed.COMPETITION_ALIASES,
                           substrings: Rules = fixed.COMPETITION_SUBSTRINGS) -> Column:
-    raw = F.regexp_replace(F.lower(tx.strip(c)), rf"(?U){tx.SPACE}+", "_")
+    raw = F.regexp_replace(F.lower(tx.strip(c)), rf"{tx.SPACE}+", "_")
     return F.coalesce(
         F.when(raw.isin(*keys), raw),
         lookup(raw, aliases),

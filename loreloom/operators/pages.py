@@ -59,21 +59,19 @@ def manifest_items(pages: DataFrame, *, page: str = "html", base: str, default_y
     """One item per download link of a file board; drafts are left out."""
     rows = pages.select(*[c for c in pages.columns if c != page],
                         F.posexplode(html.file_links(page)).alias("pos", "r"))
-    url = absolute(base, F.col("r.link"))
-    path_name = F.regexp_extract(F.regexp_replace(url, r"[?#].*\z", ""), r"([^/]*)\z", 1)
-    name = F.coalesce(
-        tx.non_empty(F.col("r.alt")),
-        F.try_url_decode(F.regexp_extract(url, r"[?&]filename=([^&#]+)", 1)),
-    )
-    name = F.coalesce(tx.non_empty(name), tx.non_empty(path_name), F.lit(default_name))
-    filename = F.when(F.lower(name).contains(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
-    base_rows = (
-        rows.withColumn("source_post_id", tx.parse_int(tx.query_parameter("r.href", "number")))
-        .where(F.col("source_post_id").isNotNull())
-        .select(*[c for c in rows.columns if c != "r"], "source_post_id", F.col("r.title").alias("title"),
-                F.col("r.date").alias("date"), absolute(base, F.col("r.href")).alias("detail_url"),
-                url.alias("source_url"), filename.alias("source_filename"))
-    )
+    rest = [c for c in rows.columns if c != "r"]
+    linked = rows.select(
+        *rest, tx.parse_int(tx.query_parameter("r.href", "number")).alias("source_post_id"),
+        F.col("r.title").alias("title"), F.col("r.date").alias("date"),
+        absolute(base, F.col("r.href")).alias("detail_url"), absolute(base, F.col("r.link")).alias("source_url"),
+        F.col("r.alt").alias("__alt"),
+    ).where(F.col("source_post_id").isNotNull())
+    path_name = F.regexp_extract(F.regexp_replace("source_url", r"[?#].*\z", ""), r"([^/]*)\z", 1)
+    parameter = F.try_url_decode(F.regexp_extract("source_url", r"[?&]filename=([^&#]+)", 1))
+    name = F.coalesce(tx.non_empty("__alt"), tx.non_empty(parameter), tx.non_empty(path_name), F.lit(default_name))
+    base_rows = linked.withColumn("source_filename", name).withColumn(
+        "source_filename", F.when(F.lower("source_filename").contains(".pdf"), F.col("source_filename"))
+        .otherwise(F.concat("source_filename", F.lit(".pdf")))).drop("__alt")
     named = F.concat_ws(" ", "title", "source_filename", "date")
     competition, document_type = cl.classify_document(F.col("title"), F.col("source_filename"))
     return (

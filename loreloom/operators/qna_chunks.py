@@ -17,8 +17,8 @@ MAX_TOKENS = 384
 OVERLAP = 75
 CONTEXT_TOKENS = 100
 
-PARAGRAPH = rf"(?U)\n{tx.SPACE}*\n"
-SENTENCE = rf"(?U)(?<=[.!?。]){tx.SPACE}+|\n"
+PARAGRAPH = rf"\n{tx.SPACE}*\n"
+SENTENCE = rf"(?<=[.!?。]){tx.SPACE}+|\n"
 _NO_TEXT = "array<string>"
 
 
@@ -49,22 +49,26 @@ def pack(parts: Column, *, size: int = MAX_TOKENS, overlap: int = OVERLAP, token
     The tail and one full segment can exceed the budget together; such a chunk stays whole.
     """
 
-    def tail(c: Column) -> Column:
-        tokens = tokenizer.encode(c)
-        last = tokenizer.decode(F.slice(tokens, -overlap, overlap))
-        return F.when(F.size(tokens) >= overlap, last).otherwise(c)
+    counted = F.transform(parts, lambda p: F.struct(p.alias("text"), tokenizer.count(p).alias("n")))
+
+    def tail(c: Column, n: Column) -> Column:
+        return F.when(n >= overlap, tokenizer.decode(F.slice(tokenizer.encode(c), -overlap, overlap))).otherwise(c)
 
     def step(acc: Column, part: Column) -> Column:
-        current = acc["current"]
-        over = (current != "") & (acc["n"] + tokenizer.count(part) > size)
-        joined = F.when(over, F.concat(tail(current), F.lit("\n"), part)).when(
-            current != "", tx.strip(F.concat(current, F.lit("\n"), part))).otherwise(part)
+        current, n, text = acc["current"], acc["n"], part["text"]
+        fresh = current == ""
+        over = ~fresh & (n + part["n"] > size)
+        joined = F.concat(current, F.lit("\n"), text)
+        text = F.when(over, F.concat(tail(current, n), F.lit("\n"), text)).when(fresh, text).otherwise(
+            joined if tokenizer.additive else tx.strip(joined))
         done = F.when(over, F.concat(acc["done"], F.array(current))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), joined.alias("current"), tokenizer.count(joined).alias("n"))
+        added = F.when(over, F.least(n, F.lit(overlap))).otherwise(n) + part["n"]
+        return F.struct(done.alias("done"), text.alias("current"),
+                        (added if tokenizer.additive else tokenizer.count(text)).cast("int").alias("n"))
 
     start = F.struct(F.array().cast(_NO_TEXT).alias("done"), F.lit("").alias("current"),
                      F.lit(0).cast("int").alias("n"))
-    return F.aggregate(parts, start, step, lambda acc: F.when(
+    return F.aggregate(counted, start, step, lambda acc: F.when(
         acc["current"] != "", F.concat(acc["done"], F.array(acc["current"]))).otherwise(acc["done"]))
 
 
@@ -110,21 +114,23 @@ def chunk_posts(posts: DataFrame, *, size: int = MAX_TOKENS, overlap: int = OVER
         given = F.when((F.size(given) == 0) & (tx.or_empty("answer_body") != ""), legacy).otherwise(given)
     p = posts.withColumn("__answers", given).where(
         (title != "") | (body != "") | (F.size("__answers") > 0)
-    ).withColumn("__context", question_context(body, tokenizer=tokenizer))
+    ).select(
+        F.col("id").cast("string").alias("post_id"), tx.or_empty("category").alias("category"), title.alias("title"),
+        tx.or_empty("date").alias("date"), "__answers", question_context(body, tokenizer=tokenizer).alias("__context"),
+        question_document(title, body).alias("__alone"), url.alias("__url"), (F.size("__answers") > 0).alias("has_answer"),
+    )
 
     def document(text: Column, link: Column) -> Column:
-        return F.transform(chunks(text, size=size, overlap=overlap, tokenizer=tokenizer),
-                           lambda t: F.struct(link.alias("url"), t.alias("text")))
-
-    answered = F.flatten(F.transform("__answers", lambda a: document(
-        answer_document(title, F.col("__context"), tx.or_empty(a["body"])), tx.or_empty(a["url"]))))
-    alone = document(question_document(title, body), url)
-    has_answer = F.size("__answers") > 0
-    rows = p.select(
-        F.col("id").cast("string").alias("post_id"), tx.or_empty("category").alias("category"),
-        title.alias("title"), tx.or_empty("date").alias("date"), has_answer.alias("has_answer"),
-        F.posexplode(F.when(has_answer, answered).otherwise(alone)).alias("chunk_index", "c"),
-    )
+        return F.struct(text.alias("text"), link.alias("url"))
+
+    answered = F.transform("__answers", lambda a: document(
+        answer_document(F.col("title"), F.col("__context"), tx.or_empty(a["body"])), tx.or_empty(a["url"])))
+    alone = F.array(document(F.col("__alone"), F.col("__url")))
+    p = p.withColumn("__docs", F.when(F.col("has_answer"), answered).otherwise(alone))
+    pieces = F.flatten(F.transform("__docs", lambda x: F.transform(
+        chunks(x["text"], size=size, overlap=overlap, tokenizer=tokenizer),
+        lambda t: F.struct(x["url"].alias("url"), t.alias("text")))))
+    rows = p.select("post_id", "category", "title", "date", "has_answer", F.posexplode(pieces).alias("chunk_index", "c"))
     return rows.select("post_id", "category", "title", "date", F.col("c.url").alias("url"), "has_answer",
                        F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("c.text").alias("text"))
 

@@ -6,7 +6,7 @@ import importlib
 
 from loreloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ("texts", "boards")
+MODULES = ("texts", "boards", "chunking")
 
 
 def load() -> tuple[dict, dict]:

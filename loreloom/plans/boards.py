@@ -179,7 +179,7 @@ def detail_pages(spark, d):
 
 
 @query("WEB-3 CLS-2 CLS-4 KEY-4", r"""
-WITH links AS (SELECT page_id, page_id * 10 AS source_post_id, '2024 Formula judging ' || CAST(page_id AS VARCHAR) AS title, i,
+WITH links AS (SELECT page_id, page_id * 10 AS source_post_id, '2024 Formula judge ' || CAST(page_id AS VARCHAR) AS title, i,
    'https://s.example/func/download.php?filename=f' || CAST(page_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS source_url,
    CASE WHEN i = 0 THEN 'icon ' || CAST(page_id AS VARCHAR) || '.pdf' ELSE 'f' || CAST(page_id AS VARCHAR) || '-1.pdf' END AS source_filename
   FROM pages, (VALUES (0), (1)) v(i))
@@ -188,7 +188,7 @@ SELECT page_id, source_post_id, title, source_url, source_filename, 'formula' AS
 def manifest_from_pages(spark, d):
     n = F.col("page_id").cast("string")
     row = F.concat(
-        F.lit("<table><tr><td>1</td><td><a href='/bbs/?number="), F.col("page_id") * 10, F.lit("'>2024 Formula  judging "), n,
+        F.lit("<table><tr><td>1</td><td><a href='/bbs/?number="), F.col("page_id") * 10, F.lit("'>2024 Formula  judge "), n,
         F.lit('</a></td><td><a href="/func/download.php?filename=f'), n, F.lit('-0"><img src="x.gif" alt="icon '), n,
         F.lit('.pdf"></a><a href="/func/download.php?filename=f'), n, F.lit("-1\">get</a></td><td>Ann</td><td>2023-12-01</td></tr>"
               "<tr><td>2</td><td><a href='/bbs/?number=5'>규정 개정(안) 2024</a></td><td><a href='/func/download.php?filename=d'>get</a></td><td>Ann</td><td>2024</td></tr></table>"))
