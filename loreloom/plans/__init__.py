@@ -6,7 +6,7 @@ import importlib
 
 from loreloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ("texts", "boards", "chunking")
+MODULES = ("texts", "boards", "chunking", "search")
 
 
 def load() -> tuple[dict, dict]:
