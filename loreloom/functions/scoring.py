@@ -19,49 +19,25 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), column.flatten()
 
 
-class QueryBlock:
-    """Queries prepared for scoring: unit vectors, postings by term, match postings, allowed values."""
-
-    def __init__(self, table: pa.Table, *, arm: str, match: bool, filters: tuple[str, ...]):
-        table = table.combine_chunks()
-        self.qids = table.column("qid").to_pandas()
-        self.n = len(self.qids)
-        self.arm, self.filters = arm, filters
-        if arm == "dense":
-            lengths, values = _flat(table.column("vector"))
-            self.vectors = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(self.n, -1)
-            norms = np.linalg.norm(self.vectors, axis=1, keepdims=True)
-            self.vectors = np.divide(self.vectors, norms, out=np.zeros_like(self.vectors), where=norms > 0)
-        else:
-            self.postings = self._postings(table.column("terms"), table.column("weights"))
-        self.match = self._postings(table.column("match"), None) if match else None
-        if match:
-            self.wanted = _flat(table.column("match"))[0].astype(np.float64)
-        self.allowed = {f: self._allowed(table.column(f"allow_{f}")) for f in filters}
-        self.floor: dict = {}
+class TermIndex:
+    """Postings of a block of queries: which queries hold a word, and with what weight."""
 
-    def _postings(self, terms, weights):
+    def __init__(self, terms, weights=None):
         lengths, values = _flat(terms)
+        self.n = len(lengths)
         w = np.ones(len(values)) if weights is None else _flat(weights)[1].to_numpy(zero_copy_only=False).astype(float)
         owner = np.repeat(np.arange(self.n), lengths)
         codes, vocabulary = pd.factorize(values.to_pandas())
         order = np.argsort(codes, kind="stable")
         start = np.zeros(len(vocabulary) + 1, dtype=np.int64)
         np.cumsum(np.bincount(codes, minlength=len(vocabulary)), out=start[1:])
-        return pd.Index(vocabulary), start, owner[order], w[order]
-
-    def _allowed(self, column):
-        lists = column.to_pylist()
-        free = np.array([v is None for v in lists])
-        values = sorted({x for v in lists if v is not None for x in v})
-        return {x: free | np.array([v is not None and x in v for v in lists]) for x in values}, free
-
-    # --- scores ---------------------------------------------------------------------------------
+        self.words, self.start, self.owner, self.weight = pd.Index(vocabulary), start, owner[order], w[order]
 
-    def _accumulate(self, postings, lengths, codes, values):
+    def accumulate(self, lengths, codes, values):
         """Sum of value x weight over shared terms, and whether any term is shared."""
-        _, start, owner, weight = postings
+        start, owner, weight = self.start, self.owner, self.weight
         rows = np.repeat(np.arange(len(lengths)), lengths)
+        values = np.ones(len(codes)) if values is None else values
         known = codes >= 0
         rows, codes, values = rows[known], codes[known], values[known]
         fan = start[codes + 1] - start[codes]
@@ -76,15 +52,66 @@ class QueryBlock:
         sums = np.bincount(cell, weights=np.repeat(values, fan) * weight[at], minlength=cells)
         return sums.reshape(shape), (np.bincount(cell, minlength=cells) > 0).reshape(shape)
 
-    def _terms(self, batch, name, postings):
+    def counts(self, column):
         """Per point: distinct known terms and how often each occurs."""
-        lengths, values = _flat(batch.column(name))
-        codes = postings[0].get_indexer(values.to_pandas()).astype(np.int64)
+        lengths, values = _flat(column)
+        codes = self.words.get_indexer(values.to_pandas()).astype(np.int64)
         rows = np.repeat(np.arange(len(lengths)), lengths)[codes >= 0]
-        key, count = np.unique(rows * max(len(postings[0]), 1) + codes[codes >= 0], return_counts=True)
-        rows, codes = np.divmod(key, max(len(postings[0]), 1))
+        key, count = np.unique(rows * max(len(self.words), 1) + codes[codes >= 0], return_counts=True)
+        rows, codes = np.divmod(key, max(len(self.words), 1))
         return np.bincount(rows, minlength=len(lengths)), codes, count.astype(np.float64)
 
+
+class MatchBlock:
+    """Queries as sets of words that must all occur."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.qids = table.column("qid").to_pandas().to_numpy()
+        self.index = TermIndex(table.column("match"))
+        self.wanted = _flat(table.column("match"))[0].astype(np.float64)
+
+    def holds(self, column) -> np.ndarray:
+        found, _ = self.index.accumulate(*self.index.counts(column)[:2], None)
+        return (found == self.wanted) & (self.wanted > 0)
+
+    def pairs(self, batch: pa.Table):
+        """(query ids, point ids) of all matches, a slice of points at a time."""
+        step = max(1, MAX_CELLS // max(len(self.qids), 1))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            rows, queries = np.nonzero(self.holds(part.column("tokens")))
+            if len(rows):
+                yield self.qids[queries], part.column("id").to_pandas().to_numpy()[rows]
+
+
+class QueryBlock:
+    """Queries prepared for scoring: unit vectors, postings by term, match postings, allowed values."""
+
+    def __init__(self, table: pa.Table, *, arm: str, match: bool, filters: tuple[str, ...]):
+        table = table.combine_chunks()
+        self.qids = table.column("qid").to_pandas()
+        self.n = len(self.qids)
+        self.arm, self.filters = arm, filters
+        if arm == "dense":
+            lengths, values = _flat(table.column("vector"))
+            self.vectors = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(self.n, -1)
+            norms = np.linalg.norm(self.vectors, axis=1, keepdims=True)
+            self.vectors = np.divide(self.vectors, norms, out=np.zeros_like(self.vectors), where=norms > 0)
+        else:
+            self.terms = TermIndex(table.column("terms"), table.column("weights"))
+        self.match = MatchBlock(table) if match else None
+        self.allowed = {f: self._allowed(table.column(f"allow_{f}")) for f in filters}
+        self.floor: dict = {}
+
+    def _allowed(self, column):
+        lists = column.to_pylist()
+        free = np.array([v is None for v in lists])
+        values = sorted({x for v in lists if v is not None for x in v})
+        return {x: free | np.array([v is not None and x in v for v in lists]) for x in values}, free
+
+    # --- scores ---------------------------------------------------------------------------------
+
     def score(self, batch: pa.Table) -> np.ndarray:
         if self.arm == "dense":
             _, values = _flat(batch.column("vector"))
@@ -93,18 +120,16 @@ class QueryBlock:
             s = np.divide(d, norms, out=np.zeros_like(d), where=norms > 0) @ self.vectors.T
         elif "weights" in batch.column_names:
             lengths, terms = _flat(batch.column("terms"))
-            codes = self.postings[0].get_indexer(terms.to_pandas()).astype(np.int64)
+            codes = self.terms.words.get_indexer(terms.to_pandas()).astype(np.int64)
             values = _flat(batch.column("weights"))[1].to_numpy(zero_copy_only=False).astype(float)
-            s, shared = self._accumulate(self.postings, lengths, codes, values)
+            s, shared = self.terms.accumulate(lengths, codes, values)
             s[~shared] = NONE
         else:
-            lengths, codes, count = self._terms(batch, "tokens", self.postings)
-            s, shared = self._accumulate(self.postings, lengths, codes, 1.0 + np.log(count))
+            lengths, codes, count = self.terms.counts(batch.column("tokens"))
+            s, shared = self.terms.accumulate(lengths, codes, 1.0 + np.log(count))
             s[~shared] = NONE
         if self.match is not None:
-            lengths, codes, count = self._terms(batch, "tokens", self.match)
-            found, _ = self._accumulate(self.match, lengths, codes, np.ones(len(codes)))
-            s[(found != self.wanted) | (self.wanted == 0)] = NONE
+            s[~self.match.holds(batch.column("tokens"))] = NONE
         for f in self.filters:
             table, free = self.allowed[f]
             s[~np.stack([table.get(v, free) for v in batch.column(f).to_pylist()])] = NONE
