@@ -97,12 +97,16 @@ def expand_query(folded: Column, rewrites: Rules = fixed.QUERY_REWRITES,
                  expansions: Iterable[tuple] = fixed.QUERY_EXPANSIONS) -> Column:
     """The part of :func:`normalize_query` after Unicode folding."""
     q = tx.squash(F.translate(tx.rewrite(folded, rewrites), "\u200b", " "))
-    for required, forbidden, extra in expansions:
-        wanted = reduce(lambda a, b: a & b, [q.rlike(r) for r in required])
-        q = F.when(wanted & ~q.rlike(forbidden), F.concat(q, F.lit(extra))).otherwise(q)
+    for rule in expansions:
+        q = tx.let(q, lambda text, rule=rule: _expanded(text, *rule))
     return q
 
 
+def _expanded(q: Column, required: Iterable[str], forbidden: str, extra: str) -> Column:
+    wanted = reduce(lambda a, b: a & b, [q.rlike(r) for r in required])
+    return F.when(wanted & ~q.rlike(forbidden), F.concat(q, F.lit(extra))).otherwise(q)
+
+
 def query_document_type(c: Column) -> Column:
     """Document type a query asks for: explicit names first, then vehicle components, then a guess."""
     guess = normalize_document_type(infer_document_type(c))

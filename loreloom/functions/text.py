@@ -41,6 +41,11 @@ def non_empty(c: Column | str) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind a costly expression to a name, so that using it several times computes it once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_count(c: Column | str) -> Column:
     """``1,234`` -> 1234; anything that is not all digits -> 0."""
     digits = F.regexp_replace(strip(c), ",", "")

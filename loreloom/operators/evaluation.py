@@ -22,6 +22,12 @@ def seeded_order(*cols: Column, seed: int = SEED) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *cols), *cols]
 
 
+def code_tokens(text: Column | str, pattern: str = fixed.CODE_TOKEN_PATTERN) -> Column:
+    """Distinct codes of a text. Only words with a digit and a Latin letter are looked at."""
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w.rlike(r"(?U)\d") & w.rlike("[A-Za-z]"))
+    return F.array_distinct(F.regexp_extract_all(F.array_join(words, " "), F.lit(pattern)))
+
+
 def unique_codes(chunks: DataFrame, key: str, text: str, *, min_len: int = MIN_CODE,
                  pattern: str = fixed.CODE_TOKEN_PATTERN) -> DataFrame:
     """``token, key``: code-like tokens whose text occurs in exactly one chunk of the table.
@@ -30,7 +36,7 @@ def unique_codes(chunks: DataFrame, key: str, text: str, *, min_len: int = MIN_C
     then every longer run is cut at the lengths of the tokens that start with the same five
     characters, and the pieces meet the tokens by equality. No pair of tokens is ever formed.
     """
-    found = chunks.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern)))).alias("token"))
+    found = chunks.select(F.col(key).alias("key"), F.explode(code_tokens(text, pattern)).alias("token"))
     found = found.where(F.length("token") >= min_len)
     tokens = found.groupBy("token").agg(F.count("*").alias("n"), F.min("key").alias("key")).where(F.col("n") == 1).drop("n")
     head = F.substring("token", 1, min_len)
