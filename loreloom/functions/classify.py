@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -98,13 +98,16 @@ def expand_query(folded: Column, rewrites: Rules = fixed.QUERY_REWRITES,
     """The part of :func:`normalize_query` after Unicode folding."""
     q = tx.squash(F.translate(tx.rewrite(folded, rewrites), "\u200b", " "))
     for rule in expansions:
-        q = tx.let(q, lambda text, rule=rule: _expanded(text, *rule))
+        q = tx.let(q, _expansion(*rule))
     return q
 
 
-def _expanded(q: Column, required: Iterable[str], forbidden: str, extra: str) -> Column:
-    wanted = reduce(lambda a, b: a & b, [q.rlike(r) for r in required])
-    return F.when(wanted & ~q.rlike(forbidden), F.concat(q, F.lit(extra))).otherwise(q)
+def _expansion(required: Iterable[str], forbidden: str, extra: str) -> Callable[[Column], Column]:
+    def expand(q: Column) -> Column:
+        wanted = reduce(lambda a, b: a & b, [q.rlike(r) for r in required])
+        return F.when(wanted & ~q.rlike(forbidden), F.concat(q, F.lit(extra))).otherwise(q)
+
+    return expand
 
 
 def query_document_type(c: Column) -> Column:

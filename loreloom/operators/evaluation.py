@@ -28,6 +28,10 @@ def code_tokens(text: Column | str, pattern: str = fixed.CODE_TOKEN_PATTERN) ->
     return F.array_distinct(F.regexp_extract_all(F.array_join(words, " "), F.lit(pattern)))
 
 
+def _first(df: DataFrame, order: list[Column], n: int | None) -> DataFrame:
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
 def unique_codes(chunks: DataFrame, key: str, text: str, *, min_len: int = MIN_CODE,
                  pattern: str = fixed.CODE_TOKEN_PATTERN) -> DataFrame:
     """``token, key``: code-like tokens whose text occurs in exactly one chunk of the table.
@@ -53,7 +57,7 @@ def unique_codes(chunks: DataFrame, key: str, text: str, *, min_len: int = MIN_C
     return tokens.join(pieces, "token").where(F.col("lo") == F.col("hi")).select("token", "key")
 
 
-def lexical_queries(chunks: DataFrame, key: str, text: str, *, seed: int = SEED, cap: int = CAP, first: Column | None = None,
+def lexical_queries(chunks: DataFrame, key: str, text: str, *, seed: int = SEED, cap: int | None = CAP, first: Column | None = None,
                     pattern: str = fixed.CODE_TOKEN_PATTERN) -> DataFrame:
     """``query, gold``: one unique code per chunk, the first one in the chunk; a seeded choice of *cap*.
 
@@ -64,16 +68,16 @@ def lexical_queries(chunks: DataFrame, key: str, text: str, *, seed: int = SEED,
     placed = codes.join(sources.select(F.col(key).alias("key"), F.col(text).alias("__t")), "key")
     one = placed.withColumn("at", F.instr("__t", F.col("token"))).drop("__t")
     best = ordered.first_per_key(one, ["key"], [F.col("at"), F.col("token")]).select(F.col("token").alias("query"), F.col("key").alias("gold"))
-    return best.orderBy(*seeded_order(F.col("query"), seed=seed)).limit(cap)
+    return _first(best, seeded_order(F.col("query"), seed=seed), cap)
 
 
-def semantic_queries(chunks: DataFrame, key: str, text: str, topic: str, *, seed: int = SEED, cap: int = CAP,
+def semantic_queries(chunks: DataFrame, key: str, text: str, topic: str, *, seed: int = SEED, cap: int | None = CAP,
                      pattern: str = fixed.CONCLUSION_PATTERN) -> DataFrame:
     """``query, gold``: the conclusion of a chunk, unless it names the start of the topic."""
     q = chunks.select(F.col(key).alias("gold"), tx.strip(F.regexp_extract(text, pattern, 1)).alias("query"),
                       tx.cut(tx.or_empty(topic), 8).alias("__t"))
     kept = q.where((F.col("query") != "") & ((F.col("__t") == "") | ~F.col("query").contains(F.col("__t")))).drop("__t")
-    return kept.orderBy(*seeded_order(F.col("gold"), seed=seed)).limit(cap).select("query", "gold")
+    return _first(kept, seeded_order(F.col("gold"), seed=seed), cap).select("query", "gold")
 
 
 def normalized(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from loreloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ("texts", "boards", "chunking", "search", "ranking", "talk", "evaluate", "usage")
+MODULES = ("texts", "boards", "chunking", "search", "ranking", "talk", "evaluate", "usage", "credit")
 
 
 def load() -> tuple[dict, dict]:

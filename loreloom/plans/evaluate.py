@@ -13,9 +13,6 @@ from loreloom.plans.registry import query, table, texts
 from loreloom.plans.search import ARMS, DBSF, RRF, neighbours, search_arms
 from loreloom.session import spread
 
-# Words of at least twelve letters serve as codes: the texts hold few part numbers.
-LONG_WORD = r"(\b[A-Za-z]{12,}\b)"
-FEW = 10**9
 
 
 @query("EVL-1", r"""
@@ -29,14 +26,14 @@ def unique_codes(spark, d):
 
 @query("EVL-1")
 def lexical_queries(spark, d):
-    return ev.lexical_queries(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", cap=FEW)
+    return ev.lexical_queries(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", cap=None)
 
 
 @query("EVL-2", r"""
 SELECT query, gold FROM (SELECT doc_id AS gold, trim(regexp_extract(text, '(?m)^(.{25,110})', 1)) AS query, substr(source, 1, 8) AS t FROM documents)
 WHERE query <> '' AND NOT contains(query, t)""")
 def semantic_queries(spark, d):
-    return ev.semantic_queries(table(spark, d, "documents"), "doc_id", "text", "source", cap=FEW, pattern=r"(?m)^(.{25,110})")
+    return ev.semantic_queries(table(spark, d, "documents"), "doc_id", "text", "source", cap=None, pattern=r"(?m)^(.{25,110})")
 
 
 @query("EVL-3", r"""
