@@ -33,14 +33,20 @@ def fold_balances(entries: DataFrame, balances: DataFrame, *, block: int = FOLD_
     are cut into blocks that are folded side by side from estimated starts; blocks whose start proves
     wrong are folded again until every block starts where the one before it ends.
     """
-    numbered = ordered.row_numbers(entries.select("user_id", "position", "type", "amount"), ["user_id"], "position", "__n")
-    cut = numbered.withColumn("block", F.floor(F.col("__n") / block)).drop("__n")
-    starts = _estimated_starts(cut, balances)
-    split = cut.where(F.col("block") > 0).select("user_id").distinct()
-    if not split.isEmpty():
-        cut = cut_lineage(cut)
-        starts = _settled_starts(cut, cut_lineage(starts), split)
-    return _replay(cut, starts, _rows_of_block, _ROWS)
+    entries = entries.select("user_id", "position", "type", "amount")
+    opening = balances.select("user_id", F.lit(0).cast("bigint").alias("block"),
+                              F.col("credits").alias("start_credits"), F.col("paid_credits").alias("start_paid"))
+    # At most (number of entries / block) users are large.
+    large = entries.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > block).select("user_id")
+    if large.isEmpty():
+        return _replay(entries.withColumn("block", F.lit(0).cast("bigint")), opening, _rows_of_block, _ROWS)
+    large = cut_lineage(large)
+    small = entries.join(large, "user_id", "left_anti").withColumn("block", F.lit(0).cast("bigint"))
+    numbered = ordered.row_numbers(entries.join(large, "user_id", "left_semi"), ["user_id"], "position", "__n")
+    cut = cut_lineage(numbered.withColumn("block", F.floor(F.col("__n") / block)).drop("__n"))
+    settled = _settled_starts(cut, cut_lineage(_estimated_starts(cut, balances)))
+    starts = opening.join(large, "user_id", "left_anti").unionByName(settled)
+    return _replay(small.unionByName(cut), starts, _rows_of_block, _ROWS)
 
 
 def final_balances(entries: DataFrame, balances: DataFrame, *, block: int = FOLD_BLOCK) -> DataFrame:
@@ -67,14 +73,12 @@ def _estimated_starts(cut: DataFrame, balances: DataFrame) -> DataFrame:
     return joined.select("user_id", "block", start.alias("start_credits"), paid.alias("start_paid"))
 
 
-def _settled_starts(cut: DataFrame, starts: DataFrame, split: DataFrame) -> DataFrame:
+def _settled_starts(large: DataFrame, mine: DataFrame) -> DataFrame:
     """Repeat the blocks whose start differs from the end before, until none is left.
 
     Each round settles at least one more block of every user, and refusals forget the past, so few
     rounds are needed as a rule; only changed blocks are read again.
     """
-    large = cut.join(split, "user_id", "left_semi")
-    mine = starts.join(split, "user_id", "left_semi")
     ends = cut_lineage(_replay(large, mine, _end_of_block, _ENDS))
     w = Window.partitionBy("user_id").orderBy("block")
     while True:
@@ -89,13 +93,15 @@ def _settled_starts(cut: DataFrame, starts: DataFrame, split: DataFrame) -> Data
         redone = _replay(again, wrong, _end_of_block, _ENDS)
         ends = cut_lineage(ends.join(keys, ["user_id", "block"], "left_anti").unionByName(redone))
         mine = cut_lineage(mine.join(keys, ["user_id", "block"], "left_anti").unionByName(wrong))
-    return starts.join(split, "user_id", "left_anti").unionByName(mine)
+    return mine
 
 
 def _replay(cut: DataFrame, starts: DataFrame, fold, schema: str) -> DataFrame:
     """Fold sorted blocks in a stream: a task holds one Arrow batch, never a whole user."""
-    rows = cut.join(starts, ["user_id", "block"]).select(
-        "user_id", "block", "position", "type", "amount", "start_credits", "start_paid")
+    zero = F.lit(0).cast("bigint")
+    rows = cut.join(starts, ["user_id", "block"], "left").select(
+        "user_id", "block", "position", "type", "amount", F.coalesce("start_credits", zero).alias("start_credits"),
+        F.coalesce("start_paid", zero).alias("start_paid"))
     return rows.repartition("user_id", "block").sortWithinPartitions("user_id", "block", "position").mapInPandas(fold, schema)
 
 

@@ -124,7 +124,11 @@ def orders_of(spark, d):
 
 
 def order_events(spark, d):
-    e, k, kind = table(spark, d, "events"), F.get_json_object("props", "$.k"), F.col("event_type")
+    return order_events_of(table(spark, d, "events"))
+
+
+def order_events_of(e):
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
     order_id = F.when(k == "7", "lost").otherwise(F.col("user_id").cast("string"))
     right = (100 * (5 + F.col("user_id") % 7)).cast("string")
     amount = F.when(kind == "signup", F.concat(F.lit("x"), k)).when((k < "3") & (kind == "purchase"), "1").otherwise(right)
@@ -198,11 +202,11 @@ def purge_outcomes(spark, d):
     return purged(spark, d)["outcome"]
 
 
-@query("LED-14", PURGE + """SELECT 'sessions' AS name, CAST(count(*) AS BIGINT) AS remaining FROM sessions WHERE user_id NOT IN (SELECT user_id FROM outcome WHERE outcome = 'deleted')
+@query("LED-14", PURGE + """SELECT name, CAST(remaining AS BIGINT) AS remaining FROM (SELECT 'sessions' AS name, count(*) AS remaining FROM sessions WHERE user_id NOT IN (SELECT user_id FROM outcome WHERE outcome = 'deleted')
 UNION ALL SELECT 'messages', count(*) FROM lineitem JOIN sessions s ON s.id = l_orderkey WHERE s.user_id NOT IN (SELECT user_id FROM outcome WHERE outcome = 'deleted')
 UNION ALL SELECT 'payments', count(*) FROM payments
 UNION ALL SELECT 'ledger', count(*) FROM events WHERE user_id NOT IN (SELECT user_id FROM outcome WHERE outcome = 'deleted')
-UNION ALL SELECT 'users', sum(CASE WHEN id IN (SELECT user_id FROM outcome WHERE outcome = 'deleted') THEN 0 ELSE credits END) FROM users""")
+UNION ALL SELECT 'users', sum(CASE WHEN id IN (SELECT user_id FROM outcome WHERE outcome = 'deleted') THEN 0 ELSE credits END) FROM users)""")
 def purge_remainders(spark, d):
     p = purged(spark, d)
     counts = [p[n].agg(F.count("*").alias("remaining")).select(F.lit(n).alias("name"), "remaining") for n in ("sessions", "messages", "payments", "ledger")]

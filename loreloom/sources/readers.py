@@ -16,8 +16,9 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.POSTS).option("multiLine", True).json(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(path)
+def read_manifest(spark: SparkSession, path: str, *, array: bool = False) -> DataFrame:
+    """Items from JSON lines, which split, or from files that hold one JSON array each."""
+    return spark.read.schema(schemas.MANIFEST).option("multiLine", array).json(path)
 
 
 def write_manifest(items: DataFrame, path: str) -> None:
