@@ -84,7 +84,13 @@ def is_draft(*parts: Column, patterns: Iterable[str] = fixed.DRAFT_PATTERNS) ->
 
 
 def normalize_rule_text(c: Column, rewrites: Rules = fixed.RULE_TEXT_REWRITES) -> Column:
-    return tx.squash(F.translate(tx.rewrite(nfkc(tx.strip(tx.or_empty(c))), rewrites), "\u200b", " "))
+    return rewritten_rule_text(nfkc(tx.strip(tx.or_empty(c))), rewrites)
+
+
+def rewritten_rule_text(folded: Column, rewrites: Rules = fixed.RULE_TEXT_REWRITES) -> Column:
+    """The part of :func:`normalize_rule_text` after Unicode folding."""
+    only = fixed.HANGUL if rewrites is fixed.RULE_TEXT_REWRITES else None
+    return tx.squash(F.translate(tx.rewrite(folded, rewrites, only=only), "\u200b", " "))
 
 
 def normalize_query(c: Column, rewrites: Rules = fixed.QUERY_REWRITES,
@@ -148,10 +154,10 @@ def preserved_words(c: Column, suffixes: Iterable[str] = fixed.PARTICLE_SUFFIXES
 
 def preserves_identifiers(original: Column, rewritten: Column) -> Column:
     """True when every code, competition name and content word of a query survives its rewrite."""
-    low = F.lower(rewritten)
-    compact = F.regexp_replace(low, "[^가-힣a-z0-9]", "")
     names = F.concat(F.regexp_extract_all(original, F.lit(fixed.IDENTIFIER_PATTERN)),
                      F.regexp_extract_all(original, F.lit(fixed.COMPETITION_TERM_PATTERN)))
-    return F.forall(names, lambda t: low.contains(F.lower(t))) & F.forall(
-        preserved_words(original), lambda t: compact.contains(t)
-    )
+    words = preserved_words(original)
+    low = F.lower(rewritten)
+    compact = F.regexp_replace(low, "[^가-힣a-z0-9]", "")
+    return tx.let(low, lambda text: F.forall(names, lambda t: text.contains(F.lower(t)))) & tx.let(
+        compact, lambda text: F.forall(words, lambda t: text.contains(t)))

@@ -96,6 +96,9 @@ COMPONENT_PATTERN = (
     r"모터|고전압|페달|연료|섀시|차체|브라켓|\bglvs\b|\bbms\b"
 )
 
+# Every rewrite of rule text and nearly every one of queries concerns Hangul words.
+HANGUL = "[가-힣]"
+
 # Ordered rewrites of rule text.
 RULE_TEXT_REWRITES = (
     (r"(?U)\b제\s*(\d+)\s*조\b", "제 $1 조"),

@@ -41,11 +41,6 @@ def non_empty(c: Column | str) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Bind a costly expression to a name, so that using it several times computes it once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def parse_count(c: Column | str) -> Column:
     """``1,234`` -> 1234; anything that is not all digits -> 0."""
     digits = F.regexp_replace(strip(c), ",", "")
@@ -87,11 +82,17 @@ def ellipsis(c: Column | str, chars: int) -> Column:
     return F.when(F.length(col) > chars, F.concat(cut(col, chars), F.lit("..."))).otherwise(col)
 
 
-def rewrite(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
-    """Apply (pattern, replacement) pairs in order."""
+def rewrite(c: Column, rules: Iterable[tuple[str, str]], *, only: str | None = None) -> Column:
+    """Apply (pattern, replacement) pairs in order; texts without a match for *only* stay as they are."""
+    out = c
     for pattern, replacement in rules:
-        c = F.regexp_replace(c, pattern, replacement)
-    return c
+        out = F.regexp_replace(out, pattern, replacement)
+    return out if only is None else F.when(c.rlike(only), out).otherwise(c)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind a costly expression to a name, so that using it several times computes it once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 # --- tokens -------------------------------------------------------------------------------------
@@ -130,21 +131,24 @@ def token_windows(c: Column, size: int | Column, step: int | Column, *, to_the_e
     The last window is the first that reaches the end of the text; ``to_the_end`` keeps starting
     windows until the last token, so the final ones may lie inside their predecessor.
     """
-    tokens = tokenizer.encode(c)
-    n = F.size(tokens)
     size_c = F.lit(size) if isinstance(size, int) else size.cast("int")
     step_c = F.lit(step) if isinstance(step, int) else step.cast("int")
-    last = n - 1 if to_the_end else F.greatest(n - (size_c - step_c) - 1, F.lit(0))
-    windows = F.transform(
-        F.sequence(F.lit(0), last, step_c), lambda i: tokenizer.decode(F.slice(tokens, i + 1, size_c))
-    )
-    return F.when(n > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    def cut_up(tokens: Column) -> Column:
+        n = F.size(tokens)
+        last = n - 1 if to_the_end else F.greatest(n - (size_c - step_c) - 1, F.lit(0))
+        windows = F.transform(
+            F.sequence(F.lit(0), last, step_c), lambda i: tokenizer.decode(F.slice(tokens, i + 1, size_c))
+        )
+        return F.when(n > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    return let(tokenizer.encode(c), cut_up)
 
 
 def truncate_tokens(c: Column | str, limit: int, mark: str = " ...", tokenizer: Tokenizer = WORDS) -> Column:
     col = or_empty(c)
-    shortened = F.concat(tokenizer.decode(F.slice(tokenizer.encode(col), 1, limit)), F.lit(mark))
-    return F.when(tokenizer.count(col) > limit, shortened).otherwise(col)
+    return let(tokenizer.encode(col), lambda tokens: F.when(
+        F.size(tokens) > limit, F.concat(tokenizer.decode(F.slice(tokens, 1, limit)), F.lit(mark))).otherwise(col))
 
 
 def match_tokens(c: Column | str, min_len: int = 2) -> Column:

@@ -137,7 +137,7 @@ def query_boost(hits: DataFrame, *, weights: Mapping[str, float] = BOOST) -> Col
 
     names = ("source_title", "source_filename", "section", "chapter", "document_type_label", "competition")
     searchable = F.lower(F.concat_ws(" ", *[_filled(hits, n) for n in names]))
-    matched = F.size(F.filter("q_terms", lambda x: searchable.contains(x)))
+    matched = tx.let(searchable, lambda text: F.size(F.filter("q_terms", lambda x: text.contains(x))))
     terms = F.least(F.lit(weights["terms_max"]), matched * weights["term"])
     return c + t + cited("section_num", "q_sections") + cited("chapter_num", "q_chapters") + terms
 
@@ -274,7 +274,7 @@ def context_pack(hits: DataFrame, queries: DataFrame, *, search_query: str | Non
     named = F.when((_filled(hits, "competition") != "") & (key != fixed.OTHER), key)
     packed = hits.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("rank", F.concat(header, F.lit("\n"), F.col("content")).alias("text")))).alias("__docs"),
-        F.count_distinct(named).alias("__families"))
+        F.size(F.collect_set(named)).alias("__families"))
     joined = queries.join(packed, "qid", "left")
     found = F.concat(F.lit("다음은 검색된 참고 문서입니다:\n\n"), F.array_join(F.transform("__docs", lambda x: x["text"]), "\n\n---\n\n"), F.lit("\n\n---\n\n"))
     missing = F.lit("질문에 직접 관련된 참고 문서를 찾지 못했습니다. 문서 근거가 필요한 허용 여부·검차 판단은 단정하지 마세요.\n\n")

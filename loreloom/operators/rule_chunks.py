@@ -23,6 +23,7 @@ MIN_GENERIC_BUDGET = 120
 SOURCE_TYPE = "formula-rules"
 DEFAULT_YEAR = "2026"
 SHORT_CAP, LONG_CAP = 4_000, 20_000
+_LINES = "array<struct<text:string,n:int>>"
 
 # Every line end that str.splitlines() knows.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -38,12 +39,11 @@ def kept_lines(docs: DataFrame, keys: list[str], text: str, *, noise: Iterable[s
     *noise* are patterns of whole lines: page numbers by default, plus the footers, running titles
     and gutters of the documents at hand.
     """
-    split = docs.select(*keys, F.posexplode(F.split(tx.or_empty(text), LINE_END)).alias("pos", "line"))
-    folded = split.withColumn("line", nfkc(tx.strip("line")))
-    rewritten = folded.withColumn(
-        "line", tx.squash(F.translate(tx.rewrite(F.col("line"), fixed.RULE_TEXT_REWRITES), "\u200b", " ")))
-    noisy = cl.any_match(F.col("line"), noise) if noise else F.lit(False)
-    return rewritten.where((F.col("line") != "") & ~noisy).withColumn("pos", F.col("pos").cast("bigint"))
+    folded = docs.select(*keys, nfkc(tx.or_empty(text)).alias("__text"))
+    lines = F.transform(F.split("__text", LINE_END), cl.rewritten_rule_text)
+    patterns = list(noise)
+    kept = F.filter(lines, lambda x: (x != "") & ~cl.any_match(x, patterns)) if patterns else F.filter(lines, lambda x: x != "")
+    return folded.select(*keys, F.posexplode(kept).alias("pos", "line")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def accept_manifest(items: DataFrame, year: str = DEFAULT_YEAR, *, present: Column | None = None) -> DataFrame:
@@ -138,17 +138,17 @@ def sectionize(lines: DataFrame, keys: list[str]) -> DataFrame:
         F.transform("b", lambda x: x["line"]).alias("lines"))
 
 
-def tail_lines(lines: Column, limit: int = OVERLAP, tokenizer: Tokenizer = WORDS) -> Column:
-    """Whole last lines that hold at most *limit* tokens together."""
+def tail_lines(lines: Column, limit: int = OVERLAP) -> Column:
+    """Whole last lines that hold at most *limit* tokens together. Lines: ``text, n``."""
 
     def step(acc: Column, line: Column) -> Column:
-        n = acc["used"] + tokenizer.count(line)
+        n = acc["used"] + line["n"]
         fits = acc["open"] & (n <= limit)
         return F.struct(
             F.when(fits, F.concat(F.array(line), acc["tail"])).otherwise(acc["tail"]).alias("tail"),
             F.when(fits, n).otherwise(acc["used"]).alias("used"), fits.alias("open"))
 
-    start = F.struct(F.array().cast("array<string>").alias("tail"), F.lit(0).cast("int").alias("used"), F.lit(True).alias("open"))
+    start = F.struct(F.array().cast(_LINES).alias("tail"), F.lit(0).cast("int").alias("used"), F.lit(True).alias("open"))
     return F.aggregate(F.reverse(lines), start, step)
 
 
@@ -163,24 +163,23 @@ def fit_to_budget(c: Column, budget: Column, *, overlap: int = OVERLAP, drop_con
 
 def pack_lines(parts: Column, budget: Column, *, overlap: int = OVERLAP, tokenizer: Tokenizer = WORDS) -> Column:
     """Greedy packing of lines; a new chunk starts with the tail lines of the one before."""
-    empty = F.array().cast("array<string>")
+    empty = F.array().cast(_LINES)
+    counted = F.transform(parts, lambda p: F.struct(p.alias("text"), tokenizer.count(p).cast("int").alias("n")))
+
+    def joined(buffer: Column) -> Column:
+        return F.array_join(F.transform(buffer, lambda x: x["text"]), "\n")
 
     def step(acc: Column, part: Column) -> Column:
-        n = tokenizer.count(part)
-        over = (F.size(acc["buffer"]) > 0) & (acc["n"] + n > budget)
-        if overlap > 0:
-            tail = tail_lines(acc["buffer"], overlap, tokenizer)
-            lines, tokens = tail["tail"], tail["used"]
-        else:
-            lines, tokens = empty, F.lit(0)
-        kept = F.when(over, lines).otherwise(acc["buffer"])
-        used = F.when(over, tokens).otherwise(acc["n"])
-        done = F.when(over, F.concat(acc["done"], F.array(F.array_join(acc["buffer"], "\n")))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.concat(kept, F.array(part)).alias("buffer"), (used + n).cast("int").alias("n"))
-
-    start = F.struct(empty.alias("done"), empty.alias("buffer"), F.lit(0).cast("int").alias("n"))
-    return F.aggregate(parts, start, step, lambda acc: F.when(
-        F.size(acc["buffer"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["buffer"], "\n")))).otherwise(acc["done"]))
+        over = (F.size(acc["buffer"]) > 0) & (acc["n"] + part["n"] > budget)
+        tail = tail_lines(acc["buffer"], overlap) if overlap > 0 else None
+        kept = F.when(over, tail["tail"] if overlap > 0 else empty).otherwise(acc["buffer"])
+        used = F.when(over, tail["used"] if overlap > 0 else F.lit(0)).otherwise(acc["n"])
+        done = F.when(over, F.concat(acc["done"], F.array(joined(acc["buffer"])))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.concat(kept, F.array(part)).alias("buffer"), (used + part["n"]).cast("int").alias("n"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), empty.alias("buffer"), F.lit(0).cast("int").alias("n"))
+    return F.aggregate(counted, start, step, lambda acc: F.when(
+        F.size(acc["buffer"]) > 0, F.concat(acc["done"], F.array(joined(acc["buffer"])))).otherwise(acc["done"]))
 
 
 def chunk_sections(sections: DataFrame, *, keys: list[str], source_type: str = SOURCE_TYPE, size: int = MAX_TOKENS,
@@ -213,25 +212,29 @@ def chunk_sections(sections: DataFrame, *, keys: list[str], source_type: str = S
 
 def generic_chunks(text: Column, header: Column, *, size: int = MAX_TOKENS, tokenizer: Tokenizer = WORDS) -> Column:
     """Chunks of a document without sections; a segment over the budget is emitted in pieces of its own."""
-    budget = F.greatest(F.lit(size) - tokenizer.count(header) - 8, F.lit(MIN_GENERIC_BUDGET)).cast("int")
+    limit = F.greatest(F.lit(size) - tokenizer.count(header) - 8, F.lit(MIN_GENERIC_BUDGET)).cast("int")
     parts = qna.segments(text, size=size, overlap=OVERLAP, tokenizer=tokenizer)
-    empty = F.array().cast("array<string>")
+    counted = F.transform(parts, lambda p: F.struct(p.alias("text"), tokenizer.count(p).alias("n")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buffer"), F.lit(0).cast("int").alias("n"))
 
     def flushed(acc: Column) -> Column:
         return F.when(acc["buffer"] != "", F.concat(acc["done"], F.array(capped(acc["buffer"], LONG_CAP)))).otherwise(acc["done"])
 
-    def step(acc: Column, part: Column) -> Column:
-        n = tokenizer.count(part)
-        large = n > budget
-        over = ~large & (acc["buffer"] != "") & (acc["n"] + n > budget)
-        pieces = fit_to_budget(part, budget, tokenizer=tokenizer)
-        done = F.when(large, F.concat(flushed(acc), pieces)).when(over, flushed(acc)).otherwise(acc["done"])
-        buffer = F.when(large, F.lit("")).when(over | (acc["buffer"] == ""), part).otherwise(F.concat(acc["buffer"], F.lit("\n"), part))
-        used = F.when(large, F.lit(0)).when(over | (acc["buffer"] == ""), n).otherwise(acc["n"] + n)
-        return F.struct(done.alias("done"), buffer.alias("buffer"), used.cast("int").alias("n"))
-
-    start = F.struct(empty.alias("done"), F.lit("").alias("buffer"), F.lit(0).cast("int").alias("n"))
-    return F.transform(F.aggregate(parts, start, step, flushed), lambda t: F.concat(header, F.lit("\n"), t))
+    def packed(budget: Column) -> Column:
+        def step(acc: Column, part: Column) -> Column:
+            n, piece = part["n"], part["text"]
+            large = n > budget
+            over = ~large & (acc["buffer"] != "") & (acc["n"] + n > budget)
+            done = F.when(large, F.concat(flushed(acc), fit_to_budget(piece, budget, tokenizer=tokenizer))).when(
+                over, flushed(acc)).otherwise(acc["done"])
+            fresh = over | (acc["buffer"] == "")
+            buffer = F.when(large, F.lit("")).when(fresh, piece).otherwise(F.concat(acc["buffer"], F.lit("\n"), piece))
+            used = F.when(large, F.lit(0)).when(fresh, n).otherwise(acc["n"] + n)
+            return F.struct(done.alias("done"), buffer.alias("buffer"), used.cast("int").alias("n"))
+
+        return F.aggregate(counted, start, step, flushed)
+
+    return F.transform(tx.let(limit, packed), lambda t: F.concat(header, F.lit("\n"), t))
 
 
 def chunk_generic(docs: DataFrame, text: str, *, keys: list[str], size: int = MAX_TOKENS, tokenizer: Tokenizer = WORDS) -> DataFrame:

@@ -20,8 +20,22 @@ FIELDS = (
 )
 
 
+# Every field an object payload can carry, parsed once per event.
+_REASON = "provider string, code string, message string"
+PAYLOAD = (
+    f"{_REASON}, resolved_model string, resolved_model_id string, input_tokens bigint, output_tokens bigint, "
+    "thinking_tokens bigint, finish_reason string, status string, retrieval_ms bigint, rerank_ms bigint, "
+    f"competition string, `from` string, `to` string, reason struct<{_REASON.replace(' string', ':string')}>"
+)
+
+
+def _parsed(events: DataFrame) -> DataFrame:
+    is_object = F.col("payload").startswith("{")
+    return events.withColumn("p", F.from_json(F.when(is_object, F.col("payload")), PAYLOAD))
+
+
 def _json(name: str) -> Column:
-    return F.get_json_object("payload", f"$.{name}")
+    return F.col(f"p.{name}")
 
 
 def _ms(end: Column, start: Column) -> Column:
@@ -56,7 +70,7 @@ def roll_up(events: DataFrame) -> DataFrame:
         value = given(_json(name))
         return F.max(F.when(model_like & value.isNotNull(), F.struct(seq, value.alias("v"))))
 
-    turns = events.groupBy("turn_id").agg(
+    turns = _parsed(events).groupBy("turn_id").agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.min(F.when(token, F.col("ts"))).alias("first_token"),
         F.max(F.when(retrieval, F.col("ts"))).alias("generation"), F.max(F.when(fallback, seq)).alias("fallback"),
         F.max(F.when(error, seq)).alias("error"), resolved("resolved_model").alias("model"), resolved("resolved_model_id").alias("model_id"),
@@ -64,8 +78,8 @@ def roll_up(events: DataFrame) -> DataFrame:
         last(usage, _json("finish_reason")).alias("finish_reason"),
         last((kind == "rewrite") & text.isNotNull(), text).alias("rewritten_query"),
         last(retrieval, F.coalesce(given(_json("status")), F.lit("unknown"))).alias("retrieval_status"),
-        last(retrieval, _json("retrieval_ms").cast("bigint")).alias("retrieval_ms"),
-        last(retrieval, _json("rerank_ms").cast("bigint")).alias("rerank_ms"),
+        last(retrieval, _json("retrieval_ms")).alias("retrieval_ms"),
+        last(retrieval, _json("rerank_ms")).alias("rerank_ms"),
         last(retrieval & given(_json("competition")).isNotNull(), _json("competition")).alias("competition"),
         last(sources.isNotNull(), F.filter(F.transform(sources, lambda x: x["source_key"]), lambda x: x != "")).alias("source_ids"),
         last(problem, provider).alias("error_provider"), last(problem, code).alias("error_code"),
@@ -87,7 +101,7 @@ def roll_up(events: DataFrame) -> DataFrame:
 
 def attempted_models(events: DataFrame) -> DataFrame:
     """Distinct model names of a turn in the order of their first mention."""
-    named = events.where(F.col("event_type").isin("model", "fallback") & F.col("payload").startswith("{"))
+    named = _parsed(events.where(F.col("event_type").isin("model", "fallback") & F.col("payload").startswith("{")))
     listed = F.when(F.col("event_type") == "model", F.array(_json("resolved_model"))).otherwise(F.array(_json("from"), _json("to")))
     rows = named.select("turn_id", "seq", F.posexplode(listed).alias("i", "model")).where(tx.or_empty("model") != "")
     first = rows.groupBy("turn_id", "model").agg(F.min(F.struct("seq", "i")).alias("at"))

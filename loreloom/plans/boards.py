@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loreloom.operators import board, ordered, pages, qna_chunks as qna
 from loreloom.functions import text as tx
-from loreloom.plans.registry import query, table
+from loreloom.plans.registry import query, table, texts
 
 SEPARATOR = "===== 원 글 ====="
 
@@ -131,14 +131,14 @@ def manifest_once(spark, d):
 
 @query("WEB-1 UDF-4")
 def page_outlines(spark, d):
-    return pages.page_text(table(spark, d, "pages").select("page_id", "html"))
+    return pages.page_text(texts(spark, d, "pages", "page_id", "html"))
 
 
 @query("WEB-4", r"""
 SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, href[i] AS href FROM (
   SELECT page_id, href, unnest(range(1, len(href) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS href FROM pages))""")
 def page_links(spark, d):
-    return pages.page_links(table(spark, d, "pages").select("page_id", "html")).select("page_id", "pos", "href")
+    return pages.page_links(texts(spark, d, "pages", "page_id", "html")).select("page_id", "pos", "href")
 
 
 # The saved pages hold no board tables, so board pages are made of their addresses.

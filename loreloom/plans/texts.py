@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loreloom.functions import classify as cl
 from loreloom.functions import fixed_values as fixed
 from loreloom.functions import text as tx
-from loreloom.plans.registry import query, table
+from loreloom.plans.registry import query, table, texts
 
 # Classes for texts in the languages at hand; the operators take rule tables as data.
 TOPIC_RULES = (("french", r"(?i)\b(les|des|une)\b"), ("german", r"(?i)\b(der|und|nicht)\b"),
@@ -18,7 +18,7 @@ TOPIC_RULES = (("french", r"(?i)\b(les|des|une)\b"), ("german", r"(?i)\b(der|und
 SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\t\f\r\v \x{85}\p{Z}]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), E' \n') AS text
 FROM documents""")
 def clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.clean_text("text").alias("text"))
+    return texts(spark, d, "documents", "doc_id", "text").select("doc_id", tx.clean_text("text").alias("text"))
 
 
 @query("WEB-6 WEB-4", r"""
@@ -38,7 +38,7 @@ def url_parameters(spark, d):
 
 @query("NRM-1")
 def normalized_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", cl.normalize_rule_text(F.col("text")).alias("text"))
+    return texts(spark, d, "documents", "doc_id", "text").select("doc_id", cl.normalize_rule_text(F.col("text")).alias("text"))
 
 
 @query("NRM-2", r"""
@@ -49,7 +49,7 @@ WHERE line <> '' AND NOT regexp_matches(line, '^\d+$') GROUP BY doc_id""")
 def kept_lines(spark, d):
     from loreloom.operators.rule_chunks import kept_lines as operator
 
-    lines = operator(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    lines = operator(texts(spark, d, "documents", "doc_id", "text"), ["doc_id"], "text")
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
@@ -99,7 +99,7 @@ SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)\b(les|des|une)\b') THEN 'french
        WHEN regexp_matches(t, '(?i)judge') THEN 'judging' ELSE 'other' END AS document_type
 FROM (SELECT doc_id, concat_ws(' ', nullif(text, ''), nullif(source, '')) AS t FROM documents)""")
 def classified_documents(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents", "doc_id", "text", "source")
     both = F.concat_ws(" ", tx.non_empty("text"), tx.non_empty("source"))
     competition, document_type = cl.classify_document(F.col("text"), F.col("source"))
     return docs.select("doc_id", cl.first_match(both, TOPIC_RULES, "other").alias("topic"),
@@ -120,7 +120,7 @@ def region_labels(spark, d):
 SELECT doc_id FROM documents WHERE NOT regexp_matches(concat_ws(' ', text, source), '(?i)제정\s*\(?\s*안|개정\s*\(?\s*안|규정안|copyright|licen[cs]e|lorem ipsum')""")
 def without_drafts(spark, d):
     patterns = (*fixed.DRAFT_PATTERNS, "(?i)copyright|licen[cs]e", "(?i)lorem ipsum")
-    return table(spark, d, "documents").where(~cl.is_draft(F.col("text"), F.col("source"), patterns=patterns)).select("doc_id")
+    return texts(spark, d, "documents", "doc_id", "text", "source").where(~cl.is_draft(F.col("text"), F.col("source"), patterns=patterns)).select("doc_id")
 
 
 @query("CLS-5", r"""
@@ -185,7 +185,7 @@ FROM (SELECT doc_id, t, unnest(range(0, {last}, {step})) AS i
 
 def _windows(spark, d, size, step, **options):
     windows = tx.token_windows(F.col("text"), size, step, **options)
-    w = table(spark, d, "documents").select("doc_id", F.posexplode(windows).alias("start", "text"))
+    w = texts(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(windows).alias("start", "text"))
     return w.withColumn("start", F.col("start").cast("bigint") * step)
 
 
