@@ -40,7 +40,7 @@ def kept_lines(docs: DataFrame, keys: list[str], text: str, *, noise: Iterable[s
     and gutters of the documents at hand.
     """
     folded = docs.select(*keys, nfkc(tx.or_empty(text)).alias("__text"))
-    lines = F.transform(F.split("__text", LINE_END), cl.rewritten_rule_text)
+    lines = F.transform(F.split("__text", LINE_END), lambda x: cl.rewritten_rule_text(x))
     patterns = list(noise)
     kept = F.filter(lines, lambda x: (x != "") & ~cl.any_match(x, patterns)) if patterns else F.filter(lines, lambda x: x != "")
     return folded.select(*keys, F.posexplode(kept).alias("pos", "line")).withColumn("pos", F.col("pos").cast("bigint"))
