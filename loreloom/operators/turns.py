@@ -39,7 +39,7 @@ def _json(name: str) -> Column:
 
 
 def _ms(end: Column, start: Column) -> Column:
-    return F.round((end.cast("double") - start.cast("double")) * 1000).cast("bigint")
+    return F.bround((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("bigint")
 
 
 def roll_up(events: DataFrame) -> DataFrame:

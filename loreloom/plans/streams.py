@@ -91,7 +91,8 @@ def order_settlement_stream(spark, d):
                             (100 * (5 + u % 7)).cast("bigint").alias("amount"), (5 + u % 7).cast("bigint").alias("quantity"),
                             F.when(u % 10 != 3, u).alias("user_id"), F.lit(None).cast("string").alias("rejected"))
     rows = run(so.settle_stream(created.unionByName(moves), delay="0 seconds"), "orders")
-    order = [F.col("batch"), F.coalesce("seq", F.lit(1 << 60).cast("bigint"))]
+    # Within a micro-batch an order only moves forward.
+    order = [F.col("batch"), F.array_position(F.array(*[F.lit(x) for x in ("pending", "expired", "paid", "failed", "cancelled")]), F.col("status"))]
     return ordered.first_per_key(rows, ["order_id"], order, last=True).select("order_id", "status", "granted")
 
 
