@@ -193,10 +193,10 @@ class TopK:
         self.parts, self.held = [rows], len(rows)
         return rows
 
-    def result(self, schema: pa.Schema) -> pa.RecordBatch:
+    def result(self, schema: pa.Schema, arm: str) -> pa.RecordBatch:
         rows = self._compact()
         qids = self.block.qids.to_numpy()[rows["q"].to_numpy(dtype=np.int64)]
-        arrays = {"qid": qids, "id": rows["id"].to_numpy(), "score": rows["score"].to_numpy(dtype=np.float64)}
+        arrays = {"qid": qids, "arm": [arm] * len(rows), "id": rows["id"].to_numpy(), "score": rows["score"].to_numpy(dtype=np.float64)}
         if self.grouped:
             arrays["group"] = rows["g"].to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(arrays[f.name], type=f.type) for f in schema], schema=schema)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,6 +149,17 @@ def metrics(queries: DataFrame, hits: DataFrame, relevant: Column, *, by: Sequen
         F.coalesce(F.avg(F.coalesce(1.0 / r, zero)), zero).alias("mrr"))
 
 
+def mode_grid(queries: DataFrame, modes: Mapping[str, DataFrame], payload: Callable[[DataFrame], DataFrame], relevant: Column, *,
+              by: Sequence[str] = (), k: int = 10) -> DataFrame:
+    """Metrics of several result lists over the same queries, in one pass: ``mode, [by], n, recall..``."""
+    names = F.explode(F.array(*[F.lit(m) for m in modes]))
+    asked = queries.withColumn("mode", names).withColumn("__q", F.struct("mode", "qid"))
+    hits = reduce(DataFrame.unionByName, [h.select("qid", "id", "rank", F.lit(m).alias("mode")) for m, h in modes.items()])
+    keyed = payload(hits).withColumn("__q", F.struct("mode", "qid"))
+    return metrics(asked.drop("qid").withColumnRenamed("__q", "qid"), keyed.where(relevant).drop("qid").withColumnRenamed("__q", "qid"),
+                   F.lit(True), by=["mode", *by], k=k)
+
+
 def compare(baseline: DataFrame, candidate: DataFrame, by: Sequence[str]) -> DataFrame:
     """Candidate minus baseline, per task."""
     names = ("recall_1", "recall_5", "mrr")

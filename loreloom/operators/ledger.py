@@ -176,13 +176,10 @@ def monthly_refill(users: DataFrame, runs: DataFrame, now: Column, target: int,
 
     Returns (users, ledger rows, report). Runs: ``period`` of the refills made so far.
     """
-    spark = users.sparkSession
     local = F.from_utc_timestamp(now, zone)
-    clock = spark.range(1).select(F.date_format(local, "yyyy-MM").alias("period"), (F.dayofmonth(local) == 1).alias("due"))
-    done = clock.join(runs.select("period", F.lit(True).alias("__done")).distinct(), "period", "left")
-    state = done.select("period", F.when(~F.col("due"), "not_due").when(F.col("__done"), "already_applied").otherwise("applied").alias("reason"))
-    reason = state.select("reason").scalar()
-    period = state.select("period").scalar()
+    period = F.date_format(local, "yyyy-MM")
+    done = F.coalesce(runs.agg(F.max(F.col("period") == period)).scalar(), F.lit(False))
+    reason = F.when(F.dayofmonth(local) != 1, "not_due").when(done, "already_applied").otherwise("applied")
     memo = F.concat(F.lit("월 기본 이용권 충전 ("), period, F.lit(")"))
     lifted, rows, _ = refill_to_floor(users, target, "monthly_refill", memo)
     go = reason == "applied"

@@ -31,10 +31,10 @@ def fill_forward(df: DataFrame, keys: Sequence[str], position: str, value: Colum
     tmp = f"__v_{out}"
     b = _blocked(df.withColumn(tmp, value), position, block)
     inside = Window.partitionBy(*keys, _B).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    ends = b.where(F.col(tmp).isNotNull()).groupBy(*keys, _B).agg(F.max_by(tmp, position).alias("__end"))
-    every = b.select(*keys, _B).distinct().join(ends, [*keys, _B], "left")
+    filled = F.when(F.col(tmp).isNotNull(), F.col(position))
+    ends = b.groupBy(*keys, _B).agg(F.max_by(tmp, filled).alias("__end"))
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.withColumn("__carry", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+    carry = ends.withColumn("__carry", F.last("__end", ignorenulls=True).over(before)).drop("__end")
     local = b.withColumn(out, F.last(tmp, ignorenulls=True).over(inside))
     return (_carry_join(local, carry, keys)
             .withColumn(out, F.coalesce(out, "__carry")).drop(tmp, _B, "__carry"))

@@ -76,6 +76,6 @@ def expand(registry: DataFrame, requested: DataFrame, available: DataFrame, *, g
     alive = active(registry, available).select("key", "supports_filters", "source_type")
     asked = requested.select("key").distinct()
     direct = alive.join(asked, "key", "left_semi").select("key")
-    marker = asked.where(F.col("key") == group).select(F.lit("rules").alias("source_type"))
-    members = alive.where("supports_filters").join(marker, "source_type", "left_semi").select("key")
+    wants_group = asked.agg(F.max(F.col("key") == group)).scalar()
+    members = alive.where(F.col("supports_filters") & (F.col("source_type") == "rules") & wants_group).select("key")
     return direct.unionByName(members).distinct()

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.operators import evaluation as ev, ordered, retrieval as rt
@@ -125,13 +122,10 @@ FROM names JOIN bench ON true LEFT JOIN firsts USING (mode, qid) GROUP BY mode""
 def mode_grid(spark, d):
     p, q, dense, sparse = search_arms(spark, d)
     both = rt.arms(dense=dense, sparse=sparse)
-    modes: dict[str, DataFrame] = {"dense": dense, "sparse": sparse, "rrf": rt.reciprocal_rank_fusion(both, 20), "dbsf": rt.distribution_fusion(both, 20)}
+    modes = {"dense": dense, "sparse": sparse, "rrf": rt.reciprocal_rank_fusion(both, 20), "dbsf": rt.distribution_fusion(both, 20)}
     labels = p.select("id", "label")
     gold = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("label").alias("gold"))
     asked = q.select("qid").join(gold, "qid")
-    grid = []
-    for mode, hits in modes.items():
-        h = hits.select("qid", "id", "rank").join(labels, "id").join(asked, "qid")
-        one = ev.metrics(asked, h, (F.col("label") == F.col("gold")) & (F.col("id") != F.col("qid")))
-        grid.append(one.select(F.lit(mode).alias("mode"), "n", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mrr")]))
-    return reduce(DataFrame.unionByName, grid)
+    grid = ev.mode_grid(asked, modes, lambda h: h.join(labels, "id").join(gold, "qid"),
+                        (F.col("label") == F.col("gold")) & (F.col("id") != F.col("qid")))
+    return grid.select("mode", "n", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mrr")])

@@ -9,7 +9,7 @@ from loreloom.functions.encode import dense_encoder
 from loreloom.operators import qna_chunks as qna, ranking, retrieval as rt
 from loreloom.plans import tables as tb
 from loreloom.plans.registry import query, table, texts
-from loreloom.session import spread
+from loreloom.session import cut_lineage, spread
 
 RANKED = "row_number() OVER (PARTITION BY {by} ORDER BY score DESC, id) AS rank"
 
@@ -109,10 +109,15 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)
 
 
 def search_arms(spark, d):
+    """Points, queries and their dense and sparse arms of depth 20, from one scan.
+
+    The arms are small and used several times, so they are kept.
+    """
     p = lexical_points(spark, d)
     q = tb.text_queries(spark, d, p)
-    sparse = _rerounded_arm(rt.topk(p, q, 60, arm="sparse"), 20)
-    return p, q, rt.topk(p, q, 20), sparse
+    both = cut_lineage(rt.search(p, q, 60, {"dense": rt.DENSE, "sparse": rt.SPARSE}))
+    dense = both.where((F.col("arm") == "dense") & (F.col("rank") <= 20)).drop("arm")
+    return p, q, dense, _rerounded_arm(both.where(F.col("arm") == "sparse").drop("arm"), 20)
 
 
 def _rerounded_arm(hits, k):

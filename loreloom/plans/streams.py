@@ -57,7 +57,7 @@ t AS (SELECT turn_id, count(*) FILTER (kind = 'error') > 0 AS failed, count(*) F
   arg_max(CASE WHEN k < 10 THEN 'partial' ELSE 'ok' END, seq) FILTER (kind = 'retrieval') AS rs, arg_max(CASE kind WHEN 'error' THEN 'e' || CAST(k AS VARCHAR) ELSE 'slow' END, seq) FILTER (kind IN ('error', 'fallback')) AS error_code FROM v GROUP BY turn_id)
 SELECT turn_id, CASE WHEN failed AND first_token IS NOT NULL THEN 'partial_error' WHEN failed THEN 'error' WHEN fell THEN 'success_fallback' ELSE 'success' END AS status, CASE WHEN ms > coalesce(fb, -1) THEN m END AS resolved_model,
   models AS attempted_models, coalesce(rs, 'pending') AS retrieval_status, error_code, CAST(input_tokens AS BIGINT) AS input_tokens, CAST(retrieval_ms AS BIGINT) AS retrieval_ms,
-  CAST(round((epoch_us(first_token) - epoch_us(s)) / 1000.0) AS BIGINT) AS first_token_ms, CAST(round((epoch_us(e) - epoch_us(gen)) / 1000.0) AS BIGINT) AS generation_ms, CAST(round((epoch_us(e) - epoch_us(s)) / 1000.0) AS BIGINT) AS total_ms
+  CAST(round_even((epoch_us(first_token) - epoch_us(s)) / 1000.0, 0) AS BIGINT) AS first_token_ms, CAST(round_even((epoch_us(e) - epoch_us(gen)) / 1000.0, 0) AS BIGINT) AS generation_ms, CAST(round_even((epoch_us(e) - epoch_us(s)) / 1000.0, 0) AS BIGINT) AS total_ms
 FROM t LEFT JOIN tried USING (turn_id)"""
 TURN_COLUMNS = ["turn_id", "status", "resolved_model", "attempted_models", "retrieval_status", "error_code", "input_tokens", "retrieval_ms",
                 "first_token_ms", "generation_ms", "total_ms"]

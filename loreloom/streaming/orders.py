@@ -22,7 +22,7 @@ class OrderProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("order", "status string, user_id bigint, quantity bigint, amount bigint")
+        self.state = handle.getValueState("order", "status string, user_id bigint, quantity bigint, amount bigint, deadline bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One key in one micro-batch is bounded by the batch size.
@@ -30,40 +30,47 @@ class OrderProcessor(StatefulProcessor):
         s = tuple(self.state.get()) if self.state.exists() else None
         out = []
         for row in batch.itertuples(index=False):
+            at = row.ts.value // 1_000_000
             if row.event == "created":
                 if s is None:
-                    s = ("pending", None if pd.isna(row.user_id) else int(row.user_id), int(row.quantity), int(row.amount))
-                    self.handle.registerTimer(int(row.ts.timestamp() * 1000) + self.expiry_ms)
+                    s = ("pending", None if pd.isna(row.user_id) else int(row.user_id), int(row.quantity), int(row.amount), at + self.expiry_ms)
+                    self.handle.registerTimer(s[4])
                     out.append((key[0], row.seq, row.event, "pending", None))
                 continue
-            if s is None or not isinstance(row.rejected, str) and self._mismatch(row, s) or isinstance(row.rejected, str):
+            if s is None or isinstance(row.rejected, str) or _other_amount(row, s):
                 continue
-            status = order_step(s[0], row.event)
-            if status != s[0]:
-                granted = (0 if s[1] is None else s[2]) if status in ("paid", "cancelled") else None
-                s = (status, *s[1:])
-                out.append((key[0], row.seq, row.event, status, granted))
+            if at > s[4]:
+                # The deadline lies between two events: it passed before this one, timer or not.
+                s = _move(s, EXPIRE, key[0], None, out)
+            s = _move(s, row.event, key[0], row.seq, out)
         if s is not None:
             self.state.update(s)
         yield _frame(out)
 
-    @staticmethod
-    def _mismatch(row, s) -> bool:
-        return row.event == "paid" and not pd.isna(row.amount) and int(row.amount) != s[3]
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        s = tuple(self.state.get())
-        status = order_step(s[0], EXPIRE)
-        if status != s[0]:
-            self.state.update((status, *s[1:]))
-            yield _frame([(key[0], None, EXPIRE, status, None)])
+        if self.state.exists():
+            out = []
+            self.state.update(_move(tuple(self.state.get()), EXPIRE, key[0], None, out))
+            yield _frame(out)
 
     def close(self) -> None:
         pass
 
 
+def _move(s: tuple, event: str, order_id: str, seq: int | None, out: list) -> tuple:
+    """State after an event; a change of status is added to *out*."""
+    status = order_step(s[0], event)
+    if status == s[0]:
+        return s
+    granted = (0 if s[1] is None else s[2]) if status in ("paid", "cancelled") else None
+    out.append((order_id, seq, event, status, granted))
+    return (status, *s[1:])
+
+
+def _other_amount(row, s: tuple) -> bool:
+    return row.event == "paid" and not pd.isna(row.amount) and int(row.amount) != s[3]
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     df = pd.DataFrame(rows, columns=["order_id", "seq", "event", "status", "granted"])
     return df.astype({"seq": "Int64", "granted": "Int64"})

@@ -110,7 +110,7 @@ class TurnProcessor(StatefulProcessor):
         s = json.loads(held[0]) if held else None
         done = False
         for ts, kind, payload in zip(batch["ts"], batch["event_type"], batch["payload"]):
-            ms = ts.timestamp() * 1000
+            ms = ts.value / 1e6
             s = turn_step(s or new_turn(ms), kind, payload, ms)
             done = done or kind == "done"
         if held and held[1]:

@@ -77,7 +77,7 @@ def test_orders_expire_and_late_payments_settle(spark, tmp_path):
             row("b", 10, 400, "paid"), row("a", 11, 401, "cancelled"), row("a", 12, 402, "cancelled")]
     got = run(so.settle_stream(stream(spark, tmp_path, rows, schema), delay="0 seconds"), "orders-test")
     moves = {}
-    for r in got.orderBy("batch", F.coalesce("seq", F.lit(99))).collect():
+    for r in got.orderBy("batch", F.expr("array_position(array('pending', 'expired', 'paid', 'failed', 'cancelled'), status)")).collect():
         moves.setdefault(r.order_id, []).append(r.status)
     assert moves == {"a": ["pending", "paid", "cancelled"], "b": ["pending", "expired", "paid"], "c": ["pending", "failed"]}
 
