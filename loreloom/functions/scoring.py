@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 
 # Largest score matrix a task holds at a time.
 MAX_CELLS = 4_000_000
+# Sparse scores are sums; rounded, equal texts tie whatever the order of their terms.
+SPARSE_DIGITS = 9
 NONE = -np.inf
 
 
@@ -123,11 +125,11 @@ class QueryBlock:
             codes = self.terms.words.get_indexer(terms.to_pandas()).astype(np.int64)
             values = _flat(batch.column("weights"))[1].to_numpy(zero_copy_only=False).astype(float)
             s, shared = self.terms.accumulate(lengths, codes, values)
-            s[~shared] = NONE
+            s = np.where(shared, np.round(s, SPARSE_DIGITS), NONE)
         else:
             lengths, codes, count = self.terms.counts(batch.column("tokens"))
             s, shared = self.terms.accumulate(lengths, codes, 1.0 + np.log(count))
-            s[~shared] = NONE
+            s = np.where(shared, np.round(s, SPARSE_DIGITS), NONE)
         if self.match is not None:
             s[~self.match.holds(batch.column("tokens"))] = NONE
         for f in self.filters:

@@ -80,17 +80,7 @@ def lexical_weights(spark, d):
 @query("RET-7", tb.with_views(tb.POINTS, tb.LEXICAL) + f"SELECT qid, id, round(score, 5) AS score, rank FROM (SELECT *, {RANKED.format(by='qid')} FROM (SELECT qid, id, round(score, 9) AS score FROM sparse)) WHERE rank <= 10")
 def sparse_search(spark, d):
     p = lexical_points(spark, d)
-    hits = rt.topk(p, tb.text_queries(spark, d, p), 40, arm="sparse")
-    return _rerounded(hits, 10)
-
-
-def _rerounded(hits, k):
-    """Scores to 9 places before ranking, so that equal texts tie in every engine."""
-    from loreloom.operators.ordered import top_per_key
-
-    rounded = hits.drop("rank").withColumn("score", F.round("score", 9))
-    top = top_per_key(rounded, ["qid"], [F.desc("score"), F.col("id")], k)
-    return top.withColumn("rank", F.col("rank").cast("bigint")).withColumn("score", F.round("score", 5))
+    return rt.topk(p, tb.text_queries(spark, d, p), 10, arm="sparse").withColumn("score", F.round("score", 5))
 
 
 ARMS = tb.with_views(tb.POINTS, tb.LEXICAL, f"""
@@ -115,16 +105,9 @@ def search_arms(spark, d):
     """
     p = lexical_points(spark, d)
     q = tb.text_queries(spark, d, p)
-    both = cut_lineage(rt.search(p, q, 60, {"dense": rt.DENSE, "sparse": rt.SPARSE}))
-    dense = both.where((F.col("arm") == "dense") & (F.col("rank") <= 20)).drop("arm")
-    return p, q, dense, _rerounded_arm(both.where(F.col("arm") == "sparse").drop("arm"), 20)
-
-
-def _rerounded_arm(hits, k):
-    from loreloom.operators.ordered import top_per_key
-
-    top = top_per_key(hits.drop("rank").withColumn("score", F.round("score", 9)), ["qid"], [F.desc("score"), F.col("id")], k)
-    return top.withColumn("rank", F.col("rank").cast("bigint"))
+    both = cut_lineage(rt.search(p, q, 20, {"dense": rt.DENSE, "sparse": rt.SPARSE}))
+    dense, sparse = (both.where(F.col("arm") == name).drop("arm") for name in ("dense", "sparse"))
+    return p, q, dense, sparse
 
 
 @query("RET-10", ARMS + RRF.format(arm="sparse_arm") + "SELECT qid, id, round(score, 9) AS score, rank FROM fused WHERE rank <= 10")

@@ -10,8 +10,8 @@ from loreloom.functions import text as tx
 from loreloom.plans.registry import query, table, texts
 
 # Classes for texts in the languages at hand; the operators take rule tables as data.
-TOPIC_RULES = (("french", r"(?i)\b(les|des|une)\b"), ("german", r"(?i)\b(der|und|nicht)\b"),
-               ("spanish", r"(?i)\b(los|que|para)\b"), ("contact", r"(?i)@|https?:"), ("english", r"(?i)\b(the|and)\b"))
+TOPIC_RULES = (("french", r"(?iU)\b(les|des|une)\b"), ("german", r"(?iU)\b(der|und|nicht)\b"),
+               ("spanish", r"(?iU)\b(los|que|para)\b"), ("contact", r"(?i)@|https?:"), ("english", r"(?iU)\b(the|and)\b"))
 
 
 @query("WEB-5", r"""
@@ -90,9 +90,9 @@ def safe_names(spark, d):
 
 
 @query("CLS-1 CLS-2", r"""
-SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)\b(les|des|une)\b') THEN 'french' WHEN regexp_matches(t, '(?i)\b(der|und|nicht)\b') THEN 'german'
-  WHEN regexp_matches(t, '(?i)\b(los|que|para)\b') THEN 'spanish' WHEN regexp_matches(t, '(?i)@|https?:') THEN 'contact'
-  WHEN regexp_matches(t, '(?i)\b(the|and)\b') THEN 'english' ELSE 'other' END AS topic,
+SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])(les|des|une)([^\p{L}\p{N}_]|$)') THEN 'french' WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])(der|und|nicht)([^\p{L}\p{N}_]|$)') THEN 'german'
+  WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])(los|que|para)([^\p{L}\p{N}_]|$)') THEN 'spanish' WHEN regexp_matches(t, '(?i)@|https?:') THEN 'contact'
+  WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])(the|and)([^\p{L}\p{N}_]|$)') THEN 'english' ELSE 'other' END AS topic,
   CASE WHEN regexp_matches(t, '(?i)smart[- ]?e') THEN 'smart_e_mobility' WHEN regexp_matches(t, '(?i)e[- ]?formula') THEN 'e_formula'
        WHEN regexp_matches(t, '(?i)\bbaja\b') THEN 'baja' WHEN regexp_matches(t, '(?i)formula') THEN 'formula' WHEN regexp_matches(t, '(?i)ev') THEN 'ev' ELSE 'other' END AS competition,
   CASE WHEN regexp_matches(t, '(?i)vehicle.*technical') THEN 'vehicle-technical' WHEN regexp_matches(t, 'event.*operation|operations?') THEN 'event-operation'
