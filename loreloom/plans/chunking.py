@@ -207,7 +207,9 @@ def rule_headers(spark, d):
         F.col("source"), F.col("lang"), F.lit("기타"), F.col("n_chars").cast("string")).alias("header"))
 
 
-@query("RUL-1")
+@query("RUL-1", """
+SELECT doc_id AS source_post_id, 'Baja 안전규정 최종' AS title, '2024-01-02' AS date, '2026' AS year, '/raw/' || source || '.pdf' AS source_file, source || '.pdf' AS source_filename,
+  'baja' AS competition, 'safety' AS document_type, true AS downloaded, 'Baja 안전규정 최종' AS source_title FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang NOT IN ('fr', 'de') AND n_chars > 100""")
 def accepted_manifest(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     items = docs.select(

@@ -36,7 +36,10 @@ def stable_keys(spark, d):
     return rows.select("id", rk.stable_key(rows).alias("source_key"))
 
 
-@query("RET-14")
+@query("RET-14", """
+SELECT doc_id, CASE lang WHEN 'en' THEN '[AARK·단일제보] ' || CAST(doc_id % 9 AS VARCHAR) || '. en > ' || source WHEN 'fr' THEN '[규정(심사규정)]/formula ' || source
+    WHEN 'de' THEN source ELSE '제' || CAST(doc_id % 9 AS VARCHAR) || '장 ' || lang || ' > ' || source END AS source,
+  CASE lang WHEN 'fr' THEN 'https://x.example/' || source ELSE '' END AS url FROM documents""")
 def source_labels(spark, d):
     kind = F.when(F.col("lang") == "en", "aark").when(F.col("lang") == "fr", "rules").otherwise("")
     rows = table(spark, d, "documents").select(
@@ -239,7 +242,11 @@ def public_collections(spark, d):
     return registry.public(registry.with_groups(_registry(spark, d))).select("key", "label", "source_type")
 
 
-@query("RET-17 RET-18")
+@query("RET-17 RET-18", """
+WITH a AS (SELECT bool_or(p_size < 20) AS formula, bool_or(p_size >= 20) AS smart FROM part),
+q AS (SELECT conv_id, turn, text, CASE WHEN turn = 0 THEN 'e_formula' WHEN turn < 4 THEN 'ev' END AS competition, CASE WHEN turn < 2 THEN 'judging' WHEN turn < 6 THEN 'vehicle-technical' END AS document_type FROM conversations WHERE role = 'user'),
+r AS (SELECT q.*, a.*, CASE WHEN competition = 'e_formula' AND formula THEN 'formula' WHEN competition = 'ev' AND smart THEN 'smart_e_mobility' ELSE competition END AS competition_filter FROM q, a)
+SELECT conv_id, turn, competition, document_type, competition_filter, CASE WHEN document_type = 'vehicle-technical' AND (competition_filter IS NULL OR (competition_filter = 'formula' AND formula) OR (competition_filter = 'smart_e_mobility' AND smart)) THEN document_type END AS document_type_filter FROM r""")
 def routed_queries(spark, d):
     """Conversation questions routed against the competitions and types found in the part table."""
     q = table(spark, d, "conversations").where(F.col("role") == "user").select(

@@ -139,13 +139,20 @@ def hybrid_sparse_search(spark, d):
     return rt.rescore(fused, p, q).withColumn("score", F.round("score", 6))
 
 
-@query("RET-9")
+FILTERED = tb.with_views(tb.POINTS, tb.LEXICAL, f"""
+own AS (SELECT doc_id AS qid, lang FROM documents),
+dense_arm AS (SELECT * FROM (SELECT qid, id, score, {RANKED.format(by='qid')} FROM dense JOIN own USING (qid) WHERE collection = lang) WHERE rank <= 20),
+sparse_arm AS (SELECT * FROM (SELECT qid, id, score, {RANKED.format(by='qid')} FROM (SELECT s.qid, s.id, round(s.score, 9) AS score FROM sparse s JOIN points p USING (id) JOIN own o ON o.qid = s.qid WHERE p.collection = o.lang)) WHERE rank <= 20)
+""")
+
+
+@query("RET-9", FILTERED + DBSF.format(arm="sparse_arm") + RESCORED)
 def hybrid_sparse_search_filtered(spark, d):
     """One call, with the collection of a query's own document as its filter and the other fusion."""
     p = lexical_points(spark, d)
     langs = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), rt.allowed_values(F.col("lang")).alias("allow_collection"))
     q = tb.text_queries(spark, d, p).join(langs, "qid")
-    return rt.hybrid_sparse(p, q, 10, filters=["collection"], fusion=rt.distribution_fusion)
+    return rt.hybrid_sparse(p, q, 10, filters=["collection"], fusion=rt.distribution_fusion).withColumn("score", F.round("score", 6))
 
 
 GROUPED = tb.with_views(tb.POINTS, """

@@ -69,7 +69,7 @@ def turn_roll_up(spark, d):
     return t.withColumn("attempted_models", F.array_join("attempted_models", ",")).select(*TURN_COLUMNS)
 
 
-@query("STR-2")
+@query("STR-2", TURN_SQL + " WHERE e + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE")
 def turn_roll_up_stream(spark, d):
     """Turns closed by twelve hours of silence; those of the last day stay open."""
     rows = run(st.roll_up_stream(turn_events(stream_of(spark, d, "events")), stale_ms=12 * 3600 * 1000), "turns")

