@@ -13,7 +13,7 @@ from loreloom.plans.registry import query, table, texts
 PACKING = r"""
 paragraphs AS (
   SELECT {keys}, pp, trim(para, E' \n') AS para FROM (SELECT {keys}, unnest(p) AS para, generate_subscripts(p, 1) AS pp FROM (
-    SELECT {keys}, string_split_regex(text, '\n\s*\n') AS p FROM {docs} WHERE len(regexp_extract_all(text, '\S+')) > {size}))),
+    SELECT {keys}, string_split_regex(text, '\n\s*\n') AS p FROM {docs} WHERE len(regexp_extract_all(text, '\S+')) > {least}))),
 pieces AS (
   SELECT {keys}, pp, sp, trim(piece, E' \n') AS piece FROM (SELECT {keys}, pp, unnest(l) AS piece, generate_subscripts(l, 1) AS sp FROM (
     SELECT {keys}, pp, CASE WHEN len(regexp_extract_all(para, '\S+')) <= {size} THEN [para]
@@ -35,7 +35,7 @@ chunks AS (
   UNION ALL SELECT {keys}, [text] FROM {docs} WHERE len(regexp_extract_all(text, '\S+')) <= {size}),
 exploded AS (SELECT {keys}, generate_subscripts(c, 1) - 1 AS chunk_index, unnest(c) AS text FROM chunks)
 """
-SEGMENTS = PACKING.format(keys="doc_id", docs="documents", size=384, overlap=75)
+SEGMENTS = PACKING.format(keys="doc_id", docs="documents", size=384, overlap=75, least=384)
 
 
 def document_chunks(spark, d):
@@ -103,7 +103,7 @@ def running_chunk_index(spark, d):
         "conv_id", "turn", (F.col("offset") + F.col("i")).alias("chunk_index"))
 
 
-@query("CHK-7 CHK-10 CHK-3 CHK-4", "WITH " + ANSWER_DOCS + "," + PACKING.format(keys="conv_id, parent, turn", docs="docs", size=128, overlap=32) + """
+@query("CHK-7 CHK-10 CHK-3 CHK-4", "WITH " + ANSWER_DOCS + "," + PACKING.format(keys="conv_id, parent, turn", docs="docs", size=128, overlap=32, least=128) + """
 SELECT conv_id, parent, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, chunk_index) - 1 AS chunk_index, text FROM exploded""")
 def answer_chunks(spark, d):
     rows = answered_turns(spark, d)
@@ -130,7 +130,7 @@ docs AS (
 """
 
 
-@query("CHK-5 CHK-7 CHK-8 CHK-9 CHK-10 SRC-1", "WITH " + POST_DOCS + "," + PACKING.format(keys="doc_id, pos, url, has_answer", docs="docs", size=384, overlap=75) + """
+@query("CHK-5 CHK-7 CHK-8 CHK-9 CHK-10 SRC-1", "WITH " + POST_DOCS + "," + PACKING.format(keys="doc_id, pos, url, has_answer", docs="docs", size=384, overlap=75, least=384) + """
 SELECT CAST(doc_id AS VARCHAR) AS post_id, lang AS category, title, '2024-01-02' AS date, url, has_answer, row_number() OVER (PARTITION BY doc_id ORDER BY pos, chunk_index) - 1 AS chunk_index, e.text AS text
 FROM exploded e JOIN posts USING (doc_id)""")
 def post_chunks(spark, d):
@@ -202,7 +202,18 @@ def markdown_blocks(spark, d):
                     F.array_join("dates", ",").alias("dates"), F.array_join("lines", "\n").alias("body"))
 
 
-@query("KB-10 KB-11 KEY-2")
+@query("KB-10 KEY-2", "WITH " + BLOCKS.replace("SELECT doc_id, kind, chapter_num", ", b AS (SELECT cycle, part, doc_id, kind, chapter_num", 1) + """),
+d AS (SELECT *, substr(sha1(chapter || '|' || section || '|' || topic || '|' || kind), 1, 10) AS digest FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, digest ORDER BY cycle, part) - 1 AS n FROM d)
+SELECT doc_id, 'kb-' || CASE WHEN chapter_num < 10 THEN '0' ELSE '' END || CAST(chapter_num AS VARCHAR) || '-' || digest || CASE WHEN n > 0 THEN '-' || CAST(n AS VARCHAR) ELSE '' END AS post_id,
+  '[분야] ' || CAST(chapter_num AS VARCHAR) || '. ' || chapter || CASE WHEN section <> '' THEN ' > ' || section ELSE '' END || CASE WHEN topic <> '' THEN E'\\n[주제] ' || topic || CASE WHEN confidence <> '' THEN ' (' || confidence || ')' ELSE '' END ELSE '' END AS header
+FROM r""".replace("\\\\n", "\\n"))
+def markdown_ids(spark, d):
+    b = md.with_post_id(md.blocks(markdown_documents(spark, d), ["doc_id"], "text"), ["doc_id"], "kb")
+    return b.select("doc_id", "post_id", md.block_header(*[F.col(c) for c in ("chapter_num", "chapter", "section", "topic", "confidence")]).alias("header"))
+
+
+@query("KB-11")
 def markdown_chunks(spark, d):
     c = md.chunk_markdown(markdown_documents(spark, d), "text", keys=["doc_id"])
     return c.withColumn("dates", F.array_join("dates", ","))
@@ -243,12 +254,45 @@ def rule_sections(spark, d):
     return s.withColumn("lines", F.array_join("lines", "\n")).drop("pos")
 
 
-@query("RUL-3 RUL-4 RUL-6 RUL-7")
+COUNT = r"len(regexp_extract_all({x}, '\S+'))"
+# Windows of n tokens that start every n - 64 tokens up to the last one.
+SPLIT = r"CASE WHEN " + COUNT + r" <= {n} THEN [{x}] ELSE list_transform(range(0, " + COUNT + r", greatest(1, {n} - 64)), lambda i: array_to_string(regexp_extract_all({x}, '\S+')[i + 1:i + {n}], ' ')) END"
+RULE_CHUNKS = RULE_SECTIONS.replace("SELECT a.doc_id, chapter_num, '총칙'", ", sections AS (SELECT a.doc_id, chapter_num, '총칙'", 1) + r"""),
+titled AS (SELECT s.*, d.source, '[규정문서] Formula 심사규정 ' || d.source || E'\n[규정분류] formula / 심사규정' AS doc_head FROM sections s JOIN documents d USING (doc_id) WHERE lines <> ''),
+headed AS (SELECT *, '[제' || CAST(chapter_num AS VARCHAR) || '장] ' || chapter || E'\n[제' || CAST(section_num AS VARCHAR) || '조] ' || section || E'\n' || doc_head || ' - ' || section AS head FROM titled),
+budgeted AS (SELECT *, 384 - """ + COUNT.format(x="head") + r""" - 4 AS budget FROM headed),
+cut AS (SELECT *, flatten(list_transform(string_split(lines, E'\n'), lambda x: """ + SPLIT.format(x="x", n="budget") + r""")) AS parts FROM budgeted),
+folded AS (SELECT *, list_reduce(list_prepend({done: CAST([] AS VARCHAR[]), buf: CAST([] AS STRUCT(t VARCHAR, n BIGINT)[]), t: '', n: CAST(-1 AS BIGINT), total: CAST(0 AS BIGINT), budget: budget},
+    list_transform(parts, lambda x: {done: CAST([] AS VARCHAR[]), buf: CAST([] AS STRUCT(t VARCHAR, n BIGINT)[]), t: x, n: """ + COUNT.format(x="x") + r""", total: CAST(0 AS BIGINT), budget: budget})), lambda a, x:
+  CASE WHEN len(a.buf) > 0 AND a.total + x.n > x.budget THEN {
+    done: list_append(a.done, array_to_string(list_transform(a.buf, lambda y: y.t), E'\n')),
+    buf: list_append(list_filter(a.buf, lambda y, i: list_sum(list_transform(a.buf[i:], lambda z: z.n)) <= 64), {t: x.t, n: x.n}), t: '', n: CAST(-1 AS BIGINT),
+    total: CAST(coalesce(list_sum(list_transform(list_filter(a.buf, lambda y, i: list_sum(list_transform(a.buf[i:], lambda z: z.n)) <= 64), lambda y: y.n)), 0) + x.n AS BIGINT), budget: x.budget}
+  ELSE {done: a.done, buf: list_append(a.buf, {t: x.t, n: x.n}), t: '', n: CAST(-1 AS BIGINT), total: a.total + x.n, budget: x.budget} END) AS r FROM cut),
+of_sections AS (SELECT doc_id, 'formula-rules-' || substr(sha1(source || ':' || CAST(chapter_num AS VARCHAR) || ':' || CAST(section_num AS VARCHAR) || ':' || section), 1, 12) AS post_id, chapter, chapter_num, section, section_num,
+  CASE WHEN """ + COUNT.format(x=r"head || E'\n' || lines") + r""" <= 384 THEN [head || E'\n' || lines]
+  ELSE list_transform(list_append(r.done, array_to_string(list_transform(r.buf, lambda y: y.t), E'\n')), lambda x: head || E'\n' || x) END AS c FROM folded),
+plain AS (SELECT doc_id, trim(text, E' \n') AS text FROM documents WHERE lang = 'de'
+  UNION ALL SELECT doc_id, trim(text, E' \n') || E'\n부칙\n12\n끝' FROM documents WHERE lang <> 'de' AND NOT contains(text, E'\n')),
+""" + PACKING.format(keys="doc_id", docs="plain", size=384, overlap=64, least=-1).split("lists AS (")[0].rstrip().rstrip(",") + r""",
+generic AS (SELECT doc_id, list_reduce(list_prepend({done: CAST([] AS VARCHAR[]), buf: '', n: CAST(0 AS BIGINT)}, list({done: CAST([] AS VARCHAR[]), buf: segment, n: """ + COUNT.format(x="segment") + r"""} ORDER BY pp, sp, i)), lambda a, x:
+  CASE WHEN x.n > 368 THEN {done: list_concat(CASE WHEN a.buf <> '' THEN list_append(a.done, a.buf) ELSE a.done END, """ + SPLIT.format(x="x.buf", n="368") + r"""), buf: '', n: CAST(0 AS BIGINT)}
+       WHEN a.buf <> '' AND a.n + x.n > 368 THEN {done: list_append(a.done, a.buf), buf: x.buf, n: x.n}
+       ELSE {done: a.done, buf: CASE WHEN a.buf = '' THEN x.buf ELSE a.buf || E'\n' || x.buf END, n: a.n + x.n} END) AS r FROM segments GROUP BY doc_id),
+of_documents AS (SELECT doc_id, source AS post_id, '규정' AS chapter, CAST(NULL AS BIGINT) AS chapter_num, '본문' AS section, CAST(NULL AS BIGINT) AS section_num,
+  list_transform(CASE WHEN r.buf <> '' THEN list_append(r.done, r.buf) ELSE r.done END, lambda x: '[규정문서] Formula 심사규정 ' || source || E'\n[규정분류] formula / 심사규정' || E'\n' || x) AS c FROM generic JOIN documents USING (doc_id)),
+made AS (SELECT * EXCLUDE (c), unnest(c) AS text, generate_subscripts(c, 1) - 1 AS chunk_index FROM (SELECT * FROM of_sections UNION ALL SELECT * FROM of_documents))
+"""
+
+
+@query("RUL-3 RUL-4 RUL-6 RUL-7", "WITH " + RULE_CHUNKS + r"""SELECT m.*, 'rules' AS source_type, '2024+' || source AS source_version, source AS source_key, 'Formula 심사규정 ' || source AS source_title, 'formula' AS competition, 'judging' AS document_type,
+  '심사규정' AS document_type_label, '2024' AS year FROM made m JOIN documents USING (doc_id)""")
 def rule_chunks(spark, d):
-    return rules.chunk_rules(rule_documents(spark, d), "text", keys=["doc_id"])
+    made = rules.chunk_rules(rule_documents(spark, d), "text", keys=["doc_id"])
+    return made.drop("source_post_id", "source_file", "source_filename", "source_url")
 
 
-@query("RUL-10")
+@query("RUL-10", "WITH " + RULE_CHUNKS + "SELECT doc_id, chapter_num, section_num, chunk_index FROM made ORDER BY coalesce(chapter_num, 0), coalesce(section_num, 0), chunk_index")
 def rule_chunks_in_order(spark, d):
     return rules.in_reading_order(rules.chunk_rules(rule_documents(spark, d), "text", keys=["doc_id"])).select(
         "doc_id", "chapter_num", "section_num", "chunk_index")
