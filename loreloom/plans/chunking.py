@@ -8,6 +8,8 @@ from loreloom.functions import text as tx
 from loreloom.operators import markdown_chunks as md, qna_chunks as qna, rule_chunks as rules
 from loreloom.plans.registry import query, table, texts
 
+COUNT = r"len(regexp_extract_all({x}, '\S+'))"
+
 # Packing in SQL over a view of documents: paragraphs; sentences (their ends become line ends) of
 # paragraphs over the budget; token windows of sentences over it; then one reduction per document.
 PACKING = r"""
@@ -202,24 +204,48 @@ def markdown_blocks(spark, d):
                     F.array_join("dates", ",").alias("dates"), F.array_join("lines", "\n").alias("body"))
 
 
-@query("KB-10 KEY-2", "WITH " + BLOCKS.replace("SELECT doc_id, kind, chapter_num", ", b AS (SELECT cycle, part, doc_id, kind, chapter_num", 1) + """),
+IDS = BLOCKS.replace("SELECT doc_id, kind, chapter_num", ", b AS (SELECT cycle, part, doc_id, kind, chapter_num", 1) + r"""),
 d AS (SELECT *, substr(sha1(chapter || '|' || section || '|' || topic || '|' || kind), 1, 10) AS digest FROM b),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, digest ORDER BY cycle, part) - 1 AS n FROM d)
-SELECT doc_id, 'kb-' || CASE WHEN chapter_num < 10 THEN '0' ELSE '' END || CAST(chapter_num AS VARCHAR) || '-' || digest || CASE WHEN n > 0 THEN '-' || CAST(n AS VARCHAR) ELSE '' END AS post_id,
-  '[분야] ' || CAST(chapter_num AS VARCHAR) || '. ' || chapter || CASE WHEN section <> '' THEN ' > ' || section ELSE '' END || CASE WHEN topic <> '' THEN E'\\n[주제] ' || topic || CASE WHEN confidence <> '' THEN ' (' || confidence || ')' ELSE '' END ELSE '' END AS header
-FROM r""".replace("\\\\n", "\\n"))
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, digest ORDER BY cycle, part) - 1 AS nth FROM d),
+ids AS (SELECT *, 'kb-' || CASE WHEN chapter_num < 10 THEN '0' ELSE '' END || CAST(chapter_num AS VARCHAR) || '-' || digest || CASE WHEN nth > 0 THEN '-' || CAST(nth AS VARCHAR) ELSE '' END AS post_id,
+  '[분야] ' || CAST(chapter_num AS VARCHAR) || '. ' || chapter || CASE WHEN section <> '' THEN ' > ' || section ELSE '' END || CASE WHEN topic <> '' THEN E'\n[주제] ' || topic || CASE WHEN confidence <> '' THEN ' (' || confidence || ')' ELSE '' END ELSE '' END AS header
+FROM r),
+whole AS (SELECT doc_id, string_agg(CASE WHEN k = 0 THEN '## ' || CAST(cycle + 1 AS VARCHAR) || '. ' || substr(x, 1, 12) || E' 장\n### ' || substr(x, 1, 20) || E'\n- **주제** `[다수의견]` ' || substr(x, 1, 30)
+  WHEN k < 3 THEN '  - **결론** — 2024-01-02 ' || x WHEN k = 3 THEN '#### ' || substr(x, 1, 10) || E'\n| a | b |\n|---|---|' WHEN k < 6 THEN '| ' || replace(x, '|', ' ') || ' | 1 |'
+  WHEN k = 6 THEN E'**단편**\n- ' || x || ' (2023-05-06)' WHEN k = 7 THEN '- ' || x WHEN k = 8 THEN E'\n> ' || x ELSE x END, E'\n' ORDER BY n) AS md_text FROM sized GROUP BY doc_id)
+"""
+
+
+@query("KB-10 KEY-2", "WITH " + IDS + "SELECT doc_id, post_id, header FROM ids")
 def markdown_ids(spark, d):
     b = md.with_post_id(md.blocks(markdown_documents(spark, d), ["doc_id"], "text"), ["doc_id"], "kb")
     return b.select("doc_id", "post_id", md.block_header(*[F.col(c) for c in ("chapter_num", "chapter", "section", "topic", "confidence")]).alias("header"))
 
 
-@query("KB-11")
+# Lines over the budget fall back to sentences and windows of 384, then to windows of the budget.
+SENTENCES = r"CASE WHEN " + COUNT + r" <= 384 THEN [{x}] ELSE flatten(list_transform(list_filter(list_transform(string_split(regexp_replace({x}, '([.!?。])\s+', E'\\1\n', 'g'), E'\n'), lambda p: trim(p, E' \n')), lambda p: p <> ''), lambda p: CASE WHEN len(regexp_extract_all(p, '\S+')) <= 384 THEN [p] ELSE list_transform(range(0, len(regexp_extract_all(p, '\S+')) - 75, 309), lambda i: array_to_string(regexp_extract_all(p, '\S+')[i + 1:i + 384], ' ')) END)) END"
+FIT = r"CASE WHEN " + COUNT + r" <= {n} THEN [{x}] ELSE list_transform(range(0, " + COUNT + r", {n}), lambda i: array_to_string(regexp_extract_all({x}, '\S+')[i + 1:i + {n}], ' ')) END"
+MARKDOWN_CHUNKS = IDS + r""",
+prefixed AS (SELECT *, CASE WHEN kind = 'table' THEN array_to_string(list_prepend(header, string_split(body, E'\n')[1:2]), E'\n') ELSE header END AS prefix,
+  CASE WHEN kind = 'table' THEN string_split(body, E'\n')[3:] ELSE string_split(body, E'\n') END AS raw FROM ids),
+limited AS (SELECT *, 384 - """ + COUNT.format(x="prefix") + r""" - 4 AS budget FROM prefixed),
+cut AS (SELECT *, flatten(list_transform(raw, lambda x: CASE WHEN """ + COUNT.format(x="x") + r""" <= budget THEN [x] ELSE flatten(list_transform(""" + SENTENCES.format(x="x") + r""", lambda y: """ + FIT.format(x="y", n="budget") + r""")) END)) AS parts FROM limited),
+folded AS (SELECT *, list_reduce(list_prepend({done: CAST([] AS VARCHAR[]), cur: '', n: CAST(0 AS BIGINT), budget: budget, first: true}, list_transform(parts, lambda x: {done: CAST([] AS VARCHAR[]), cur: x, n: """ + COUNT.format(x="x") + r""", budget: budget, first: false})), lambda a, x:
+  CASE WHEN a.first THEN {done: a.done, cur: x.cur, n: x.n, budget: x.budget, first: false}
+    WHEN a.n + x.n > x.budget THEN {done: list_append(a.done, a.cur), cur: x.cur, n: x.n, budget: x.budget, first: false} ELSE {done: a.done, cur: a.cur || E'\n' || x.cur, n: a.n + x.n, budget: x.budget, first: false} END) AS r FROM cut),
+chunked AS (SELECT *, CASE WHEN """ + COUNT.format(x=r"header || E'\n' || body") + r""" <= 384 THEN [header || E'\n' || body] WHEN len(parts) = 0 THEN CAST([] AS VARCHAR[])
+  ELSE list_transform(list_append(r.done, r.cur), lambda x: prefix || E'\n' || x) END AS c FROM folded),
+made AS (SELECT doc_id, post_id, kind, chapter_num, chapter, section, topic, confidence, dates, unnest(c) AS text, generate_subscripts(c, 1) - 1 AS chunk_index FROM chunked)
+"""
+
+
+@query("KB-11", "WITH " + MARKDOWN_CHUNKS + "SELECT m.*, 'kb' AS source_type, substr(sha256(md_text), 1, 12) AS source_version FROM made m JOIN whole USING (doc_id)")
 def markdown_chunks(spark, d):
     c = md.chunk_markdown(markdown_documents(spark, d), "text", keys=["doc_id"])
-    return c.withColumn("dates", F.array_join("dates", ","))
+    return c.withColumn("dates", F.array_join("dates", ",")).drop("pos")
 
 
-@query("KB-13")
+@query("KB-13", "WITH " + MARKDOWN_CHUNKS + "SELECT kind, count(*) AS chunks FROM made GROUP BY kind")
 def markdown_kinds(spark, d):
     return md.chunks_per_kind(md.chunk_markdown(markdown_documents(spark, d), "text", keys=["doc_id"]))
 
@@ -254,7 +280,6 @@ def rule_sections(spark, d):
     return s.withColumn("lines", F.array_join("lines", "\n")).drop("pos")
 
 
-COUNT = r"len(regexp_extract_all({x}, '\S+'))"
 # Windows of n tokens that start every n - 64 tokens up to the last one.
 SPLIT = r"CASE WHEN " + COUNT + r" <= {n} THEN [{x}] ELSE list_transform(range(0, " + COUNT + r", greatest(1, {n} - 64)), lambda i: array_to_string(regexp_extract_all({x}, '\S+')[i + 1:i + {n}], ' ')) END"
 RULE_CHUNKS = RULE_SECTIONS.replace("SELECT a.doc_id, chapter_num, '총칙'", ", sections AS (SELECT a.doc_id, chapter_num, '총칙'", 1) + r"""),
