@@ -159,8 +159,11 @@ def set_credits(users: DataFrame, credits: Column, *, bulk: bool = False) -> tup
     return updated, rows
 
 
-def refill_to_floor(users: DataFrame, target: int, kind: str, memo: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lift the free part of live balances: (users, ledger rows, one row with count and total)."""
+def refill_to_floor(users: DataFrame, target: int | Column, kind: str, memo: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lift the free part of live balances: (users, ledger rows, one row with count and total).
+
+    A target of NULL lifts nobody.
+    """
     free = F.col("credits") - F.col("paid_credits")
     lift = F.when(live(users) & (free < target), target - free).otherwise(F.lit(0)).cast("bigint")
     marked = users.withColumn("__lift", lift)
@@ -181,12 +184,8 @@ def monthly_refill(users: DataFrame, runs: DataFrame, now: Column, target: int,
     done = F.coalesce(runs.agg(F.max(F.col("period") == period)).scalar(), F.lit(False))
     reason = F.when(F.dayofmonth(local) != 1, "not_due").when(done, "already_applied").otherwise("applied")
     memo = F.concat(F.lit("월 기본 이용권 충전 ("), period, F.lit(")"))
-    lifted, rows, _ = refill_to_floor(users, target, "monthly_refill", memo)
-    go = reason == "applied"
-    after = users.join(lifted.select("id", F.col("credits").alias("__new")), "id").withColumn(
-        "credits", F.when(go, F.col("__new")).otherwise(F.col("credits"))).drop("__new")
-    granted = rows.where(go)
-    report = granted.agg(F.count("*").alias("affected_users"), F.coalesce(F.sum("amount"), F.lit(0).cast("bigint")).alias("total_credits")).select(
+    after, granted, total = refill_to_floor(users, F.when(reason == "applied", F.lit(target)), "monthly_refill", memo)
+    report = total.select(
         period.alias("period"), reason.alias("reason"), F.lit(target).cast("bigint").alias("target_credits"), "affected_users", "total_credits")
     return after, granted, report
 

@@ -40,6 +40,12 @@ def best_first(df: DataFrame) -> list[Column]:
     return [F.desc("score"), *[F.col(c) for c in BEST_FIRST[1:] if c in df.columns]]
 
 
+def together(hits: DataFrame) -> DataFrame:
+    """Bring the candidates of a query to one task, once: the windows below partition by query and
+    more, so none of them shuffles again."""
+    return hits.repartition("qid")
+
+
 def answered_only(hits: DataFrame, *, collection: str = "qna", marker: str = fixed.ANSWER_MARK) -> DataFrame:
     """Question-only entries of the Q&A collection are no evidence."""
     return hits.where((F.col("collection") != collection) | F.col("content").contains(marker))

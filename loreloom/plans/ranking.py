@@ -16,7 +16,7 @@ BY_SCORE = "ORDER BY score DESC, collection, id"
 
 def hits(spark, d):
     """Candidates with scores to 9 places, so that order does not hang on summation."""
-    return collection_hits(spark, d).withColumn("score", F.round("score", 9)).withColumnRenamed("depth", "rank")
+    return rk.together(collection_hits(spark, d).withColumn("score", F.round("score", 9)).withColumnRenamed("depth", "rank"))
 
 
 HITS = GROUPED + ", h AS (SELECT * REPLACE (round(score, 9) AS score) FROM hits)\n"

@@ -166,7 +166,7 @@ hits AS (
 
 def collection_hits(spark, d):
     """Candidates of every vector in every collection, with their payload."""
-    p = spread(tb.points(spark, d))
+    p = tb.points(spark, d)
     hits = rt.multi_collection(p, tb.vector_queries(spark, d).drop("label"), 5, skip_self=True)
     hits = hits.withColumnRenamed("group", "collection").withColumnRenamed("rank", "depth")
     return hits.join(p.drop("vector", "collection"), "id")
@@ -187,11 +187,14 @@ def encoded_documents(spark, d):
 def ranked_chunks(spark, d):
     """Documents -> chunks -> vectors -> best chunks of every benchmark text, at most two per document."""
     encode = dense_encoder()
-    chunks = qna.chunk_documents(texts(spark, d, "documents", "doc_id", "text", "source"), "text")
-    points = chunks.select(tx.point_id("doc_id", "chunk_index").alias("id"), "doc_id", "source", "chunk_index", "text", encode("text").alias("vector"))
+    chunks = qna.chunk_documents(texts(spark, d, "documents", "doc_id", "text"), "text")
+    points = chunks.select(F.concat_ws("_", "doc_id", "chunk_index").alias("id"), encode("text").alias("vector"))
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), encode("text").alias("vector"))
-    hits = rt.topk(points.select("id", "vector"), queries, rt.candidate_depth(7))
-    payload = chunks.select(tx.point_id("doc_id", "chunk_index").alias("id"), F.col("doc_id").alias("post_id"),
-                            F.col("source").alias("source_key"), "chunk_index", "text")
-    joined = hits.join(payload, "id").withColumn("chapter", F.lit("")).withColumn("section", F.col("post_id").cast("string"))
-    return ranking.cap_repeats(joined).select("qid", "id", "post_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
+    # The id names the document, so the chunks need not be made again for their payload.
+    part = F.split("id", "_")
+    hits = rt.topk(points, queries, rt.candidate_depth(7)).withColumns(
+        {"post_id": part[0].cast("bigint"), "chunk_index": part[1].cast("bigint")})
+    sources = table(spark, d, "documents").select(F.col("doc_id").alias("post_id"), F.col("source").alias("source_key"))
+    joined = hits.join(sources, "post_id").withColumn("chapter", F.lit("")).withColumn("section", F.col("post_id").cast("string"))
+    return ranking.cap_repeats(ranking.together(joined)).select(
+        "qid", "id", "post_id", "chunk_index", "source_key", F.round("score", 6).alias("score"), "rank")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loreloom.operators import retrieval as rt
 from loreloom.functions import text as tx
 from loreloom.plans.registry import table
+from loreloom.session import spread
 
 # Moment the reports are made for; the data ends at 2024-01-30 (events) and 2001-11-04 (lineitem).
 AS_OF = "2024-01-30 00:00:00"
@@ -190,7 +191,7 @@ payments AS (
 
 def points(spark: SparkSession, d: str) -> DataFrame:
     """Vectors with the payload of their document and its labels; ``lang`` is the collection."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    e = spread(table(spark, d, "embeddings")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("lang").alias("collection"),
         F.col("source").alias("source_key"), "n_chars")

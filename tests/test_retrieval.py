@@ -107,6 +107,30 @@ def test_sparse_and_match_against_loops(data, options):
         assert {tuple(r) for r in rt.text_match(points, queries, max_broadcast=bound).collect()} == pairs
 
 
+@pytest.mark.parametrize("bound", [10, 1])
+def test_rows_without_vector_are_skipped(spark, bound):
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, vector array<double>")
+    queries = spark.createDataFrame([(8, None), (9, [1.0, 0.0])], "qid long, vector array<double>")
+    got = rt.topk(points, queries, 5, max_broadcast=bound).orderBy("rank").collect()
+    assert [(r.qid, r.id, r.score) for r in got] == [(9, 1, 1.0), (9, 3, 0.0)]
+
+
+def test_encoder_plug(spark):
+    from loreloom.functions.encode import dense_encoder
+
+    def lengths():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts], dtype=np.float32)
+
+    df = spark.createDataFrame([("a b a",), ("",), (None,), ("A B A",)], "t string")
+    spark.udf.register("encode_text", dense_encoder())
+    own = np.array([list(r.v) for r in df.selectExpr("encode_text(t) AS v").collect()])
+    assert own.shape == (4, 256) and np.allclose(np.linalg.norm(own, axis=1), [1, 0, 0, 1]) and np.allclose(own[0], own[3])
+    assert sorted(np.abs(own[0][own[0] != 0]).round(4)) == [0.4472, 0.8944]
+    plugged = dense_encoder(lengths, batch_size=2)
+    assert [list(r.v) for r in df.select(plugged("t").alias("v")).collect()] == [[5, 1], [0, 1], [0, 1], [5, 1]]
+    assert df.limit(0).select(plugged("t").alias("v")).schema["v"].dataType.simpleString() == "array<float>"
+
+
 def test_given_sparse_vectors(spark):
     points = spark.createDataFrame([(1, ["a", "b"], [1.0, 2.0]), (2, ["b"], [5.0]), (3, [], [])], "id long, terms array<string>, weights array<double>")
     queries = spark.createDataFrame([(9, ["b", "c"], [3.0, 1.0])], "qid long, terms array<string>, weights array<double>")
