@@ -197,6 +197,8 @@ class TopK:
 
     def result(self, schema: pa.Schema, arm: str) -> pa.RecordBatch:
         rows = self._compact()
+        if rows.empty:
+            return pa.RecordBatch.from_pylist([], schema=schema)
         qids = self.block.qids.to_numpy()[rows["q"].to_numpy(dtype=np.int64)]
         arrays = {"qid": qids, "arm": [arm] * len(rows), "id": rows["id"].to_numpy(), "score": rows["score"].to_numpy(dtype=np.float64)}
         if self.grouped:

@@ -115,6 +115,13 @@ def test_rows_without_vector_are_skipped(spark, bound):
     assert [(r.qid, r.id, r.score) for r in got] == [(9, 1, 1.0), (9, 3, 0.0)]
 
 
+def test_tasks_without_points_emit_nothing(spark):
+    points = spark.createDataFrame([("a", [1.0], "g")], "id string, vector array<double>, group string").repartition(6)
+    queries = spark.createDataFrame([("q", [1.0])], "qid string, vector array<double>")
+    assert [tuple(r) for r in rt.topk(points, queries, 3, grouped=True).collect()] == [("q", "g", "a", 1.0, 1)]
+    assert rt.topk(points.limit(0), queries, 3).count() == 0 and rt.topk(points, queries.limit(0), 3).count() == 0
+
+
 def test_encoder_plug(spark):
     from loreloom.functions.encode import dense_encoder
 
