@@ -101,7 +101,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     alone = keys.where(~F.col("__again")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     rows = keys.where("__again").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("__n"))
-    groups = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("__n").alias("group_size"))
+    # Written once, both sides of the join are plain shuffles, which Spark splits where one text is in a third of all rows.
+    groups = cut_lineage(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("__n").alias("group_size")))
     again = (rows.join(groups, "text_sha256").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
              .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__i") == 1)).alias("kept"), "text_sha256"))
     return alone.unionByName(again)

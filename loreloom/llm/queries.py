@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loreloom.llm import exact_dedup, mixing
+from loreloom.llm import exact_dedup, mixing, packing, token_counts
 from loreloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, folder))
 
@@ -20,7 +29,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_mix_sources, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_counts, op5_best_fit_packing, op6_mix_sources, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
