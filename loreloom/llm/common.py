@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,3 +63,52 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(27))
     h = h * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+class Words:
+    """Words of many texts at once, as 64-bit hashes of their bytes.
+
+    *breaks* are the bytes between words. ASCII letters count as lower case. A word's hash is a polynomial in
+    random values of its bytes, mixed; it is the same in any text, task or process.
+    """
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, breaks: bytes, most: int):
+        kind = np.arange(256, dtype=np.uint8)
+        kind[65:91] += 32
+        self.lower = kind
+        self.value = mix(kind.astype(np.uint64) + np.uint64(1))
+        self.inside = np.ones(256, bool)
+        self.inside[list(breaks)] = False
+        self.value[~self.inside] = 0
+        self.most = most  # bytes of the largest chunk
+        self.power = self._powers(self.BASE)
+        self.inverse = self._powers(np.uint64(pow(int(self.BASE), -1, 1 << 64)))
+
+    def _powers(self, base: np.uint64) -> np.ndarray:
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.most, base)]))
+
+    def find(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first byte, end and hash of every word, in order."""
+        inside = self.inside[raw]
+        borders = np.diff(inside, prepend=False, append=False)
+        cut = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(raw))]  # two texts without a break between them
+        cut = np.unique(cut[inside[cut - 1] & inside[cut]])
+        edges = np.flatnonzero(borders)
+        start, stop = np.sort(np.append(edges[::2], cut)), np.sort(np.append(edges[1::2], cut))
+        if not len(start):
+            return np.empty(0, np.int64), start, stop, np.empty(0, np.uint64)
+        if len(raw) > self.most:
+            self.__init__(bytes(np.flatnonzero(~self.inside).tolist()), len(raw))
+        sums = np.add.reduceat(self.value[raw] * self.power[:len(raw)], start)
+        return np.searchsorted(offsets, start, "right") - 1, start, stop, mix(sums * self.inverse[start])
+
+
+def row_chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows with about *size* bytes each."""
+    at = 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield at, end
+        at = end

@@ -28,7 +28,7 @@ SHARE = 1.5
 MOST = 2.0
 SEED = 20_240_607
 LONG_PART = 64
-RUN = 4_096  # documents of one size class that are numbered together
+RUN = 512  # documents of one size class that are numbered together
 
 
 def targets(sources: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:

@@ -31,7 +31,7 @@ CAPACITY = 1_024
 END = 2
 CACHE = 600_000  # pre-tokens a worker remembers
 JOINED = 256  # pre-tokens encoded in one call
-BLOCK = 4_096  # pieces of one length numbered together
+BLOCK = 512  # pieces of one length numbered together
 # The tokenizer's own split (contractions, letters, digits, others, white space), written out for characters
 # on which all versions of Unicode agree. Texts with others are encoded whole.
 LETTER, DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loreloom.llm import exact_dedup, mixing, packing, token_counts
+from loreloom.llm import exact_dedup, language_id, mixing, packing, token_counts, toxicity
 from loreloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +25,19 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, folder))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxic_scores(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.languages(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_counts, op5_best_fit_packing, op6_mix_sources, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_counts, op5_best_fit_packing, op6_mix_sources, op8_toxicity, op9_language_id, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
