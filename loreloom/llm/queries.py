@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loreloom.llm import exact_dedup, language_id, mixing, packing, token_counts, toxicity
+from loreloom.llm import exact_dedup, language_id, mixing, ngram_join, packing, token_counts, toxicity
 from loreloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_groups(documents(spark, folder))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -37,7 +41,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_counts, op5_best_fit_packing, op6_mix_sources, op8_toxicity, op9_language_id, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_jaccard, op4_token_counts, op5_best_fit_packing, op6_mix_sources, op8_toxicity, op9_language_id, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
