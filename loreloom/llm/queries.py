@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loreloom.llm import exact_dedup, language_id, mixing, ngram_join, packing, token_counts, toxicity
+from loreloom.llm import chat, exact_dedup, language_id, mixing, neighbours, ngram_join, packing, sharding, token_counts, toxicity
 from loreloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, folder))
+
+
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_groups(documents(spark, folder))
 
 
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return neighbours.neighbours(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -29,6 +39,10 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, folder))
 
 
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rendered(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxic_scores(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
@@ -41,9 +55,23 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_jaccard, op4_token_counts, op5_best_fit_packing, op6_mix_sources, op8_toxicity, op9_language_id, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_neighbours, op4_token_counts, op5_best_fit_packing, op6_mix_sources, op7_chat, op8_toxicity, op9_language_id, op10_exact_dedup)}
 
 ORACLES = {
+    "op7_chat": """
+        WITH turns AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        whole AS (
+          SELECT conv_id, count(*) AS n_turns,
+                 list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS said
+          FROM turns GROUP BY conv_id),
+        proper AS (
+          SELECT DISTINCT said[1:k] AS said FROM (SELECT said, unnest(range(1, n_turns)) AS k FROM whole)),
+        once AS (SELECT min(conv_id) AS conv_id, count(*) AS n_equal, any_value(n_turns) AS n_turns FROM whole
+                 WHERE said NOT IN (SELECT said FROM proper) GROUP BY said)
+        SELECT conv_id, floor(turn / 1024)::BIGINT AS part, any_value(n_turns) AS n_turns, any_value(n_equal) AS n_equal,
+               string_agg('<|im_start|>' || coalesce(role, 'none') || chr(10) || text || '<|im_end|>' || chr(10), ''
+                          ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS text
+        FROM turns JOIN once USING (conv_id) GROUP BY conv_id, floor(turn / 1024)""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
