@@ -38,72 +38,88 @@ def _json(name: str) -> Column:
     return F.col(f"p.{name}")
 
 
-def _ms(end: Column, start: Column) -> Column:
-    return F.bround((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("bigint")
+# How the contributions of a turn's events combine: the least or the greatest of each, by value or by its leading seq.
+LEAST, GREATEST = ("start", "first_token"), (
+    "done", "end", "generation", "fallback", "error", "model", "model_id", "usage", "rewrite", "retrieval", "competition", "sources", "problem")
 
 
-def roll_up(events: DataFrame) -> DataFrame:
-    kind, seq = F.col("event_type"), F.col("seq")
+def contributions(events: DataFrame) -> DataFrame:
+    """What each event may add to its turn: the columns of LEAST and GREATEST, NULL where it adds nothing, and ``places``.
+
+    Combining is associative and knows no order of arrival, so the batch aggregation and the stream's state share it.
+    """
+    kind, seq, at = F.col("event_type"), F.col("seq"), F.unix_micros("ts")
     is_object = F.col("payload").startswith("{")
     text = F.when(F.col("payload").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), F.col("payload"), F.lit("}")), "v string")["v"])
 
-    def last(when: Column, value: Column) -> Column:
-        return F.max_by(F.when(when, value), F.when(when, seq))
-
     def given(c: Column) -> Column:
         return tx.non_empty(c)
 
+    def noted(when: Column, **values: Column) -> Column:
+        return F.when(when, F.struct(seq.alias("seq"), *[v.alias(k) for k, v in values.items()]))
+
     model_like = kind.isin("model", "usage") & is_object
     error, fallback = kind == "error", (kind == "fallback") & is_object
     usage, retrieval = (kind == "usage") & is_object, (kind == "retrieval") & is_object
-    token = (kind == "token") & text.isNotNull()
     sources = F.when(kind == "sources", F.from_json("payload", "array<struct<source_key:string>>"))
+    kept_sources = F.filter(F.transform(sources, lambda x: x["source_key"]), lambda x: x != "")
     provider = F.when(error, F.coalesce(given(_json("provider")), F.lit("application"))).otherwise(
         F.coalesce(given(_json("reason.provider")), F.lit("model")))
     code = F.when(error, F.coalesce(given(_json("code")), F.lit("stream_error"))).otherwise(
         F.coalesce(given(_json("reason.code")), F.lit("fallback")))
     message = F.when(error, F.coalesce(given(_json("message")), given(text), given(F.when(~is_object, F.col("payload"))), F.lit("unknown error"))).otherwise(
         F.coalesce(given(_json("reason.message")), F.lit("primary model failed; fallback used")))
-    problem = error | fallback
-
-    def resolved(name: str) -> Column:
-        value = given(_json(name))
-        return F.max(F.when(model_like & value.isNotNull(), F.struct(seq, value.alias("v"))))
-
-    turns = _parsed(events).groupBy("turn_id").agg(
-        F.min("ts").alias("start"), F.max("ts").alias("end"), F.min(F.when(token, F.col("ts"))).alias("first_token"),
-        F.max(F.when(retrieval, F.col("ts"))).alias("generation"), F.max(F.when(fallback, seq)).alias("fallback"),
-        F.max(F.when(error, seq)).alias("error"), resolved("resolved_model").alias("model"), resolved("resolved_model_id").alias("model_id"),
-        *[last(usage, _json(n).cast("bigint")).alias(n) for n in ("input_tokens", "output_tokens", "thinking_tokens")],
-        last(usage, _json("finish_reason")).alias("finish_reason"),
-        last((kind == "rewrite") & text.isNotNull(), text).alias("rewritten_query"),
-        last(retrieval, F.coalesce(given(_json("status")), F.lit("unknown"))).alias("retrieval_status"),
-        last(retrieval, _json("retrieval_ms")).alias("retrieval_ms"),
-        last(retrieval, _json("rerank_ms")).alias("rerank_ms"),
-        last(retrieval & given(_json("competition")).isNotNull(), _json("competition")).alias("competition"),
-        last(sources.isNotNull(), F.filter(F.transform(sources, lambda x: x["source_key"]), lambda x: x != "")).alias("source_ids"),
-        last(problem, provider).alias("error_provider"), last(problem, code).alias("error_code"),
-        last(problem, tx.cut(message, MESSAGE_CHARS)).alias("error_message"),
-    )
+    model, model_id, competition = given(_json("resolved_model")), given(_json("resolved_model_id")), given(_json("competition"))
+    return _parsed(events).select(
+        "turn_id", "ts", named_places().alias("places"), (kind == "done").cast("int").alias("done"), at.alias("start"), at.alias("end"),
+        F.when((kind == "token") & text.isNotNull(), at).alias("first_token"), F.when(retrieval, at).alias("generation"),
+        F.when(fallback, seq).alias("fallback"), F.when(error, seq).alias("error"),
+        noted(model_like & model.isNotNull(), v=model).alias("model"), noted(model_like & model_id.isNotNull(), v=model_id).alias("model_id"),
+        noted(usage, **{n: _json(n).cast("bigint") for n in ("input_tokens", "output_tokens", "thinking_tokens")}, finish_reason=_json("finish_reason")).alias("usage"),
+        noted((kind == "rewrite") & text.isNotNull(), v=text).alias("rewrite"),
+        noted(retrieval, status=F.coalesce(given(_json("status")), F.lit("unknown")), retrieval_ms=_json("retrieval_ms"), rerank_ms=_json("rerank_ms")).alias("retrieval"),
+        noted(retrieval & competition.isNotNull(), v=competition).alias("competition"),
+        noted(sources.isNotNull(), v=kept_sources).alias("sources"),
+        noted(error | fallback, provider=provider, code=code, message=tx.cut(message, MESSAGE_CHARS)).alias("problem"))
+
+
+def finished(turns: DataFrame) -> DataFrame:
+    """One row per turn from its combined contributions and its ``attempted_models``."""
+    def ms(end: str, start: str) -> Column:
+        return F.bround((F.col(end) - F.col(start)) / 1000).cast("bigint")
+
     failed, spoke, fell = F.col("error").isNotNull(), F.col("first_token").isNotNull(), F.col("fallback").isNotNull()
     status = F.when(failed & spoke, "partial_error").when(failed, "error").when(fell, "success_fallback").otherwise("success")
     # A fallback clears the model; only what was named after the last one counts.
     after = F.coalesce("fallback", F.lit(-1).cast("bigint"))
-    out = turns.join(attempted_models(events), "turn_id", "left").select(
+    return turns.select(
         "turn_id", status.alias("status"), F.when(F.col("model.seq") > after, F.col("model.v")).alias("resolved_model"),
-        F.when(F.col("model_id.seq") > after, F.col("model_id.v")).alias("resolved_model_id"), "attempted_models", "rewritten_query",
-        "competition", "source_ids", F.coalesce("retrieval_status", F.lit("pending")).alias("retrieval_status"), "error_provider", "error_code",
-        "error_message", "finish_reason", "input_tokens", "output_tokens", "thinking_tokens", "retrieval_ms", "rerank_ms",
-        _ms(F.col("first_token"), F.col("start")).alias("first_token_ms"), _ms(F.col("end"), F.col("generation")).alias("generation_ms"),
-        _ms(F.col("end"), F.col("start")).alias("total_ms"))
-    return out
+        F.when(F.col("model_id.seq") > after, F.col("model_id.v")).alias("resolved_model_id"), "attempted_models", F.col("rewrite.v").alias("rewritten_query"),
+        F.col("competition.v").alias("competition"), F.col("sources.v").alias("source_ids"),
+        F.coalesce("retrieval.status", F.lit("pending")).alias("retrieval_status"), F.col("problem.provider").alias("error_provider"),
+        F.col("problem.code").alias("error_code"), F.col("problem.message").alias("error_message"), "usage.finish_reason", "usage.input_tokens",
+        "usage.output_tokens", "usage.thinking_tokens", "retrieval.retrieval_ms", "retrieval.rerank_ms", ms("first_token", "start").alias("first_token_ms"),
+        ms("end", "generation").alias("generation_ms"), ms("end", "start").alias("total_ms"))
+
+
+def roll_up(events: DataFrame) -> DataFrame:
+    combined = contributions(events).groupBy("turn_id").agg(*[F.min(c).alias(c) for c in LEAST], *[F.max(c).alias(c) for c in GREATEST])
+    return finished(combined.join(attempted_models(events), "turn_id", "left"))
+
+
+def named_places() -> Column:
+    """{model: place of its first mention} of a parsed event; a place is the event's seq, then the order inside it."""
+    by_kind = F.when(F.col("event_type") == "model", F.array(_json("resolved_model"))).when(F.col("event_type") == "fallback", F.array(_json("from"), _json("to")))
+    named = F.filter(F.transform(F.coalesce(by_kind, F.array().cast("array<string>")), lambda m, i: F.struct(m.alias("m"), (F.col("seq") * 2 + i).alias("place"))),
+                     lambda x: F.coalesce(x["m"], F.lit("")) != "")
+    first = F.filter(named, lambda x: ~F.exists(named, lambda y: (y["m"] == x["m"]) & (y["place"] < x["place"])))
+    return F.map_from_entries(first)
 
 
 def attempted_models(events: DataFrame) -> DataFrame:
     """Distinct model names of a turn in the order of their first mention."""
     named = _parsed(events.where(F.col("event_type").isin("model", "fallback") & F.col("payload").startswith("{")))
-    listed = F.when(F.col("event_type") == "model", F.array(_json("resolved_model"))).otherwise(F.array(_json("from"), _json("to")))
-    rows = named.select("turn_id", "seq", F.posexplode(listed).alias("i", "model")).where(tx.or_empty("model") != "")
-    first = rows.groupBy("turn_id", "model").agg(F.min(F.struct("seq", "i")).alias("at"))
-    ordered = F.array_sort(F.collect_list(F.struct("at", "model")))
+    rows = named.select("turn_id", F.explode(named_places()).alias("model", "place"))
+    first = rows.groupBy("turn_id", "model").agg(F.min("place").alias("place"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "model")))
     return first.groupBy("turn_id").agg(F.transform(ordered, lambda x: x["model"]).alias("attempted_models"))

@@ -14,8 +14,17 @@ from loreloom.sources import sinks
 from loreloom.streaming import activity, ingest, orders as so, turns as st
 
 
-def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+ARRIVALS = 3
+
+
+def stream_of(spark: SparkSession, d: str, name: str, by: str = "ts") -> DataFrame:
+    """A table as files that arrive one after the other in the order of a column, one file a micro-batch."""
+    rows, folder = table(spark, d, name), work_folder(spark, f"{name}-arrivals")
+    ends = rows.agg(F.percentile_approx(by, [i / ARRIVALS for i in range(1, ARRIVALS)]).alias("e")).first()["e"] or []
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        part = rows if low is None else rows.where(F.col(by) > F.lit(low))
+        (part if high is None else part.where(F.col(by) <= F.lit(high))).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def run(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -97,21 +106,26 @@ def order_settlement_stream(spark, d):
 
 
 @query("STR-5 ANA-13", """
-SELECT strftime(CAST(ts + INTERVAL 9 HOUR AS DATE), '%Y-%m-%d') AS date, count(*) AS questions FROM events WHERE event_type = 'view' GROUP BY 1""")
+SELECT strftime(CAST(ts + INTERVAL 9 HOUR AS DATE), '%Y-%m-%d') AS date, count(*) AS questions, count(DISTINCT user_id) AS askers, true AS estimate_is_close
+FROM events WHERE event_type = 'view' GROUP BY 1""")
 def daily_activity_stream(spark, d):
-    views = stream_of(spark, d, "events").where(F.col("event_type") == "view").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = run(activity.daily_activity(views, user="user_id"), "activity", mode="update")
+    """The stream's last row of every day; its estimate of the askers is held against their exact number."""
+    views = F.col("event_type") == "view"
+    rows = run(activity.daily_activity(stream_of(spark, d, "events").where(views).withColumn("ts", F.col("ts").cast("timestamp")), user="user_id"), "activity", mode="update")
     last = ordered.first_per_key(rows, ["date"], [F.col("batch")], last=True)
-    return last.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "questions")
+    exact = table(spark, d, "events").where(views).groupBy(F.to_date(F.col("ts") + F.expr("interval 9 hours")).alias("date")).agg(F.countDistinct("user_id").alias("askers"))
+    close = F.abs(F.col("active_users") - F.col("askers")) <= F.greatest(F.lit(1.0), 0.1 * F.col("askers"))
+    return last.join(exact, "date").select(F.date_format("date", "yyyy-MM-dd").alias("date"), "questions", "askers", close.alias("estimate_is_close"))
 
 
 @query("STR-1 SNK-1", "WITH " + SEGMENTS + "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(chunk_index AS BIGINT) AS chunk_index, sha256(text) AS digest FROM exploded")
 def ingest_stream(spark, d):
     """Document files as they arrive -> chunks -> points; the newest version of every point."""
     def to_points(batch: DataFrame) -> DataFrame:
-        chunks = qna.chunk_documents(batch.select(F.col("doc_id").alias("post_id"), "text"), "text")
-        return sinks.payload(chunks, [])
+        chunks = qna.chunk_documents(batch.select("post_id", "text"), "text")
+        return sinks.payload(chunks, ["post_id"])
 
     path = work_folder(spark, "points")
-    ingest.ingest(stream_of(spark, d, "documents"), path, work_folder(spark, "ingest-state"), to_points).awaitTermination()
-    return sinks.current(spark, path).select("id", "chunk_index", F.sha2("content", 256).alias("digest"))
+    posts = stream_of(spark, d, "documents", "doc_id").withColumnRenamed("doc_id", "post_id")
+    ingest.ingest(posts, path, work_folder(spark, "ingest-state"), to_points).awaitTermination()
+    return sinks.current_documents(spark, path, "post_id").select("id", "chunk_index", F.sha2("content", 256).alias("digest"))

@@ -1,4 +1,4 @@
-"""Turn roll-up as a stream: one state per turn, closed by its last event or by silence."""
+"""Turn roll-up as a stream: one state per turn, closed once the watermark passes its last event or a long silence."""
 
 from __future__ import annotations
 
@@ -7,94 +7,32 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from loreloom.operators.turns import FIELDS, MESSAGE_CHARS
+from loreloom.operators import turns as tn
 
 STALE_MS = 15 * 60 * 1000
-COLUMNS = [f.split()[0] for f in FIELDS.split(", ")]
-
-
-def new_turn(ms: float) -> dict:
-    return {"start": ms, "end": ms, "attempted_models": [], "retrieval_status": "pending"}
-
-
-def turn_step(s: dict, kind: str, payload: str | None, ms: float) -> dict:
-    """One event against the state of its turn."""
-    try:
-        data = json.loads(payload) if payload is not None else None
-    except ValueError:
-        data = payload
-    s["end"] = max(s["end"], ms)
-    s["start"] = min(s["start"], ms)
-    d = data if isinstance(data, dict) else {}
-    if kind == "error":
-        s["failed"] = True
-        s["error_provider"] = d.get("provider") or "application"
-        s["error_code"] = d.get("code") or "stream_error"
-        s["error_message"] = str(d.get("message") or (data if not d else None) or "unknown error")[:MESSAGE_CHARS]
-    elif kind == "sources" and isinstance(data, list):
-        s["source_ids"] = [x["source_key"] for x in data if x.get("source_key")]
-    elif kind == "token" and isinstance(data, str):
-        s.setdefault("first_token", ms)
-    elif kind == "rewrite" and isinstance(data, str):
-        s["rewritten_query"] = data
-    elif not d:
-        return s
-    elif kind == "usage":
-        for name in ("input_tokens", "output_tokens", "thinking_tokens", "finish_reason"):
-            s[name] = d.get(name)
-        _resolve(s, d)
-    elif kind == "model":
-        _resolve(s, d)
-        _attempt(s, s.get("resolved_model"))
-    elif kind == "retrieval":
-        s["retrieval_status"] = d.get("status") or "unknown"
-        s["retrieval_ms"], s["rerank_ms"] = d.get("retrieval_ms"), d.get("rerank_ms")
-        s["competition"] = d.get("competition") or s.get("competition")
-        s["generation"] = ms
-    elif kind == "fallback":
-        reason = d.get("reason") or {}
-        s["fell"] = True
-        s["error_provider"] = reason.get("provider") or "model"
-        s["error_code"] = reason.get("code") or "fallback"
-        s["error_message"] = (reason.get("message") or "primary model failed; fallback used")[:MESSAGE_CHARS]
-        _attempt(s, d.get("from"))
-        _attempt(s, d.get("to"))
-        s["resolved_model"] = s["resolved_model_id"] = None
-    return s
-
-
-def _resolve(s: dict, d: dict) -> None:
-    for name in ("resolved_model", "resolved_model_id"):
-        s[name] = d.get(name) or s.get(name)
-
-
-def _attempt(s: dict, model: str | None) -> None:
-    if model and model not in s["attempted_models"]:
-        s["attempted_models"].append(model)
-
-
-def finish_turn(turn_id: str, s: dict) -> dict:
-    spoke, failed = "first_token" in s, s.get("failed", False)
-    status = "partial_error" if failed and spoke else "error" if failed else "success_fallback" if s.get("fell") else "success"
-    out = {c: s.get(c) for c in COLUMNS}
-    out.update(turn_id=turn_id, status=status, attempted_models=s["attempted_models"] or None, total_ms=round(s["end"] - s["start"]),
-               first_token_ms=round(s["first_token"] - s["start"]) if spoke else None,
-               generation_ms=round(s["end"] - s["generation"]) if "generation" in s else None)
-    return out
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=COLUMNS)
-    for c in COLUMNS:
-        if c.endswith("_tokens") or c.endswith("_ms"):
-            df[c] = df[c].astype("Int64")
-    return df
+def combined(held: dict, more: dict) -> dict:
+    """Both sides' contributions as one; the order of the sides does not matter."""
+    out = held | more
+    for name in held.keys() & more.keys():
+        pair = held[name], more[name]
+        if name == "places":
+            out[name] = {m: min(side[m] for side in pair if m in side) for m in pair[0].keys() | pair[1].keys()}
+        else:
+            # Structs carry their seq, the rest are numbers; a seq that comes again carries the same event.
+            out[name] = (min if name in tn.LEAST else max)(pair, key=lambda x: x["seq"] if isinstance(x, dict) else x)
+    return out
 
 
 class TurnProcessor(StatefulProcessor):
-    """A ``done`` event closes a turn at once, *stale_ms* of event time without any event closes it late."""
+    """Events may come in any order and in any micro-batch, as long as they come before the watermark.
+
+    A turn closes when the watermark passes its ``done`` event, or *stale_ms* after its last event.
+    """
 
     def __init__(self, stale_ms: int = STALE_MS):
         self.stale_ms = stale_ms
@@ -104,36 +42,34 @@ class TurnProcessor(StatefulProcessor):
         self.state = handle.getValueState("turn", "body string, timer bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Order matters across chunks; one key in one micro-batch is bounded by the batch size.
-        batch = pd.concat(rows).sort_values("seq")
-        held = self.state.get()
-        s = json.loads(held[0]) if held else None
-        done = False
-        for ts, kind, payload in zip(batch["ts"], batch["event_type"], batch["payload"]):
-            ms = ts.value / 1e6
-            s = turn_step(s or new_turn(ms), kind, payload, ms)
-            done = done or kind == "done"
-        if held and held[1]:
-            self.handle.deleteTimer(held[1])
-        if done:
-            self.state.clear()
-            yield _frame([finish_turn(key[0], s)])
-            return
-        timer = int(s["end"]) + self.stale_ms
+        before = self.state.get()
+        body = json.loads(before[0]) if before else {}
+        for chunk in rows:
+            for event in chunk["body"]:
+                body = combined(body, json.loads(event))
+        timer = body["end"] // 1000 + 1 + (0 if body["done"] else self.stale_ms)
+        if before and before[1] != timer:
+            self.handle.deleteTimer(before[1])
         self.handle.registerTimer(timer)
-        self.state.update((json.dumps(s), timer))
+        self.state.update((json.dumps(body), timer))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.state.get()
         if held:
-            s = json.loads(held[0])
             self.state.clear()
-            yield _frame([finish_turn(key[0], s)])
+            yield pd.DataFrame({"turn_id": [key[0]], "body": [held[0]]})
 
     def close(self) -> None:
         pass
 
 
 def roll_up_stream(events: DataFrame, *, delay: str = "1 minute", stale_ms: int = STALE_MS) -> DataFrame:
-    return events.withWatermark("ts", delay).groupBy("turn_id").transformWithStateInPandas(
-        TurnProcessor(stale_ms), FIELDS, "Append", "EventTime")
+    """The fields of the batch roll-up, for turns as they close."""
+    rows = tn.contributions(events.withWatermark("ts", delay))
+    body = rows.drop("turn_id", "ts")
+    rows = rows.select("turn_id", "ts", F.to_json(F.struct(*body.columns)).alias("body"))
+    closed = rows.groupBy("turn_id").transformWithStateInPandas(TurnProcessor(stale_ms), "turn_id string, body string", "Append", "EventTime")
+    turns = closed.select("turn_id", F.from_json("body", body.schema).alias("b")).select("turn_id", "b.*")
+    by_place = F.array_sort(F.transform(F.map_entries("places"), lambda e: F.struct(e["value"], e["key"])))
+    return tn.finished(turns.withColumn("attempted_models", F.when(F.size("places") > 0, F.transform(by_place, lambda e: e["key"]))))

@@ -1,13 +1,15 @@
 import json
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from loreloom import schemas
-from loreloom.operators import ordered, turns as tn
+from loreloom.operators import ordered, orders as od, qna_chunks as qna, turns as tn
 from loreloom.plans.streams import run
 from loreloom.sources import readers, sinks
-from loreloom.streaming import orders as so, turns as st
+from loreloom.streaming import ingest, orders as so, turns as st
 from loreloom.session import work_folder
 
 T0 = datetime(2026, 1, 1)
@@ -33,9 +35,9 @@ EVENTS = (
 )
 
 
-def stream(spark, tmp_path, rows, schema):
+def stream(spark, tmp_path, rows, schema, name="in"):
     """Rows in three files, read one per micro-batch."""
-    folder = str(tmp_path / "in")
+    folder = str(tmp_path / name)
     third = max(1, -(-len(rows) // 3))
     for i in range(0, len(rows), third):
         spark.createDataFrame(rows[i:i + third], schema).coalesce(1).write.mode("append").parquet(folder)
@@ -55,10 +57,31 @@ def test_turns_in_batch_and_stream(spark, tmp_path):
     assert (got["fallback"].resolved_model, got["fallback"].attempted_models, got["fallback"].error_code) == ("m2", ["m1", "m2"], "slow")
     assert (got["nobody"].resolved_model, got["nobody"].attempted_models, got["nobody"].error_message) == (None, ["m1", "m2", "m3"], "plain")
     assert len(got["partial"].error_message) == 1000 and got["early"].error_provider == "application"
-    streamed = run(st.roll_up_stream(stream(spark, tmp_path, EVENTS, schemas.TURN_EVENTS)), "turns-test").drop("batch")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_turns_in_any_order_of_arrival(spark, tmp_path, seed):
+    batch = tn.roll_up(spark.createDataFrame(EVENTS, schemas.TURN_EVENTS))
+    late = [event("open", 0, 7_200_000, "token", "x"), event("open", 1, 7_200_001, "token", "y"), event("open", 2, 7_200_002, "token", "z")]
+    shuffled = random.Random(seed).sample(EVENTS, len(EVENTS))
+    # Three mixed micro-batches before the watermark moves, then one that closes the turns.
+    folder = str(tmp_path / "in")
+    for part in (shuffled[::3], shuffled[1::3], shuffled[2::3], late[:1], late[1:]):
+        spark.createDataFrame(part, schemas.TURN_EVENTS).coalesce(1).write.mode("append").parquet(folder)
+    events = spark.readStream.schema(schemas.TURN_EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    streamed = run(st.roll_up_stream(events, delay="1 hour"), f"turns-test-{seed}").drop("batch")
     assert as_set(streamed.select(batch.columns)) == as_set(batch)
 
 
+def test_a_late_early_event_does_not_win(spark, tmp_path):
+    rows = [event("t", 3, 300, "usage", {"input_tokens": 50}), event("t", 1, 100, "usage", {"input_tokens": 20}), event("t", 2, 200, "model", {"resolved_model": "late"}),
+            event("t", 0, 0, "model", {"resolved_model": "early"}), event("t", 4, 400, "done", {}), event("z", 0, 9_000_000, "token", "x")]
+    got = run(st.roll_up_stream(stream(spark, tmp_path, rows, schemas.TURN_EVENTS), delay="0 seconds"), "turns-late").where("turn_id = 't'").first()
+    want = tn.roll_up(spark.createDataFrame(rows, schemas.TURN_EVENTS)).where("turn_id = 't'").first()
+    assert (got.input_tokens, got.resolved_model, got.attempted_models) == (50, "late", ["early", "late"])
+    assert got.asDict() | {"batch": None} == want.asDict() | {"batch": None}
+
+
 def test_silent_turns_are_closed_by_the_timer(spark, tmp_path):
     rows = turn("silent", ("token", "x")) + [event("late", 0, 3_600_000, "token", "y"), event("later", 0, 7_200_000, "token", "z")]
     got = run(st.roll_up_stream(stream(spark, tmp_path, rows, schemas.TURN_EVENTS), delay="0 seconds"), "silent-test")
@@ -82,6 +105,48 @@ def test_orders_expire_and_late_payments_settle(spark, tmp_path):
     assert moves == {"a": ["pending", "paid", "cancelled"], "b": ["pending", "expired", "paid"], "c": ["pending", "failed"]}
 
 
+ORDER = "order_id string, seq long, ts timestamp, event string, amount long, quantity long, user_id long, rejected string"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_orders_in_any_order_of_arrival(spark, tmp_path, seed):
+    made = {o: (o, 0, T0, "created", 500, 5, None if o == "d" else 1, None) for o in "abcdef"}
+    plot = {"a": ("paid", "cancelled", "paid"), "b": ("cancelled", "fail", "paid"), "c": ("paid",), "d": ("paid", "cancelled"), "e": ("cancelled",), "f": ("cancelled", "paid", "cancelled", "fail")}
+    moves = [(o, i + 1, T0 + timedelta(minutes=i + 1), kind, 500, None, None, None) for o, kinds in plot.items() for i, kind in enumerate(kinds)]
+    moves.append(("c", 9, T0 + timedelta(minutes=1), "paid", 499, None, None, None))
+    rows = random.Random(seed).sample([*made.values(), *moves], len(made) + len(moves))
+    got = run(so.settle_stream(stream(spark, tmp_path, rows, ORDER), delay="2 hours"), f"orders-any-{seed}")
+    by_rank = F.expr("array_position(array('pending', 'expired', 'paid', 'failed', 'cancelled'), status)")
+    last = {r.order_id: (r.status, r.granted) for r in got.orderBy("batch", by_rank).collect()}
+    orders = spark.createDataFrame([(o, r[6], r[5], T0) for o, r in made.items()], "order_id string, user_id long, quantity long, created_at timestamp")
+    events = spark.createDataFrame([m for m in moves if m[4] == 500], ORDER)
+    want = {r.order_id: (r.status, r.granted) for r in od.settle(orders, events, F.lit(T0)).collect()}
+    assert last == want
+
+
+def test_cancelled_after_a_payment_that_comes_late(spark, tmp_path):
+    rows = [("o", 0, T0, "created", 500, 5, 1, None), ("o", 5, T0 + timedelta(minutes=5), "cancelled", 500, None, None, None), ("o", 3, T0 + timedelta(minutes=3), "paid", 500, None, None, None)]
+    got = run(so.settle_stream(stream(spark, tmp_path, rows, ORDER), delay="1 hour"), "orders-late")
+    assert [r.status for r in got.orderBy("batch").collect()][-1] == "cancelled"
+
+
+def test_a_shorter_document_leaves_no_old_chunk(spark, tmp_path):
+    schema, folder = "post_id long, text string", str(tmp_path / "posts")
+    long_text = "\n\n".join(f"part {i} " + "word " * 700 for i in range(7))
+    for part in ([(1, long_text), (2, "kept")], [(1, "short"), (1, "tiny")], [(3, "new")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    posts = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    path = work_folder(spark, "points")
+
+    def to_points(batch):
+        return sinks.payload(qna.chunk_documents(batch, "text"), ["post_id"])
+
+    ingest.ingest(posts, path, work_folder(spark, "points-state"), to_points).awaitTermination()
+    assert {(r.post_id, r.content) for r in sinks.current_documents(spark, path, "post_id").collect()} == {(1, "short"), (2, "kept"), (3, "new")}
+    out = sinks.compacted(spark, path, work_folder(spark, "points-compact"), "post_id")
+    assert sinks.current_documents(spark, out, "post_id").count() == 3
+
+
 def test_upsert_prune_and_versions(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "point_id string, v long")
     new = spark.createDataFrame([("b", 2, 0), ("b", 3, 1), ("d", 2, 0)], "point_id string, v long, pos long")
@@ -108,8 +173,6 @@ def test_load_recreates_or_adds(spark):
 
 
 def test_pairing_and_documents(spark, tmp_path):
-    import pytest
-
     chunks = spark.createDataFrame([(1,), (2,)], "chunk_id long")
     vectors = spark.createDataFrame([(2, [1.0]), (3, [1.0, 2.0])], "chunk_id long, vector array<double>")
     report = readers.pairing_report(chunks, vectors, ["chunk_id"], "vector", 2)
