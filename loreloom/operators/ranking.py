@@ -221,10 +221,10 @@ def merge_paths(first: DataFrame, second: DataFrame, limit: int, *, group: Colum
     return balance(kept, limit, group=group)
 
 
-def same_competition(hits: DataFrame, *, competition: str = "q_competition", alternative: str | None = None) -> DataFrame:
-    """Drop hits that name another competition; unknown and 'other' stay."""
-    given = _have(hits, "competition")
-    seen = cl.detect_competition(F.concat(_filled(hits, "source"), F.lit("\n"), tx.cut(_filled(hits, "content"), 1200)))
+def same_competition(hits: DataFrame, *, competition: str = "q_competition", alternative: str | None = None, chars: int | None = None) -> DataFrame:
+    """Drop hits that name another competition; unknown and 'other' stay. *chars* limits how far a content is read."""
+    given, content = _have(hits, "competition"), _filled(hits, "content")
+    seen = cl.detect_competition(F.concat(_filled(hits, "source"), F.lit("\n"), content if chars is None else tx.cut(content, chars)))
     key = F.when(given.isNotNull(), F.when(given != "", cl.normalize_competition(given))).otherwise(
         F.when(seen.isNotNull(), cl.normalize_competition(seen)))
     allowed = (key == F.col(competition)) | (F.col(alternative).eqNullSafe(key) if alternative else F.lit(False))
@@ -263,11 +263,11 @@ def apply_relevance(hits: DataFrame, scores: DataFrame, limit: int, *, penalty:
 # --- texts for the reader -----------------------------------------------------------------------
 
 
-def excerpt(content: Column, *, marker: str = fixed.ANSWER_MARK) -> Column:
-    """300 characters of the question and 900 of the answer, or the first 1,000."""
+def excerpt(content: Column, *, marker: str = fixed.ANSWER_MARK, of_question: int = 300, of_answer: int = 900, plain: int = 1_000) -> Column:
+    """Beginnings of the question and the answer, or of a content without the marker."""
     at = F.instr(content, marker)
     question, answer = F.substring(content, F.lit(1), at - 1), F.substring(content, at + len(marker), F.length(content))
-    return F.when(at > 0, F.concat(tx.cut(question, 300), F.lit(f"\n{marker}"), tx.cut(answer, 900))).otherwise(tx.cut(content, 1000))
+    return F.when(at > 0, F.concat(tx.cut(question, of_question), F.lit(f"\n{marker}"), tx.cut(answer, of_answer))).otherwise(tx.cut(content, plain))
 
 
 def context_pack(hits: DataFrame, queries: DataFrame, *, search_query: str | None = None, status: str | None = None,

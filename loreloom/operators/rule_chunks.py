@@ -217,8 +217,13 @@ def generic_chunks(text: Column, header: Column, *, size: int = MAX_TOKENS, toke
     counted = F.transform(parts, lambda p: F.struct(p.alias("text"), tokenizer.count(p).alias("n")))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buffer"), F.lit(0).cast("int").alias("n"))
 
+    def slices(buffer: Column) -> Column:
+        """The whole buffer, in slices of characters where words do not bound it."""
+        count = F.ceil(F.length(buffer) / LONG_CAP).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(buffer, i * LONG_CAP + 1, F.lit(LONG_CAP)))
+
     def flushed(acc: Column) -> Column:
-        return F.when(acc["buffer"] != "", F.concat(acc["done"], F.array(capped(acc["buffer"], LONG_CAP)))).otherwise(acc["done"])
+        return F.when(acc["buffer"] != "", F.concat(acc["done"], slices(acc["buffer"]))).otherwise(acc["done"])
 
     def packed(budget: Column) -> Column:
         def step(acc: Column, part: Column) -> Column:

@@ -150,8 +150,8 @@ def post_chunks(spark, d):
 # Markdown made of the given lines: shape by line number, text as it is.
 def markdown_documents(spark, d):
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(
-        F.when(i % 11 == 0, F.concat(F.lit("## "), (i / 11 + 1).cast("int"), F.lit(". "), tx.cut(x, 12), F.lit(" 장\n### "), tx.cut(x, 20), F.lit("\n- **주제** `[다수의견]` "), tx.cut(x, 30)))
-        .when(i % 11 < 3, F.concat(F.lit("  - **결론** — 2024-01-02 "), x)).when(i % 11 == 3, F.concat(F.lit("#### "), tx.cut(x, 10), F.lit("\n| a | b |\n|---|---|")))
+        F.when(i % 11 == 0, F.concat(F.lit("## "), (i / 11 + 1).cast("int"), F.lit(". "), tx.cut(x, 12), F.lit(" 장\n### "), tx.cut(x, 20), F.lit("\n- **주제** `[다수의견]` "), tx.cut(x, 30), F.lit("\n  - **쟁점** — 2024-01-03 "), x))
+        .when(i % 11 < 3, F.concat(F.lit("  - **결론** — 2024-01-02 "), x)).when(i % 11 == 3, F.concat(F.lit("#### "), tx.cut(x, 10), F.lit("\n| a | b |\n|---|---|\n| "), F.translate(x, "|", " "), F.lit(" | 0 |")))
         .when(i % 11 < 6, F.concat(F.lit("| "), F.translate(x, "|", " "), F.lit(" | 1 |"))).when(i % 11 == 6, F.concat(F.lit("**단편**\n- "), x, F.lit(" (2023-05-06)")))
         .when(i % 11 == 7, F.concat(F.lit("- "), x)).when(i % 11 == 8, F.concat(F.lit("\n> "), x)).otherwise(x)))
     return texts(spark, d, "documents", "doc_id", "text").select("doc_id", F.array_join(lines, "\n").alias("text"))
@@ -165,7 +165,7 @@ md AS (
 
 @query("KB-1", "WITH " + MARKDOWN + r"""
 SELECT doc_id, shape, CAST(count(*) AS BIGINT) AS lines FROM (
-  SELECT doc_id, unnest(CASE WHEN n % 11 = 0 THEN ['chapter', 'section', 'bullet'] WHEN n % 11 < 3 THEN ['nested'] WHEN n % 11 = 3 THEN ['subhead', 'table', 'table']
+  SELECT doc_id, unnest(CASE WHEN n % 11 = 0 THEN ['chapter', 'section', 'bullet', 'nested'] WHEN n % 11 < 3 THEN ['nested'] WHEN n % 11 = 3 THEN ['subhead', 'table', 'table', 'table']
      WHEN n % 11 < 6 THEN ['table'] WHEN n % 11 = 6 THEN ['bold', 'bullet'] WHEN n % 11 = 7 THEN ['bullet'] WHEN n % 11 = 8 THEN ['blank', 'prose'] ELSE ['prose'] END) AS shape
   FROM md) GROUP BY ALL""")
 def markdown_shapes(spark, d):
@@ -178,11 +178,11 @@ def markdown_shapes(spark, d):
 PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<sub>\s*(?:출처:\s*)?(.*?)\s*</sub>', '출처: \1', 'g'), '`\[(합의됨|다수의견|단일제보|미해결)\]`', '(\1)', 'g'), '\*\*(.+?)\*\*', '\1', 'g'), '`([^`]*)`', '\1', 'g'))"
 BLOCKS = MARKDOWN + r""",
 sized AS (SELECT *, n // 11 AS cycle, n % 11 AS k, max(n) OVER (PARTITION BY doc_id) AS last FROM md),
-heads AS (SELECT doc_id, cycle, cycle + 1 AS chapter_num, ltrim(substr(x, 1, 12)) || ' 장' AS chapter, trim(substr(x, 1, 20)) AS section, substr(x, 1, 30) AS t, last > n AS parent FROM sized WHERE k = 0),
+heads AS (SELECT doc_id, cycle, cycle + 1 AS chapter_num, ltrim(substr(x, 1, 12)) || ' 장' AS chapter, trim(substr(x, 1, 20)) AS section, substr(x, 1, 30) AS t FROM sized WHERE k = 0),
 parts AS (
   SELECT doc_id, cycle, 0 AS part, 'topic' AS kind, n, '결론: 2024-01-02 ' || x AS line, '2024-01-02' AS date, 0 AS sub FROM sized WHERE k IN (1, 2)
-  UNION ALL SELECT doc_id, cycle, 0, 'brief', n, '**주제** `[다수의견]` ' || substr(x, 1, 30), NULL, 0 FROM sized WHERE k = 0 AND last = n
-  UNION ALL SELECT doc_id, cycle, 1, 'table', n, unnest(['| a | b |', '|---|---|']), NULL, unnest([0, 1]) FROM sized WHERE k = 3
+  UNION ALL SELECT doc_id, cycle, 0, 'topic', n, '쟁점: 2024-01-03 ' || x, '2024-01-03', 0 FROM sized WHERE k = 0
+  UNION ALL SELECT doc_id, cycle, 1, 'table', n, unnest(['| a | b |', '|---|---|', '| ' || replace(x, '|', ' ') || ' | 0 |']), NULL, unnest([0, 1, 2]) FROM sized WHERE k = 3
   UNION ALL SELECT doc_id, cycle, 1, 'table', n, '| ' || replace(x, '|', ' ') || ' | 1 |', NULL, 0 FROM sized WHERE k IN (4, 5)
   UNION ALL SELECT doc_id, cycle, 2, 'brief', n, x || ' (2023-05-06)', '2023-05-06', 0 FROM sized WHERE k = 6
   UNION ALL SELECT doc_id, cycle, 2, 'brief', n, x, NULL, 0 FROM sized WHERE k = 7
@@ -210,8 +210,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, digest ORDER BY cycle, p
 ids AS (SELECT *, 'kb-' || CASE WHEN chapter_num < 10 THEN '0' ELSE '' END || CAST(chapter_num AS VARCHAR) || '-' || digest || CASE WHEN nth > 0 THEN '-' || CAST(nth AS VARCHAR) ELSE '' END AS post_id,
   '[분야] ' || CAST(chapter_num AS VARCHAR) || '. ' || chapter || CASE WHEN section <> '' THEN ' > ' || section ELSE '' END || CASE WHEN topic <> '' THEN E'\n[주제] ' || topic || CASE WHEN confidence <> '' THEN ' (' || confidence || ')' ELSE '' END ELSE '' END AS header
 FROM r),
-whole AS (SELECT doc_id, string_agg(CASE WHEN k = 0 THEN '## ' || CAST(cycle + 1 AS VARCHAR) || '. ' || substr(x, 1, 12) || E' 장\n### ' || substr(x, 1, 20) || E'\n- **주제** `[다수의견]` ' || substr(x, 1, 30)
-  WHEN k < 3 THEN '  - **결론** — 2024-01-02 ' || x WHEN k = 3 THEN '#### ' || substr(x, 1, 10) || E'\n| a | b |\n|---|---|' WHEN k < 6 THEN '| ' || replace(x, '|', ' ') || ' | 1 |'
+whole AS (SELECT doc_id, string_agg(CASE WHEN k = 0 THEN '## ' || CAST(cycle + 1 AS VARCHAR) || '. ' || substr(x, 1, 12) || E' 장\n### ' || substr(x, 1, 20) || E'\n- **주제** `[다수의견]` ' || substr(x, 1, 30) || E'\n  - **쟁점** — 2024-01-03 ' || x
+  WHEN k < 3 THEN '  - **결론** — 2024-01-02 ' || x WHEN k = 3 THEN '#### ' || substr(x, 1, 10) || E'\n| a | b |\n|---|---|\n| ' || replace(x, '|', ' ') || ' | 0 |' WHEN k < 6 THEN '| ' || replace(x, '|', ' ') || ' | 1 |'
   WHEN k = 6 THEN E'**단편**\n- ' || x || ' (2023-05-06)' WHEN k = 7 THEN '- ' || x WHEN k = 8 THEN E'\n> ' || x ELSE x END, E'\n' ORDER BY n) AS md_text FROM sized GROUP BY doc_id)
 """
 

@@ -139,7 +139,7 @@ SELECT qid, collection, id FROM (SELECT h.*, CASE q.label WHEN 1 THEN 'formula'
     CASE h.label WHEN 1 THEN 'formula' WHEN 2 THEN 'baja' WHEN 3 THEN 'other' WHEN 4 THEN 'ev'
       ELSE CASE WHEN regexp_matches(c, '(?i)e[- ]?formula') THEN 'e_formula' WHEN regexp_matches(c, '(?i)formula') THEN 'formula'
                 WHEN regexp_matches(c, '(?i)baja') THEN 'baja' WHEN regexp_matches(c, '(?i)\bev\b|electric\s+vehicle') THEN 'ev' END END AS k
-  FROM (SELECT *, substr(content, 1, 1200) AS c FROM h) h JOIN embeddings q ON q.vec_id = h.qid)
+  FROM (SELECT *, content AS c FROM h) h JOIN embeddings q ON q.vec_id = h.qid)
 WHERE qc IS NULL OR k IS NULL OR k = 'other' OR k = qc""")
 def hits_of_competition(spark, d):
     q = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), cl.lookup(F.col("label").cast("string"), {"1": "formula", "2": "baja"}).alias("q_competition"))

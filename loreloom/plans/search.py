@@ -15,7 +15,7 @@ RANKED = "row_number() OVER (PARTITION BY {by} ORDER BY score DESC, id) AS rank"
 
 
 def lexical_points(spark, d):
-    return tb.points(spark, d).withColumn("tokens", rt.words("content"))
+    return tb.documents_as_points(spark, d).withColumn("tokens", rt.words("content"))
 
 
 def neighbours(spark, d, k=10, **options):
@@ -61,7 +61,7 @@ def filtered_neighbours(spark, d):
     return rt.topk(points, _filtered_queries(spark, d), 5, filters=["family"], skip_self=True).select("qid", "id", "rank")
 
 
-@query("RET-6", tb.with_views(tb.POINTS, tb.LEXICAL) + "SELECT qid, id FROM matched")
+@query("RET-6", tb.with_views(tb.DOCUMENTS_AS_POINTS, tb.LEXICAL) + "SELECT qid, id FROM matched")
 def text_matches(spark, d):
     p = lexical_points(spark, d)
     b = table(spark, d, "benchmark").join(table(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id"), "left_semi")
@@ -77,13 +77,13 @@ def lexical_weights(spark, d):
     return w.withColumn("weight", F.round("weight", 6))
 
 
-@query("RET-7", tb.with_views(tb.POINTS, tb.LEXICAL) + f"SELECT qid, id, round(score, 5) AS score, rank FROM (SELECT *, {RANKED.format(by='qid')} FROM (SELECT qid, id, round(score, 9) AS score FROM sparse)) WHERE rank <= 10")
+@query("RET-7", tb.with_views(tb.DOCUMENTS_AS_POINTS, tb.LEXICAL) + f"SELECT qid, id, round(score, 5) AS score, rank FROM (SELECT *, {RANKED.format(by='qid')} FROM (SELECT qid, id, round(score, 9) AS score FROM sparse)) WHERE rank <= 10")
 def sparse_search(spark, d):
     p = lexical_points(spark, d)
     return rt.topk(p, tb.text_queries(spark, d, p), 10, arm="sparse").withColumn("score", F.round("score", 5))
 
 
-ARMS = tb.with_views(tb.POINTS, tb.LEXICAL, f"""
+ARMS = tb.with_views(tb.DOCUMENTS_AS_POINTS, tb.LEXICAL, f"""
 dense_arm AS (SELECT * FROM (SELECT qid, id, score, {RANKED.format(by='qid')} FROM dense) WHERE rank <= 20),
 text_arm AS (SELECT * FROM (SELECT qid, id, score, {RANKED.format(by='qid')} FROM dense WHERE (qid, id) IN (SELECT qid, id FROM matched)) WHERE rank <= 20),
 sparse_arm AS (SELECT * FROM (SELECT qid, id, score, {RANKED.format(by='qid')} FROM (SELECT qid, id, round(score, 9) AS score FROM sparse)) WHERE rank <= 20)
@@ -123,7 +123,7 @@ def distribution_fusion(spark, d):
 
 
 RESCORED = """SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
-FROM (SELECT d.* FROM dense d JOIN fused f USING (qid, id) WHERE f.rank <= 10)"""
+FROM (SELECT f.qid, f.id, coalesce(d.score, 0) AS score FROM fused f LEFT JOIN dense d USING (qid, id) WHERE f.rank <= 10)"""
 
 
 @query("RET-8 RET-12", ARMS + RRF.format(arm="text_arm") + RESCORED)
@@ -139,7 +139,7 @@ def hybrid_sparse_search(spark, d):
     return rt.rescore(fused, p, q).withColumn("score", F.round("score", 6))
 
 
-FILTERED = tb.with_views(tb.POINTS, tb.LEXICAL, f"""
+FILTERED = tb.with_views(tb.DOCUMENTS_AS_POINTS, tb.LEXICAL, f"""
 own AS (SELECT doc_id AS qid, lang FROM documents),
 dense_arm AS (SELECT * FROM (SELECT qid, id, score, {RANKED.format(by='qid')} FROM dense JOIN own USING (qid) WHERE collection = lang) WHERE rank <= 20),
 sparse_arm AS (SELECT * FROM (SELECT qid, id, score, {RANKED.format(by='qid')} FROM (SELECT s.qid, s.id, round(s.score, 9) AS score FROM sparse s JOIN points p USING (id) JOIN own o ON o.qid = s.qid WHERE p.collection = o.lang)) WHERE rank <= 20)

@@ -207,6 +207,20 @@ points AS (
 """
 
 
+def documents_as_points(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, with its vector where it has one."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("lang").alias("collection"))
+    return docs.join(e, "id", "left")
+
+
+DOCUMENTS_AS_POINTS = """
+points AS (
+  SELECT d.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS vector, e.label, d.text AS content, d.lang AS collection, d.source AS source_key
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)
+"""
+
+
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
     """Every vector asks for its neighbours."""
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), "label")
@@ -249,7 +263,7 @@ matched AS (
   HAVING count(*) = (SELECT count(*) FROM qterms x WHERE x.qid = q.qid)),
 dense AS (
   SELECT b.qid, p.id, p.collection, p.source_key, list_cosine_similarity(b.vector, p.vector) AS score
-  FROM bench b CROSS JOIN points p)
+  FROM bench b CROSS JOIN points p WHERE p.vector IS NOT NULL)
 """
 
 

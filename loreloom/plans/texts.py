@@ -216,7 +216,7 @@ def question_contexts(spark, d):
 DRESSED = r"""
 lines AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, line FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, E'\n') AS l FROM documents))),
 dressed AS (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN '**' || substr(line, 1, 8) || '** — ' || line WHEN 1 THEN line || ' `[단일제보]` <sub>출처: 2024-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') || '</sub>'
-   WHEN 2 THEN 'see `' || substr(line, 1, 20) || '` 2023-12-31 2024-01-01 2023-12-31' ELSE line END AS line FROM lines)"""
+   WHEN 2 THEN 'see `' || substr(line, 1, 20) || '` 2023-12-31 2024-01-01 2023-12-31 ' || substr(line, 21) ELSE line END AS line FROM lines)"""
 
 
 def dressed_lines(spark, d):
@@ -225,7 +225,7 @@ def dressed_lines(spark, d):
     lines = table(spark, d, "documents").select("doc_id", posexplode(split("text", "\n")).alias("pos", "line"))
     line = F.col("line")
     note = F.concat(line, F.lit(" `[단일제보]` <sub>출처: 2024-01-"), F.lpad((1 + F.col("doc_id") % 28).cast("string"), 2, "0"), F.lit("</sub>"))
-    code = F.concat(F.lit("see `"), tx.cut(line, 20), F.lit("` 2023-12-31 2024-01-01 2023-12-31"))
+    code = F.concat(F.lit("see `"), tx.cut(line, 20), F.lit("` 2023-12-31 2024-01-01 2023-12-31 "), F.substring(line, F.lit(21), F.length(line)))
     label = F.concat(F.lit("**"), tx.cut(line, 8), F.lit("** — "), line)
     kind = F.col("pos") % 4
     return lines.select("doc_id", F.col("pos").cast("bigint").alias("pos"),
