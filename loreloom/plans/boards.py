@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loreloom.operators import board, ordered, pages, qna_chunks as qna
@@ -141,20 +142,28 @@ def page_links(spark, d):
     return pages.page_links(texts(spark, d, "pages", "page_id", "html")).select("page_id", "pos", "href")
 
 
-# The saved pages hold no board tables, so board pages are made of their addresses.
+# The saved pages hold no board tables. Board pages are a table with the page's own title, and the whole page below it.
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+TITLE_SQL = r"replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+def page_title() -> Column:
+    return F.regexp_extract("html", TITLE, 1)
+
+
 def saved_list_pages(spark, d):
     p = table(spark, d, "pages")
     number = F.col("page_id").cast("string")
     row = F.concat(
         F.lit("<table><tr><th>no</th></tr><tr><td>"), number, F.lit("</td><td>EV</td><td>"),
         F.when(F.col("url").startswith("https"), F.lit('<img src="/i/bl_reply.png">')).otherwise(""),
-        F.lit('<a href="?number='), F.col("page_id") * 10, F.lit('&mode=view">'), F.lit("Post "), number, F.lit("</a></td><td>Ann</td><td></td><td>1,"),
-        F.lpad((F.col("page_id") % 1000).cast("string"), 3, "0"), F.lit("</td><td>2024-01-02<tr><td>x</td></tr></table>"))
+        F.lit('<a href="?number='), F.col("page_id") * 10, F.lit('&mode=view">'), F.lit("Post "), number, F.lit(" "), page_title(), F.lit("</a></td><td>Ann</td><td></td><td>1,"),
+        F.lpad((F.col("page_id") % 1000).cast("string"), 3, "0"), F.lit("</td><td>2024-01-02<tr><td>x</td></tr></table>"), F.col("html"))
     return p.select("page_id", row.alias("html"))
 
 
 @query("WEB-1", r"""
-SELECT page_id, page_id AS id, page_id * 10 AS number, 'EV' AS category, 'Post ' || CAST(page_id AS VARCHAR) AS title,
+SELECT page_id, page_id AS id, page_id * 10 AS number, 'EV' AS category, trim('Post ' || CAST(page_id AS VARCHAR) || ' ' || """ + TITLE_SQL + r""") AS title,
        1000 + page_id % 1000 AS views, '2024-01-02' AS date, '/bbs/?number=' || CAST(page_id * 10 AS VARCHAR) || '&mode=view' AS detail_url,
        url LIKE 'https%' AS is_reply FROM pages""")
 def list_page_rows(spark, d):
@@ -163,16 +172,16 @@ def list_page_rows(spark, d):
 
 
 @query("WEB-2", r"""
-SELECT page_id, 'Post ' || url AS title, 12345 AS views, 'first' || E'\n' || CAST(page_id AS VARCHAR) AS body, 'https://s.example/f/' || CAST(page_id AS VARCHAR) || '.pdf' AS attachment, CAST(NULL AS VARCHAR) AS error
+SELECT page_id, trim('Post ' || url || ' ' || """ + TITLE_SQL + r""") AS title, 12345 AS views, 'first' || E'\n' || CAST(page_id AS VARCHAR) AS body, 'https://s.example/f/' || CAST(page_id AS VARCHAR) || '.pdf' AS attachment, CAST(NULL AS VARCHAR) AS error
 FROM pages WHERE url LIKE 'https%'
 UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, 'no detail table' FROM pages WHERE url NOT LIKE 'https%'""")
 def detail_pages(spark, d):
     p = table(spark, d, "pages")
     made = F.concat(
-        F.lit('<table class="tblDef"><tr><td class="bg">Post '), F.col("url"),
+        F.lit('<table class="tblDef"><tr><td class="bg">Post '), F.col("url"), F.lit(" "), page_title(),
         F.lit("</td></tr><tr><th>by</th><td>Ann</td><th>on</th><td>2024-01-02</td><th>hits</th><td>12,345</td></tr>"
               '<tr><td class="con"> first<br>'), F.col("page_id"),
-        F.lit('</td></tr><tr><th class="th">첨부파일</th><td><a href="/f/'), F.col("page_id"), F.lit('.pdf">file</a></td></tr></table>'))
+        F.lit('</td></tr><tr><th class="th">첨부파일</th><td><a href="/f/'), F.col("page_id"), F.lit('.pdf">file</a></td></tr></table>'), F.col("html"))
     html = F.when(F.col("url").startswith("https"), made).otherwise(F.col("html"))
     rows = pages.details(p.select("page_id", html.alias("html")), base="https://s.example")
     return rows.select("page_id", "title", F.col("views").cast("int").alias("views"), "body", F.col("attachments")[0].alias("attachment"), "error")
@@ -191,7 +200,7 @@ def manifest_from_pages(spark, d):
         F.lit("<table><tr><td>1</td><td><a href='/bbs/?number="), F.col("page_id") * 10, F.lit("'>2024 Formula  judge "), n,
         F.lit('</a></td><td><a href="/func/download.php?filename=f'), n, F.lit('-0"><img src="x.gif" alt="icon '), n,
         F.lit('.pdf"></a><a href="/func/download.php?filename=f'), n, F.lit("-1\">get</a></td><td>Ann</td><td>2023-12-01</td></tr>"
-              "<tr><td>2</td><td><a href='/bbs/?number=5'>규정 개정(안) 2024</a></td><td><a href='/func/download.php?filename=d'>get</a></td><td>Ann</td><td>2024</td></tr></table>"))
+              "<tr><td>2</td><td><a href='/bbs/?number=5'>규정 개정(안) 2024</a></td><td><a href='/func/download.php?filename=d'>get</a></td><td>Ann</td><td>2024</td></tr></table>"), F.col("html"))
     items = pages.manifest_items(table(spark, d, "pages").select("page_id", row.alias("html")), base="https://s.example", default_year="2020")
     title = F.regexp_replace("title", " +", " ")
     return items.select("page_id", "source_post_id", title.alias("title"), "source_url", "source_filename", "competition", "document_type", "year", "source_key",
