@@ -29,22 +29,29 @@ def nfkc(c: Column) -> Column:
 
 
 def hashing_encoder(dim: int = DEFAULT_DIM) -> EncoderFactory:
-    """Signed feature hashing of lower-case words, unit length; blank text is the zero vector."""
+    """Signed feature hashing of lower-case words, unit length; blank text is the zero vector.
+
+    A word's place is its MD5: the first eight hex digits modulo *dim*, the ninth gives the sign. Any engine can repeat that.
+    """
 
     def build() -> Encoder:
-        import xxhash
+        import hashlib
+        import re
+
+        word = re.compile("[^\\x20\\x09-\\x0d]+")
 
         @lru_cache(maxsize=1 << 18)
-        def slot(word: str) -> tuple[int, float]:
-            h = xxhash.xxh64_intdigest(word)
-            return h % dim, 1.0 if (h >> 63) else -1.0
+        def place(w: str) -> int:
+            """Slot, plus *dim* for a negative sign."""
+            h = hashlib.md5(w.encode()).hexdigest()
+            return int(h[:8], 16) % dim + (0 if h[8] >= "8" else dim)
 
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float64)
-            for row, text in enumerate(texts):
-                for word in text.lower().split():
-                    i, sign = slot(word)
-                    out[row, i] += sign
+            words = [word.findall(t.lower()) for t in texts]
+            rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+            places = np.fromiter((place(w) for ws in words for w in ws), np.int64, len(rows))
+            counts = np.bincount(rows * 2 * dim + places, minlength=len(texts) * 2 * dim).reshape(len(texts), 2, dim)
+            out = (counts[:, 0] - counts[:, 1]).astype(np.float64)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             np.divide(out, norms, out=out, where=norms > 0)
             return out.astype(np.float32)

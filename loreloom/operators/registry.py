@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +46,10 @@ def build(names: DataFrame, kinds: DataFrame, year: str, *, prefix: str = "rules
 GROUPS = (("rules", "rules-all", "규정", "rules"), ("qna", "qna", "Q&A", "qna"), ("kb", "kb", "KB", "kb"))
 
 
-def with_groups(detail: DataFrame, groups=GROUPS) -> DataFrame:
-    """Detail collections and the groups above them."""
-    rows = detail.sparkSession.createDataFrame(list(groups), "key string, collection string, label string, source_type string")
+def with_groups(detail: DataFrame, groups: DataFrame | Sequence[tuple] = GROUPS) -> DataFrame:
+    """Detail collections and the groups above them: a table of key, collection, label and source_type, or such tuples."""
+    rows = groups if isinstance(groups, DataFrame) else detail.sparkSession.createDataFrame(
+        list(groups), "key string, collection string, label string, source_type string")
     return detail.unionByName(rows.withColumn("supports_filters", F.lit(False)), allowMissingColumns=True)
 
 
@@ -59,9 +62,9 @@ def resolve(registry: DataFrame, requested: DataFrame | None = None) -> DataFram
     if requested is None:
         return registry.select("key").distinct().orderBy("key")
     wanted = requested.select("key").distinct()
-    unknown = [r["key"] for r in wanted.join(registry.select("key"), "key", "left_anti").limit(20).collect()]
-    if unknown:
-        raise ValueError(f"unknown collections: {', '.join(sorted(unknown))}")
+    unknown = wanted.join(registry.select("key"), "key", "left_anti").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("key")).alias("keys")).first()
+    if unknown["n"]:
+        raise ValueError(f"{unknown['n']} unknown collections: {', '.join(unknown['keys'])}")
     return wanted.orderBy("key")
 
 

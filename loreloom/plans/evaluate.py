@@ -12,18 +12,24 @@ from loreloom.session import spread
 
 
 
-@query("EVL-1", r"""
+CODES = r"""
 WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b(?:[A-Za-z0-9]*\d[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*|[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*\d[A-Za-z0-9]*)\b')) AS token FROM documents),
 t AS (SELECT DISTINCT token FROM w WHERE length(token) >= 5)
-SELECT token, min(doc_id) AS key FROM t JOIN documents ON contains(text, token) GROUP BY token HAVING count(*) = 1""")
+SELECT token, min(doc_id) AS key FROM t JOIN documents ON contains(text, token) GROUP BY token HAVING count(*) = 1"""
+# Codes as a pattern without look-around, which both engines know.
+MIXED = r"(\b(?:[A-Za-z0-9]*\d[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*|[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*\d[A-Za-z0-9]*)\b)"
+
+
+@query("EVL-1", CODES)
 def unique_codes(spark, d):
-    mixed = r"(\b(?:[A-Za-z0-9]*\d[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*|[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*\d[A-Za-z0-9]*)\b)"
-    return ev.unique_codes(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", pattern=mixed)
+    return ev.unique_codes(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", pattern=MIXED)
 
 
-@query("EVL-1")
+@query("EVL-1", f"""
+SELECT token AS query, key AS gold FROM (SELECT token, key, row_number() OVER (PARTITION BY key ORDER BY strpos(text, token), token) AS r
+FROM ({CODES}) JOIN documents ON doc_id = key) WHERE r = 1""")
 def lexical_queries(spark, d):
-    return ev.lexical_queries(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", cap=None)
+    return ev.lexical_queries(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", cap=None, pattern=MIXED)
 
 
 @query("EVL-2", r"""

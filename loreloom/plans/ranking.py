@@ -237,9 +237,15 @@ def expanded_collections(spark, d):
     return registry.expand(reg, asked, populated)
 
 
-@query("REG-4", "SELECT * FROM (VALUES ('rules', '규정', 'rules'), ('qna', 'Q&A', 'qna'), ('kb', 'KB', 'kb')) v(key, label, source_type) WHERE (SELECT count(*) FROM region) > 0")
+@query("REG-4", """
+SELECT lower(r_name) AS key, r_name AS label, CASE WHEN last % 2 = 0 THEN 'rules' ELSE 'qna' END AS source_type
+FROM region JOIN (SELECT n_regionkey AS r_regionkey, max(n_nationkey) AS last FROM nation GROUP BY 1) USING (r_regionkey)""")
 def public_collections(spark, d):
-    return registry.public(registry.with_groups(_registry(spark, d))).select("key", "label", "source_type")
+    """One group of collections for each region; its detail collections stay hidden."""
+    last = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.max("n_nationkey").alias("last"))
+    groups = table(spark, d, "region").join(last, "r_regionkey").select(
+        F.lower("r_name").alias("key"), F.lower("r_name").alias("collection"), F.col("r_name").alias("label"), F.when(F.col("last") % 2 == 0, "rules").otherwise("qna").alias("source_type"))
+    return registry.public(registry.with_groups(_registry(spark, d), groups)).select("key", "label", "source_type")
 
 
 @query("RET-17 RET-18", """

@@ -177,7 +177,16 @@ def multi_collection_search(spark, d):
     return collection_hits(spark, d).select("qid", "collection", "id", F.round("score", 6).alias("score"), "depth")
 
 
-@query("EMB-1 UDF-1")
+# Signed hashing of words, as hashing_encoder() does it; {rows}: key, text.
+ENCODED = r"""
+hashed AS (SELECT key, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 256 AS slot, sum(CASE WHEN substr(h, 9, 1) >= '8' THEN 1 ELSE -1 END) AS v
+  FROM (SELECT key, md5(unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0d]+'))) AS h FROM {rows}) GROUP BY ALL),
+encoded AS (SELECT key, list(CAST(coalesce(v / norm, 0) AS FLOAT) ORDER BY slot) AS vector FROM (SELECT key, slot FROM {rows}, range(256) r(slot))
+  LEFT JOIN hashed USING (key, slot) LEFT JOIN (SELECT key, nullif(sqrt(sum(v * v)), 0) AS norm FROM hashed GROUP BY key) USING (key) GROUP BY key)
+"""
+
+
+@query("EMB-1 UDF-1", "WITH docs AS (SELECT doc_id AS key, text FROM documents)," + ENCODED.format(rows="docs") + "SELECT key AS doc_id, vector FROM encoded")
 def encoded_documents(spark, d):
     encode = dense_encoder()
     return texts(spark, d, "documents", "doc_id", "text").select("doc_id", encode("text").alias("vector"))

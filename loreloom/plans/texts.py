@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loreloom.functions import classify as cl
@@ -36,10 +37,19 @@ def url_parameters(spark, d):
         tx.query_parameter("url", "ref").alias("ref"), tx.parse_count(grouped).alias("size"))
 
 
-# The given texts hold no compatibility characters and no Hangul, so folding leaves them as they are.
-@query("NRM-1 UDF-3", r"SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS text FROM documents")
+# The given texts hold no compatibility characters and no Hangul, so three of four get an end that the rules change.
+RULE_ENDS = ("", " 제3조 심사 규정", " 제 12장\u3000Ⅳ ﬁ", " 차량  기술규정 １２")
+QUERY_ENDS = ("", " 놀드락 클램프", " 베기 파이프 방화 벽", " 심사 규정 ＡＢ")
+
+
+def with_ends(key: str, ends: tuple[str, ...]) -> Column:
+    return F.concat(F.col("text"), F.element_at(F.array(*[F.lit(e) for e in ends]), (F.col(key) % len(ends) + 1).cast("int")))
+
+
+@query("NRM-1 UDF-3", r"""
+SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g') || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' 제 3 조 심사규정' WHEN 2 THEN ' 제 12 장 IV fi' ELSE ' 차량기술규정 12' END) AS text FROM documents""")
 def normalized_text(spark, d):
-    return texts(spark, d, "documents", "doc_id", "text").select("doc_id", cl.normalize_rule_text(F.col("text")).alias("text"))
+    return texts(spark, d, "documents", "doc_id", "text").select("doc_id", cl.normalize_rule_text(with_ends("doc_id", RULE_ENDS)).alias("text"))
 
 
 @query("NRM-2", r"""
@@ -54,22 +64,24 @@ def kept_lines(spark, d):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("NRM-3", r"SELECT item_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS query, true AS stable FROM benchmark")
+@query("NRM-3", r"""
+SELECT item_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g') || CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' 노드락 클램프 Nord-Lock 너트 체결 풀림 방지' WHEN 2 THEN ' 배기 파이프 방화벽' ELSE ' 심사규정 AB' END) AS query,
+  true AS stable FROM benchmark""")
 def normalized_queries(spark, d):
     b = table(spark, d, "benchmark")
-    once = cl.normalize_query(F.col("text"))
+    once = cl.normalize_query(with_ends("item_id", QUERY_ENDS))
     return b.select("item_id", once.alias("query"), (cl.normalize_query(once) == once).alias("stable"))
 
 
 @query("NRM-4 NRM-5 NRM-6", """
 SELECT p_partkey, trim(regexp_replace(regexp_replace(replace(replace(lower(trim(p_name)), ' ', '-'), '_', '-'), '[^a-z0-9가-힣-]', '-', 'g'), '-+', '-', 'g'), '-') AS slug,
        CASE WHEN lower(p_name) LIKE '%formula%' THEN 'formula' WHEN lower(p_name) LIKE '%baja%' THEN 'baja' ELSE 'other' END AS competition,
-       'other' AS document_type
+       CASE p_size % 3 WHEN 0 THEN 'vehicle-technical' WHEN 1 THEN 'judging' ELSE 'other' END AS document_type
 FROM part""")
 def slugs(spark, d):
     return table(spark, d, "part").select(
         "p_partkey", tx.slug("p_name").alias("slug"), cl.normalize_competition(F.col("p_name")).alias("competition"),
-        cl.normalize_document_type(F.col("p_type")).alias("document_type"))
+        cl.normalize_document_type(F.when(F.col("p_size") % 3 == 0, "Vehicle Technical").when(F.col("p_size") % 3 == 1, " Judging ").otherwise(F.col("p_type"))).alias("document_type"))
 
 
 @query("NRM-4 NRM-5", """
@@ -252,11 +264,11 @@ def capped_texts(spark, d):
 
 @query("RET-19 RET-20", r"""
 SELECT item_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[가-힣]{2,}|[a-z0-9_\-+]{2,}')), lambda x: x NOT IN ('the', 'and', '규정'))), ' ') AS terms,
-       array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text || ' 제 ' || CAST(item_id AS VARCHAR) || ' 조 제7장', '제\s*(\d+)\s*조', 1), lambda x: CAST(x AS BIGINT)))), ',') AS sections,
-       '7' AS chapters
+       array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text || ' 제 ' || CAST(item_id AS VARCHAR) || ' 조 제' || CAST(item_id % 5 + 1 AS VARCHAR) || '장', '제\s*(\d+)\s*조', 1), lambda x: CAST(x AS BIGINT)))), ',') AS sections,
+       CAST(item_id % 5 + 1 AS VARCHAR) AS chapters
 FROM benchmark""")
 def query_terms(spark, d):
-    text = F.concat(F.col("text"), F.lit(" 제 "), F.col("item_id").cast("string"), F.lit(" 조 제7장"))
+    text = F.concat(F.col("text"), F.lit(" 제 "), F.col("item_id").cast("string"), F.lit(" 조 제"), (F.col("item_id") % 5 + 1).cast("string"), F.lit("장"))
     return table(spark, d, "benchmark").select(
         "item_id", F.array_join(F.array_sort(cl.query_terms(F.col("text"), ("the", "and", "규정"))), " ").alias("terms"),
         F.array_join(cl.references(text, fixed.SECTION_REFERENCE), ",").alias("sections"),
@@ -267,18 +279,20 @@ def query_terms(spark, d):
 SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?i)e[- ]?formula') THEN 'e_formula' WHEN regexp_matches(t, '(?i)formula') THEN 'formula' WHEN regexp_matches(t, '(?i)baja') THEN 'baja'
     WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])ev([^\p{L}\p{N}_]|$)|electric\s+vehicle') THEN 'ev' END AS competition,
   CASE WHEN regexp_matches(t, '(?i)vehicle.*technical') THEN NULL WHEN regexp_matches(t, '(?i)competition.*rule|operating.*rule') THEN 'competition-rules' WHEN regexp_matches(t, 'event.*operation|operations?') THEN 'event-operation'
-    WHEN regexp_matches(t, '(?i)judge') THEN 'judging' WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])(glvs|bms)([^\p{L}\p{N}_]|$)') THEN 'vehicle-technical' END AS document_type, CAST(0 AS BIGINT) AS content_words
+    WHEN regexp_matches(t, '(?i)judge') THEN 'judging' WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])(glvs|bms)([^\p{L}\p{N}_]|$)') THEN 'vehicle-technical' END AS document_type, CAST(CASE turn % 4 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS content_words
 FROM (SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user')""")
 def query_hints(spark, d):
     q = table(spark, d, "conversations").where(F.col("role") == "user")
     text = F.col("text")
     return q.select("conv_id", "turn", cl.detect_competition(text).alias("competition"),
                     cl.query_document_type(text).alias("document_type"),
-                    F.size(cl.preserved_words(text)).cast("bigint").alias("content_words"))
+                    F.size(cl.preserved_words(F.when(F.col("turn") % 4 == 2, F.concat(text, F.lit(" 구름을 바다는 구름 다시"))).otherwise(text))).cast("bigint").alias("content_words"))
 
 
-@query("CNV-5", "SELECT conv_id, turn, true AS same FROM conversations WHERE role = 'user'")
+@query("CNV-5", "SELECT conv_id, turn, turn % 4 <> 2 AS same FROM conversations WHERE role = 'user'")
 def preserved_identifiers(spark, d):
-    """A rewrite that only adds words keeps every identifier."""
+    """A rewrite that only adds words keeps every identifier; one that loses the code does not."""
     q = table(spark, d, "conversations").where(F.col("role") == "user")
-    return q.select("conv_id", "turn", cl.preserves_identifiers(F.col("text"), F.concat(F.lit("more "), F.col("text"))).alias("same"))
+    asked = F.concat(F.lit("part QX-4071 "), F.col("text"))
+    rewritten = F.when(F.col("turn") % 4 == 2, F.concat(F.lit("part "), F.col("text"))).otherwise(F.concat(F.lit("more "), asked))
+    return q.select("conv_id", "turn", cl.preserves_identifiers(asked, rewritten).alias("same"))
