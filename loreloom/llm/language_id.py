@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import id_remainder, strings
-from loreloom.llm.token_counts import SPACE, chunks
+from loreloom.llm.common import Words, buffer_of, id_remainder, mix, row_chunks
+from loreloom.llm.token_counts import SPACE
 from loreloom.session import cut_lineage
 
 SAMPLE = 400  # texts of each language, at most
@@ -32,15 +32,14 @@ ROUNDS = 4
 SMOOTH, UNKNOWN = 0.05, 1e-4  # count added to every piece; probability of a letter that no piece holds
 CACHE = 400_000  # words a worker remembers
 UND = "und"
+CHUNK = 1 << 20  # bytes of text worked on at once
+BREAKS = bytes(b for b in range(128) if not chr(b).isalpha())
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
     """Lower-case words, each in parts; the first part of a word starts with the vocabulary's space mark."""
-    words = LETTERS.findall(text.lower())
-    if text.isascii():
-        return [SPACE + w for w in words] if not words or len(max(words, key=len)) <= PART else [p for w in words for p in parts_of(w)]
-    return [p for w in words if any(map(str.isalpha, w)) for p in parts_of(w)]
+    return [p for w in LETTERS.findall(text.lower()) if any(map(str.isalpha, w)) for p in parts_of(w)]
 
 
 def parts_of(word: str) -> list[str]:
@@ -57,24 +56,65 @@ def vocabulary(model: bytes) -> dict[str, int]:
     return {p: i for i, p in enumerate(kept)}
 
 
+class Pieces:
+    """The vocabulary by the hashes of its pieces, so that all substrings of many words are looked up at once."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    BITS = 20
+
+    def __init__(self, numbers: dict[str, int]):
+        self.count = len(numbers)
+        names = list(numbers)
+        codes, start, size = self.codes(names)
+        sums, inverse = self.sums(codes)
+        keys = mix((sums[start + size] - sums[start]) * inverse[start])
+        order = np.argsort(keys)
+        self.keys, self.numbers = keys[order], np.array([numbers[n] for n in names], int)[order]
+        self.perhaps = np.zeros(1 << self.BITS, bool)
+        self.perhaps[keys >> np.uint64(64 - self.BITS)] = True
+
+    @staticmethod
+    def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of all words in a row; first place and length of each word."""
+        size = np.array([len(w) for w in words], int)
+        return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.cumsum(size) - size, size
+
+    def sums(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of a polynomial in the code points, and the inverse powers that move a place to the front."""
+        power = np.cumprod(np.append(np.ones(1, np.uint64), np.full(len(codes), self.BASE)))
+        back = np.uint64(pow(int(self.BASE), -1, 1 << 64))
+        inverse = np.cumprod(np.append(np.ones(1, np.uint64), np.full(len(codes), back)))
+        return np.append(np.zeros(1, np.uint64), np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * power[:-1])), inverse
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of the piece with each hash, -1 for none."""
+        out = np.full(len(keys), -1)
+        at = np.flatnonzero(self.perhaps[keys >> np.uint64(64 - self.BITS)])
+        place = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        hit = self.keys[place] == keys[at]
+        out[at[hit]] = self.numbers[place[hit]]
+        return out
+
+
 class Lattice:
     """All ways to cut words into pieces: arcs (word, from, to, piece), by the position where they end."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int]):
-        arcs, unknown = [], len(pieces)
-        for w, word in enumerate(words):
-            for end in range(1, len(word) + 1):
-                known = False
-                for begin in range(end - 1, max(end - LONGEST, 0) - 1, -1):
-                    piece = pieces.get(word[begin:end])
-                    if piece is not None:
-                        arcs.append((w, begin, end, piece))
-                        known |= begin == end - 1
-                if not known:
-                    arcs.append((w, end - 1, end, unknown))
-        self.size = np.array([len(w) for w in words], int)
-        table = np.array(arcs, int).reshape(-1, 4)
-        self.by_end = table[np.argsort(table[:, 2], kind="stable")]
+    def __init__(self, words: list[str], pieces: Pieces):
+        codes, start, self.size = pieces.codes(words)
+        sums, inverse = pieces.sums(codes)
+        word = np.repeat(np.arange(len(words)), self.size)
+        begin = np.arange(len(codes)) - start[word]
+        left = self.size[word] - begin
+        arcs = []
+        for length in range(1, LONGEST + 1):
+            at = np.flatnonzero(left >= length)
+            piece = pieces.find(mix((sums[at + length] - sums[at]) * inverse[at]))
+            if length == 1:
+                piece[piece < 0] = pieces.count  # an unknown letter
+            at, piece = at[piece >= 0], piece[piece >= 0]
+            arcs.append(np.stack([word[at], begin[at], begin[at] + length, piece], 1))
+        table = np.concatenate(arcs)
+        self.by_end = table[np.argsort(table[:, 2].astype(np.int16), kind="stable")]
         self.cuts = np.searchsorted(self.by_end[:, 2], np.arange(self.size.max(initial=0) + 2))
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
@@ -103,9 +143,9 @@ class Lattice:
         return uses
 
 
-def fit(words: list[str], times: np.ndarray, pieces: dict[str, int]) -> np.ndarray:
+def fit(words: list[str], times: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Piece probabilities of one language; the last is that of an unknown letter."""
-    prob = np.full(len(pieces) + 1, 1 / len(pieces))
+    prob = np.full(pieces.count + 1, 1 / pieces.count)
     prob[-1] = UNKNOWN
     lattice = Lattice(words, pieces)
     for _ in range(ROUNDS):
@@ -115,40 +155,59 @@ def fit(words: list[str], times: np.ndarray, pieces: dict[str, int]) -> np.ndarr
 
 
 class Scorer:
-    """Broadcast, so that a Python worker keeps the words it has scored over all its tasks."""
+    """Broadcast, so that a Python worker keeps the words it has scored over all its tasks.
 
-    def __init__(self, languages: list[str], prob: np.ndarray, pieces: dict[str, int]):
-        self.languages, self.prob, self.pieces, self.known, self.logs = languages, prob, pieces, {}, []
+    Texts are cut at ASCII characters that are no letters; each distinct piece between them is scored once.
+    """
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}, "logs": []}
+    def __init__(self, languages: list[str], prob: np.ndarray, pieces: Pieces):
+        self.languages, self.prob, self.pieces, self.finder = languages, prob, pieces, None
+        self.forget()
 
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
+    def __getstate__(self):
+        return self.__dict__ | {"finder": None, "known": {}, "logs": self.logs[:0], "letters": self.letters[:0]}
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.logs, self.letters = np.zeros((0, len(self.languages))), np.zeros(0, bool)
+
+    def learn(self, hashes: list[int], raw: list[str]) -> None:
+        """Score raw words: the sums over their lower-case words, and whether they have any."""
+        split = [words_of(w) for w in raw]
+        flat = [p for parts in split for p in parts]
+        logs = np.zeros((len(raw), len(self.languages)))
+        of = np.repeat(np.arange(len(raw)), [len(parts) for parts in split])
+        for at in range(0, len(flat), 20_000):
+            part = flat[at:at + 20_000]
             lattice = Lattice(part, self.pieces)
             last = lattice.forward(self.prob)[:, np.arange(len(part)), lattice.size]
-            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
-            self.logs.append(np.log(last).T.astype(np.float32))
-
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        split = [words_of(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known, self.logs = {}, []
-        fresh = list(set().union(*split) - self.known.keys())
-        if fresh:
-            self.learn(fresh)
-            self.logs = [np.concatenate(self.logs)]
-        found, score = [UND] * len(texts), np.zeros(len(texts))
+            np.add.at(logs, of[at:at + len(part)], np.log(last).T)
+        self.known.update(zip(hashes, range(len(self.known), len(self.known) + len(raw)), strict=True))
+        self.logs, self.letters = np.concatenate([self.logs, logs]), np.append(self.letters, [len(parts) > 0 for parts in split])
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        if self.finder is None:
+            self.finder = Words(BREAKS, CHUNK)
+        raw, offsets = buffer_of(texts)
+        total, spoke = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
+        for first, last in row_chunks(offsets, CHUNK) if self.languages else ():
+            part, ends = raw[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
+            row, start, stop, hashes = self.finder.find(part, ends)
+            distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            if len(self.known) > CACHE:
+                self.forget()
+            keys = distinct.tolist()
+            fresh = [i for i, h in enumerate(keys) if h not in self.known]
+            self.learn([keys[i] for i in fresh], [part[start[at[i]]:stop[at[i]]].tobytes().decode() for i in fresh])
+            place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
+            for i in range(len(self.languages)):
+                total[first:last, i] = np.bincount(row, self.logs[place, i], last - first)
+            spoke[first:last] = np.bincount(row, self.letters[place], last - first) > 0
         if not self.languages:
-            return found, score
-        place = self.known.__getitem__
-        for i, words in enumerate(split):
-            if words:
-                total = self.logs[0][np.fromiter(map(place, words), np.int64, len(words))].sum(0, dtype=float)
-                best = int(total.argmax())
-                found[i], score[i] = self.languages[best], 1 / np.exp(total - total[best]).sum()
-        return found, score
+            return [UND] * len(texts), np.zeros(len(texts))
+        best = total.argmax(1)
+        score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        return [self.languages[b] if s else UND for b, s in zip(best, spoke, strict=True)], np.where(spoke, score, 0.0)
 
 
 def learn(rows: DataFrame, model: bytes, text: str, lang: str, doc_id: str, *, most: int = SAMPLE) -> Scorer:
@@ -160,7 +219,7 @@ def learn(rows: DataFrame, model: bytes, text: str, lang: str, doc_id: str, *, m
     share = F.col("h").cast("double") / F.lit(2.0**64) + 0.5 < (1.5 * most + 50) / F.col("n")
     chosen = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
     sample = keyed.join(F.broadcast(counts), "lang").where(share).withColumn("r", F.row_number().over(chosen)).where(F.col("r") <= most)
-    pieces = vocabulary(model)
+    pieces = Pieces(vocabulary(model))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -177,7 +236,7 @@ def learn(rows: DataFrame, model: bytes, text: str, lang: str, doc_id: str, *, m
 
     words = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     fitted = sorted(cut_lineage(words).groupBy("lang").applyInArrow(fit_one, "lang string, prob binary").collect(), key=lambda r: r.lang.encode())
-    prob = np.stack([np.frombuffer(r.prob) for r in fitted]) if fitted else np.zeros((0, len(pieces) + 1))
+    prob = np.stack([np.frombuffer(r.prob) for r in fitted]) if fitted else np.zeros((0, pieces.count + 1))
     return Scorer([r.lang for r in fitted], prob, pieces)
 
 
@@ -191,9 +250,7 @@ def languages(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: st
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            results = [shared.value.predict(part) for part in chunks(strings(batch.column(2)))]
-            found = [x for names, _ in results for x in names]
-            score = np.concatenate([s for _, s in results]) if results else np.empty(0)
+            found, score = shared.value.predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(score, pa.float64())],
                                              ["doc_id", "held_out", "lang_pred", "score"])
 

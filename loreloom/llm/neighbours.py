@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,16 +70,17 @@ def probed(x: np.ndarray, table: int, probes: int, digits: int, seed: int = SEED
     return codes
 
 
-def usable(vectors: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+def usable(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Rows that take part, by length of their vectors: places and a matrix each."""
     found = {}
-    sizes = np.array([-1 if v is None else v for v in pa.compute.list_value_length(vectors).to_pylist()], int)
+    sizes = np.array([-1 if v is None else v for v in pc.list_value_length(vectors).to_pylist()], int)
     for size in np.unique(sizes[sizes > 0]):
         at = np.flatnonzero(sizes == size)
         flat = vectors.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), size)
         good = np.isfinite(flat).all(1) & (flat != 0).any(1)
-        found[int(size)] = (at[good], flat[good])
-    return sizes, found
+        if good.any():
+            found[int(size)] = (at[good], flat[good])
+    return found
 
 
 def nearest(queries: np.ndarray, ids: np.ndarray, stored: np.ndarray, stored_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +105,7 @@ def _search(vectors: DataFrame, is_query, k: int, tables: int, probes: int, digi
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for size, (_, x) in usable(batch.column(1))[1].items():
+            for size, (_, x) in usable(batch.column(1)).items():
                 for table in range(tables):
                     codes, n = np.unique(probed(x, table, 1, digits)[:, 0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), v), pa.int32()) for v in (size, table)] + [pa.array(codes), pa.array(n)],
@@ -119,7 +121,7 @@ def _search(vectors: DataFrame, is_query, k: int, tables: int, probes: int, digi
         cuts = shared.value
         for batch in batches:
             ids, asks = batch.column(0).to_numpy(), np.array(batch.column(2).to_pylist(), bool)
-            for size, (at, x) in usable(batch.column(1))[1].items():
+            for size, (at, x) in usable(batch.column(1)).items():
                 for table in range(tables):
                     rows = []  # (row of x, code, group, whether it asks)
                     codes = probed(x, table, 1, digits)[:, 0].tolist()
