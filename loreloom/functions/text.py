@@ -120,6 +120,18 @@ WORDS = Tokenizer(
 )
 
 
+def pieces(size: int = 4) -> Tokenizer:
+    """A sub-word tokenizer: every run of up to *size* characters is a token, white space included.
+
+    Joining two texts can shift the runs, so its counts do not add up.
+    """
+    return Tokenizer(
+        encode=lambda c: F.regexp_extract_all(c, F.lit(rf"(?s)(.{{1,{size}}})")),
+        decode=lambda a: F.array_join(a, ""),
+        count=lambda c: F.ceil(F.length(c) / size).cast("int"),
+    )
+
+
 def token_count(c: Column | str, tokenizer: Tokenizer = WORDS) -> Column:
     return tokenizer.count(or_empty(c)).cast("bigint")
 

@@ -243,13 +243,16 @@ def merge_status(first: Column, second: Column) -> Column:
     return F.when((first == "ok") != (second == "ok"), "partial").otherwise(first)
 
 
-def apply_relevance(hits: DataFrame, scores: DataFrame, limit: int, *, penalty: Column | None = None, least: float = 3.0) -> DataFrame:
+def apply_relevance(hits: DataFrame, scores: DataFrame | Column, limit: int, *, penalty: Column | None = None, least: float = 3.0) -> DataFrame:
     """Re-rank by given relevance less the penalty; hits below *least* go.
 
-    A query without any valid score keeps its original order, and so does a query with a single hit.
+    *scores* is a table of ``qid, id, relevance``, or a column of the hits, NULL where none is given. A query without any valid score keeps its original order, and so does a query with a single hit.
     """
     q = Window.partitionBy("qid")
-    joined = hits.join(scores.select("qid", "id", F.col("relevance").cast("double").alias("__given")), ["qid", "id"], "left")
+    if isinstance(scores, DataFrame):
+        joined = hits.join(scores.select("qid", "id", F.col("relevance").cast("double").alias("__given")), ["qid", "id"], "left")
+    else:
+        joined = hits.withColumn("__given", scores.cast("double"))
     rated = joined.select("*", F.count("__given").over(q).alias("__valid"), F.count("*").over(q).alias("__n"),
                           (penalty if penalty is not None else F.lit(0.0)).alias("__pen"))
     rated = rated.withColumn("rerank_score", F.when(

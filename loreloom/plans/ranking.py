@@ -50,30 +50,46 @@ def source_labels(spark, d):
     return rk.source_label(rows).select("doc_id", "source", "url")
 
 
-@query("RET-21", HITS + """
-SELECT qid, collection, id, round(CAST(
+BOOSTED = HITS + """, boosted AS (
+SELECT qid, collection, id, score, CAST(
     CASE WHEN qc IS NULL THEN 0 WHEN competition = qc THEN 0.18 WHEN competition <> '' THEN -0.08 ELSE 0 END
   + CASE WHEN ql <= 4 THEN 0 WHEN quality = 1 THEN 0.14 ELSE -0.04 END
   + CASE WHEN label = ql THEN 0.20 ELSE 0 END + CASE WHEN id % 3 = qid % 3 THEN 0.12 ELSE 0 END
-  + least(0.35, 0.06 * (CAST(contains(s, qlang) AS INT) + CASE WHEN qsource <> qlang AND contains(s, qsource) THEN 1 ELSE 0 END)) AS DOUBLE), 6) AS boost
+  + least(0.35, 0.06 * (CAST(contains(s, qlang) AS INT) + CASE WHEN qsource <> qlang AND contains(s, qsource) THEN 1 ELSE 0 END)) AS DOUBLE) AS boost
 FROM (SELECT h.*, q.label AS ql, qd.lang AS qlang, qd.source AS qsource,
         CASE q.label WHEN 0 THEN NULL WHEN 1 THEN 'formula' WHEN 2 THEN 'baja' ELSE 'ev' END AS qc,
         CASE h.label WHEN 0 THEN '' WHEN 1 THEN 'formula' WHEN 2 THEN 'baja' ELSE 'ev' END AS competition,
         lower(h.source_key || ' ' || h.collection || ' ' || CASE h.label WHEN 0 THEN '' WHEN 1 THEN 'formula' WHEN 2 THEN 'baja' ELSE 'ev' END) AS s
-      FROM h JOIN embeddings q ON q.vec_id = h.qid JOIN documents qd ON qd.doc_id = h.qid)""")
-def boosted_hits(spark, d):
+      FROM h JOIN embeddings q ON q.vec_id = h.qid JOIN documents qd ON qd.doc_id = h.qid))
+"""
+
+
+def hinted_hits(spark, d):
+    """Candidates with the hints of their query."""
     names = {"0": "", "1": "formula", "2": "baja"}
     family = F.coalesce(cl.lookup(F.col("label").cast("string"), names), F.lit("ev"))
     q = table(spark, d, "embeddings").join(table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select(
         F.col("vec_id").alias("qid"), F.when(F.col("label") != 0, family).alias("q_competition"),
         F.when(F.col("label") > 4, "judging").alias("q_document_type"), F.array_distinct(F.array("lang", "source")).alias("q_terms"),
         F.array(F.col("label").cast("bigint")).alias("q_sections"), F.array(F.col("vec_id") % 3).alias("q_chapters"))
-    h = hits(spark, d).join(q, "qid").withColumns({
+    return hits(spark, d).join(q, "qid").withColumns({
         "competition": family, "document_type": F.when(F.col("quality") == 1, "judging").otherwise(""), "section": F.col("source_key"),
         "chapter": F.col("collection"), "section_num": F.col("label"), "chapter_num": F.col("id") % 3})
+
+
+@query("RET-21", BOOSTED + "SELECT qid, collection, id, round(boost, 6) AS boost FROM boosted")
+def boosted_hits(spark, d):
+    h = hinted_hits(spark, d)
     return h.select(*KEEP, F.round(rk.query_boost(h), 6).alias("boost"))
 
 
+@query("RET-21", BOOSTED + "SELECT qid, collection, id, round(score + CASE WHEN collection = 'fr' THEN boost * 0.2 ELSE 0 END, 9) AS score FROM boosted")
+def boosted_scores(spark, d):
+    """The boost's share reaches the scores of rule hits only."""
+    h = hinted_hits(spark, d).withColumn("source_type", F.when(F.col("collection") == "fr", "rules").otherwise("qna"))
+    return rk.adjust_scores(h, boost=rk.query_boost(h)).select(*KEEP, F.round("score", 9).alias("score"))
+
+
 @query("RET-22 RET-3", HITS + """
 SELECT qid, collection, id, round(score - CAST(0.04 AS DOUBLE) * p, 9) AS score FROM (
   SELECT *, CASE WHEN collection <> 'en' THEN 0 WHEN toxic = 1 OR contains(content, '답변 없음') THEN 2 WHEN quality = 0 THEN CAST(0.5 AS DOUBLE) ELSE 0 END AS p FROM h)
@@ -124,6 +140,17 @@ def pool_counts(spark, d):
     return rk.candidate_counts(balanced_hits(spark, d), ("en", "fr", "de", "es"), group=F.col("collection"))
 
 
+@query("RET-25", HITS + """
+SELECT qid, CAST(count(*) FILTER (collection = 'fr' OR label = 3) AS BIGINT) AS rules, CAST(count(*) FILTER (collection = 'en' AND label <> 3) AS BIGINT) AS qna,
+  CAST(count(*) FILTER (collection = 'de' AND label <> 3) AS BIGINT) AS aark, CAST(count(*) FILTER (collection = 'es' AND label <> 3) AS BIGINT) AS other FROM h GROUP BY qid""")
+def pool_counts_by_source(spark, d):
+    """The grouping by payload: names of collections, and the source type where the name says nothing."""
+    names = {"fr": "rules-formula-2026", "en": "qna", "de": "kb", "es": "elsewhere"}
+    named = F.when(F.col("label") == 3, "unnamed").otherwise(cl.lookup(F.col("collection"), names))
+    h = hits(spark, d).withColumn("source_type", F.when(F.col("label") == 3, "rules")).withColumn("collection", F.when((F.col("collection") == "fr"), "rules").otherwise(named))
+    return rk.candidate_counts(h)
+
+
 @query("RET-26", HITS + """, paths AS (SELECT *, 0 AS path FROM h UNION ALL SELECT * REPLACE (round(score + CASE WHEN quality = 1 THEN CAST(0.01 AS DOUBLE) ELSE 0 END, 9) AS score), 1 FROM h WHERE depth <= 12),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_key, content ORDER BY score DESC, path, collection, id) AS r FROM paths) WHERE r = 1),
 sized AS (SELECT * EXCLUDE (r), count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, collection ORDER BY score DESC, id) AS r FROM best)
@@ -157,6 +184,26 @@ def search_status(spark, d):
     return rk.retrieval_status(attempts)
 
 
+def _status_at(spark, d, least):
+    attempts = hits(spark, d).groupBy("qid", "collection").agg((F.max("score") < least).alias("failed"), F.count_if(F.col("score") >= least).alias("hits"))
+    return rk.retrieval_status(attempts)
+
+
+STATUS_AT = """(SELECT qid, CASE WHEN bad = 0 THEN 'ok' WHEN bad = n AND found = 0 THEN 'failed' ELSE 'partial' END AS status FROM (
+  SELECT qid, count(*) AS n, count(*) FILTER (failed) AS bad, sum(hits) AS found FROM (
+    SELECT qid, collection, max(score) < {least} AS failed, count(*) FILTER (score >= {least}) AS hits FROM h GROUP BY qid, collection) GROUP BY qid))"""
+
+
+@query("RET-28", HITS + f"""
+SELECT qid, CASE WHEN (a.status = 'ok') <> (b.status = 'ok') THEN 'partial' ELSE a.status END AS status
+FROM {STATUS_AT.format(least=0.25)} a JOIN {STATUS_AT.format(least=0.32)} b USING (qid)""")
+def two_path_status(spark, d):
+    """Status of a search by two wordings, the second of which finds less."""
+    second = _status_at(spark, d, 0.32).select("qid", F.col("status").alias("other"))
+    both = _status_at(spark, d, 0.25).join(second, "qid")
+    return both.select("qid", rk.merge_status(F.col("status"), F.col("other")).alias("status"))
+
+
 @query("RET-29", HITS + BALANCED + """
 SELECT qid, collection, id, rerank_score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC NULLS LAST, score DESC, collection, id) AS rank FROM (
@@ -166,9 +213,9 @@ SELECT qid, collection, id, rerank_score, rank FROM (
   WHERE rerank_score IS NULL OR rerank_score >= 3) WHERE rank <= 7""")
 def relevant_hits(spark, d):
     h = balanced_hits(spark, d)
-    scores = h.where(F.col("quality").isNotNull()).select("qid", "id", (F.when(F.col("quality") == 1, 4.0).otherwise(2.0) + F.col("label")).alias("relevance"))
+    given = F.when(F.col("quality").isNotNull(), F.when(F.col("quality") == 1, 4.0).otherwise(2.0) + F.col("label"))
     pen = F.when(F.col("toxic") == 1, 2.0).otherwise(0.0)
-    return rk.apply_relevance(h, scores, 7, penalty=pen).select(*KEEP, "rerank_score", "rank")
+    return rk.apply_relevance(h, given, 7, penalty=pen).select(*KEEP, "rerank_score", "rank")
 
 
 @query("RET-30", r"""
@@ -196,6 +243,23 @@ def context_packs(spark, d):
     return rk.context_pack(final, q)
 
 
+@query("RET-31", HITS + BALANCED + r"""
+SELECT qid, string_agg('**' || source_key || '** (score: ' || printf('%.4f', score) || ')' || CASE WHEN collection = 'en' THEN E'\nu' || CAST(id AS VARCHAR) ELSE '' END || E'\n```\n' || content || E'\n```', E'\n\n---\n\n' ORDER BY rank) AS results
+FROM balanced WHERE rank <= 7 GROUP BY qid""")
+def result_lists(spark, d):
+    final = balanced_hits(spark, d).where(F.col("rank") <= 7).withColumns({
+        "source": F.col("source_key"), "url": F.when(F.col("collection") == "en", F.concat(F.lit("u"), F.col("id"))).otherwise("")})
+    return rk.result_list(final)
+
+
+@query("RET-14", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN source ELSE '' END AS content FROM documents")
+def point_contents(spark, d):
+    """Texts of points, some under the older name, some without any."""
+    part = F.col("doc_id") % 3
+    rows = table(spark, d, "documents").select("doc_id", F.when(part == 0, F.col("text")).otherwise("").alias("content"), F.when(part < 2, F.col("source")).alias("chunk_text"))
+    return rows.select("doc_id", rk.content_of(rows).alias("content"))
+
+
 # --- collection registry and routing ------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loreloom import schemas
 from loreloom.operators import retrieval as rt
 from loreloom.plans import tables as tb
+from loreloom.plans.chunking import SEGMENTS, document_chunks
 from loreloom.plans.registry import query, table
 from loreloom.session import work_folder
 from loreloom.sources import readers, sinks
@@ -80,12 +81,17 @@ def routed_collections(spark, d):
     return spark.read.parquet(path).groupBy("collection").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).cast("bigint").alias("chars"))
 
 
-@query("SNK-7 EMB-2", tb.with_views(tb.POINTS, tb.LEXICAL) + "SELECT p.id, count(term) AS terms, CAST(count(p.id) FILTER (p.vector IS NULL) AS BIGINT) AS lost FROM points p LEFT JOIN dterms d ON d.id = p.id GROUP BY p.id")
+@query("SNK-7 EMB-2", tb.with_views(tb.POINTS, tb.LEXICAL) + "SELECT p.id, count(term) AS terms, CAST(count(p.id) FILTER (p.vector IS NULL) AS BIGINT) AS lost, CAST(0 AS BIGINT) AS changed FROM points p LEFT JOIN dterms d ON d.id = p.id GROUP BY p.id")
 def enriched_copy(spark, d):
     source = tb.points(spark, d)
     vectors = rt.sparse_vectors(rt.lexical_weights(source, "id", "content"), "id")
-    copy = sinks.enrich_copy(source, vectors, "id")
-    return copy.select("id", F.coalesce(F.size("terms"), F.lit(0)).cast("bigint").alias("terms"), F.col("vector").isNull().cast("bigint").alias("lost"))
+    path = work_folder(spark, "copy")
+    sinks.enrich_copy(source, vectors, "id").write.parquet(path)
+    copy = spark.read.parquet(path)
+    # Ids, payload and vectors of the written copy are those of the source.
+    odd = sinks.copy_differences(source, copy, ["id", "vector", "content", "collection", "source_key"]).groupBy("id").agg(F.count("*").alias("changed"))
+    return copy.join(odd, "id", "left").select("id", F.coalesce(F.size("terms"), F.lit(0)).cast("bigint").alias("terms"),
+                                               F.col("vector").isNull().cast("bigint").alias("lost"), F.coalesce("changed", F.lit(0)).alias("changed"))
 
 
 @query("SRC-4", """
@@ -112,6 +118,35 @@ def operational_tables(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
+@query("SRC-1", """
+SELECT doc_id AS id, source AS category, sha256(text) AS digest, CAST(CASE WHEN lang = 'en' THEN 2 ELSE 0 END AS BIGINT) AS answers FROM documents""")
+def posts_round_trip(spark, d):
+    """Posts written as JSON lines and read with their schema."""
+    path = work_folder(spark, "posts")
+    given = F.array(F.struct(F.col("text").alias("body"), F.lit("u1").alias("url")), F.struct(F.col("source").alias("body"), F.lit("u2").alias("url")))
+    table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("category"), F.col("text").alias("question_body"),
+                                        F.when(F.col("lang") == "en", given).alias("answers")).write.json(path)
+    return readers.read_posts(spark, path, lines=True).select(
+        "id", "category", F.sha2("question_body", 256).alias("digest"), F.coalesce(F.size("answers"), F.lit(0)).cast("bigint").alias("answers"))
+
+
+@query("SRC-2 CHK-5", "WITH " + SEGMENTS + "SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, sha256(text) AS digest FROM exploded")
+def chunks_round_trip(spark, d):
+    path = work_folder(spark, "chunks")
+    document_chunks(spark, d).write.parquet(path)
+    return readers.read_chunks(spark, path).select("doc_id", "chunk_index", F.sha2("text", 256).alias("digest"))
+
+
+@query("SRC-5", "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS matches FROM documents GROUP BY source")
+def document_files(spark, d):
+    """A folder of text files for each source, read whole with fingerprint and time."""
+    path = work_folder(spark, "files")
+    table(spark, d, "documents").select("source", "text").repartition("source").write.partitionBy("source").text(path)
+    files = readers.read_documents(spark, f"{path}/*/*.txt")
+    matches = F.col("source_version").endswith(F.substring("sha256", 1, 12)) & (F.sha2(F.encode("text", "UTF-8"), 256) == F.col("sha256"))
+    return files.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("bytes").alias("bytes"), F.bool_and(matches).alias("matches"))
+
+
 @query("SRC-3", "SELECT page_id AS source_post_id, url AS source_url, '2026' AS year, true AS downloaded FROM pages")
 def manifest_round_trip(spark, d):
     """Items written as JSON lines and read with their schema."""

@@ -190,6 +190,16 @@ def token_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.token_count("text").alias("tokens"))
 
 
+@query("UDF-2 CHK-2", r"""
+SELECT doc_id, CAST(i AS BIGINT) AS start, substr(text, 4 * i + 1, 200) AS text FROM (
+  SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 4.0) AS BIGINT) - 10, 1), 40)) AS i FROM documents WHERE text <> '')""")
+def piece_windows(spark, d):
+    """Windows of 50 sub-word tokens that start every 40."""
+    windows = tx.token_windows(F.col("text"), 50, 40, tokenizer=tx.pieces(4))
+    return texts(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(windows).alias("i", "text")).select(
+        "doc_id", (F.col("i") * 40).cast("bigint").alias("start"), "text")
+
+
 WINDOWS = r"""
 SELECT doc_id, CAST(i AS BIGINT) AS start, array_to_string(t[i + 1:i + {size}], ' ') AS text
 FROM (SELECT doc_id, t, unnest(range(0, {last}, {step})) AS i

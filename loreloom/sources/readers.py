@@ -9,11 +9,11 @@ from loreloom import schemas
 from loreloom.functions import text as tx
 
 
-def read_posts(spark: SparkSession, path: str) -> DataFrame:
-    """Posts from JSON arrays (one or many files); Parquet folders are read as they are."""
+def read_posts(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Posts from JSON arrays (one or many files), or from JSON lines, which split; Parquet folders are read as they are."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.schema(schemas.POSTS).option("multiLine", True).json(path)
+    return spark.read.schema(schemas.POSTS).option("multiLine", not lines).json(path)
 
 
 def read_manifest(spark: SparkSession, path: str, *, array: bool = False) -> DataFrame:

@@ -253,3 +253,43 @@ def test_statistics_of_nothing(spark):
     empty = spark.createDataFrame([], "text string")
     assert tuple(qna.chunk_stats(empty).first()) == (0, 0.0, 0, 0, 0)
     assert tx.WORDS.additive
+
+
+def test_packing_with_a_tokenizer_whose_counts_do_not_add_up(values):
+    """Sub-word tokens: packing recounts the growing chunk; a plain Python packing agrees."""
+    import math
+    import re
+
+    from loreloom.functions import text as tx
+    from loreloom.operators import qna_chunks as qna
+
+    size, overlap = 12, 3
+    count = lambda t: math.ceil(len(t) / 4)
+    cut = lambda t: [t[i:i + 4] for i in range(0, len(t), 4)]
+
+    def windows(t):
+        tokens = cut(t)
+        return ["".join(tokens[i:i + size]) for i in range(0, max(len(tokens) - overlap, 1), size - overlap)]
+
+    def segments(t):
+        out = []
+        for p in filter(None, (x.strip() for x in re.split(r"\n\s*\n", t))):
+            parts = [p] if count(p) <= size else filter(None, (x.strip() for x in re.split(r"(?<=[.!?])\s+|\n", p)))
+            out += [w for s in parts for w in ([s] if count(s) <= size else windows(s))]
+        return out
+
+    def chunks(t):
+        if count(t) <= size:
+            return [t]
+        done, current = [], ""
+        for s in segments(t):
+            if current and count(current) + count(s) > size:
+                done.append(current)
+                tail = "".join(cut(current)[-overlap:]) if count(current) >= overlap else current
+                current = f"{tail}\n{s}"
+            else:
+                current = f"{current}\n{s}".strip() if current else s
+        return done + [current] if current else done
+
+    texts = ["short", "one sentence here. another sentence there! a third one? yes.", "x" * 130, "para one is small\n\npara two is a little longer than that\n\nthree", "a b. " * 30]
+    assert values(lambda c: qna.chunks(c, size=size, overlap=overlap, tokenizer=tx.pieces(4)), texts) == [chunks(t) for t in texts]
