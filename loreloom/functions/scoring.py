@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 MAX_CELLS = 4_000_000
 # Sparse scores are sums; rounded, equal texts tie whatever the order of their terms.
 SPARSE_DIGITS = 9
+# The last digits of a matrix product depend on its blocking; rounded, equal vectors tie.
+DENSE_DIGITS = 15
 NONE = -np.inf
 
 
@@ -119,7 +121,7 @@ class QueryBlock:
             _, values = _flat(batch.column("vector"))
             d = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             norms = np.linalg.norm(d, axis=1, keepdims=True)
-            s = np.divide(d, norms, out=np.zeros_like(d), where=norms > 0) @ self.vectors.T
+            s = np.round(np.divide(d, norms, out=np.zeros_like(d), where=norms > 0) @ self.vectors.T, DENSE_DIGITS)
         elif "weights" in batch.column_names:
             lengths, terms = _flat(batch.column("terms"))
             codes = self.terms.words.get_indexer(terms.to_pandas()).astype(np.int64)

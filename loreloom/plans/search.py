@@ -8,6 +8,7 @@ from loreloom.functions import text as tx
 from loreloom.functions.encode import dense_encoder
 from loreloom.operators import qna_chunks as qna, ranking, retrieval as rt
 from loreloom.plans import tables as tb
+from loreloom.plans.chunking import SEGMENTS
 from loreloom.plans.registry import query, table, texts
 from loreloom.session import cut_lineage, spread
 
@@ -192,7 +193,18 @@ def encoded_documents(spark, d):
     return texts(spark, d, "documents", "doc_id", "text").select("doc_id", encode("text").alias("vector"))
 
 
-@query("CHK-5 EMB-1 RET-1 RET-23")
+RANKED_CHUNKS = "WITH " + SEGMENTS + """,
+texts AS (SELECT 'c' || doc_id || '_' || chunk_index AS key, text FROM exploded UNION ALL SELECT 'q' || item_id, text FROM benchmark),""" + ENCODED.format(rows="texts") + """,
+vectors AS (SELECT key[1] AS kind, substr(key, 2) AS id, CAST(vector AS DOUBLE[]) AS v FROM encoded),
+scored AS (SELECT CAST(q.id AS BIGINT) AS qid, c.id, round(list_cosine_similarity(q.v, c.v), 15) AS score FROM vectors q, vectors c WHERE q.kind = 'q' AND c.kind = 'c'),
+hits AS (SELECT *, CAST(split_part(id, '_', 1) AS BIGINT) AS post_id, CAST(split_part(id, '_', 2) AS BIGINT) AS chunk_index
+  FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS depth FROM scored) WHERE depth <= 28),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, post_id ORDER BY score DESC, id) AS p FROM hits) WHERE p <= 2)
+SELECT qid, id, post_id, chunk_index, source AS source_key, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
+FROM capped JOIN documents ON doc_id = post_id"""
+
+
+@query("CHK-5 EMB-1 RET-1 RET-23", RANKED_CHUNKS)
 def ranked_chunks(spark, d):
     """Documents -> chunks -> vectors -> best chunks of every benchmark text, at most two per document."""
     encode = dense_encoder()
