@@ -184,3 +184,40 @@ CONCLUSION_PATTERN = r"(?m)^결론: (.{25,110})"
 # Memos that name a reason in brackets.
 REDACTED_MEMO_PREFIXES = ("오류 환불 (", "요청 저장 실패 환불 (")
 USAGE_MEMO = "질문"
+
+# Source types and groups of hits; the label of the knowledge base.
+KB_TYPE = "aark"
+KB_LABEL = "AARK"
+SOURCE_GROUPS = ("rules", "qna", "aark", "other")
+
+# Weights of the query boost, and the shares of boost and penalty in a score.
+BOOST_WEIGHTS = {"competition": 0.18, "competition_other": -0.08, "type": 0.14, "type_other": -0.04,
+                 "section": 0.20, "chapter": 0.12, "term": 0.06, "terms_max": 0.35}
+BOOST_SHARE = 0.2
+PENALTY_SHARE = 0.04
+UNRESOLVED_GRADE = "미해결"
+SINGLE_REPORT_GRADE = "단일제보"
+
+# Sentences of the text that goes to the answering model.
+DOCUMENT_LABEL = "[문서 "
+DOCUMENTS_FOUND = "다음은 검색된 참고 문서입니다:\n\n"
+DOCUMENTS_MISSING = "질문에 직접 관련된 참고 문서를 찾지 못했습니다. 문서 근거가 필요한 허용 여부·검차 판단은 단정하지 마세요.\n\n"
+SEARCH_WORDING = "(검색에 사용된 쿼리: "
+SEARCH_STATUS = "(검색 상태: "
+MIXED_COMPETITIONS = (
+    "(서로 다른 종목의 자료가 검색되었습니다. 이를 하나의 규정처럼 합치지 말고 "
+    "종목별 공통점과 차이를 명시하세요. 허용 여부가 달라지면 먼저 종목을 확인하세요.)\n")
+INCOMPLETE_QUESTION = "(질문이 불완전합니다. 추측해서 길게 답하지 말고 가장 중요한 확인 질문 하나만 하세요.)\n"
+USER_QUESTION = "사용자 질문: "
+
+# Groups of collections that a reader can choose: key, collection, label, source type.
+COLLECTION_GROUPS = (("rules", "rules-all", "규정", "rules"), ("qna", "qna", "Q&A", "qna"), ("kb", "kb", "KB", "kb"))
+
+# Lines of Markdown notes.
+MARKDOWN_CHAPTER = r"(?U)\A##\s+(?:(\d+)\.\s*)?(.+?)\s*\z"
+MARKDOWN_SECTION = r"(?U)\A###\s+(.+?)\s*\z"
+MARKDOWN_SUBHEAD = r"(?U)\A####\s+(.+?)\s*\z"
+MARKDOWN_BOLD = r"(?U)\A\*\*(.+?)\*\*\s*\z"
+MARKDOWN_BULLET = r"(?U)\A-\s+(.*?)\s*\z"
+MARKDOWN_NESTED = r"(?U)\A\s+-\s+(.*?)\s*\z"
+MARKDOWN_ANY_BULLET = r"(?U)\A\s*-\s+(.*?)\s*\z"

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreloom.functions import fixed_values as fixed
 from loreloom.functions import text as tx
 from loreloom.functions.text import WORDS, Tokenizer
 from loreloom.operators import qna_chunks as qna
@@ -19,13 +20,6 @@ MAX_TOKENS = 384
 MARGIN = 4
 CAPTION_CHARS = 40
 
-CHAPTER = r"(?U)\A##\s+(?:(\d+)\.\s*)?(.+?)\s*\z"
-SECTION = r"(?U)\A###\s+(.+?)\s*\z"
-SUBHEAD = r"(?U)\A####\s+(.+?)\s*\z"
-BOLD = r"(?U)\A\*\*(.+?)\*\*\s*\z"
-BULLET = r"(?U)\A-\s+(.*?)\s*\z"
-NESTED = r"(?U)\A\s+-\s+(.*?)\s*\z"
-ANY_BULLET = r"(?U)\A\s*-\s+(.*?)\s*\z"
 FIRST_TAG = r"(?s)\A(.*?)" + tx.CONFIDENCE_TAG
 
 _KINDS = {"K": "topic", "T": "table", "B": "brief", "P": "note"}
@@ -36,9 +30,9 @@ def classify_lines(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     lines = docs.select(*keys, F.posexplode(F.split(tx.or_empty(text), "\n")).alias("pos", "line"))
     line, bare = F.col("line"), tx.strip("line")
     shape = (
-        F.when(line.startswith("## ") & line.rlike(CHAPTER), "chapter")
-        .when(line.rlike(SECTION), "section").when(line.rlike(SUBHEAD), "subhead").when(line.rlike(BOLD), "bold")
-        .when(bare.startswith("|"), "table").when(line.rlike(BULLET), "bullet").when(line.rlike(NESTED), "nested")
+        F.when(line.startswith("## ") & line.rlike(fixed.MARKDOWN_CHAPTER), "chapter")
+        .when(line.rlike(fixed.MARKDOWN_SECTION), "section").when(line.rlike(fixed.MARKDOWN_SUBHEAD), "subhead").when(line.rlike(fixed.MARKDOWN_BOLD), "bold")
+        .when(bare.startswith("|"), "table").when(line.rlike(fixed.MARKDOWN_BULLET), "bullet").when(line.rlike(fixed.MARKDOWN_NESTED), "nested")
         .when(bare == "", "blank").otherwise("prose")
     )
     return lines.select(*keys, F.col("pos").cast("bigint").alias("pos"), "line", shape.alias("shape"))
@@ -46,9 +40,9 @@ def classify_lines(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def caption(line: Column) -> Column:
     """A short bullet without a body is the caption of the table below it, else ''."""
-    item = F.regexp_replace(F.regexp_extract(line, ANY_BULLET, 1), tx.CONFIDENCE_TAG, "")
+    item = F.regexp_replace(F.regexp_extract(line, fixed.MARKDOWN_ANY_BULLET, 1), tx.CONFIDENCE_TAG, "")
     t = tx.strip_markup(item)
-    ok = line.rlike(ANY_BULLET) & ~t.contains("—") & (F.length(t) <= CAPTION_CHARS)
+    ok = line.rlike(fixed.MARKDOWN_ANY_BULLET) & ~t.contains("—") & (F.length(t) <= CAPTION_CHARS)
     return F.coalesce(F.when(ok, t), F.lit(""))
 
 
@@ -61,10 +55,10 @@ def with_context(lines: DataFrame, keys: list[str]) -> DataFrame:
     above = w.rowsBetween(Window.unboundedPreceding, -1)
     below = w.rowsBetween(1, Window.unboundedFollowing)
     chapter = F.when(shape == "chapter", F.struct(
-        F.regexp_extract(line, CHAPTER, 1).try_cast("bigint").alias("num"), F.regexp_extract(line, CHAPTER, 2).alias("name")))
-    section = F.when(shape == "chapter", "").when(shape == "section", F.regexp_extract(line, SECTION, 1))
-    subhead = (F.when(shape.isin("chapter", "section"), "").when(shape == "subhead", F.regexp_extract(line, SUBHEAD, 1))
-               .when(shape == "bold", F.regexp_extract(line, BOLD, 1)))
+        F.regexp_extract(line, fixed.MARKDOWN_CHAPTER, 1).try_cast("bigint").alias("num"), F.regexp_extract(line, fixed.MARKDOWN_CHAPTER, 2).alias("name")))
+    section = F.when(shape == "chapter", "").when(shape == "section", F.regexp_extract(line, fixed.MARKDOWN_SECTION, 1))
+    subhead = (F.when(shape.isin("chapter", "section"), "").when(shape == "subhead", F.regexp_extract(line, fixed.MARKDOWN_SUBHEAD, 1))
+               .when(shape == "bold", F.regexp_extract(line, fixed.MARKDOWN_BOLD, 1)))
     filled = F.when(shape != "blank", line)
     return lines.select(
         "*",
@@ -112,7 +106,7 @@ def blocks(docs: DataFrame, keys: list[str], text: str, *, keep_long_captions: b
     )
     numbered = anchored.withColumn("__start", starts).withColumn(
         "__block", F.sum(F.col("__start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    head, child = F.regexp_extract(line, BULLET, 1), F.regexp_extract(line, NESTED, 1)
+    head, child = F.regexp_extract(line, fixed.MARKDOWN_BULLET, 1), F.regexp_extract(line, fixed.MARKDOWN_NESTED, 1)
     title = F.when(role == "K", tx.strip_markup(F.regexp_replace(head, FIRST_TAG, "$1"))).when(
         role == "T", F.coalesce(tx.non_empty(caption(F.coalesce("__above", F.lit("")))), F.col("subhead"))).otherwise(F.col("subhead"))
     content = (

@@ -17,15 +17,8 @@ from loreloom.functions import text as tx
 
 MAX_PER_POST = 2
 MAX_PER_SECTION = 2
-GROUPS = ("rules", "qna", "aark", "other")
 BEST_FIRST = ("score", "collection", "id")
 
-# Weights of the query boost.
-BOOST = {"competition": 0.18, "competition_other": -0.08, "type": 0.14, "type_other": -0.04,
-         "section": 0.20, "chapter": 0.12, "term": 0.06, "terms_max": 0.35}
-BOOST_SHARE = 0.2
-PENALTY_SHARE = 0.04
-
 
 def _have(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
@@ -51,7 +44,7 @@ def answered_only(hits: DataFrame, *, collection: str = "qna", marker: str = fix
     return hits.where((F.col("collection") != collection) | F.col("content").contains(marker))
 
 
-def source_label(hits: DataFrame, *, kb_type: str = "aark", kb_label: str = "AARK") -> DataFrame:
+def source_label(hits: DataFrame, *, kb_type: str = fixed.KB_TYPE, kb_label: str = fixed.KB_LABEL) -> DataFrame:
     """``source`` and ``url`` by the payload: knowledge base, rules, titled post, chapter, nothing."""
     def given(name: str) -> Column:
         return _filled(hits, name)
@@ -126,7 +119,7 @@ def route_document_type(queries: DataFrame, active: DataFrame, *, query: str = "
 # --- boosts and penalties -----------------------------------------------------------------------
 
 
-def query_boost(hits: DataFrame, *, weights: Mapping[str, float] = BOOST) -> Column:
+def query_boost(hits: DataFrame, *, weights: Mapping[str, float] = fixed.BOOST_WEIGHTS) -> Column:
     """Boost of a rule hit. Hits carry the hints of their query: ``q_competition``,
     ``q_document_type``, ``q_terms``, ``q_sections``, ``q_chapters``."""
     zero = F.lit(0.0)
@@ -148,12 +141,12 @@ def query_boost(hits: DataFrame, *, weights: Mapping[str, float] = BOOST) -> Col
     return c + t + cited("section_num", "q_sections") + cited("chapter_num", "q_chapters") + terms
 
 
-def evidence_penalty(hits: DataFrame, *, kb_type: str = "aark", kb_collection: str = "kb") -> Column:
+def evidence_penalty(hits: DataFrame, *, kb_type: str = fixed.KB_TYPE, kb_collection: str = "kb") -> Column:
     """2 for unresolved or unanswered entries of the knowledge base, 0.5 for single reports."""
     kb = (_filled(hits, "source_type") == kb_type) | (_filled(hits, "collection") == kb_collection)
     grade = _filled(hits, "confidence")
-    unresolved = (grade == "미해결") | _filled(hits, "content").contains(fixed.NO_ANSWER_MARK)
-    return F.when(kb & unresolved, 2.0).when(kb & (grade == "단일제보"), 0.5).otherwise(0.0)
+    unresolved = (grade == fixed.UNRESOLVED_GRADE) | _filled(hits, "content").contains(fixed.NO_ANSWER_MARK)
+    return F.when(kb & unresolved, 2.0).when(kb & (grade == fixed.SINGLE_REPORT_GRADE), 0.5).otherwise(0.0)
 
 
 def adjust_scores(hits: DataFrame, *, boost: Column | None = None, penalty: Column | None = None,
@@ -161,7 +154,7 @@ def adjust_scores(hits: DataFrame, *, boost: Column | None = None, penalty: Colu
     """Add the boosts of rule hits, take off the penalties; only penalized hits must reach the minimum again."""
     boosted = F.when(_filled(hits, "source_type") == "rules", F.coalesce(boost, F.lit(0.0))).otherwise(0.0) if boost is not None else F.lit(0.0)
     taken = penalty if penalty is not None else F.lit(0.0)
-    out = hits.withColumn("__p", taken).withColumn("score", F.col("score") + boosted * BOOST_SHARE - F.col("__p") * PENALTY_SHARE)
+    out = hits.withColumn("__p", taken).withColumn("score", F.col("score") + boosted * fixed.BOOST_SHARE - F.col("__p") * fixed.PENALTY_SHARE)
     if min_score is not None:
         out = out.where((F.col("__p") == 0) | (F.col("score") >= min_score))
     return out.drop("__p")
@@ -188,7 +181,7 @@ def cap_repeats(hits: DataFrame, *, per_post: int = MAX_PER_POST, per_section: i
 
 def source_group(hits: DataFrame) -> Column:
     collection, kind = _filled(hits, "collection"), _filled(hits, "source_type")
-    return (F.when(collection == "qna", "qna").when((collection == "kb") | (kind == "aark"), "aark")
+    return (F.when(collection == "qna", "qna").when((collection == "kb") | (kind == fixed.KB_TYPE), fixed.KB_TYPE)
             .when((collection == "rules") | collection.startswith("rules-") | (kind == "rules"), "rules").otherwise("other"))
 
 
@@ -206,7 +199,7 @@ def balance(hits: DataFrame, limit: int, *, group: Column | None = None) -> Data
     return ranked.where(F.col("rank") <= limit)
 
 
-def candidate_counts(hits: DataFrame, groups: tuple[str, ...] = GROUPS, *, group: Column | None = None) -> DataFrame:
+def candidate_counts(hits: DataFrame, groups: tuple[str, ...] = fixed.SOURCE_GROUPS, *, group: Column | None = None) -> DataFrame:
     """Hits per query and group, zeros filled in."""
     g = group if group is not None else source_group(hits)
     return hits.groupBy("qid").agg(*[F.count_if(g == name).alias(name) for name in groups])
@@ -277,7 +270,7 @@ def context_pack(hits: DataFrame, queries: DataFrame, *, search_query: str | Non
                  clarify: Column | None = None) -> DataFrame:
     """One text per query: numbered sources with their url, or the notice that there are none, the
     search wording and status, a note on mixed competitions, and the question. Hits are a final list."""
-    header = F.concat(F.lit("[문서 "), F.col("rank"), F.lit("] "), F.col("source"),
+    header = F.concat(F.lit(fixed.DOCUMENT_LABEL), F.col("rank"), F.lit("] "), F.col("source"),
                       F.when(F.col("url") != "", F.concat(F.lit("\nURL: "), F.col("url"))).otherwise(""))
     key = cl.normalize_competition(_filled(hits, "competition"))
     named = F.when((_filled(hits, "competition") != "") & (key != fixed.OTHER), key)
@@ -285,22 +278,20 @@ def context_pack(hits: DataFrame, queries: DataFrame, *, search_query: str | Non
         F.array_sort(F.collect_list(F.struct("rank", F.concat(header, F.lit("\n"), F.col("content")).alias("text")))).alias("__docs"),
         F.size(F.collect_set(named)).alias("__families"))
     joined = queries.join(packed, "qid", "left")
-    found = F.concat(F.lit("다음은 검색된 참고 문서입니다:\n\n"), F.array_join(F.transform("__docs", lambda x: x["text"]), "\n\n---\n\n"), F.lit("\n\n---\n\n"))
-    missing = F.lit("질문에 직접 관련된 참고 문서를 찾지 못했습니다. 문서 근거가 필요한 허용 여부·검차 판단은 단정하지 마세요.\n\n")
+    found = F.concat(F.lit(fixed.DOCUMENTS_FOUND), F.array_join(F.transform("__docs", lambda x: x["text"]), "\n\n---\n\n"), F.lit("\n\n---\n\n"))
+    missing = F.lit(fixed.DOCUMENTS_MISSING)
     wording = F.lit("")
     if search_query:
         other = F.col(search_query).isNotNull() & (F.col(search_query) != F.col("query"))
-        wording = F.when(other, F.concat(F.lit("(검색에 사용된 쿼리: "), F.col(search_query), F.lit(")\n"))).otherwise("")
-    state = F.concat(F.lit("(검색 상태: "), F.col(status) if status else F.lit("ok"), F.lit(")\n"))
+        wording = F.when(other, F.concat(F.lit(fixed.SEARCH_WORDING), F.col(search_query), F.lit(")\n"))).otherwise("")
+    state = F.concat(F.lit(fixed.SEARCH_STATUS), F.col(status) if status else F.lit("ok"), F.lit(")\n"))
     is_mixed = cl.detect_competition(F.col("query")).isNull() & (F.coalesce("__families", F.lit(0)) > 1)
-    mixed = F.when(is_mixed, F.lit(
-        "(서로 다른 종목의 자료가 검색되었습니다. 이를 하나의 규정처럼 합치지 말고 "
-        "종목별 공통점과 차이를 명시하세요. 허용 여부가 달라지면 먼저 종목을 확인하세요.)\n")).otherwise("")
+    mixed = F.when(is_mixed, fixed.MIXED_COMPETITIONS).otherwise("")
     unclear = F.lit("")
     if clarify is not None:
-        unclear = F.when(clarify, "(질문이 불완전합니다. 추측해서 길게 답하지 말고 가장 중요한 확인 질문 하나만 하세요.)\n").otherwise("")
+        unclear = F.when(clarify, fixed.INCOMPLETE_QUESTION).otherwise("")
     text = F.concat(F.when(F.col("__docs").isNotNull(), found).otherwise(missing), wording, state, mixed, unclear,
-                    F.lit("사용자 질문: "), F.col("query"))
+                    F.lit(fixed.USER_QUESTION), F.col("query"))
     return joined.select("qid", text.alias("prompt"), F.coalesce(F.size("__docs"), F.lit(0)).cast("bigint").alias("sources"),
                          is_mixed.alias("mixed"))
 

@@ -42,11 +42,7 @@ def build(names: DataFrame, kinds: DataFrame, year: str, *, prefix: str = "rules
         F.lit("rules").alias("source_type"), F.lit(True).alias("supports_filters"), F.lit(year).alias("year"))
 
 
-# The three groups a reader can choose.
-GROUPS = (("rules", "rules-all", "규정", "rules"), ("qna", "qna", "Q&A", "qna"), ("kb", "kb", "KB", "kb"))
-
-
-def with_groups(detail: DataFrame, groups: DataFrame | Sequence[tuple] = GROUPS) -> DataFrame:
+def with_groups(detail: DataFrame, groups: DataFrame | Sequence[tuple] = fixed.COLLECTION_GROUPS) -> DataFrame:
     """Detail collections and the groups above them: a table of key, collection, label and source_type, or such tuples."""
     rows = groups if isinstance(groups, DataFrame) else detail.sparkSession.createDataFrame(
         list(groups), "key string, collection string, label string, source_type string")
