@@ -30,7 +30,7 @@ TABLES = 4
 PROBES = 24
 LEAST = 2_048  # vectors that the buckets probed in one table hold at least, in expectation
 DIGITS = 1
-GROUP = 2_048
+GROUP = 512
 SEED = 11
 
 
