@@ -1,13 +1,13 @@
 """Rule documents -> sections -> token-budgeted chunks with context headers.
 
-Lines of a document come from one row, so windows over a document are bounded by that row.
+Sections and chunks are worked out inside the row of their document; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.functions import classify as cl
@@ -39,11 +39,15 @@ def kept_lines(docs: DataFrame, keys: list[str], text: str, *, noise: Iterable[s
     *noise* are patterns of whole lines: page numbers by default, plus the footers, running titles
     and gutters of the documents at hand.
     """
-    folded = docs.select(*keys, nfkc(tx.or_empty(text)).alias("__text"))
-    lines = F.transform(F.split("__text", LINE_END), lambda x: cl.rewritten_rule_text(x))
+    rows = docs.select(*keys, nfkc(tx.or_empty(text)).alias("__text"))
+    return rows.select(*keys, F.posexplode(line_array(F.col("__text"), noise)).alias("pos", "line")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def line_array(folded: Column, noise: Iterable[str] = (fixed.BARE_PAGE_NUMBER,)) -> Column:
+    """The kept lines of a text after Unicode folding, as an array."""
+    lines = F.transform(F.split(folded, LINE_END), lambda x: cl.rewritten_rule_text(x))
     patterns = list(noise)
-    kept = F.filter(lines, lambda x: (x != "") & ~cl.any_match(x, patterns)) if patterns else F.filter(lines, lambda x: x != "")
-    return folded.select(*keys, F.posexplode(kept).alias("pos", "line")).withColumn("pos", F.col("pos").cast("bigint"))
+    return F.filter(lines, lambda x: (x != "") & ~cl.any_match(x, patterns)) if patterns else F.filter(lines, lambda x: x != "")
 
 
 def accept_manifest(items: DataFrame, year: str = DEFAULT_YEAR, *, present: Column | None = None) -> DataFrame:
@@ -102,40 +106,61 @@ def header_title() -> Column:
 # --- sections -----------------------------------------------------------------------------------
 
 
-def sectionize(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines -> one row per article or supplement, with its body lines in order.
+SECTIONS = "array<struct<pos:bigint,chapter_num:bigint,chapter:string,section_num:bigint,section:string,lines:array<string>>>"
+
+
+def sections_of(lines: Column) -> Column:
+    """The articles and supplements of an array of lines, each with its body lines; nothing leaves the row.
 
     Lines before the first article of a chapter are dropped, and so are articles before the first
     chapter. A supplement is section 9999; before any chapter it keeps no lines.
     """
-    line = F.col("line")
-    chapter = line.rlike(fixed.RULE_CHAPTER)
-    number = F.when(chapter, F.regexp_extract(line, fixed.RULE_CHAPTER, 1).try_cast("bigint"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    at = lines.withColumn("__chapter", F.when(chapter, F.struct(
-        number.alias("num"), tx.strip(F.regexp_extract(line, fixed.RULE_CHAPTER, 2)).alias("name"))))
-    at = at.withColumn("__in", F.last("__chapter", ignorenulls=True).over(upto))
-    chapter_num = F.coalesce(F.col("__in.num"), F.lit(0))
-    article = ~chapter & line.rlike(fixed.RULE_SECTION) & (chapter_num != 0)
-    supplement = ~chapter & ~article & line.rlike(fixed.RULE_SUPPLEMENT)
-    name, rest = (tx.strip(F.regexp_extract(line, fixed.RULE_SECTION, i)) for i in (2, 3))
-    title = F.when(F.regexp_extract(line, fixed.RULE_SECTION, 2) != "", F.when(
-        rest != "", F.concat(name, F.lit(" - "), rest)).otherwise(name)).otherwise(rest)
-    title = F.coalesce(tx.non_empty(tx.strip(title)), F.lit(fixed.DEFAULT_SECTION_TITLE))
-    head = F.when(article, F.struct(F.regexp_extract(line, fixed.RULE_SECTION, 1).try_cast("bigint").alias("num"),
-                                    title.alias("title"))).when(
-        supplement, F.struct(F.lit(fixed.SUPPLEMENT_NUMBER).cast("bigint").alias("num"), F.lit(fixed.SUPPLEMENT_TITLE).alias("title")))
-    marked = at.withColumn("__head", head).withColumn("__break", (F.col("__chapter").isNotNull() | F.col("__head").isNotNull()).cast("int"))
-    marked = marked.withColumn("__block", F.sum("__break").over(upto)).withColumn("__num", chapter_num)
-    body = F.when((F.col("__break") == 0) & (F.col("__num") != 0), F.struct("pos", "line"))
-    blocks = marked.groupBy(*keys, "__block").agg(
-        F.max(F.col("__head")).alias("h"), F.min("pos").alias("pos"),
-        F.first("__num").alias("chapter_num"), F.first(F.coalesce(F.col("__in.name"), F.lit(""))).alias("chapter"),
-        F.array_sort(F.collect_list(body)).alias("b"))
-    return blocks.where(F.col("h").isNotNull()).select(
-        *keys, "pos", "chapter_num", "chapter", F.col("h.num").alias("section_num"), F.col("h.title").alias("section"),
-        F.transform("b", lambda x: x["line"]).alias("lines"))
+    def chapter_of(x: Column, i: Column) -> Column:
+        number = F.coalesce(F.regexp_extract(x, fixed.RULE_CHAPTER, 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+        return F.struct(i.alias("i"), number.alias("num"), tx.strip(F.regexp_extract(x, fixed.RULE_CHAPTER, 2)).alias("name"))
+
+    def marked(x: Column, i: Column) -> Column:
+        chapter = x.rlike(fixed.RULE_CHAPTER)
+        return F.struct(i.alias("i"), x.alias("x"), chapter.alias("c"), (~chapter & x.rlike(fixed.RULE_SECTION)).alias("a"), (~chapter & x.rlike(fixed.RULE_SUPPLEMENT)).alias("s"))
+
+    def head(b: Column) -> Column:
+        x = b["x"]
+        name, rest = (tx.strip(F.regexp_extract(x, fixed.RULE_SECTION, i)) for i in (2, 3))
+        title = F.when(F.regexp_extract(x, fixed.RULE_SECTION, 2) != "", F.when(rest != "", F.concat(name, F.lit(" - "), rest)).otherwise(name)).otherwise(rest)
+        title = F.coalesce(tx.non_empty(tx.strip(title)), F.lit(fixed.DEFAULT_SECTION_TITLE))
+        number = F.regexp_extract(x, fixed.RULE_SECTION, 1).try_cast("bigint")
+        article = F.struct(number.alias("num"), title.alias("title"))
+        return F.when(b["a"], article).otherwise(F.struct(F.lit(fixed.SUPPLEMENT_NUMBER).cast("bigint").alias("num"), F.lit(fixed.SUPPLEMENT_TITLE).alias("title")))
+
+    def cut(breaks: Column) -> Column:
+        def section(b: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(breaks, j + 1)["i"], F.size(lines))
+            body = F.when(b["num"] != 0, F.slice(lines, b["i"] + 2, end - b["i"] - 1)).otherwise(F.array().cast("array<string>"))
+            return F.when(~b["c"], F.struct(b["i"].cast("bigint").alias("pos"), b["num"].alias("chapter_num"), b["name"].alias("chapter"), head(b)["num"].alias("section_num"),
+                                            head(b)["title"].alias("section"), body.alias("lines")))
+
+        return F.filter(F.transform(breaks, section), lambda x: x.isNotNull())
+
+    def with_chapters(marks: Column) -> Column:
+        chapters = F.transform(F.filter(marks, lambda m: m["c"]), lambda m: chapter_of(m["x"], m["i"]))
+
+        def placed(m: Column) -> Column:
+            before = F.filter(chapters, lambda c: c["i"] <= m["i"])
+            inside = F.get(before, F.size(before) - 1)
+            return F.struct(m["i"].alias("i"), m["x"].alias("x"), m["c"].alias("c"), (m["a"] & (F.coalesce(inside["num"], F.lit(0)) != 0)).alias("a"), m["s"].alias("s"),
+                            F.coalesce(inside["num"], F.lit(0).cast("bigint")).alias("num"), F.coalesce(inside["name"], F.lit("")).alias("name"))
+
+        # An article before any chapter is no break, a supplement is one anywhere.
+        return tx.let(F.filter(F.transform(marks, placed), lambda m: m["c"] | m["a"] | m["s"]), cut)
+
+    marks = F.filter(F.transform(lines, marked), lambda m: m["c"] | m["a"] | m["s"])
+    return tx.let(marks, with_chapters).cast(SECTIONS)
+
+
+def sectionize(docs: DataFrame, keys: list[str], text: str, *, noise: Iterable[str] = (fixed.BARE_PAGE_NUMBER,)) -> DataFrame:
+    """Documents -> one row per article or supplement, with its body lines in order."""
+    rows = docs.select(*keys, nfkc(tx.or_empty(text)).alias("__text")).select(*keys, line_array(F.col("__text"), noise).alias("__lines"))
+    return rows.select(*keys, F.explode(sections_of(F.col("__lines"))).alias("s")).select(*keys, "s.*")
 
 
 def tail_lines(lines: Column, limit: int = OVERLAP) -> Column:
@@ -182,32 +207,22 @@ def pack_lines(parts: Column, budget: Column, *, overlap: int = OVERLAP, tokeniz
         F.size(acc["buffer"]) > 0, F.concat(acc["done"], F.array(joined(acc["buffer"])))).otherwise(acc["done"]))
 
 
-def chunk_sections(sections: DataFrame, *, keys: list[str], source_type: str = SOURCE_TYPE, size: int = MAX_TOKENS,
-                   tokenizer: Tokenizer = WORDS) -> DataFrame:
-    """Sections with base columns -> chunks. Equal sections of one document get a repeat suffix."""
-    order = Window.partitionBy(*keys, "__id").orderBy("pos")
-    body = tx.strip(F.array_join("lines", "\n"))
-    rows = sections.where(body != "").withColumn("__id", tx.section_id(
-        source_type, F.col("source_key"), F.col("chapter_num"), F.col("section_num"), F.col("section")))
-    rows = rows.withColumn("__n", F.row_number().over(order) - 1).withColumn(
-        "post_id", F.when(F.col("__n") > 0, F.concat("__id", F.lit("-"), F.col("__n"))).otherwise(F.col("__id")))
-    rows = rows.withColumn("__title", header_title())
+def section_chunks(section: Column, *, size: int = MAX_TOKENS, tokenizer: Tokenizer = WORDS) -> Column:
+    """Chunk texts of one section of a row with base columns and ``__title``."""
     head = F.concat(
-        F.lit("[제"), F.col("chapter_num"), F.lit("장] "), F.col("chapter"), F.lit("\n[제"), F.col("section_num"), F.lit("조] "),
-        F.col("section"), F.lit("\n"),
-        rule_header(F.col("__title"), F.col("competition"), F.col("document_type_label"), F.col("section")))
-    rows = rows.withColumn("__head", head)
-    left = F.lit(size) - tokenizer.count(F.col("__head")) - 4
-    budget = F.when(left <= 0, F.lit(max(64, size // 2))).otherwise(left).cast("int")
-    rows = rows.withColumn("__budget", budget).withColumn("__full", F.concat("__head", F.lit("\n"), tx.strip(F.array_join("lines", "\n"))))
-    parts = F.flatten(F.transform(F.filter("lines", lambda x: x != ""),
-                                  lambda x: fit_to_budget(x, F.col("__budget"), tokenizer=tokenizer)))
-    packed = F.transform(pack_lines(F.filter(parts, lambda x: x != ""), F.col("__budget"), tokenizer=tokenizer),
-                         lambda t: F.concat(F.col("__head"), F.lit("\n"), t))
-    chosen = F.when(tokenizer.count(F.col("__full")) <= size, F.array("__full")).otherwise(packed)
-    return rows.select(
-        *keys, *[c for c in BASE if c not in keys], "post_id", "chapter", "chapter_num", "section", "section_num",
-        F.posexplode(chosen).alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
+        F.lit("[제"), section["chapter_num"], F.lit("장] "), section["chapter"], F.lit("\n[제"), section["section_num"], F.lit("조] "),
+        section["section"], F.lit("\n"),
+        rule_header(F.col("__title"), F.col("competition"), F.col("document_type_label"), section["section"]))
+
+    def with_head(h: Column) -> Column:
+        left = F.lit(size) - tokenizer.count(h) - 4
+        budget = F.when(left <= 0, F.lit(max(64, size // 2))).otherwise(left).cast("int")
+        full = F.concat(h, F.lit("\n"), tx.strip(F.array_join(section["lines"], "\n")))
+        parts = F.flatten(F.transform(F.filter(section["lines"], lambda x: x != ""), lambda x: fit_to_budget(x, budget, tokenizer=tokenizer)))
+        packed = F.transform(pack_lines(F.filter(parts, lambda x: x != ""), budget, tokenizer=tokenizer), lambda t: F.concat(h, F.lit("\n"), t))
+        return F.when(tokenizer.count(full) <= size, F.array(full)).otherwise(packed)
+
+    return tx.let(head, with_head)
 
 
 def generic_chunks(text: Column, header: Column, *, size: int = MAX_TOKENS, tokenizer: Tokenizer = WORDS) -> Column:
@@ -242,27 +257,36 @@ def generic_chunks(text: Column, header: Column, *, size: int = MAX_TOKENS, toke
     return F.transform(tx.let(limit, packed), lambda t: F.concat(header, F.lit("\n"), t))
 
 
-def chunk_generic(docs: DataFrame, text: str, *, keys: list[str], size: int = MAX_TOKENS, tokenizer: Tokenizer = WORDS) -> DataFrame:
-    """Documents with base columns -> generic chunks under their source key."""
-    fallback = F.sha2(F.concat("source_url", "source_file"), 256)
-    rows = docs.withColumn("post_id", F.coalesce(tx.non_empty("source_key"), fallback)).withColumn("__title", header_title())
-    rows = rows.withColumn("__head", rule_header(F.col("__title"), F.col("competition"), F.col("document_type_label")))
-    return rows.select(
-        *keys, *[c for c in BASE if c not in keys], "post_id", F.lit("규정").alias("chapter"), F.lit(None).cast("bigint").alias("chapter_num"),
-        F.lit("본문").alias("section"), F.lit(None).cast("bigint").alias("section_num"),
-        F.posexplode(generic_chunks(tx.strip(F.col(text)), F.col("__head"), size=size, tokenizer=tokenizer)).alias("chunk_index", "text"),
-    ).withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
-
-
 def chunk_rules(docs: DataFrame, text: str, *, keys: list[str], noise: Iterable[str] = (fixed.BARE_PAGE_NUMBER,),
                 source_type: str = SOURCE_TYPE, size: int = MAX_TOKENS, tokenizer: Tokenizer = WORDS) -> DataFrame:
-    """Sections where a document has them, generic chunks where it has none."""
-    based = base_row(docs)
-    meta = based.select(*keys, *[c for c in BASE if c not in keys])
-    sections = sectionize(kept_lines(docs, keys, text, noise=noise), keys)
-    cut = chunk_sections(sections.join(meta, keys), keys=keys, source_type=source_type, size=size, tokenizer=tokenizer)
-    plain = based.join(sections.where(F.size("lines") > 0).select(*keys).distinct(), keys, "left_anti")
-    return cut.unionByName(chunk_generic(plain, text, keys=keys, size=size, tokenizer=tokenizer))
+    """Sections where a document has them, generic chunks under its source key where it has none.
+
+    One pass and no shuffle: sections are found in the row, and a document without any is its own unit.
+    Equal sections of one document get a repeat suffix.
+    """
+    based = base_row(docs).withColumns({"__folded": nfkc(tx.or_empty(text)), "__title": header_title()})
+    found = based.withColumn("__lines", line_array(F.col("__folded"), noise)).withColumn("__all", sections_of(F.col("__lines")))
+    filled = F.filter("__all", lambda x: tx.strip(F.array_join(x["lines"], "\n")) != "")
+    id_of = lambda x: tx.section_id(source_type, F.col("source_key"), x["chapter_num"], x["section_num"], x["section"])
+    named = found.withColumn("__units", F.transform(filled, lambda x: F.struct(x.alias("s"), id_of(x).alias("id"))))
+
+    def numbered(u: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice("__units", F.lit(1), i), lambda v: v["id"] == u["id"]))
+        return F.struct(u["s"].alias("s"), F.when(before > 0, F.concat(u["id"], F.lit("-"), before)).otherwise(u["id"]).alias("id"))
+
+    no_unit = F.array(F.lit(None).cast(f"struct<s:{SECTIONS[6:-1]},id:string>"))
+    some = F.exists("__all", lambda x: F.size(x["lines"]) > 0)
+    base = [c for c in BASE if c not in keys]
+    rows = named.select(*keys, *base, "__title", F.when(~some, F.col(text)).alias("__text"), F.explode(F.when(some, F.transform("__units", numbered)).otherwise(no_unit)).alias("__u"))
+    plain, section = F.col("__u").isNull(), F.col("__u.s")
+    fallback = F.sha2(F.concat("source_url", "source_file"), 256)
+    header = rule_header(F.col("__title"), F.col("competition"), F.col("document_type_label"))
+    texts = F.when(plain, generic_chunks(tx.strip(F.col("__text")), header, size=size, tokenizer=tokenizer)).otherwise(section_chunks(section, size=size, tokenizer=tokenizer))
+    return rows.select(
+        *keys, *base, F.when(plain, F.coalesce(tx.non_empty("source_key"), fallback)).otherwise(F.col("__u.id")).alias("post_id"),
+        F.when(plain, "규정").otherwise(section["chapter"]).alias("chapter"), section["chapter_num"].alias("chapter_num"),
+        F.when(plain, "본문").otherwise(section["section"]).alias("section"), section["section_num"].alias("section_num"),
+        F.posexplode(texts).alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
 def in_reading_order(chunks: DataFrame) -> DataFrame:

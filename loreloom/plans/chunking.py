@@ -275,8 +275,7 @@ UNION ALL SELECT doc_id, CASE WHEN last = 0 THEN 0 ELSE (last - 1) // 9 + 1 END,
 
 @query("RUL-2 NRM-2", "WITH " + RULE_SECTIONS)
 def rule_sections(spark, d):
-    lines = rules.kept_lines(rule_documents(spark, d), ["doc_id"], "text")
-    s = rules.sectionize(lines, ["doc_id"])
+    s = rules.sectionize(rule_documents(spark, d), ["doc_id"], "text")
     return s.withColumn("lines", F.array_join("lines", "\n")).drop("pos")
 
 

@@ -188,7 +188,7 @@ RULES = """한국 규정
 
 def test_rule_sections(spark):
     df = spark.createDataFrame([("d", RULES)], "doc string, text string")
-    s = rules.sectionize(rules.kept_lines(df, ["doc"], "text"), ["doc"]).orderBy("pos").collect()
+    s = rules.sectionize(df, ["doc"], "text").orderBy("pos").collect()
     assert [(r.chapter_num, r.chapter, r.section_num, r.section, r.lines) for r in s] == [
         (1, "총칙", 1, "목적 - 이 규정은", ["목적을 정한다"]), (1, "총칙", 2, "정의", ["정의한다"]),
         (2, "차량", 3, "조문", ["조문 내용"]), (2, "차량", 9999, "부칙", ["시행한다"])]
