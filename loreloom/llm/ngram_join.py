@@ -36,8 +36,8 @@ from loreloom.session import cut_lineage
 WIDTH = 5
 BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 NUMERATOR, DENOMINATOR = 75, 100
-BLOCK_BYTES = 8 << 20  # text of a block of documents
-RANGE_BYTES = 16 << 20  # text whose hashes meet in one range
+BLOCK_BYTES = 4 << 20  # text of a block of documents
+RANGE_BYTES = 8 << 20  # text whose hashes meet in one range
 LEAST_PIECE = 64  # hashes that a block sends to a range, at least on average
 CHUNK = 1 << 20
 BLOCK = 1_024  # sets of a branch that meet in one task
@@ -84,9 +84,10 @@ def _needed(n, m):
 
 
 def shared_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n (size of the set), k1 and k2 (hash of the set), tokens (null where it can link with nothing).
+    """Per row: doc_id, n (size of the set), k1 and k2 (hash of the set), links (false where it can link with nothing), tokens.
 
-    tokens are the hashes that occur elsewhere, in the global order, as packed 64-bit words.
+    tokens are the hashes that occur elsewhere, in the global order, as packed 64-bit words; only one of the rows of a
+    block with the same id and set carries them.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("s")).first().s or 0
@@ -118,22 +119,24 @@ def shared_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         order = np.argsort(answers["range"].to_numpy())
         answered = answers["levels"].to_pylist()
         level = np.frombuffer(b"".join(answered[i] for i in order), np.uint8)
-        n, k1, k2, tokens = [], [], [], []
-        for s in sets:
+        n, k1, k2, links, tokens, seen = [], [], [], [], [], set()
+        for doc, s in zip(table["doc_id"].to_pylist(), sets, strict=True):
             at = level[np.searchsorted(hashes, s)]
             known = at > 0
-            links = len(s) > 0 and DENOMINATOR * int(known.sum()) >= NUMERATOR * len(s)
+            links.append(len(s) > 0 and doc is not None and DENOMINATOR * int(known.sum()) >= NUMERATOR * len(s))
             n.append(len(s))
             k1.append(mix(s).sum(dtype=np.uint64)), k2.append(mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
             # The sets are sorted by hash, so a stable sort by level gives the global order.
-            tokens.append(s[known][np.argsort(at[known], kind="stable")].tobytes() if links else None)
+            new = links[-1] and (doc, k1[-1], k2[-1]) not in seen
+            seen.add((doc, k1[-1], k2[-1]))
+            tokens.append(s[known][np.argsort(at[known], kind="stable")].tobytes() if new else None)
         return pa.table({"doc_id": table["doc_id"], "n": pa.array(n, pa.int64()), "k1": pa.array(np.array(k1, np.uint64).view(np.int64)),
-                         "k2": pa.array(np.array(k2, np.uint64).view(np.int64)), "tokens": pa.array(tokens, pa.binary())})
+                         "k2": pa.array(np.array(k2, np.uint64).view(np.int64)), "links": pa.array(links, pa.bool_()), "tokens": pa.array(tokens, pa.binary())})
 
     kind = docs.schema[doc_id].dataType.simpleString()
     pieces = blocked.groupBy("block").applyInArrow(send, "range int, block int, keys binary, times binary")
     answers = pieces.groupBy("range").applyInArrow(count, "block int, range int, levels binary")
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n long, k1 long, k2 long, tokens binary")
+    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n long, k1 long, k2 long, links boolean, tokens binary")
 
 
 # --- prefix tree -----------------------------------------------------------------------------------------------------
@@ -351,21 +354,23 @@ def _checked(pairs: DataFrame, parts: DataFrame | None, nodes: DataFrame) -> Dat
     return cut_lineage(_linked(members, nodes, members.count()))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a root or has one edge, to a root."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up + root > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (u, v): large-star and small-star steps until nothing changes."""
-    seen = None
+    """(node, root) of every node of the edges (u, v): large-star and small-star steps until only stars are left."""
     stars = cut_lineage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while True:
+    while not _are_stars(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        state = tuple(stars.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if state == seen:
-            break
-        seen = state
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -410,17 +415,16 @@ def linked_parts(nodes: DataFrame) -> DataFrame | None:
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     rows = cut_lineage(shared_sets(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, text))
-    lone = F.col("tokens").isNull() | F.col("doc_id").isNull()
-    some = rows.where(~lone)
+    some = rows.where("links").drop("tokens")
     classes = cut_lineage(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
     firsts = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "node")
     # The id is a key of this join, so a class that a third of all rows share does not meet in one task.
     same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("doc_id") == F.col("node"))
-    nodes = cut_lineage(some.join(firsts, same).select("node", "n", "k1", "k2", "tokens").dropDuplicates(["k1", "k2"]).drop("k1", "k2"))
+    nodes = cut_lineage(rows.where(F.col("tokens").isNotNull()).join(firsts, same).select("node", "n", "tokens"))
     parts = linked_parts(nodes)
     of = _with_part(classes, parts).select("k1", "k2", "part")
     grouped = some.join(cut_lineage(of), ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("part").alias("component_id"))
-    return grouped.unionByName(rows.where(lone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return grouped.unionByName(rows.where("NOT links").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
