@@ -25,6 +25,7 @@ from loreloom.llm.token_counts import SPACE
 from loreloom.session import cut_lineage
 
 SAMPLE = 400  # texts of each language, at most
+BROADCAST_LANGUAGES = 10_000  # rows of the broadcast table of languages, at most; more are joined by a shuffle
 PARTS, HELD_OUT = 5, 0
 PART = 32  # letters of a word scored together, far from the limits of double precision
 LONGEST = 12  # characters of a piece
@@ -214,11 +215,12 @@ def learn(rows: DataFrame, model: bytes, text: str, lang: str, doc_id: str, *, m
     """Fit a scorer on at most *most* texts of each language; the languages are fitted side by side."""
     keyed = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).alias("text"))
-    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = cut_lineage(keyed.groupBy("lang").agg(F.count("*").alias("n")))
+    beside = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
     # About 1.5 times the sample by a threshold on the hash, so that the exact choice sorts few rows.
     share = F.col("h").cast("double") / F.lit(2.0**64) + 0.5 < (1.5 * most + 50) / F.col("n")
     chosen = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
-    sample = keyed.join(F.broadcast(counts), "lang").where(share).withColumn("r", F.row_number().over(chosen)).where(F.col("r") <= most)
+    sample = keyed.join(beside, "lang").where(share).withColumn("r", F.row_number().over(chosen)).where(F.col("r") <= most)
     pieces = Pieces(vocabulary(model))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
