@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +113,10 @@ def row_chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, end
         at = end
+
+
+def text_chunks(column: pa.Array, size: int) -> Iterator[list[str]]:
+    """Whole texts of a column in lists of about *size* bytes, so that few texts are Python strings at a time."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for first, last in row_chunks(np.concatenate([[0], np.cumsum(lengths)]), size):
+        yield strings(column.slice(first, last - first))

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import strings
-from loreloom.llm.token_counts import chunks
+from loreloom.llm.common import text_chunks
 from loreloom.session import cut_lineage
 
 CAPACITY = 1_024
 END = 2
-CACHE = 600_000  # pre-tokens a worker remembers
+CACHE = 300_000  # pre-tokens a worker remembers
+CHUNK = 1 << 20  # bytes of text split at once
 JOINED = 256  # pre-tokens encoded in one call
 BLOCK = 512  # pieces of one length numbered together
 # The tokenizer's own split (contractions, letters, digits, others, white space), written out for characters
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: s
         encoder = shared.value.prepare()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            encoded = (ids + closing for part in chunks(strings(batch.column(1))) for ids in encoder.encode(part))
+            encoded = (ids + closing for part in text_chunks(batch.column(1), CHUNK) for ids in encoder.encode(part))
             for i, ids in enumerate(encoded):
                 n = len(ids) // 4
                 for k, at in enumerate(range(n % capacity - capacity if n % capacity else 0, n, capacity)):

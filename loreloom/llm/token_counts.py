@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import strings
+from loreloom.llm.common import text_chunks
 
 SPACE = "▁"  # how the model writes a space
-CHUNK = 2_000_000  # characters of text split at once
+CHUNK = 1 << 20  # bytes of text split at once
 CACHE = 600_000  # pre-tokens a worker remembers
 LIMIT = 4_096
 PRE_TOKEN = re.compile(r" +[^ \n]*|\n[^ \n]*")
@@ -90,19 +90,6 @@ class Counter:
         return [sum(map(known, words)) for words in split]
 
 
-def chunks(texts: list[str], size: int = CHUNK) -> Iterator[list[str]]:
-    """Whole texts in chunks of about *size* characters."""
-    held, length = [], 0
-    for text in texts:
-        held.append(text)
-        length += len(text)
-        if length >= size:
-            yield held
-            held, length = [], 0
-    if held:
-        yield held
-
-
 def token_counts(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text", *, limit: int = LIMIT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit. The model travels with the tasks; executors need no file."""
     with open(model_file, "rb") as f:
@@ -112,7 +99,7 @@ def token_counts(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = shared.value.prepare()
         for batch in batches:
-            ns = [n for part in chunks(strings(batch.column(2))) for n in counter.count(part)]
+            ns = [n for part in text_chunks(batch.column(2), CHUNK) for n in counter.count(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array([n > limit for n in ns], pa.bool_())],
                                              ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
