@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loreloom.operators import evaluation as ev, ordered, retrieval as rt
+from loreloom.operators import evaluation as ev, retrieval as rt
 from loreloom.plans import tables as tb
 from loreloom.plans.registry import query, table, texts
 from loreloom.plans.search import ARMS, DBSF, RRF, neighbours, search_arms

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.operators import ordered, orders as od, qna_chunks as qna, turns as tn
-from loreloom.plans import credit, tables as tb
+from loreloom.plans import credit
 from loreloom.plans.chunking import SEGMENTS
 from loreloom.plans.registry import query, table
 from loreloom.session import work_folder
