@@ -3,7 +3,7 @@
 A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) turns a unit vector; its hash is the
 signed axis it is nearest to. Each of several tables rotates anew; with ``digits`` above one a table's hash is several axes.
 Every vector is stored in one bucket of each table. A query looks into the buckets of its ``probes`` nearest axes in each table,
-and what it finds there is ranked exactly, by Euclidean distance in double precision on the original vectors.
+as many on a small table as on a large one, and what it finds there is ranked exactly, by Euclidean distance in double precision on the original vectors.
 
 Buckets meet queries in groups of at most about ``GROUP`` vectors: counts per bucket, of which there are at most
 tables x (2 x dimension) ** digits, decide into how many groups a bucket is cut. A query that finds fewer than k
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from loreloom.session import cut_lineage
 
 TABLES = 4
-PROBES = 24
-LEAST = 2_048  # vectors that the buckets probed in one table hold at least, in expectation
+PROBES = 40
+LEAST = 0  # read nowhere; a test sets it
 DIGITS = 1
 GROUP = 512
 SEED = 11
@@ -114,7 +114,6 @@ def _search(vectors: DataFrame, is_query, k: int, tables: int, probes: int, digi
     counts = vectors.select("id", "vector").mapInArrow(code, "size int, place int, code long, n long").groupBy("size", "place", "code").agg(F.sum("n").alias("n"))
     rows = counts.collect()
     cuts = {(r.size, r.place, r.code): -(-r.n // GROUP) for r in rows}
-    total = max(1, sum(r.n for r in rows) // tables)
     shared = vectors.sparkSession.sparkContext.broadcast(cuts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +127,7 @@ def _search(vectors: DataFrame, is_query, k: int, tables: int, probes: int, digi
                     rows += [(i, c, (int(ids[at[i]]) * 0x9E3779B1 >> 7) % cuts[size, table, c], False) for i, c in enumerate(codes)]
                     asking = np.flatnonzero(asks[at])
                     if len(asking):
-                        buckets = (2 << max(0, size - 1).bit_length()) ** digits
-                        wanted = probed(x[asking], table, max(probes, -(-LEAST * buckets // total)), digits).tolist()
+                        wanted = probed(x[asking], table, probes, digits).tolist()
                         rows += [(i, c, g, True) for i, cs in zip(asking.tolist(), wanted, strict=True) for c in cs for g in range(cuts.get((size, table, c), 0))]
                     which = np.array([r[0] for r in rows], int)
                     yield pa.RecordBatch.from_arrays(

@@ -121,6 +121,26 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert hits / len(rows) >= 0.9
 
 
+@pytest.mark.parametrize("n", [500, 2000])
+def test_probes_are_the_same_at_every_size(spark, n):
+    """What is found is what the probed buckets hold, not what brute force finds."""
+    x, df = vectors(spark, n, 64)
+    asking = np.arange(0, n, 20)
+    d = np.sqrt(((x[asking, None] - x[None]) ** 2).sum(2))
+    d[np.arange(len(asking)), asking] = np.inf
+    truth = [set(row[:10].tolist()) for row in np.argsort(d, axis=1, kind="stable")]
+    for probes in (8, neighbours.PROBES):
+        seen = np.zeros(d.shape, bool)
+        for table in range(neighbours.TABLES):
+            own = neighbours.probed(x, table, 1, 1)[:, 0]
+            seen |= (neighbours.probed(x[asking], table, probes, 1)[:, :, None] == own).any(1)
+        want = {(int(q), int(i)) for q, row in zip(asking, np.where(seen, d, np.inf), strict=True) for i in np.argsort(row, kind="stable")[:10] if row[i] < np.inf}
+        rows = neighbours.neighbours(df, F.col("vec_id") % 20 == 0, 10, probes=probes).collect()
+        assert {(r.query_id, r.vec_id) for r in rows} == want
+        found = sum(r.vec_id in truth[r.query_id // 20] for r in rows) / len(rows)
+        assert found >= 0.95 if probes == neighbours.PROBES else found < 1
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [0.0, 2.0]), (None, [1.0, 1.0]), (9, [1.0]), (8, [0.0, 2.0]), (10, [])]
