@@ -12,13 +12,16 @@ three quarters or more. The join is exact on the hashes:
    branches a set hangs under. A task stores the sets of a branch in a prefix tree and walks it with each
    set, carrying the overlap of the path for all sets below it and leaving subtrees whose remaining lengths cannot
    reach the overlap needed.
-4. *Groups.* Only reachability is asked for, so a walk skips what is known to be connected. Each set first
+4. *Groups.* For reachability a walk skips what is known to be connected. Each set first
    goes to its most common branch; then one set for each group and branch; in the end every pair of sets
    under one branch that is still unconnected and within the length and position bounds is checked.
+5. *Links.* Links stay inside a group, so the sets of each group are stored in trees of at most ``LINK_BLOCK`` sets
+   and every set walks all of them. A task sums up each set's links, copies counted in; pairs are not emitted.
 
 Large branches are cut into blocks of at most ``BLOCK`` sets. Defined results: documents without words have the
-empty set and link with nothing; rows without an id link with nothing and have no component; rows with the
-same id are one document for links; an empty table gives an empty table.
+empty set and link with nothing; rows without an id link with nothing and have no component and no class; rows with the
+same id are one document for groups, while each of its sets has its own links, also with another set of that id, and
+counts as one link of others; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ RANGE_BYTES = 8 << 20  # text whose hashes meet in one range
 LEAST_PIECE = 64  # hashes that a block sends to a range, at least on average
 CHUNK = 1 << 20
 BLOCK = 1_024  # sets of a branch that meet in one task
+LINK_BLOCK = 512  # sets of a group that meet in one task when links are counted, twice as many from two blocks
 BUCKET = 2_048  # sets that one call works on, over small branches
 SCOUTS = 4  # rounds before every pair left is checked
 
@@ -224,7 +228,7 @@ class PrefixTree:
                     if overlap[e] >= _needed(size, self.sizes[stop]):
                         found.append(stop)
                     stop += 1
-        hits = self.order[np.array(found, int)]
+        hits = self.order[np.unique(np.array(found, int))]  # equal sequences are found by each of their edges
         return hits[wanted[hits]]
 
 
@@ -250,6 +254,27 @@ def tree_links(sets: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, pro
     return links
 
 
+def tree_counts(sets: list[np.ndarray], sizes: np.ndarray, weight: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Weight of the sets that each of the given sets links with; of two blocks only links between them, each link once."""
+    numbers, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(flat, np.cumsum([len(s) for s in sets])[:-1])
+    stored = np.flatnonzero(block == block.min())
+    probes = np.flatnonzero(block != block.min())
+    one = not len(probes)
+    tree = PrefixTree([sets[i] for i in stored], sizes[stored])
+    flags, total = np.zeros(len(numbers), bool), np.zeros(len(sets), np.int64)
+    wanted = np.ones(len(stored), bool)
+    for i in stored if one else probes:
+        if one:
+            wanted[i] = False  # the sets before i have met it
+        flags[sets[i]] = True
+        hits = stored[tree.walk(flags, len(sets[i]), int(sizes[i]), wanted)]
+        flags[sets[i]] = False
+        total[i] += weight[hits].sum()
+        total[hits] += weight[i]
+    return total
+
+
 # --- Spark side ------------------------------------------------------------------------------------------------------
 
 def _linked(members: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
@@ -412,23 +437,68 @@ def linked_parts(nodes: DataFrame) -> DataFrame | None:
     return parts if links.isEmpty() else _connected(parts, links)
 
 
+def link_counts(nodes: DataFrame, classes: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(k1, k2, others): documents of other classes that a class links with; classes without such links may be missing."""
+    slim = _with_part(classes, parts)
+    cells = slim.groupBy("part").agg(F.count("*").alias("m")).where("m > 1").select("part", F.ceil(F.col("m") / LINK_BLOCK).cast("int").alias("blocks"))
+    # A group of one block meets itself; blocks of a larger one meet in pairs.
+    own = F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int")
+    members = cut_lineage(slim.join(cells, "part").select("k1", "k2", "part", "weight", "blocks", own.alias("own")))
+    buckets = max(1, -(-int(members.agg(F.sum("blocks").alias("s")).first().s or 0) // LINK_BLOCK))
+    spread = (members.join(nodes.select("k1", "k2", "n", "tokens"), ["k1", "k2"])
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+              .withColumn("bucket", F.pmod(F.xxhash64("part", "low", "high"), F.lit(buckets))))
+
+    def work(table: pa.Table) -> pa.Table:
+        k1, k2, part, low, high, own, weight, n = (table[c].to_numpy() for c in ("k1", "k2", "part", "low", "high", "own", "weight", "n"))
+        tokens = table["tokens"]
+        order = np.lexsort((k2, k1, high, low, part))
+        # Rows of one id with one set can carry its tokens twice.
+        again = np.zeros(len(order), bool)
+        again[1:] = np.all([np.diff(c[order]) == 0 for c in (part, low, high, k1, k2)], 0)
+        order = order[~again]
+        cuts = np.flatnonzero(np.any([np.diff(c[order]) != 0 for c in (part, low, high)], 0)) + 1
+        total = np.zeros(len(k1), np.int64)
+        for cell in np.split(order, cuts):
+            if len(cell) > 1 and (low[cell[0]] == high[cell[0]] or len(np.unique(own[cell])) > 1):
+                sets = [np.frombuffer(tokens[int(i)].as_py(), np.uint64) for i in cell]
+                total[cell] = tree_counts(sets, n[cell], weight[cell], own[cell])
+        some = order[total[order] > 0]
+        return pa.table({"k1": k1[some], "k2": k2[some], "others": total[some]})
+
+    cols = ["bucket", "part", "low", "high", "own", "k1", "k2", "weight", "n", "tokens"]
+    counted = spread.select(*cols).groupBy("bucket").applyInArrow(work, "k1 long, k2 long, others long")
+    return counted.groupBy("k1", "k2").agg(F.sum("others").alias("others"))
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links, its own included)."""
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links, its own included), class_id (smallest id
+    with an equal set, its own included) and n_links (documents with a linking set, copies counted in)."""
+    rows, some, classes, nodes, parts = _grouped(docs, doc_id, text)
+    of = _with_part(classes, parts).join(link_counts(nodes, classes, parts), ["k1", "k2"], "left")
+    of = of.select("k1", "k2", "part", "node", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    grouped = some.join(cut_lineage(of), ["k1", "k2"]).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("part").alias("component_id"), F.col("node").alias("class_id"), "n_links")
+    return grouped.unionByName(rows.where("NOT links").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Rows, those that may link, classes (k1, k2, node, weight: its documents), nodes with tokens, and parts."""
     rows = cut_lineage(shared_sets(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, text))
     some = rows.where("links").drop("tokens")
-    classes = cut_lineage(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
+    classes = cut_lineage(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("weight")))
     firsts = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "node")
     # The id is a key of this join, so a class that a third of all rows share does not meet in one task.
     same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("doc_id") == F.col("node"))
-    nodes = cut_lineage(rows.where(F.col("tokens").isNotNull()).join(firsts, same).select("node", "n", "tokens"))
-    parts = linked_parts(nodes)
-    of = _with_part(classes, parts).select("k1", "k2", "part")
-    grouped = some.join(cut_lineage(of), ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("part").alias("component_id"))
-    return grouped.unionByName(rows.where("NOT links").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    nodes = cut_lineage(rows.where(F.col("tokens").isNotNull()).join(firsts, same).select("k1", "k2", "node", "n", "tokens"))
+    return rows, some, classes, nodes, linked_parts(nodes)
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """*docs* with one document of each group, that of the smallest id; all columns as they were."""
-    groups = cut_lineage(near_groups(docs, doc_id, text))
-    go = groups.where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    _, some, classes, _, parts = _grouped(docs, doc_id, text)
+    groups = some.join(cut_lineage(_with_part(classes, parts)), ["k1", "k2"])
+    go = cut_lineage(groups.where("doc_id != part").select(F.col("doc_id").alias(doc_id)).distinct())
     return docs.join(go, doc_id, "left_anti").select(*docs.columns)

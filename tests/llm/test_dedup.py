@@ -98,6 +98,32 @@ def test_near_groups_in_small_blocks(spark, skewed_docs, monkeypatch):
     assert got == brute_groups(skewed_docs.collect())
 
 
+def brute_links(rows):
+    """Sets of one id that link with a set; the number of other (id, set) pairs with a linking set."""
+    pairs = {(i, frozenset(s)) for i, many in word_sets(rows).items() for s in many}
+    named = [(i, s) for i, s in pairs if i is not None and s]
+    links = {p: sum(100 * len(p[1] & s) >= 75 * len(p[1] | s) for i, s in named if (i, s) != p) if p in named else 0 for p in pairs}
+    first = {p: min(i for i, s in named if s == p[1]) if p in named else p[0] for p in pairs}
+    return sorted(((i, len(s), first[i, s], links[i, s]) for i, many in word_sets(rows).items() for s in map(frozenset, many)), key=str)
+
+
+@pytest.mark.parametrize("name", ["odd_docs", "no_docs", "skewed_docs", "shared ids"])
+@pytest.mark.parametrize("block", [512, 7])
+def test_every_link_is_counted(request, spark, monkeypatch, name, block):
+    """Also links between sets that are connected without them, and copies on both sides."""
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+    if name == "shared ids":
+        base = [f"w{i}" for i in range(60)]
+        edit = lambda k: " ".join(base[:50] + [f"e{k}"] * 2 + base[52:])
+        docs = spark.createDataFrame([(5, edit(1)), (5, edit(2)), (7, edit(1)), (8, edit(2)), (8, edit(2).replace(" ", "  ")), (9, "alone " * 9), (3, "alone " * 9)], "doc_id long, text string")
+    else:
+        docs = request.getfixturevalue(name)
+    got = sorted((tuple(r[c] for c in ("doc_id", "n_shingles", "class_id", "n_links")) for r in ngram_join.near_groups(docs).collect()), key=str)
+    assert got == brute_links(docs.collect())
+    if name == "skewed_docs":
+        assert sum(g[3] for g in got if 100 <= (g[0] or 0) < 200) > 2 * 99
+
+
 def test_one_of_each_group_stays(skewed_docs):
     left = ngram_join.drop_near_copies(skewed_docs)
     assert left.columns == skewed_docs.columns
