@@ -66,3 +66,16 @@ def test_shards(request, name):
             near[r.text_crc32].add(r.shard)
         small = [len(v) for k, v in near.items() if sum(1 for r in rows if r.text_crc32 == k) in range(2, 30)]
         assert sum(small) <= 1.2 * len(small)
+
+
+def test_groups_stay_whole_where_every_text_has_copies(spark):
+    """No shard has room beyond its quota, so groups come together only by swaps and by as many rounds as it takes."""
+    docs = spark.range(4096).selectExpr("id AS doc_id", "concat('text ', id % 1024) AS text")
+    rows = sharding.shard_documents(docs, shards=8).collect()
+    assert set(Counter(r.shard for r in rows).values()) == {512}
+    groups = defaultdict(Counter)
+    for r in rows:
+        groups[r.text_crc32][r.shard] += 1
+    pairs = sum(n * (n - 1) // 2 for g in groups.values() for n in g.values())
+    print("pairs kept", pairs / (1024 * 6), "whole", sum(len(g) == 1 for g in groups.values()) / 1024)
+    assert pairs >= 0.8 * 1024 * 6
