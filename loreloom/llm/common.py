@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,3 +120,31 @@ def text_chunks(column: pa.Array, size: int) -> Iterator[list[str]]:
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     for first, last in row_chunks(np.concatenate([[0], np.cumsum(lengths)]), size):
         yield strings(column.slice(first, last - first))
+
+
+class Remembered:
+    """What was learned of words, in two generations: a word not asked for while a generation fills up is forgotten.
+
+    A generation ends with *most* words, so at most about twice as many are kept.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list], most: int):
+        self.learn, self.most = learn, most
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def of(self, words: Iterable[str]) -> Callable:
+        """A look-up that knows all of the distinct *words*."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        unseen = []
+        for word in words:
+            if word not in new:
+                if word in old:
+                    new[word] = old[word]
+                else:
+                    unseen.append(word)
+        if unseen:
+            new.update(zip(unseen, self.learn(unseen), strict=True))
+        return new.__getitem__

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreloom.llm import chat, exact_dedup, language_id, mixing, neighbours, ngram_join, packing, sharding, token_counts, toxicity
+from loreloom.llm import chat, exact_dedup, language_id, mixing, neighbours, ngram_join, packing, periodic_runs, piece_codec, sharding, token_counts, toxicity
 from loreloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +55,16 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_neighbours, op4_token_counts, op5_best_fit_packing, op6_mix_sources, op7_chat, op8_toxicity, op9_language_id, op10_exact_dedup)}
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_codec.round_trips(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.run_table(periodic_runs.with_planted_runs(documents(spark, folder))))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_neighbours, op4_token_counts, op5_best_fit_packing, op6_mix_sources, op7_chat, op8_toxicity, op9_language_id, op10_exact_dedup,
+                                                   op12_sentencepiece, op13_periodic_runs)}
 
 ORACLES = {
     "op7_chat": """
