@@ -6,7 +6,7 @@ import importlib
 
 from loreloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ("texts", "boards", "chunking", "search", "ranking", "talk", "evaluate", "usage", "credit", "streams", "stores")
+MODULES = ("texts", "boards", "chunking", "subwords", "search", "ranking", "talk", "evaluate", "usage", "credit", "streams", "stores")
 
 
 def load() -> tuple[dict, dict]:
