@@ -8,7 +8,7 @@ from loreloom.functions import classify as cl
 from loreloom.functions import fixed_values as fixed
 from loreloom.operators import ranking as rk, registry
 from loreloom.plans.registry import query, table
-from loreloom.plans.search import GROUPED, collection_hits
+from loreloom.plans.search import GROUPED, OTHER_WORDING, collection_hits, other_wording
 
 KEEP = ("qid", "collection", "id")
 BY_SCORE = "ORDER BY score DESC, collection, id"
@@ -19,7 +19,14 @@ def hits(spark, d):
     return rk.together(collection_hits(spark, d).withColumn("score", F.round("score", 9)).withColumnRenamed("depth", "rank"))
 
 
+def second_hits(spark, d):
+    """Candidates of the search with the other wording."""
+    found = collection_hits(spark, d, other_wording(spark, d))
+    return rk.together(found.withColumn("score", F.round("score", 9)).withColumnRenamed("depth", "rank"))
+
+
 HITS = GROUPED + ", h AS (SELECT * REPLACE (round(score, 9) AS score) FROM hits)\n"
+BOTH = HITS + "," + OTHER_WORDING + ", h2 AS (SELECT * REPLACE (round(score, 9) AS score) FROM other_hits)\n"
 
 
 @query("RET-13", HITS + "SELECT qid, collection, id FROM h WHERE collection <> 'fr' OR contains(content, ' les ')")
@@ -151,14 +158,13 @@ def pool_counts_by_source(spark, d):
     return rk.candidate_counts(h)
 
 
-@query("RET-26", HITS + """, paths AS (SELECT *, 0 AS path FROM h UNION ALL SELECT * REPLACE (round(score + CASE WHEN quality = 1 THEN CAST(0.01 AS DOUBLE) ELSE 0 END, 9) AS score), 1 FROM h WHERE depth <= 12),
+@query("RET-26", BOTH + """, paths AS (SELECT *, 0 AS path FROM h UNION ALL SELECT *, 1 FROM h2),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_key, content ORDER BY score DESC, path, collection, id) AS r FROM paths) WHERE r = 1),
 sized AS (SELECT * EXCLUDE (r), count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, collection ORDER BY score DESC, id) AS r FROM best)
 SELECT qid, collection, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, collection, id) AS rank FROM sized WHERE n <= 24 OR r <= 12) WHERE rank <= 24""")
 def merged_search_paths(spark, d):
-    first = hits(spark, d)
-    second = first.where(F.col("rank") <= 12).withColumn("score", F.round(F.col("score") + F.when(F.col("quality") == 1, 0.01).otherwise(0.0), 9))
-    return rk.merge_paths(first, second, 24, group=F.col("collection")).select(*KEEP, "score", "rank")
+    """The searches by both wordings, over all points each, as one pool."""
+    return rk.merge_paths(hits(spark, d), second_hits(spark, d), 24, group=F.col("collection")).select(*KEEP, "score", "rank")
 
 
 @query("RET-27", HITS + r"""
@@ -184,38 +190,44 @@ def search_status(spark, d):
     return rk.retrieval_status(attempts)
 
 
-def _status_at(spark, d, least):
-    attempts = hits(spark, d).groupBy("qid", "collection").agg((F.max("score") < least).alias("failed"), F.count_if(F.col("score") >= least).alias("hits"))
+def _status(found, least):
+    attempts = found.groupBy("qid", "collection").agg((F.max("score") < least).alias("failed"), F.count_if(F.col("score") >= least).alias("hits"))
     return rk.retrieval_status(attempts)
 
 
-STATUS_AT = """(SELECT qid, CASE WHEN bad = 0 THEN 'ok' WHEN bad = n AND found = 0 THEN 'failed' ELSE 'partial' END AS status FROM (
+STATUS = """(SELECT qid, CASE WHEN bad = 0 THEN 'ok' WHEN bad = n AND found = 0 THEN 'failed' ELSE 'partial' END AS status FROM (
   SELECT qid, count(*) AS n, count(*) FILTER (failed) AS bad, sum(hits) AS found FROM (
-    SELECT qid, collection, max(score) < {least} AS failed, count(*) FILTER (score >= {least}) AS hits FROM h GROUP BY qid, collection) GROUP BY qid))"""
+    SELECT qid, collection, max(score) < 0.28 AS failed, count(*) FILTER (score >= 0.28) AS hits FROM {h} GROUP BY qid, collection) GROUP BY qid))"""
 
 
-@query("RET-28", HITS + f"""
-SELECT qid, CASE WHEN (a.status = 'ok') <> (b.status = 'ok') THEN 'partial' ELSE a.status END AS status
-FROM {STATUS_AT.format(least=0.25)} a JOIN {STATUS_AT.format(least=0.32)} b USING (qid)""")
+@query("RET-28", BOTH + f"""
+SELECT qid, a.status AS first, b.status AS second, CASE WHEN (a.status = 'ok') <> (b.status = 'ok') THEN 'partial' ELSE a.status END AS status
+FROM {STATUS.format(h='h')} a JOIN {STATUS.format(h='h2')} b USING (qid)""")
 def two_path_status(spark, d):
-    """Status of a search by two wordings, the second of which finds less."""
-    second = _status_at(spark, d, 0.32).select("qid", F.col("status").alias("other"))
-    both = _status_at(spark, d, 0.25).join(second, "qid")
-    return both.select("qid", rk.merge_status(F.col("status"), F.col("other")).alias("status"))
+    """Status of a search by two wordings; a collection whose best score lies below the bar counts as failed."""
+    first, second = (_status(found, 0.28).select("qid", F.col("status").alias(name)) for found, name in ((hits(spark, d), "first"), (second_hits(spark, d), "second")))
+    return first.join(second, "qid").withColumn("status", rk.merge_status(F.col("first"), F.col("second")))
 
 
-@query("RET-29", HITS + BALANCED + """
-SELECT qid, collection, id, rerank_score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC NULLS LAST, score DESC, collection, id) AS rank FROM (
-    SELECT b.qid, b.collection, b.id, b.score, CASE WHEN valid > 0 AND n > 1 THEN greatest(CAST(0 AS DOUBLE), coalesce(given, CAST(0 AS DOUBLE)) - CASE WHEN toxic = 1 THEN 2 ELSE 0 END) END AS rerank_score FROM (
+RELEVANT = HITS + BALANCED + """, final AS (
+SELECT * FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC NULLS LAST, score DESC, collection, id) AS rank FROM (
+    SELECT b.* EXCLUDE (given, valid, n), CASE WHEN valid > 0 AND n > 1 THEN greatest(CAST(0 AS DOUBLE), coalesce(given, CAST(0 AS DOUBLE)) - CASE WHEN toxic = 1 THEN 2 ELSE 0 END) END AS rerank_score FROM (
       SELECT *, CAST(CASE WHEN quality = 1 THEN 4 + label WHEN quality = 0 THEN 2 + label END AS DOUBLE) AS given,
         count(quality) OVER (PARTITION BY qid) AS valid, count(*) OVER (PARTITION BY qid) AS n FROM balanced) b)
-  WHERE rerank_score IS NULL OR rerank_score >= 3) WHERE rank <= 7""")
-def relevant_hits(spark, d):
-    h = balanced_hits(spark, d)
+  WHERE rerank_score IS NULL OR rerank_score >= 3) WHERE rank <= 7)
+"""
+
+
+def final_hits(spark, d):
+    """The list an answer is built from: the best seven by relevance."""
     given = F.when(F.col("quality").isNotNull(), F.when(F.col("quality") == 1, 4.0).otherwise(2.0) + F.col("label"))
     pen = F.when(F.col("toxic") == 1, 2.0).otherwise(0.0)
-    return rk.apply_relevance(h, given, 7, penalty=pen).select(*KEEP, "rerank_score", "rank")
+    return rk.apply_relevance(balanced_hits(spark, d), given, 7, penalty=pen)
+
+
+@query("RET-29", RELEVANT + "SELECT qid, collection, id, rerank_score, rank FROM final")
+def relevant_hits(spark, d):
+    return final_hits(spark, d).select(*KEEP, "rerank_score", "rank")
 
 
 @query("RET-30", r"""
@@ -226,8 +238,7 @@ def excerpts(spark, d):
     return table(spark, d, "documents").select("doc_id", rk.excerpt(t).alias("excerpt"))
 
 
-@query("RET-31", HITS + BALANCED + r"""
-, final AS (SELECT *, CASE label WHEN 0 THEN '' WHEN 1 THEN 'formula' WHEN 2 THEN 'baja' ELSE 'ev' END AS competition FROM balanced WHERE rank <= 3 AND score >= 0.3)
+@query("RET-31", RELEVANT.replace("SELECT * FROM (SELECT * EXCLUDE (rank)", "SELECT *, CASE label WHEN 0 THEN '' WHEN 1 THEN 'formula' WHEN 2 THEN 'baja' ELSE 'ev' END AS competition FROM (SELECT * EXCLUDE (rank)", 1) + r"""
 SELECT v.vec_id AS qid, coalesce('다음은 검색된 참고 문서입니다:' || E'\n\n' || docs || E'\n\n---\n\n', '질문에 직접 관련된 참고 문서를 찾지 못했습니다. 문서 근거가 필요한 허용 여부·검차 판단은 단정하지 마세요.' || E'\n\n')
   || E'(검색 상태: ok)\n' || CASE WHEN families > 1 THEN E'(서로 다른 종목의 자료가 검색되었습니다. 이를 하나의 규정처럼 합치지 말고 종목별 공통점과 차이를 명시하세요. 허용 여부가 달라지면 먼저 종목을 확인하세요.)\n' ELSE '' END
   || '사용자 질문: ' || 'near ' || CAST(v.vec_id AS VARCHAR) AS prompt, CAST(coalesce(n, 0) AS BIGINT) AS sources, coalesce(families, 0) > 1 AS mixed
@@ -236,7 +247,7 @@ FROM embeddings v LEFT JOIN (SELECT qid, count(*) AS n, count(DISTINCT nullif(co
   FROM final GROUP BY qid) f ON f.qid = v.vec_id""")
 def context_packs(spark, d):
     names = {"0": "", "1": "formula", "2": "baja"}
-    final = balanced_hits(spark, d).where((F.col("rank") <= 3) & (F.col("score") >= 0.3)).withColumns({
+    final = final_hits(spark, d).withColumns({
         "competition": F.coalesce(cl.lookup(F.col("label").cast("string"), names), F.lit("ev")), "source": F.col("source_key"),
         "url": F.when(F.col("collection") == "en", F.concat(F.lit("u"), F.col("id"))).otherwise("")})
     q = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.concat(F.lit("near "), F.col("vec_id")).alias("query"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loreloom.functions import text as tx
 from loreloom.functions.encode import dense_encoder
-from loreloom.operators import qna_chunks as qna, ranking, retrieval as rt
+from loreloom.operators import postings as pt, qna_chunks as qna, ranking, retrieval as rt
 from loreloom.plans import tables as tb
 from loreloom.plans.chunking import SEGMENTS
 from loreloom.plans.registry import query, table, texts
@@ -37,7 +37,7 @@ def dense_above_minimum(spark, d):
 
 @query("RET-1", tb.with_views(tb.PAIRS) + f"SELECT qid, id, rank FROM (SELECT *, {RANKED.format(by='qid')} FROM pairs) WHERE rank <= 5")
 def dense_neighbours_by_grid(spark, d):
-    """The way beyond the broadcast bound: both sides in blocks."""
+    """The way beyond the broadcast bound: points in rings around pivots, queries sent to those that can matter."""
     return neighbours(spark, d, 5, max_broadcast=200, points_per_cell=300).select("qid", "id", "rank")
 
 
@@ -78,12 +78,24 @@ def lexical_weights(spark, d):
     return w.withColumn("weight", F.round("weight", 6))
 
 
-@query("RET-7", tb.with_views(tb.DOCUMENTS_AS_POINTS, tb.LEXICAL) + f"SELECT qid, id, round(score, 5) AS score, rank FROM (SELECT *, {RANKED.format(by='qid')} FROM (SELECT qid, id, round(score, 9) AS score FROM sparse)) WHERE rank <= 10")
+SPARSE_BEST = tb.with_views(tb.DOCUMENTS_AS_POINTS, tb.LEXICAL) + f"SELECT qid, id, round(score, 5) AS score, rank FROM (SELECT *, {RANKED.format(by='qid')} FROM (SELECT qid, id, round(score, 9) AS score FROM sparse)) WHERE rank <= 10"
+
+
+@query("RET-7", SPARSE_BEST)
 def sparse_search(spark, d):
     p = lexical_points(spark, d)
     return rt.topk(p, tb.text_queries(spark, d, p), 10, arm="sparse").withColumn("score", F.round("score", 5))
 
 
+@query("RET-7", SPARSE_BEST)
+def sparse_search_by_postings(spark, d):
+    """The same result, reading only postings that can reach a query's floor."""
+    p = lexical_points(spark, d)
+    postings, vectors = pt.prepared(p)
+    queries = tb.text_queries(spark, d, p).select("qid", "terms", "weights").where(F.col("terms").isNotNull())
+    return pt.topk(postings, vectors, queries, 10).withColumn("score", F.round("score", 5))
+
+
 ARMS = tb.with_views(tb.DOCUMENTS_AS_POINTS, tb.LEXICAL, f"""
 dense_arm AS (SELECT * FROM (SELECT qid, id, score, {RANKED.format(by='qid')} FROM dense) WHERE rank <= 20),
 text_arm AS (SELECT * FROM (SELECT qid, id, score, {RANKED.format(by='qid')} FROM dense WHERE (qid, id) IN (SELECT qid, id FROM matched)) WHERE rank <= 20),
@@ -165,10 +177,27 @@ hits AS (
 """)
 
 
-def collection_hits(spark, d):
-    """Candidates of every vector in every collection, with their payload."""
+# A question's other wording is the vector beside it.
+OTHER_WORDING = """
+other_scored AS (
+  SELECT q.vec_id AS qid, p.*, list_cosine_similarity(CAST(o.embedding AS DOUBLE[]), p.vector) AS score
+  FROM embeddings q JOIN embeddings o ON o.vec_id = xor(q.vec_id, 1) JOIN points p ON p.id <> q.vec_id),
+other_hits AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, collection ORDER BY score DESC, id) AS depth FROM other_scored) WHERE depth <= 24)
+"""
+
+
+def other_wording(spark, d):
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("vec_id").bitwiseXOR(F.lit(1)).alias("other"))
+    other = table(spark, d, "embeddings").select(F.col("vec_id").alias("other"), F.col("embedding").alias("vector"))
+    return own.join(other, "other").drop("other")
+
+
+def collection_hits(spark, d, queries=None):
+    """Candidates of every vector (or of other queries) in every collection, with their payload."""
     p = tb.points(spark, d)
-    hits = rt.multi_collection(p, tb.vector_queries(spark, d).drop("label"), 5, skip_self=True)
+    queries = tb.vector_queries(spark, d).drop("label") if queries is None else queries
+    hits = rt.multi_collection(p, queries, 5, skip_self=True)
     hits = hits.withColumnRenamed("group", "collection").withColumnRenamed("rank", "depth")
     return hits.join(p.drop("vector", "collection"), "id")
 
