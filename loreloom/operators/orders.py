@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.functions import text as tx
+from loreloom.session import cut_lineage
 
 MIN_CARD_AMOUNT = 1_000
 MAX_QUANTITY = 1_000
@@ -59,21 +60,21 @@ def check_events(events: DataFrame, orders: DataFrame, secret: str) -> DataFrame
     return e.withColumn("rejected", reason).drop("__amount")
 
 
-def settle(orders: DataFrame, events: DataFrame, as_of: Column, *, expiry_minutes: int = EXPIRY_MINUTES, salts: int = 16) -> DataFrame:
+def settle(orders: DataFrame, events: DataFrame, as_of: Column, *, expiry_minutes: int = EXPIRY_MINUTES) -> DataFrame:
     """Final state of every order after its accepted events, whatever their number.
 
     The first paid or fail event decides a pending or expired order; the first cancel after payment
     cancels it; replays change nothing; an undecided order expires. A paid order without a buyer
-    grants nothing. Both steps are minima, so a hot order sends one row per task.
+    grants nothing. Both steps are minima, so a hot order sends one row per task; the decisions are written once, so Spark
+    splits the cancels of a hot order by their bytes.
     Orders: ``order_id, user_id, quantity, created_at``; events: ``order_id, seq, ts, event, rejected``.
     """
     valid = events.where(F.col("rejected").isNull()) if "rejected" in events.columns else events
     deciding = valid.where(F.col("event").isin("paid", "fail"))
-    decided = deciding.groupBy("order_id").agg(F.min(F.struct("seq", "event", "ts")).alias("__d"))
-    paid = decided.where(F.col("__d.event") == "paid").select(
-        "order_id", F.col("__d.seq").alias("__paid"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-    cancels = valid.where(F.col("event") == "cancelled").withColumn("__salt", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int"))
-    undone = cancels.join(paid, ["order_id", "__salt"]).where(F.col("seq") > F.col("__paid")).groupBy("order_id").agg(
+    decided = cut_lineage(deciding.groupBy("order_id").agg(F.min(F.struct("seq", "event", "ts")).alias("__d")))
+    paid = decided.where(F.col("__d.event") == "paid").select("order_id", F.col("__d.seq").alias("__paid"))
+    cancels = valid.where(F.col("event") == "cancelled").select("order_id", "seq", "ts")
+    undone = cancels.join(paid, "order_id").where(F.col("seq") > F.col("__paid")).groupBy("order_id").agg(
         F.min(F.struct("seq", "ts")).alias("__c"))
     o = orders.join(decided, "order_id", "left").join(undone, "order_id", "left")
     late = F.col("created_at") < as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(expiry_minutes))

@@ -62,11 +62,30 @@ def filtered_neighbours(spark, d):
     return rt.topk(points, _filtered_queries(spark, d), 5, filters=["family"], skip_self=True).select("qid", "id", "rank")
 
 
-@query("RET-6", tb.with_views(tb.DOCUMENTS_AS_POINTS, tb.LEXICAL) + "SELECT qid, id FROM matched")
+MATCHED = tb.with_views(tb.DOCUMENTS_AS_POINTS, tb.LEXICAL) + "SELECT qid, id FROM matched"
+
+
+def _match_queries(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), tx.match_tokens("text").alias("match"))
+
+
+@query("RET-6", MATCHED)
 def text_matches(spark, d):
+    return rt.text_match(lexical_points(spark, d), _match_queries(spark, d))
+
+
+@query("RET-6", r"""
+WITH held AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}')) AS term FROM documents),
+asked AS (SELECT doc_id AS qid, list_distinct(regexp_extract_all(lower(array_to_string(regexp_extract_all(text, '\S+')[1:3], ' ')), '[\p{L}\p{N}]{2,}')) AS m FROM documents),
+terms AS (SELECT qid, len(m) AS n, unnest(m) AS term FROM asked)
+SELECT qid, id FROM terms JOIN held USING (term) GROUP BY qid, id, n HAVING count(*) = n""")
+def text_matches_of_openings(spark, d):
+    """The first three words of every document ask all documents; more queries than a task is sent at once."""
     p = lexical_points(spark, d)
-    b = table(spark, d, "benchmark").join(table(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id"), "left_semi")
-    return rt.text_match(p, b.select(F.col("item_id").alias("qid"), tx.match_tokens("text").alias("match")))
+    words = F.regexp_extract_all("text", F.lit(r"(\S+)"))
+    openings = texts(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(words, 1, 3), " ").alias("opening"))
+    q = openings.select("qid", tx.match_tokens("opening").alias("match"))
+    return rt.text_match(p, q, max_broadcast=100)
 
 
 @query("EMB-2", r"""

@@ -10,7 +10,7 @@ from loreloom.plans import tables as tb
 from loreloom.plans.chunking import SEGMENTS, document_chunks
 from loreloom.plans.registry import query, table
 from loreloom.session import work_folder
-from loreloom.sources import readers, sinks
+from loreloom.sources import buckets, readers, sinks
 
 
 def stored(spark, d):
@@ -52,6 +52,21 @@ def loaded_versions(spark, d):
     return spark.read.parquet(out).select("point_id", "version", "size")
 
 
+@query("SNK-1 SNK-2", """
+SELECT doc_id AS point_id, sha256(CASE WHEN doc_id % 100 = 7 THEN text || ' again' ELSE text END) AS digest, CASE WHEN doc_id % 100 = 7 THEN 2 ELSE 1 END AS version FROM documents
+UNION ALL SELECT -1 - doc_id, sha256(text), 2 FROM documents WHERE doc_id % 100 = 9""")
+def bucketed_loads(spark, d):
+    """All documents loaded, then one in a hundred changed and as many added; only the buckets of those are rewritten."""
+    path = work_folder(spark, "buckets")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("point_id"), "text", F.lit(1).alias("version"))
+    buckets.load(docs, path, "point_id")
+    part = F.col("point_id") % 100
+    changed = docs.where(part == 7).withColumns({"text": F.concat("text", F.lit(" again")), "version": F.lit(2)})
+    added = docs.where(part == 9).withColumns({"point_id": -1 - F.col("point_id"), "version": F.lit(2)})
+    buckets.load(changed.unionByName(added), path, "point_id")
+    return buckets.current(spark, path).select("point_id", F.sha2("text", 256).alias("digest"), "version")
+
+
 @query("SNK-4", """
 SELECT CAST(doc_id AS VARCHAR) AS id, text AS content, CAST(0 AS BIGINT) AS chunk_index, '' AS category, coalesce(CASE WHEN lang = 'de' THEN source END, '') AS title, '' AS author, lang = 'fr' AS has_answer FROM documents""")
 def payload_points(spark, d):
@@ -130,6 +145,26 @@ def posts_round_trip(spark, d):
         "id", "category", F.sha2("question_body", 256).alias("digest"), F.coalesce(F.size("answers"), F.lit(0)).cast("bigint").alias("answers"))
 
 
+@query("SRC-1", """
+SELECT doc_id AS id, source AS category, sha256(text) AS digest, CAST(CASE WHEN lang = 'en' THEN 2 ELSE 0 END AS BIGINT) AS answers, doc_id % 7 AS file FROM documents""")
+def posts_from_arrays(spark, d):
+    """Posts in files that hold one JSON array each, as the crawler writes them, read by byte ranges."""
+    path = work_folder(spark, "post-arrays")
+    given = F.array(F.struct(F.col("text").alias("body"), F.lit("u1").alias("url")), F.struct(F.col("source").alias("body"), F.lit("u2").alias("url")))
+    posts = table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("category"), F.col("text").alias("question_body"), F.concat(F.lit("{"), F.col("doc_id") % 7, F.lit('}"\\')).alias("title"),
+        F.when(F.col("lang") == "en", given).alias("answers"))
+    # A line of the file is a row, so no array is built in memory: the first row opens it, the others begin with a comma.
+    first = posts.groupBy((F.col("id") % 7).alias("file")).agg(F.min("id").alias("id")).select("id", F.lit(1).alias("opens"))
+    lines = posts.join(first, "id", "left").select(
+        (F.col("id") % 7).alias("file"), "id", F.concat(F.when(F.col("opens") == 1, "[").otherwise(","), F.to_json(F.struct(*posts.columns))).alias("value"))
+    ends = first.select((F.col("id") % 7).alias("file"), F.lit((1 << 63) - 1).alias("id"), F.lit("]").alias("value"))
+    lines.unionByName(ends).repartition("file").sortWithinPartitions("file", "id").select("file", "value").write.partitionBy("file").text(path)
+    rows = readers.read_posts(spark, path)
+    return rows.select("id", "category", F.sha2("question_body", 256).alias("digest"), F.coalesce(F.size("answers"), F.lit(0)).cast("bigint").alias("answers"),
+                       F.regexp_extract("title", r"\{(\d)\}", 1).cast("bigint").alias("file"))
+
+
 @query("SRC-2 CHK-5", "WITH " + SEGMENTS + "SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, sha256(text) AS digest FROM exploded")
 def chunks_round_trip(spark, d):
     path = work_folder(spark, "chunks")

@@ -17,22 +17,33 @@ from loreloom.streaming import activity, ingest, orders as so, turns as st
 ARRIVALS = 3
 
 
-def stream_of(spark: SparkSession, d: str, name: str, by: str = "ts") -> DataFrame:
-    """A table as files that arrive one after the other in the order of a column, one file a micro-batch."""
-    rows, folder = table(spark, d, name), work_folder(spark, f"{name}-arrivals")
-    ends = rows.agg(F.percentile_approx(by, [i / ARRIVALS for i in range(1, ARRIVALS)]).alias("e")).first()["e"] or []
-    for low, high in zip([None, *ends], [*ends, None], strict=True):
-        part = rows if low is None else rows.where(F.col(by) > F.lit(low))
-        (part if high is None else part.where(F.col(by) <= F.lit(high))).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
-def run(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain a stream into files and read them back with their micro-batch number."""
+class Arrivals:
+    """A table as files that arrive in several parts, in the order of a column; rows without an order come first.
+
+    A part is written by as many tasks as it has partitions, and the stream runs to the end of the data after each.
+    """
+
+    def __init__(self, spark: SparkSession, d: str, name: str, by: str = "ts"):
+        self.rows, self.by, self.folder = table(spark, d, name), F.col(by), work_folder(spark, f"{name}-arrivals")
+        self.rows.limit(0).write.parquet(self.folder)
+        self.stream = spark.readStream.schema(self.rows.schema).parquet(self.folder)
+
+    def __iter__(self):
+        ends = self.rows.agg(F.percentile_approx(self.by, [i / ARRIVALS for i in range(1, ARRIVALS)]).alias("e")).first()["e"] or []
+        for low, high in zip([None, *ends], [*ends, None], strict=True):
+            after = self.by.isNotNull() if low is None else self.by > F.lit(low)
+            within = after if high is None else after & (self.by <= F.lit(high))
+            self.rows.where(within | self.by.isNull() if low is None else within).write.mode("append").parquet(self.folder)
+            yield
+
+
+def run(arrivals: Arrivals, rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Drain a stream into files, part by part, and read them back with their micro-batch number."""
     spark = rows.sparkSession
     ingest.use_rocksdb(spark)
-    path = work_folder(spark, name)
-    ingest.to_files(rows, path, work_folder(spark, f"{name}-state"), mode=mode).awaitTermination()
+    path, state = work_folder(spark, name), work_folder(spark, f"{name}-state")
+    for _ in arrivals:
+        ingest.to_files(rows, path, state, mode=mode).awaitTermination()
     return spark.read.parquet(path)
 
 
@@ -78,10 +89,11 @@ def turn_roll_up(spark, d):
     return t.withColumn("attempted_models", F.array_join("attempted_models", ",")).select(*TURN_COLUMNS)
 
 
-@query("STR-2", TURN_SQL + " WHERE e + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE")
+@query("STR-2", TURN_SQL + " WHERE e + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE")
 def turn_roll_up_stream(spark, d):
-    """Turns closed by twelve hours of silence; those of the last day stay open."""
-    rows = run(st.roll_up_stream(turn_events(stream_of(spark, d, "events")), stale_ms=12 * 3600 * 1000), "turns")
+    """Turns closed by a day of silence, longer than any pause inside them; those of the last days stay open."""
+    events = Arrivals(spark, d, "events")
+    rows = run(events, st.roll_up_stream(turn_events(events.stream), stale_ms=24 * 3600 * 1000), "turns")
     return rows.withColumn("attempted_models", F.array_join("attempted_models", ",")).select(*TURN_COLUMNS)
 
 
@@ -89,7 +101,8 @@ def turn_roll_up_stream(spark, d):
 SELECT order_id, CASE WHEN status = 'pending' THEN 'expired' ELSE status END AS status, CAST(granted AS BIGINT) AS granted FROM settled""")
 def order_settlement_stream(spark, d):
     """Last transition of every order; the order rows themselves open the stream."""
-    events = stream_of(spark, d, "events")
+    arrivals = Arrivals(spark, d, "events")
+    events = arrivals.stream
     u, first = F.col("user_id"), F.lit(-1).cast("bigint")
     orders = credit.orders_of(spark, d)
     checked = od.check_events(credit.order_events_of(events), orders, credit.SECRET)
@@ -99,19 +112,31 @@ def order_settlement_stream(spark, d):
     created = events.select(u.cast("string").alias("order_id"), first.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.lit("created").alias("event"),
                             (100 * (5 + u % 7)).cast("bigint").alias("amount"), (5 + u % 7).cast("bigint").alias("quantity"),
                             F.when(u % 10 != 3, u).alias("user_id"), F.lit(None).cast("string").alias("rejected"))
-    rows = run(so.settle_stream(created.unionByName(moves), delay="0 seconds"), "orders")
+    rows = run(arrivals, so.settle_stream(created.unionByName(moves), delay="0 seconds"), "orders")
     # Within a micro-batch an order only moves forward.
     order = [F.col("batch"), F.array_position(F.array(*[F.lit(x) for x in ("pending", "expired", "paid", "failed", "cancelled")]), F.col("status"))]
     return ordered.first_per_key(rows, ["order_id"], order, last=True).select("order_id", "status", "granted")
 
 
 @query("STR-5 ANA-13", """
+SELECT strftime(day, '%Y-%m-%d') AS date, count(*) AS questions, count(DISTINCT user_id) AS askers
+FROM (SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, user_id FROM events WHERE event_type = 'view')
+WHERE day + INTERVAL 1 DAY - INTERVAL 9 HOUR <= (SELECT max(ts) FROM events WHERE event_type = 'view') - INTERVAL 1 HOUR GROUP BY day""")
+def daily_activity_stream(spark, d):
+    """Days that the watermark has closed, with the exact number of askers."""
+    events = Arrivals(spark, d, "events")
+    views = events.stream.where(F.col("event_type") == "view").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = run(events, activity.closed_days(views, user="user_id"), "activity")
+    return rows.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "questions", "askers")
+
+
+@query("STR-5", """
 SELECT strftime(CAST(ts + INTERVAL 9 HOUR AS DATE), '%Y-%m-%d') AS date, count(*) AS questions, count(DISTINCT user_id) AS askers, true AS estimate_is_close
 FROM events WHERE event_type = 'view' GROUP BY 1""")
-def daily_activity_stream(spark, d):
-    """The stream's last row of every day; its estimate of the askers is held against their exact number."""
-    views = F.col("event_type") == "view"
-    rows = run(activity.daily_activity(stream_of(spark, d, "events").where(views).withColumn("ts", F.col("ts").cast("timestamp")), user="user_id"), "activity", mode="update")
+def running_days_stream(spark, d):
+    """The stream's last row of every day, days not yet closed among them; its estimate of the askers is held against their exact number."""
+    events, views = Arrivals(spark, d, "events"), F.col("event_type") == "view"
+    rows = run(events, activity.daily_activity(events.stream.where(views).withColumn("ts", F.col("ts").cast("timestamp")), user="user_id"), "running", mode="update")
     last = ordered.first_per_key(rows, ["date"], [F.col("batch")], last=True)
     exact = table(spark, d, "events").where(views).groupBy(F.to_date(F.col("ts") + F.expr("interval 9 hours")).alias("date")).agg(F.countDistinct("user_id").alias("askers"))
     close = F.abs(F.col("active_users") - F.col("askers")) <= F.greatest(F.lit(1.0), 0.1 * F.col("askers"))
@@ -125,7 +150,8 @@ def ingest_stream(spark, d):
         chunks = qna.chunk_documents(batch.select("post_id", "text"), "text")
         return sinks.payload(chunks, ["post_id"])
 
-    path = work_folder(spark, "points")
-    posts = stream_of(spark, d, "documents", "doc_id").withColumnRenamed("doc_id", "post_id")
-    ingest.ingest(posts, path, work_folder(spark, "ingest-state"), to_points).awaitTermination()
+    path, state = work_folder(spark, "points"), work_folder(spark, "ingest-state")
+    arrivals = Arrivals(spark, d, "documents", "doc_id")
+    for _ in arrivals:
+        ingest.ingest(arrivals.stream.withColumnRenamed("doc_id", "post_id"), path, state, to_points).awaitTermination()
     return sinks.current_documents(spark, path, "post_id").select("id", "chunk_index", F.sha2("content", 256).alias("digest"))

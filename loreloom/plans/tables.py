@@ -239,7 +239,7 @@ def text_queries(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     lexical = rt.query_terms(b, docs, qid="qid", query="query", text="content")
-    return (b.join(vectors, "qid").join(lexical, "qid", "left")
+    return (b.join(vectors, "qid", "left").join(lexical, "qid", "left")
             .withColumn("match", tx.match_tokens("query")))
 
 
@@ -247,7 +247,7 @@ def text_queries(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
 LEXICAL = r"""
 bench AS (
   SELECT b.item_id AS qid, b.text AS query, CAST(e.embedding AS DOUBLE[]) AS vector
-  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+  FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
 dterms AS (
   SELECT id, term, count(*) AS tf FROM (
     SELECT id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]{2,}')) AS term FROM points) GROUP BY id, term),
@@ -263,7 +263,7 @@ matched AS (
   HAVING count(*) = (SELECT count(*) FROM qterms x WHERE x.qid = q.qid)),
 dense AS (
   SELECT b.qid, p.id, p.collection, p.source_key, list_cosine_similarity(b.vector, p.vector) AS score
-  FROM bench b CROSS JOIN points p WHERE p.vector IS NOT NULL)
+  FROM bench b CROSS JOIN points p WHERE p.vector IS NOT NULL AND b.vector IS NOT NULL)
 """
 
 

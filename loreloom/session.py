@@ -69,3 +69,28 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+class Scratch:
+    """Tables in the shared folder that a loop of rounds writes, and deletes once the next round has what it needs.
+
+    Reliable like a checkpoint: executors can be lost, what is kept is on shared storage.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folders: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        folder = work_folder(self.spark, "round")
+        df.write.parquet(folder)
+        table = self.spark.read.schema(df.schema).parquet(folder)
+        self.folders[id(table)] = (table, folder)
+        return table
+
+    def clear(self, *still: DataFrame | None) -> None:
+        """Delete all tables but *still*; nothing that is to be read later may depend on the others."""
+        jvm = self.spark.sparkContext._jvm
+        for key in [k for k in self.folders if not any(t is self.folders[k][0] for t in still)]:
+            path = jvm.org.apache.hadoop.fs.Path(self.folders.pop(key)[1])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

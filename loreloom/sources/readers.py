@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from loreloom import schemas
 from loreloom.functions import text as tx
+from loreloom.sources import json_arrays
 
 
 def read_posts(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
-    """Posts from JSON arrays (one or many files), or from JSON lines, which split; Parquet folders are read as they are."""
+    """Posts from JSON arrays (one or many files, each read by many tasks), or from JSON lines; Parquet folders are read as they are."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.schema(schemas.POSTS).option("multiLine", not lines).json(path)
+    return spark.read.schema(schemas.POSTS).json(path) if lines else json_arrays.read_array(spark, path, schemas.POSTS)
 
 
 def read_manifest(spark: SparkSession, path: str, *, array: bool = False) -> DataFrame:
