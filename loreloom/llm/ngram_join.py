@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.llm.common import Words, buffer_of, mix, row_chunks
-from loreloom.session import cut_lineage
+from loreloom.session import Scratch, cut_lineage
 
 WIDTH = 5
 BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -88,7 +88,7 @@ def _needed(n, m):
 
 
 def shared_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n (size of the set), k1 and k2 (hash of the set), links (false where it can link with nothing), tokens.
+    """Per row: doc_id, t (hash of the text), n (size of the set), k1 and k2 (hash of the set), links (false where it can link with nothing), tokens.
 
     tokens are the hashes that occur elsewhere, in the global order, as packed 64-bit words; only one of the rows of a
     block with the same id and set carries them.
@@ -97,7 +97,7 @@ def shared_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     size = rows.agg(F.sum(F.octet_length("text")).alias("s")).first().s or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     ranges = max(1, min(-(-size // RANGE_BYTES), BLOCK_BYTES // 6 // LEAST_PIECE))
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
+    blocked = rows.withColumn("t", F.xxhash64("text")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
 
     def send(table: pa.Table) -> pa.Table:
         sets = _sets(table)
@@ -134,13 +134,13 @@ def shared_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             new = links[-1] and (doc, k1[-1], k2[-1]) not in seen
             seen.add((doc, k1[-1], k2[-1]))
             tokens.append(s[known][np.argsort(at[known], kind="stable")].tobytes() if new else None)
-        return pa.table({"doc_id": table["doc_id"], "n": pa.array(n, pa.int64()), "k1": pa.array(np.array(k1, np.uint64).view(np.int64)),
+        return pa.table({"doc_id": table["doc_id"], "t": table["t"], "n": pa.array(n, pa.int64()), "k1": pa.array(np.array(k1, np.uint64).view(np.int64)),
                          "k2": pa.array(np.array(k2, np.uint64).view(np.int64)), "links": pa.array(links, pa.bool_()), "tokens": pa.array(tokens, pa.binary())})
 
     kind = docs.schema[doc_id].dataType.simpleString()
     pieces = blocked.groupBy("block").applyInArrow(send, "range int, block int, keys binary, times binary")
     answers = pieces.groupBy("range").applyInArrow(count, "block int, range int, levels binary")
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n long, k1 long, k2 long, links boolean, tokens binary")
+    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, t long, n long, k1 long, k2 long, links boolean, tokens binary")
 
 
 # --- prefix tree -----------------------------------------------------------------------------------------------------
@@ -325,38 +325,52 @@ def _with_part(entries: DataFrame, parts: DataFrame | None) -> DataFrame:
     return entries.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
 
 
-def _scout(entries: DataFrame, nodes: DataFrame, round_: int) -> DataFrame:
+def _scout(entries: DataFrame, nodes: DataFrame, round_: int, scratch: Scratch) -> DataFrame:
     """Links among sets that meet in their most common branch; after the first round one set for each part and branch."""
     if round_:
-        entries = entries.groupBy("token", "part").agg(F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("node"))
-    entries = cut_lineage(entries)
-    common = cut_lineage(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
+        entries = scratch.keep(entries.groupBy("token", "part").agg(F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("node")))
+    common = scratch.keep(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
     chosen = entries.join(common, "token").groupBy("node", "part").agg(F.max(F.struct("c", "token")).alias("m"))
-    members = cut_lineage(chosen.select("node", "part", F.col("m.token").alias("g1"), F.lit(True).alias("probe"),
-                                        F.pmod(F.xxhash64("node"), F.ceil(F.col("m.c") / BLOCK)).alias("g2")))
-    return cut_lineage(_linked(members, nodes, members.count()))
-
-
-def _pairs(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets under one branch, not connected and within the length and position bounds."""
-    counts = cut_lineage(entries.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("c")))
-    buckets = max(1, -(-int(counts.agg(F.sum(F.col("c") * F.col("blocks")).alias("s")).first().s or 0) // (16 * BUCKET)))
-    # A branch of one block meets itself; blocks of a larger one meet in pairs.
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = (entries.join(counts, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-              .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-              .withColumn("bucket", F.pmod(F.xxhash64("token", "low", "high"), F.lit(buckets))))
+    members = scratch.keep(chosen.select("node", "part", F.col("m.token").alias("g1"), F.lit(True).alias("probe"),
+                                         F.pmod(F.xxhash64("node"), F.ceil(F.col("m.c") / BLOCK)).alias("g2")))
+    return scratch.keep(_linked(members, nodes, members.count()))
+
+
+def _pairs(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets under one branch, not connected and within the length and position bounds.
+
+    The entries of a branch's largest part stay in blocks of their own, and only the others come to them, so a large
+    group under a branch with a few strangers costs the strangers times the group. The others meet in pairs of blocks.
+    """
+    sizes = scratch.keep(entries.groupBy("token", "part").agg(F.count("*").alias("c")))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.sum("c").alias("c")).select(
+        "token", F.col("m.part").alias("most"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("blocks"), (F.col("c") - F.col("m.c")).alias("others"))
+    sorted_ = entries.join(scratch.keep(largest), "token").withColumn("own", F.col("part") == F.col("most"))
+    wide = F.ceil(F.col("others") / BLOCK).cast("int")
+    at = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+    cols = ["token", "node", "part", "n", "pos", "own"]
+    stay = sorted_.where("own AND others > 0").select(*cols, at(F.col("blocks")).alias("low"), F.lit(-1).alias("high"), F.lit(0).alias("home"))
+    come = sorted_.where("NOT own").select(*cols, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"), F.lit(-1).alias("high"), F.lit(0).alias("home"))
+    among = sorted_.where("NOT own").withColumn("home", at(wide)).withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1)))
+    among = among.select(*cols, F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"), "home")
+    spread = stay.unionByName(come).unionByName(among)
+    rows = int(sizes.agg(F.sum("c").alias("s")).first().s or 0)
+    buckets = max(1, -(-rows // (4 * BUCKET)))
 
     def work(table: pa.Table) -> pa.Table:
-        token, low, high, own, node, part, n, pos = (table[c].to_numpy() for c in ("token", "low", "high", "own", "node", "part", "n", "pos"))
+        token, low, high, own, home, node, part, n, pos = (table[c].to_numpy(zero_copy_only=False) for c in ("token", "low", "high", "own", "home", "node", "part", "n", "pos"))
         order = np.lexsort((node, high, low, token))
         cuts = np.flatnonzero((np.diff(token[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
         found = [np.empty((0, 2), np.int64)]
         for g in np.split(order, cuts):
-            a, b = np.triu_indices(len(g), 1)
-            a, b = g[a], g[b]
-            use = (part[a] != part[b]) & ((low[a] == high[a]) | (own[a] != own[b]))
-            a, b = a[use], b[use]
+            if high[g[0]] < 0:
+                strangers, members = g[~own[g]], g[own[g]]
+                a, b = np.repeat(strangers, len(members)), np.tile(members, len(strangers))
+            else:
+                a, b = np.triu_indices(len(g), 1)
+                a, b = g[a], g[b]
+                use = (part[a] != part[b]) & ((low[a] == high[a]) | (home[a] != home[b]))
+                a, b = a[use], b[use]
             reach = np.minimum(n[a] - pos[a], n[b] - pos[b])
             use = (reach >= _needed(n[a], n[b])) & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b]))
             a, b = node[a[use]], node[b[use]]
@@ -364,19 +378,19 @@ def _pairs(entries: DataFrame) -> DataFrame:
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    cols = ["bucket", "token", "low", "high", "own", "node", "part", "n", "pos"]
-    return spread.select(*cols).groupBy("bucket").applyInArrow(work, "a long, b long").distinct()
+    spread = spread.withColumn("bucket", F.pmod(F.xxhash64("token", "low", "high"), F.lit(buckets)))
+    return spread.groupBy("bucket").applyInArrow(work, "a long, b long").distinct()
 
 
-def _checked(pairs: DataFrame, parts: DataFrame | None, nodes: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, parts: DataFrame | None, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links among the pairs: a tree of the partners of each first set, walked with it."""
-    pairs = cut_lineage(pairs)
+    pairs = scratch.keep(pairs)
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = pairs.join(counts, "a").withColumn("g2", F.pmod(F.xxhash64("b"), F.col("blocks")))
     partners = placed.select(F.col("a").alias("g1"), "g2", F.col("b").alias("node"), F.lit(False).alias("probe"))
     firsts = placed.select(F.col("a").alias("g1"), "g2", F.col("a").alias("node"), F.lit(True).alias("probe")).distinct()
-    members = cut_lineage(_with_part(partners.unionByName(firsts), parts))
-    return cut_lineage(_linked(members, nodes, members.count()))
+    members = scratch.keep(_with_part(partners.unionByName(firsts), parts))
+    return scratch.keep(_linked(members, nodes, members.count()))
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -386,55 +400,67 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up + root > 1").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of every node of the edges (u, v): large-star and small-star steps until only stars are left."""
-    stars = cut_lineage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    scratch = scratch or Scratch(edges.sparkSession)
+    stars = scratch.keep(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _are_stars(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        stars = scratch.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _connected(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+def _connected(parts: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, part) after adding links between nodes."""
     if parts is None:
-        return cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("root", "part"))
+        return scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).withColumnRenamed("root", "part"))
     ends = links
     for end, name in (("a", "u"), ("b", "v")):
         known = parts.select(F.col("node").alias(end), F.col("part").alias(name))
         ends = ends.join(known, end, "left").withColumn(name, F.coalesce(name, end))
-    roots = cut_lineage(components(ends.select("u", "v")))
+    roots = scratch.keep(components(ends.select("u", "v"), scratch))
     moved = parts.join(roots.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("root", "part").alias("part"))
     new = roots.join(parts, "node", "left_anti").select("node", F.col("root").alias("part"))
-    return cut_lineage(moved.unionByName(new))
+    return scratch.keep(moved.unionByName(new))
 
 
-def _unsettled(entries: DataFrame, parts: DataFrame | None) -> DataFrame:
+def _unsettled(entries: DataFrame, parts: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Entries of branches that hold more than one part."""
     entries = _with_part(entries, parts)
     split = entries.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token")
-    return cut_lineage(entries.join(split, "token", "left_semi"))
+    return scratch.keep(entries.join(split, "token", "left_semi"))
+
 
+def linked_parts(nodes: DataFrame, same: DataFrame) -> DataFrame | None:
+    """(node, part) of the nodes that link with another; None where no node does.
 
-def linked_parts(nodes: DataFrame) -> DataFrame | None:
-    """(node, part) of the nodes that link with another; None where no node does."""
-    parts, entries = None, _unsettled(branches(nodes), None)
+    same: links (a, b) known beforehand. What a round wrote is deleted once the next one has its tables.
+    """
+    scratch = Scratch(nodes.sparkSession)
+    parts = None if same.isEmpty() else _connected(None, same, scratch)
+    entries = _unsettled(branches(nodes), parts, scratch)
+    scratch.clear(parts, entries)
     for round_ in range(SCOUTS):
-        links = _scout(entries, nodes, round_)
+        links = _scout(entries, nodes, round_, scratch)
         if links.isEmpty():
+            scratch.clear(parts, entries)
             if round_:
                 break
             continue
-        parts = _connected(parts, links)
-        entries = _unsettled(entries, parts)
+        parts = _connected(parts, links, scratch)
+        entries = _unsettled(entries, parts, scratch)
+        scratch.clear(parts, entries)
         if entries.isEmpty():
             return parts
-    links = _checked(_pairs(entries), parts, nodes)
-    return parts if links.isEmpty() else _connected(parts, links)
+    links = _checked(_pairs(entries, scratch), parts, nodes, scratch)
+    if not links.isEmpty():
+        parts = _connected(parts, links, scratch)
+    scratch.clear(parts)
+    return parts
 
 
 def link_counts(nodes: DataFrame, classes: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -477,11 +503,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     with an equal set, its own included) and n_links (documents with a linking set, copies counted in)."""
     rows, some, classes, nodes, parts = _grouped(docs, doc_id, text)
     of = _with_part(classes, parts).join(link_counts(nodes, classes, parts), ["k1", "k2"], "left")
-    of = of.select("k1", "k2", "part", "node", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    grouped = some.join(cut_lineage(of), ["k1", "k2"]).select(
+    of = cut_lineage(of.select("k1", "k2", "part", "node", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    grouped = some.join(of, ["k1", "k2"]).select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("part").alias("component_id"), F.col("node").alias("class_id"), "n_links")
-    return grouped.unionByName(rows.where("NOT links").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    alone = rows.where("NOT links").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    # A row that links with nothing belongs to the group of the other rows of its id.
+    owned = some.join(of, ["k1", "k2"]).groupBy("doc_id").agg(F.min("part").alias("component_id"))
+    named = alone.where("doc_id IS NOT NULL").join(owned, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    nameless = alone.where("doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
+    return grouped.unionByName(named).unionByName(nameless)
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:
@@ -493,12 +523,20 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     # The id is a key of this join, so a class that a third of all rows share does not meet in one task.
     same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("doc_id") == F.col("node"))
     nodes = cut_lineage(rows.where(F.col("tokens").isNotNull()).join(firsts, same).select("k1", "k2", "node", "n", "tokens"))
-    return rows, some, classes, nodes, linked_parts(nodes)
+    # Classes that share an id are one document, hence connected.
+    own = cut_lineage(some.join(firsts, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("doc_id", "node").distinct())
+    several = own.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last")
+    same = cut_lineage(own.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct())
+    return rows, some, classes, nodes, linked_parts(nodes, same)
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """*docs* with one document of each group, that of the smallest id; all columns as they were."""
+    """*docs* with one document of each group, that of the smallest id; all columns as they were.
+
+    Rows go by id and text: another text under the id of a near copy stays, if it links with nothing.
+    """
     _, some, classes, _, parts = _grouped(docs, doc_id, text)
     groups = some.join(cut_lineage(_with_part(classes, parts)), ["k1", "k2"])
-    go = cut_lineage(groups.where("doc_id != part").select(F.col("doc_id").alias(doc_id)).distinct())
-    return docs.join(go, doc_id, "left_anti").select(*docs.columns)
+    go = cut_lineage(groups.where("doc_id != part").select(F.col("doc_id").alias("__gone"), F.col("t").alias("__text")).distinct())
+    same = (docs[doc_id].cast("long") == go["__gone"]) & (F.xxhash64(docs[text]) == go["__text"])
+    return docs.join(go, same, "left_anti").select(*docs.columns)

@@ -130,6 +130,62 @@ def test_one_of_each_group_stays(skewed_docs):
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, _, c in brute_groups(skewed_docs.collect())})
 
 
+def texts_of_one_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    edit = lambda k: " ".join(base[:50] + [f"e{k}"] * 2 + base[52:])
+    unique = " ".join(f"u{i}" for i in range(40))
+    return spark.createDataFrame([(5, unique), (5, edit(1)), (3, edit(2)), (9, edit(3)), (9, " ".join(f"v{i}" for i in range(30)) + " end"),
+                                  (2, " ".join(f"v{i}" for i in range(30))), (None, edit(1)), (4, None), (4, "")], "Doc_id long, Text string")
+
+
+def test_a_unique_text_under_the_id_of_a_near_copy_stays(spark):
+    docs = texts_of_one_id(spark)
+    left = ngram_join.drop_near_copies(docs)
+    rows = docs.collect()
+    # 9 links both groups, so 2 stands for all; the unique text of 5 and rows that link with nothing stay.
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(map(tuple, [rows[0], rows[5], *rows[6:]]), key=str)
+    groups = {(r.doc_id, r.component_id) for r in ngram_join.near_groups(docs, "Doc_id", "Text").collect()}
+    assert groups == {(5, 2), (3, 2), (9, 2), (2, 2), (4, 4), (None, None)}
+
+
+@pytest.mark.parametrize("name", ["odd_docs", "no_docs"])
+def test_drop_near_copies_on_odd_rows(request, name):
+    docs = request.getfixturevalue(name)
+    left, groups = ngram_join.drop_near_copies(docs), brute_groups(docs.collect())
+    assert left.columns == docs.columns
+    first = {i: c for i, _, c in groups}
+    # No group here has two texts under one id, so exactly the rows of other ids go.
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if first[r.doc_id] == r.doc_id)
+
+
+def test_strangers_meet_a_large_part_without_its_pairs(spark, monkeypatch):
+    """Without scouting rounds everything is left to the last phase, with several blocks on both sides."""
+    for name, value in (("SCOUTS", 1), ("BLOCK", 4), ("BUCKET", 8)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        words = list(base) if i % 3 else base[:40] + [f"c{i % 5}_{k}" for k in range(40)]
+        for at in rng.integers(0, 80, 3):
+            words[at] = f"e{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r[c] for c in ("doc_id", "n_shingles", "component_id")) for r in ngram_join.near_groups(docs).collect()), key=str)
+    assert got == brute_groups(docs.collect())
+
+
+def test_rounds_delete_their_tables(spark, skewed_docs):
+    from pathlib import Path
+
+    from loreloom.session import work_folder
+
+    root = Path(work_folder(spark, "x").removeprefix("file:")).parent
+    before = set(root.glob("round-*"))
+    ngram_join.near_groups(skewed_docs).count()
+    assert len(set(root.glob("round-*")) - before) <= 1  # the last parts
+
+
 def test_prefix_tree_against_all_pairs():
     rng = np.random.default_rng(3)
     for _ in range(60):
