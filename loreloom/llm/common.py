@@ -115,11 +115,16 @@ def row_chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def text_chunks(column: pa.Array, size: int) -> Iterator[list[str]]:
-    """Whole texts of a column in lists of about *size* bytes, so that few texts are Python strings at a time."""
+def slices(column: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Whole texts of a column in slices of about *size* bytes."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     for first, last in row_chunks(np.concatenate([[0], np.cumsum(lengths)]), size):
-        yield strings(column.slice(first, last - first))
+        yield column.slice(first, last - first)
+
+
+def text_chunks(column: pa.Array, size: int) -> Iterator[list[str]]:
+    """Whole texts of a column in lists of about *size* bytes, so that few texts are Python strings at a time."""
+    return map(strings, slices(column, size))
 
 
 class Remembered:

@@ -13,35 +13,41 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import text_chunks
+from loreloom.llm.common import Remembered, slices
 from loreloom.session import cut_lineage
 
 CAPACITY = 1_024
 END = 2
-CACHE = 300_000  # pre-tokens a worker remembers
-CHUNK = 1 << 20  # bytes of text split at once
-JOINED = 256  # pre-tokens encoded in one call
+CACHE = 200_000  # parts of a generation that a worker remembers; two generations are kept
+CHUNK = 2 << 20  # bytes of text split at once
+JOINED = 256  # parts encoded in one call
 BLOCK = 512  # pieces of one length numbered together
 # The tokenizer's own split (contractions, letters, digits, others, white space), written out for characters
 # on which all versions of Unicode agree. Texts with others are encoded whole.
 LETTER, DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 WHITE = "\t-\r \x85\xa0   "
 SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{WHITE}{LETTER}{DIGIT}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-UNUSUAL = re.compile("[^\0-ɏ‐-‧   ‰-⁞]")
+# A space with white space or nothing behind it: where there is none, texts are cut at every space instead.
+HARD = rf" (?:[{WHITE}]|$)"
+FIRST = "\ue000"  # an unusual character
+UNUSUAL = ("[^\\x00-ɏ‐-‧   ‰-⁞]")
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit words; each distinct pre-token is encoded once.
+    """Token ids as little-endian 32-bit words; each distinct part between spaces is put together once, from words encoded once.
 
     Broadcast, so that a Python worker keeps its tokenizer and what it has encoded over all its tasks.
     """
@@ -55,41 +61,83 @@ class Encoder:
 
     def prepare(self) -> Encoder:
         if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_str(self.definition)
             self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-            self.known: dict[str, bytes] = {}
+            vocabulary = self.tokenizer.get_vocab()  # a character of a token stands for a byte
+            self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.bytes[i] = len(token)
+            self.known = Remembered(self.learn, CACHE)
         return self
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode pre-tokens; those of a space and letters keep their borders in a row, so many go in one call."""
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        self.known.update((w, i) for w in words if w[0] != " " or not w[1:].isalpha() for i in self.ids([w]))
-        for at in range(0, len(spaced), JOINED):
-            part = spaced[at:at + JOINED]
-            encoded = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = array("I", encoded.ids)
-            for word, (first, last) in zip(part, spans(encoded.word_ids, len(part)), strict=True):
-                self.known[word] = ids[first:last].tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(UNUSUAL.search(t)) or any(s in t for s in self.special) for t in texts]
-        split = [[] if w else SPLIT.findall(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > CACHE:
-            self.known = {}
-        self.learn(list(set().union(*split) - self.known.keys()))
-        known = self.known.__getitem__
-        return [self.ids([t])[0] if w else b"".join(map(known, words)) for t, w, words in zip(texts, whole, split, strict=True)]
-
-
-def spans(word_ids: list[int], words: int) -> list[tuple[int, int]]:
-    """First and last + 1 token of each word."""
-    first = np.searchsorted(np.array(word_ids), np.arange(words + 1))
-    return list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """Encode parts from their pre-tokens, so a word is known whatever stands behind it."""
+        words = [[p] if p.isalpha() else self.words(p) for p in parts]
+        seen, before = self.known.new, self.known.old
+        new = [w for w in set().union(*words) if w not in seen and w not in before]
+        seen.update(zip(new, self.encoded(new), strict=True))
+        return [b"".join([seen[w] if w in seen else before[w] for w in ws]) for ws in words]
+
+    def words(self, part: str) -> list[str]:
+        """Pre-tokens, as parts."""
+        text = part[1:] if part[:1] == FIRST else " " + part
+        return [w[1:] if w[0] == " " else FIRST + w for w in SPLIT.findall(text)]
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens; those behind a space keep their borders in a row, so many go in one call and are cut by their bytes."""
+        out = [b""] * len(words)
+        lone = [i for i, p in enumerate(words) if not p or p[0] == FIRST]
+        for i, found in zip(lone, self.ids([words[i][1:] or " " for i in lone]), strict=True):
+            out[i] = found
+        spaced = [i for i, p in enumerate(words) if p and p[0] != FIRST]
+        rows = [" " + " ".join([words[i] for i in spaced[at:at + JOINED]]) for at in range(0, len(spaced), JOINED)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        ends = np.cumsum([len(words[i].encode()) + 1 for i in spaced])
+        cuts = (4 * np.searchsorted(np.cumsum(self.bytes[ids]), ends, "right")).tolist()
+        raw = ids.tobytes()
+        for i, first, last in zip(spaced, [0, *cuts], cuts):
+            out[i] = raw[first:last]
+        return out
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, UNUSUAL)
+        for special in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, special))
+        hard = pc.and_(pc.match_substring_regex(texts, HARD), pc.invert(whole))
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.ids([texts[i].as_py()])[0]
+        for i in np.flatnonzero(hard.to_numpy(zero_copy_only=False)).tolist():
+            parts = self.words(FIRST + texts[i].as_py())
+            out[i] = b"".join(map(self.known.of(set(parts)), parts))
+        easy = pc.invert(pc.or_(whole, hard))
+        rows = np.flatnonzero(easy.to_numpy(zero_copy_only=False)).tolist()
+        if rows:
+            for i, found in zip(rows, self.spaced(texts.filter(easy)), strict=True):
+                out[i] = found
+        return out
+
+    def spaced(self, texts: pa.Array) -> list[bytes]:
+        """Texts cut at every space; what follows no space has a mark in front. Each distinct part is looked up once for all texts."""
+        parts = pc.split_pattern(pc.binary_join_element_wise(FIRST, texts, ""), " ")
+        numbered = parts.flatten().dictionary_encode()
+        distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        known = list(map(self.known.of(distinct), distinct))
+        words = np.frombuffer(b"".join(known), np.uint32)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin, own = np.cumsum(size) - size, size[at]
+        ends = np.cumsum(own)
+        raw = words[np.repeat(begin[at] - ends + own, own) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * np.append(0, ends)[parts.offsets.to_numpy() - parts.offsets[0].as_py()]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", *, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -102,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: s
         encoder = shared.value.prepare()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            encoded = (ids + closing for part in text_chunks(batch.column(1), CHUNK) for ids in encoder.encode(part))
+            encoded = (ids + closing for part in slices(batch.column(1), CHUNK) for ids in encoder.encode(part))
             for i, ids in enumerate(encoded):
                 n = len(ids) // 4
                 for k, at in enumerate(range(n % capacity - capacity if n % capacity else 0, n, capacity)):
