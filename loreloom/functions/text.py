@@ -120,6 +120,10 @@ WORDS = Tokenizer(
 )
 
 
+# Counts words but gives no tokens: what chunkers work with where no tokenizer is at hand.
+COUNTS = Tokenizer(encode=lambda c: F.array().cast("array<string>"), decode=WORDS.decode, count=WORDS.count, additive=True)
+
+
 def pieces(size: int = 4) -> Tokenizer:
     """A sub-word tokenizer: every run of up to *size* characters is a token, white space included.
 
@@ -136,6 +140,13 @@ def token_count(c: Column | str, tokenizer: Tokenizer = WORDS) -> Column:
     return tokenizer.count(or_empty(c)).cast("bigint")
 
 
+def character_slices(c: Column, chars: int) -> Column:
+    """A text cut after every *chars* characters; an empty text has no slice."""
+    count = F.ceil(F.length(c) / chars).cast("int")
+    cut_up = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(c, i * chars + 1, F.lit(chars)))
+    return F.when(count > 0, cut_up).otherwise(F.array().cast("array<string>"))
+
+
 def token_windows(c: Column, size: int | Column, step: int | Column, *, to_the_end: bool = False,
                   tokenizer: Tokenizer = WORDS) -> Column:
     """Token windows as texts.

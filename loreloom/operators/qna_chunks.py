@@ -26,14 +26,20 @@ def _pieces(parts: Column) -> Column:
     return F.filter(F.transform(parts, tx.strip), lambda p: p != "")
 
 
-def segments(text: Column, *, size: int = MAX_TOKENS, overlap: int = OVERLAP, tokenizer: Tokenizer = WORDS) -> Column:
-    """Paragraphs; sentences of paragraphs over the budget; token windows of sentences over it."""
+def segments(text: Column, *, size: int = MAX_TOKENS, overlap: int = OVERLAP, tokenizer: Tokenizer = WORDS, slice_chars: int | None = None) -> Column:
+    """Paragraphs; sentences of paragraphs over the budget; token windows of sentences over it.
+
+    A tokenizer that counts but gives no tokens bounds no window: with *slice_chars* such sentences are cut after that
+    many characters.
+    """
 
     def fits(c: Column) -> Column:
         return tokenizer.count(c) <= size
 
     def sentence(s: Column) -> Column:
         windows = tx.token_windows(s, size, size - overlap, tokenizer=tokenizer)
+        if slice_chars:
+            windows = F.when(F.size(tokenizer.encode(s)) > 0, windows).otherwise(tx.character_slices(s, slice_chars))
         return F.when(fits(s), F.array(s)).otherwise(windows)
 
     def paragraph(p: Column) -> Column:

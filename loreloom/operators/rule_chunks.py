@@ -23,6 +23,7 @@ MIN_GENERIC_BUDGET = 120
 SOURCE_TYPE = "formula-rules"
 DEFAULT_YEAR = "2026"
 SHORT_CAP, LONG_CAP = 4_000, 20_000
+SLICE_CHARS = 2_400  # of a sentence that no tokens bound
 _LINES = "array<struct<text:string,n:int>>"
 
 # Every line end that str.splitlines() knows.
@@ -228,17 +229,12 @@ def section_chunks(section: Column, *, size: int = MAX_TOKENS, tokenizer: Tokeni
 def generic_chunks(text: Column, header: Column, *, size: int = MAX_TOKENS, tokenizer: Tokenizer = WORDS) -> Column:
     """Chunks of a document without sections; a segment over the budget is emitted in pieces of its own."""
     limit = F.greatest(F.lit(size) - tokenizer.count(header) - 8, F.lit(MIN_GENERIC_BUDGET)).cast("int")
-    parts = qna.segments(text, size=size, overlap=OVERLAP, tokenizer=tokenizer)
+    parts = qna.segments(text, size=size, overlap=OVERLAP, tokenizer=tokenizer, slice_chars=SLICE_CHARS)
     counted = F.transform(parts, lambda p: F.struct(p.alias("text"), tokenizer.count(p).alias("n")))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buffer"), F.lit(0).cast("int").alias("n"))
 
-    def slices(buffer: Column) -> Column:
-        """The whole buffer, in slices of characters where words do not bound it."""
-        count = F.ceil(F.length(buffer) / LONG_CAP).cast("int")
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(buffer, i * LONG_CAP + 1, F.lit(LONG_CAP)))
-
     def flushed(acc: Column) -> Column:
-        return F.when(acc["buffer"] != "", F.concat(acc["done"], slices(acc["buffer"]))).otherwise(acc["done"])
+        return F.when(acc["buffer"] != "", F.concat(acc["done"], tx.character_slices(acc["buffer"], LONG_CAP))).otherwise(acc["done"])
 
     def packed(budget: Column) -> Column:
         def step(acc: Column, part: Column) -> Column:

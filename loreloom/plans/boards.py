@@ -130,7 +130,18 @@ def manifest_once(spark, d):
     return board.dedupe_manifest(items, "2024", order=[F.col("doc_id")])
 
 
-@query("WEB-1 UDF-4")
+# Comments, scripts and styles become tags, then texts lie between tags; the references that the pages use are resolved.
+UNESCAPED = "{0}"
+for _name, _char in (("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''")):
+    UNESCAPED = f"replace({UNESCAPED}, '&{_name};', '{_char}')"
+UNESCAPED = f"regexp_replace({UNESCAPED}, '&amp;?', '&', 'g')"  # titles can be cut inside a reference
+
+
+@query("WEB-1 UDF-4", rf"""
+WITH visible AS (SELECT page_id, html, string_split_regex(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '<c>', 'g'), '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', '<c>', 'g'), '<[^>]*>') AS parts FROM pages),
+lines AS (SELECT page_id, html, array_to_string(list_filter(list_transform(parts, lambda x: trim({UNESCAPED.format('x')}, E' \n\t\r')), lambda x: x <> ''), E'\n') AS text FROM visible)
+SELECT page_id, trim({UNESCAPED.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, E' \n\t\r') AS title,
+  trim(regexp_replace(regexp_replace(text, '[ \t\r]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), E' \n\t\r') AS text, CAST(len(regexp_extract_all(html, '(?i)<a[\s>]')) AS BIGINT) AS links FROM lines""")
 def page_outlines(spark, d):
     return pages.page_text(texts(spark, d, "pages", "page_id", "html"))
 

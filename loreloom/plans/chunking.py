@@ -49,6 +49,20 @@ def packed_chunks(spark, d):
     return document_chunks(spark, d)
 
 
+SLICED = PACKING.format(keys="doc_id", docs="documents", size=40, overlap=8, least=-1).split("segments AS (")[0]
+
+
+@query("RUL-6", "WITH " + SLICED + r"""slices AS (
+  SELECT doc_id, pp, sp, i, CASE WHEN len(regexp_extract_all(piece, '\S+')) <= 40 THEN piece ELSE substr(piece, i * 120 + 1, 120) END AS segment
+  FROM (SELECT *, unnest(range(0, CASE WHEN len(regexp_extract_all(piece, '\S+')) <= 40 THEN 1 ELSE CAST(ceil(length(piece) / 120.0) AS BIGINT) END)) AS i FROM pieces WHERE piece <> ''))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pp, sp, i) - 1 AS i, segment FROM slices""")
+def sliced_segments(spark, d):
+    """Segments where words are counted but no tokens are given: long sentences are cut after so many characters."""
+    docs = texts(spark, d, "documents", "doc_id", "text")
+    cut = qna.segments(F.col("text"), size=40, overlap=8, tokenizer=tx.COUNTS, slice_chars=120)
+    return docs.select("doc_id", F.posexplode(cut).alias("i", "segment")).withColumn("i", F.col("i").cast("bigint"))
+
+
 @query("CHK-11", "WITH " + SEGMENTS + r"""
 SELECT CAST(count(*) AS BIGINT) AS chunks, round(avg(n), 6) AS avg_tokens, CAST(min(n) AS BIGINT) AS min_tokens, CAST(max(n) AS BIGINT) AS max_tokens,
        CAST(count(*) FILTER (n > 384) AS BIGINT) AS oversize FROM (SELECT len(regexp_extract_all(text, '\S+')) AS n FROM exploded)""")
