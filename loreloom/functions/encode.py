@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,9 @@ def hashing_encoder(dim: int = DEFAULT_DIM) -> EncoderFactory:
         def encode(texts: list[str]) -> np.ndarray:
             words = [word.findall(t.lower()) for t in texts]
             rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-            places = np.fromiter((place(w) for ws in words for w in ws), np.int64, len(rows))
+            # Every distinct word of the batch is hashed once.
+            codes, distinct = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
+            places = np.array([place(w) for w in distinct], np.int64)[codes]
             counts = np.bincount(rows * 2 * dim + places, minlength=len(texts) * 2 * dim).reshape(len(texts), 2, dim)
             out = (counts[:, 0] - counts[:, 1]).astype(np.float64)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
@@ -61,13 +64,15 @@ def hashing_encoder(dim: int = DEFAULT_DIM) -> EncoderFactory:
     return build
 
 
-def dense_encoder(factory: EncoderFactory | None = None, batch_size: int = 32):
+def dense_encoder(factory: EncoderFactory | None = None, batch_size: int | None = None):
     """Iterator pandas UDF text -> array<float>; the encoder is built once per Python worker.
 
-    Texts are ordered by length inside a batch so that a model pads as little as possible. The
+    Texts are ordered by length inside a batch so that a model pads as little as possible; a model is given 32 texts at
+    a time unless told otherwise, the hashing encoder 1,024. The
     result can be registered by name: ``spark.udf.register("encode", dense_encoder())``.
     """
     make = factory or hashing_encoder()
+    size = batch_size or (32 if factory else 1_024)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def encode_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -76,8 +81,8 @@ def dense_encoder(factory: EncoderFactory | None = None, batch_size: int = 32):
             texts = batch.fillna("").tolist()
             order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
             out: list = [None] * len(texts)
-            for start in range(0, len(order), batch_size):
-                part = order[start : start + batch_size]
+            for start in range(0, len(order), size):
+                part = order[start : start + size]
                 for i, vector in zip(part, encode([texts[i] for i in part])):
                     out[i] = vector
             yield pd.Series(out)

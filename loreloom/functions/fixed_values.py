@@ -221,3 +221,7 @@ MARKDOWN_BOLD = r"(?U)\A\*\*(.+?)\*\*\s*\z"
 MARKDOWN_BULLET = r"(?U)\A-\s+(.*?)\s*\z"
 MARKDOWN_NESTED = r"(?U)\A\s+-\s+(.*?)\s*\z"
 MARKDOWN_ANY_BULLET = r"(?U)\A\s*-\s+(.*?)\s*\z"
+
+# The four confidence grades and the Markdown form that carries them.
+CONFIDENCE_VALUES = ("합의됨", "다수의견", "단일제보", "미해결")
+CONFIDENCE_TAG = "`\\[(" + "|".join(CONFIDENCE_VALUES) + ")\\]`"

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loreloom.functions import fixed_values as fixed
+
 # The white space that str.strip()/str.split() know: Java's Unicode class, which needs (?U) in front
 # of the pattern, plus the four separators it leaves out. (Spelling the class out is 10 times slower.)
 SPACE = r"[\s\x1c-\x1f]"
@@ -234,9 +236,6 @@ def fingerprint(content: Column, modified: Column | None = None) -> Column:
 
 # --- Markdown -----------------------------------------------------------------------------------
 
-# The four confidence grades and the Markdown forms that carry them.
-CONFIDENCE_VALUES = ("합의됨", "다수의견", "단일제보", "미해결")
-CONFIDENCE_TAG = "`\\[(" + "|".join(CONFIDENCE_VALUES) + ")\\]`"
 SOURCE_NOTE = r"<sub>\s*(?:출처:\s*)?(.*?)\s*</sub>"
 ISO_DATE = r"\d{4}-\d{2}-\d{2}"
 
@@ -244,7 +243,7 @@ ISO_DATE = r"\d{4}-\d{2}-\d{2}"
 def strip_markup(c: Column | str) -> Column:
     return strip(rewrite(_col(c), [
         (SOURCE_NOTE, "출처: $1"),
-        (CONFIDENCE_TAG, "($1)"),
+        (fixed.CONFIDENCE_TAG, "($1)"),
         (r"\*\*(.+?)\*\*", "$1"),
         (r"`([^`]*)`", "$1"),
     ]))

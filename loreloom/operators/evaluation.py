@@ -13,7 +13,6 @@ from loreloom.functions import text as tx
 from loreloom.operators import ordered
 
 SEED = 20260807
-CAP = 120
 MIN_CODE = 5
 ALPHABET = "[A-Za-z0-9-]+"
 
@@ -58,9 +57,9 @@ def unique_codes(chunks: DataFrame, key: str, text: str, *, min_len: int = MIN_C
     return tokens.join(pieces, "token").where(F.col("lo") == F.col("hi")).select("token", "key")
 
 
-def lexical_queries(chunks: DataFrame, key: str, text: str, *, seed: int = SEED, cap: int | None = CAP, first: Column | None = None,
+def lexical_queries(chunks: DataFrame, key: str, text: str, *, seed: int = SEED, cap: int | None = None, first: Column | None = None,
                     pattern: str = fixed.CODE_TOKEN_PATTERN) -> DataFrame:
-    """``query, gold``: one unique code per chunk, the first one in the chunk; a seeded choice of *cap*.
+    """``query, gold``: one unique code per chunk, the first one in the chunk; all of them, or a seeded choice of *cap*.
 
     *first* marks the chunks queries are made of; uniqueness is over all chunks.
     """
@@ -72,7 +71,7 @@ def lexical_queries(chunks: DataFrame, key: str, text: str, *, seed: int = SEED,
     return _first(best, seeded_order(F.col("query"), seed=seed), cap)
 
 
-def semantic_queries(chunks: DataFrame, key: str, text: str, topic: str, *, seed: int = SEED, cap: int | None = CAP,
+def semantic_queries(chunks: DataFrame, key: str, text: str, topic: str, *, seed: int = SEED, cap: int | None = None,
                      pattern: str = fixed.CONCLUSION_PATTERN) -> DataFrame:
     """``query, gold``: the conclusion of a chunk, unless it names the start of the topic."""
     q = chunks.select(F.col(key).alias("gold"), tx.strip(F.regexp_extract(text, pattern, 1)).alias("query"),
@@ -100,8 +99,8 @@ def first_sentence(text: Column) -> Column:
     return F.when(F.length(first) >= 20, first).otherwise(tx.cut(clean, 120))
 
 
-def section_queries(chunks: DataFrame, *, text: str = "text", order: Sequence[Column], per_task: int = 60, seed: int = SEED) -> DataFrame:
-    """Title and first-sentence queries, one each per distinct section."""
+def section_queries(chunks: DataFrame, *, text: str = "text", order: Sequence[Column], per_task: int | None = None, seed: int = SEED) -> DataFrame:
+    """Title and first-sentence queries, one each per distinct section: all of them, or a seeded choice of *per_task*."""
     def s(name: str) -> Column:
         return tx.or_empty(F.col(name).cast("string"))
 
@@ -118,10 +117,8 @@ def section_queries(chunks: DataFrame, *, text: str = "text", order: Sequence[Co
     body = rows.withColumn("query", first_sentence(chunk_body(F.col("__text")))).where(F.col("query") != "").select(
         "query", F.lit("body").alias("task"), *base, F.col("query").alias("anchor"))
 
-    def sample(df: DataFrame) -> DataFrame:
-        return df.orderBy(*seeded_order(*[F.col(c) for c in ("chapter_num", "section_num", "section")], seed=seed)).limit(per_task) if per_task > 0 else df
-
-    return sample(title).unionByName(sample(body))
+    shuffled = seeded_order(*[F.col(c) for c in ("chapter_num", "section_num", "section")], seed=seed)
+    return _first(title, shuffled, per_task).unionByName(_first(body, shuffled, per_task))
 
 
 def is_relevant(hits: DataFrame, *, prefix: str = "q_") -> Column:

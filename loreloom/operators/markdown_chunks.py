@@ -20,7 +20,7 @@ MAX_TOKENS = 384
 MARGIN = 4
 CAPTION_CHARS = 40
 
-FIRST_TAG = r"(?s)\A(.*?)" + tx.CONFIDENCE_TAG
+FIRST_TAG = r"(?s)\A(.*?)" + fixed.CONFIDENCE_TAG
 
 _KINDS = {"K": "topic", "T": "table", "B": "brief", "P": "note"}
 
@@ -40,7 +40,7 @@ def classify_lines(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def caption(line: Column) -> Column:
     """A short bullet without a body is the caption of the table below it, else ''."""
-    item = F.regexp_replace(F.regexp_extract(line, fixed.MARKDOWN_ANY_BULLET, 1), tx.CONFIDENCE_TAG, "")
+    item = F.regexp_replace(F.regexp_extract(line, fixed.MARKDOWN_ANY_BULLET, 1), fixed.CONFIDENCE_TAG, "")
     t = tx.strip_markup(item)
     ok = line.rlike(fixed.MARKDOWN_ANY_BULLET) & ~t.contains("—") & (F.length(t) <= CAPTION_CHARS)
     return F.coalesce(F.when(ok, t), F.lit(""))
@@ -113,7 +113,7 @@ def blocks(docs: DataFrame, keys: list[str], text: str, *, keep_long_captions: b
         F.when(role == "C", tx.label_line(child)).when(role == "T", tx.strip("line")).when(role == "B", tx.strip_markup(head))
         .when(role == "P", tx.strip_markup(F.regexp_replace(tx.strip("line"), r"\A[> ]+", "")))
     )
-    grade = tx.non_empty(F.regexp_extract(F.when(role == "K", head).when(role == "C", child), tx.CONFIDENCE_TAG, 1))
+    grade = tx.non_empty(F.regexp_extract(F.when(role == "K", head).when(role == "C", child), fixed.CONFIDENCE_TAG, 1))
     dates = F.when(role == "C", tx.iso_dates(child)).when(role.isin("B", "P"), tx.iso_dates(line))
     members = numbered.where(role.isin("T", "P", "B", "K", "C")).select(
         *keys, "__block", "pos", "role", "__chapter", "section", title.alias("topic"), content.alias("content"),

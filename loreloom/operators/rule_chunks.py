@@ -288,8 +288,3 @@ def chunk_rules(docs: DataFrame, text: str, *, keys: list[str], noise: Iterable[
 def in_reading_order(chunks: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     return chunks.orderBy(*[F.coalesce(tx.parse_int(c), zero) for c in ("chapter_num", "section_num", "chunk_index")])
-
-
-def in_catalog_order(chunks: DataFrame) -> DataFrame:
-    return chunks.orderBy(*[tx.or_empty(c) for c in ("competition", "document_type", "source_key")],
-                          F.coalesce(tx.parse_int("chunk_index"), F.lit(0).cast("bigint")))

@@ -49,7 +49,7 @@ def section_queries(spark, d):
     chunks = table(spark, d, "documents").select(
         F.col("lang").alias("chapter_num"), F.col("source").alias("section"), F.lit("").alias("section_num"), F.lit("").alias("chapter"),
         F.lit(0).alias("chunk_index"), "text", "doc_id")
-    return ev.section_queries(chunks, order=[F.col("doc_id")], per_task=0).select("query", "task", "section")
+    return ev.section_queries(chunks, order=[F.col("doc_id")]).select("query", "task", "section")
 
 
 TOP = tb.with_views(tb.PAIRS, "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM pairs) WHERE rank <= 10)")

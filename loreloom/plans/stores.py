@@ -96,15 +96,15 @@ def routed_collections(spark, d):
     return spark.read.parquet(path).groupBy("collection").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).cast("bigint").alias("chars"))
 
 
-@query("SNK-7 EMB-2", tb.with_views(tb.POINTS, tb.LEXICAL) + "SELECT p.id, count(term) AS terms, CAST(count(p.id) FILTER (p.vector IS NULL) AS BIGINT) AS lost, CAST(0 AS BIGINT) AS changed FROM points p LEFT JOIN dterms d ON d.id = p.id GROUP BY p.id")
+@query("SNK-7 EMB-2", tb.with_views(tb.DOCUMENTS_AS_POINTS, tb.LEXICAL) + "SELECT p.id, count(term) AS terms, CAST(max(CASE WHEN p.vector IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS lost, CAST(0 AS BIGINT) AS changed FROM points p LEFT JOIN dterms d ON d.id = p.id GROUP BY p.id")
 def enriched_copy(spark, d):
-    source = tb.points(spark, d)
+    source = tb.documents_as_points(spark, d)
     vectors = rt.sparse_vectors(rt.lexical_weights(source, "id", "content"), "id")
     path = work_folder(spark, "copy")
     sinks.enrich_copy(source, vectors, "id").write.parquet(path)
     copy = spark.read.parquet(path)
     # Ids, payload and vectors of the written copy are those of the source.
-    odd = sinks.copy_differences(source, copy, ["id", "vector", "content", "collection", "source_key"]).groupBy("id").agg(F.count("*").alias("changed"))
+    odd = sinks.copy_differences(source, copy, ["id", "vector", "content", "collection", "label"]).groupBy("id").agg(F.count("*").alias("changed"))
     return copy.join(odd, "id", "left").select("id", F.coalesce(F.size("terms"), F.lit(0)).cast("bigint").alias("terms"),
                                                F.col("vector").isNull().cast("bigint").alias("lost"), F.coalesce("changed", F.lit(0)).alias("changed"))
 
@@ -117,9 +117,9 @@ def vector_pairing(spark, d):
     return readers.pairing_report(chunks, table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), ["chunk_id"], "embedding", 64)
 
 
-@query("SRC-6 SRC-2", tb.with_views(tb.POINTS) + "SELECT id FROM points WHERE collection = 'fr'")
+@query("SRC-6 SRC-2", tb.with_views(tb.DOCUMENTS_AS_POINTS) + "SELECT id FROM points WHERE collection = 'fr'")
 def collection_ids(spark, d):
-    return readers.scan_collection(tb.points(spark, d), "fr", ["id"])
+    return readers.scan_collection(tb.documents_as_points(spark, d), "fr", ["id"])
 
 
 @query("SRC-7", "SELECT DISTINCT lang AS collection FROM documents")
@@ -127,10 +127,20 @@ def collection_names(spark, d):
     return readers.collections(table(spark, d, "documents").withColumnRenamed("lang", "collection"))
 
 
-@query("SRC-8", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("customer", "orders", "lineitem", "events")))
+@query("SRC-8", """
+SELECT c_nationkey AS nation, count(DISTINCT c_custkey) AS customers, count(DISTINCT o_orderkey) AS orders, CAST(sum(l_quantity) AS DOUBLE) AS quantity, count(DISTINCT e.user_id) AS active
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+LEFT JOIN (SELECT DISTINCT user_id FROM events) e ON e.user_id = c_custkey GROUP BY 1""")
 def operational_tables(spark, d):
-    counts = [readers.read_table(spark, t, d).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("customer", "orders", "lineitem", "events")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    """Four operational tables read by name and brought together: customers, their orders, quantities and activity by nation."""
+    customer, orders, lineitem, events = (readers.read_table(spark, t, d) for t in ("customer", "orders", "lineitem", "events"))
+    quantity = lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"))
+    of_order = orders.join(quantity, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    of_customer = of_order.groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum("quantity").alias("quantity"))
+    seen = events.groupBy("user_id").agg(F.lit(1).alias("active"))
+    rows = customer.join(of_customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(seen, F.col("user_id") == F.col("c_custkey"), "left")
+    return rows.groupBy(F.col("c_nationkey").alias("nation")).agg(
+        F.count("*").alias("customers"), F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"), F.sum("quantity").cast("double").alias("quantity"), F.count("active").alias("active"))
 
 
 @query("SRC-1", """

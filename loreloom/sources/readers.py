@@ -82,7 +82,3 @@ def assert_paired(report: DataFrame) -> None:
     bad = {k: row[k] for k in ("chunks_without_vector", "vectors_without_chunk", "wrong_dimension") if row[k]}
     if bad:
         raise ValueError(f"chunks and vectors do not pair up: {bad}")
-
-
-def sha256_of(content: Column) -> Column:
-    return F.sha2(content, 256)
