@@ -184,9 +184,10 @@ def chunk_blocks(block_rows: DataFrame, *, size: int = MAX_TOKENS, tokenizer: To
 def chunk_markdown(docs: DataFrame, text: str, *, keys: list[str], source_type: str = "kb", version: Column | None = None,
                    keep_long_captions: bool = True, size: int = MAX_TOKENS, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """Documents -> chunks with ids and the fingerprint of their document."""
-    stamp = docs.select(*keys, (version if version is not None else tx.fingerprint(F.encode(text, "UTF-8"))).alias("source_version"))
-    named = with_post_id(blocks(docs, keys, text, keep_long_captions=keep_long_captions), keys, source_type)
-    made = chunk_blocks(named, size=size, tokenizer=tokenizer).join(stamp, keys)
+    # The fingerprint goes with the keys, so documents are read once and lines are shuffled once.
+    stamped = docs.select(*keys, text, (version if version is not None else tx.fingerprint(F.encode(text, "UTF-8"))).alias("source_version"))
+    found = blocks(stamped, [*keys, "source_version"], text, keep_long_captions=keep_long_captions)
+    made = chunk_blocks(with_post_id(found, [*keys, "source_version"], source_type), size=size, tokenizer=tokenizer)
     return made.select(
         *keys, "post_id", F.lit(source_type).alias("source_type"), "source_version",
         F.coalesce("chapter_num", F.lit(0).cast("bigint")).alias("chapter_num"), "chapter", "section", "topic",
