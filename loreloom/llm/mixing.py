@@ -52,7 +52,9 @@ def targets(sources: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: floa
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
-    return docs.withColumns({"__id": F.col(doc_id), "__source": F.col(source), "__size": word_count(text), "__h": F.xxhash64(F.lit(seed), F.col(doc_id))})
+    """__row (all columns of docs), __id, __source, __size and __h."""
+    return docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__id"), F.col(source).alias("__source"), word_count(text).alias("__size"),
+                       F.xxhash64(F.lit(seed), F.col(doc_id)).alias("__h"))
 
 
 def _crossed(place: Column, rate: Column, seed: int) -> Column:
@@ -120,4 +122,4 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     rows = _keyed(docs, doc_id, text, source, seed)
     out = copies(rows, cut_lineage(rows.select("__id", "__source", "__size", "__h")), seed=seed, **how)
     repeated = out.where("__copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*docs.columns)
+    return repeated.select("__row.*")

@@ -69,7 +69,8 @@ def propagate(linked: DataFrame, rows: int, shards: int) -> DataFrame:
         mine = F.filter("__votes", here)[0]
         open_ = F.filter("__votes", lambda v: here(v) | ~F.element_at(full, v["s"] + 1))
         best = F.array_max(F.filter(open_, lambda v: F.struct(v["n"], v["t"]) >= F.struct(mine["n"], mine["t"])))
-        asked = cut_lineage(state.join(ballots, "__link").withColumn("__target", best["s"]).drop("__votes"))
+        # A merge join, so that Spark splits the rows of a text that a third of all rows share.
+        asked = cut_lineage(state.join(ballots.hint("merge"), "__link").withColumn("__target", best["s"]).drop("__votes"))
         flows = asked.groupBy("__shard", "__target", "__class").agg(F.count("*").alias("n")).collect()  # at most shards ** 2 x classes
         share = _swaps({(r["__shard"], r["__target"], r["__class"]): r.n for r in flows if r["__shard"] != r["__target"]}, [quota - s for s in sizes])
         round_, still = round_ + 1, still + 1
@@ -129,7 +130,7 @@ def shard(rows: DataFrame, doc_id: Column, link: Column, *, shards: int = SHARDS
 def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shards: int = SHARDS) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard; documents with equal texts are linked."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), (utf8_bytes(text) + 1).alias("size"), crc32_text(text).alias("text_crc32"),
-                       F.when(F.col(text).isNotNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.lit("null text"))).alias("key"))
+                       F.xxhash64(F.col(text).isNull(), F.coalesce(F.col(text), F.lit(""))).alias("key"))
     placed = shard(slim, F.col("doc_id"), F.col("key"), shards=shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"),
                          F.lit(None).cast("int").alias("grown_shard"))

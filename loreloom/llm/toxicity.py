@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import Words, buffer_of, id_remainder, mix, row_chunks
+from loreloom.llm.common import Words, buffer_of, fresh, id_remainder, mix, row_chunks
 from loreloom.session import cut_lineage
 
 SAMPLE = 12_000  # labelled rows the machine is fitted on, at most
@@ -180,4 +180,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
                parts: int = PARTS, held_out: int = HELD_OUT, threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
     """*docs* without those predicted toxic, all columns as they were."""
     machine = learn(docs, sample_of(labels, id_remainder(doc_id, parts) != held_out, doc_id, label, most=most), doc_id, text, most=most)
-    return scored(docs, machine, text, "__score").where(F.col("__score") < threshold).drop("__score")
+    score = fresh(docs, "__score")
+    return scored(docs, machine, text, score).where(F.col(score) < threshold).drop(score)

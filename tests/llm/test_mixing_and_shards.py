@@ -45,6 +45,22 @@ def test_mix(request, name):
             assert sum(r.taken for r in rows if r.source == s) == pytest.approx(want[s], rel=0.05)
 
 
+def test_given_columns_of_any_name_are_mixed(odd_docs):
+    from pyspark.sql import functions as F
+
+    named = odd_docs.withColumns({"__size": F.lit("a"), "__id": F.lit("b"), "__copies": F.lit("c"), "__row": F.lit("d"), "__class": F.lit("e")})
+    out = mixing.mixed(named)
+    assert out.columns == named.columns
+    assert {tuple(r[c] for c in ("__size", "__id", "__copies", "__row", "__class")) for r in out.collect()} == {tuple("abcde")}
+
+
+def test_no_text_and_its_name_are_two_texts(spark):
+    """Each of two groups fits a shard; as one group they could not stay whole."""
+    rows = [(i, None if i % 2 else "null text") for i in range(60)]
+    placed = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=2).collect()
+    assert {len({r.shard for r in placed if r.doc_id % 2 == k}) for k in (0, 1)} == {1}
+
+
 @pytest.mark.parametrize("name", ["odd_docs", "skewed_docs", "no_docs"])
 def test_shards(request, name):
     docs = request.getfixturevalue(name)

@@ -38,6 +38,27 @@ def test_pairs_are_learned(spark):
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in rows if not r.predicted}
 
 
+def test_scores_are_the_sums_over_all_pairs():
+    rng = np.random.default_rng(6)
+    known = rng.random(toxicity.SPACE) < 0.5
+    machine = toxicity.Machine(-0.3, rng.normal(size=toxicity.SPACE), rng.normal(size=(3, toxicity.SPACE)), known)
+    docs = [rng.choice(np.flatnonzero(known), n, replace=False) for n in (0, 1, 2, 7, 40)]
+    got = machine.scores(len(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs))
+    for doc, score in zip(docs, got, strict=True):
+        pairs = sum(float(machine.factors[:, a] @ machine.factors[:, b]) for n, a in enumerate(doc) for b in doc[:n])
+        total = machine.bias + machine.weights[doc].sum() + pairs / max(len(doc), 1)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_given_columns_of_any_name_are_kept(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    named = odd_docs.withColumns({"__score": F.lit("s"), "__text": F.lit("t"), "__id": F.lit(1)})
+    labels = spark.createDataFrame([(1, 0), (7, 1)], "doc_id long, toxic int")
+    left = toxicity.drop_toxic(named, labels)
+    assert left.columns == named.columns and {r["__score"] for r in left.collect()} <= {"s"}
+
+
 def test_held_out_labels_are_not_read(spark):
     docs, labels = labelled(spark, 200)
     other = labels.withColumn("toxic", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
