@@ -63,6 +63,22 @@ def sliced_segments(spark, d):
     return docs.select("doc_id", F.posexplode(cut).alias("i", "segment")).withColumn("i", F.col("i").cast("bigint"))
 
 
+def _in_runs() -> str:
+    """The SQL of the packing with runs of four characters for tokens: counts do not add up, so every joined text is counted again."""
+    runs, joined = r"(?s).{{1,4}}", "a.cur || E'\\n' || x.cur"
+    sql = PACKING.replace(r"'\S+'", f"'{runs}'").replace("], ' ')", "], '')")
+    tail = f"CASE WHEN a.n >= {{overlap}} THEN array_to_string(regexp_extract_all(a.cur, '{runs}')[-{{overlap}}:], '') ELSE a.cur END || E'\\n' || x.cur"
+    sql = sql.replace("n: least(a.n, {overlap}) + x.n", f"n: CAST(ceil(length({tail}) / 4.0) AS BIGINT)")
+    sql = sql.replace(f"cur: {joined}, n: a.n + x.n", f"cur: trim({joined}, E' \\n'), n: CAST(ceil(length(trim({joined}, E' \\n')) / 4.0) AS BIGINT)")
+    return sql.format(keys="doc_id", docs="documents", size=96, overlap=20, least=96)
+
+
+@query("CHK-3 CHK-4 CHK-5 UDF-2", "WITH " + _in_runs() + "SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, text FROM exploded")
+def chunks_of_runs(spark, d):
+    """Packing by a tokenizer whose counts do not add up."""
+    return qna.chunk_documents(texts(spark, d, "documents", "doc_id", "text"), "text", size=96, overlap=20, tokenizer=tx.pieces(4))
+
+
 @query("CHK-11", "WITH " + SEGMENTS + r"""
 SELECT CAST(count(*) AS BIGINT) AS chunks, round(avg(n), 6) AS avg_tokens, CAST(min(n) AS BIGINT) AS min_tokens, CAST(max(n) AS BIGINT) AS max_tokens,
        CAST(count(*) FILTER (n > 384) AS BIGINT) AS oversize FROM (SELECT len(regexp_extract_all(text, '\S+')) AS n FROM exploded)""")
