@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ class Arrivals:
             yield
 
 
-def run(arrivals: Arrivals, rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain a stream into files, part by part, and read them back with their micro-batch number."""
+def run(rows: DataFrame, name: str, mode: str = "append", *, arrivals: Iterable = (None,)) -> DataFrame:
+    """Drain a stream into files, once for each arrival of its input, and read them back with their micro-batch number."""
     spark = rows.sparkSession
     ingest.use_rocksdb(spark)
     path, state = work_folder(spark, name), work_folder(spark, f"{name}-state")
@@ -93,7 +95,7 @@ def turn_roll_up(spark, d):
 def turn_roll_up_stream(spark, d):
     """Turns closed by a day of silence, longer than any pause inside them; those of the last days stay open."""
     events = Arrivals(spark, d, "events")
-    rows = run(events, st.roll_up_stream(turn_events(events.stream), stale_ms=24 * 3600 * 1000), "turns")
+    rows = run(st.roll_up_stream(turn_events(events.stream), stale_ms=24 * 3600 * 1000), "turns", arrivals=events)
     return rows.withColumn("attempted_models", F.array_join("attempted_models", ",")).select(*TURN_COLUMNS)
 
 
@@ -112,7 +114,7 @@ def order_settlement_stream(spark, d):
     created = events.select(u.cast("string").alias("order_id"), first.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.lit("created").alias("event"),
                             (100 * (5 + u % 7)).cast("bigint").alias("amount"), (5 + u % 7).cast("bigint").alias("quantity"),
                             F.when(u % 10 != 3, u).alias("user_id"), F.lit(None).cast("string").alias("rejected"))
-    rows = run(arrivals, so.settle_stream(created.unionByName(moves), delay="0 seconds"), "orders")
+    rows = run(so.settle_stream(created.unionByName(moves), delay="0 seconds"), "orders", arrivals=arrivals)
     # Within a micro-batch an order only moves forward.
     order = [F.col("batch"), F.array_position(F.array(*[F.lit(x) for x in ("pending", "expired", "paid", "failed", "cancelled")]), F.col("status"))]
     return ordered.first_per_key(rows, ["order_id"], order, last=True).select("order_id", "status", "granted")
@@ -126,7 +128,7 @@ def daily_activity_stream(spark, d):
     """Days that the watermark has closed, with the exact number of askers."""
     events = Arrivals(spark, d, "events")
     views = events.stream.where(F.col("event_type") == "view").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = run(events, activity.closed_days(views, user="user_id"), "activity")
+    rows = run(activity.closed_days(views, user="user_id"), "activity", arrivals=events)
     return rows.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "questions", "askers")
 
 
@@ -136,7 +138,7 @@ FROM events WHERE event_type = 'view' GROUP BY 1""")
 def running_days_stream(spark, d):
     """The stream's last row of every day, days not yet closed among them; its estimate of the askers is held against their exact number."""
     events, views = Arrivals(spark, d, "events"), F.col("event_type") == "view"
-    rows = run(events, activity.daily_activity(events.stream.where(views).withColumn("ts", F.col("ts").cast("timestamp")), user="user_id"), "running", mode="update")
+    rows = run(activity.daily_activity(events.stream.where(views).withColumn("ts", F.col("ts").cast("timestamp")), user="user_id"), "running", mode="update", arrivals=events)
     last = ordered.first_per_key(rows, ["date"], [F.col("batch")], last=True)
     exact = table(spark, d, "events").where(views).groupBy(F.to_date(F.col("ts") + F.expr("interval 9 hours")).alias("date")).agg(F.countDistinct("user_id").alias("askers"))
     close = F.abs(F.col("active_users") - F.col("askers")) <= F.greatest(F.lit(1.0), 0.1 * F.col("askers"))
