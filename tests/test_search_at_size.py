@@ -64,3 +64,17 @@ def test_routes_are_counted_before_they_are_made(vectors):
     floored = queries.withColumn("__floor", F.lit(-1.0))
     routes = metric.within(floored)
     assert metric.moves(floored) == routes.count() > 3 * rt.ROUTES
+
+
+def test_equal_questions_are_asked_once_and_pairs_do_not_move(spark):
+    r = np.random.default_rng(8)
+    words = [[f"w{int(x)}" for x in np.minimum(r.zipf(1.4, 20), 60)] + ["every"] * (i % 3) for i in range(400)]
+    words[5], words[6] = [], None
+    points = spark.createDataFrame(list(enumerate(words)), "id long, tokens array<string>").repartition(3)
+    asked = [["every", "w1"]] * 1_500 + [["w2", "w3", "w4"], ["w1"], ["w1", "unheard"], [], None, ["w7", "w1", "every", "w2"]]
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid long, match array<string>")
+    found = rt.text_match(points, queries, max_broadcast=10)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(q, i) for q, m in enumerate(asked) if m for i, t in enumerate(words) if t and set(m) <= set(t)}
+    rows = [tuple(x) for x in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
