@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loreloom.operators import retrieval as rt
+from loreloom.operators import ranking as rk, retrieval as rt
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +78,13 @@ def test_equal_questions_are_asked_once_and_pairs_do_not_move(spark):
     want = {(q, i) for q, m in enumerate(asked) if m for i, t in enumerate(words) if t and set(m) <= set(t)}
     rows = [tuple(x) for x in found.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_merged_paths_need_no_text_in_their_hits(spark):
+    r = np.random.default_rng(2)
+    rows = [[(q, "ab"[i % 2], i, float(r.integers(0, 9)), i % 4, f"s{i % 3}", "x" * (i % 5)) for q in range(5) for i in range(n, n + 40)] for n in (0, 20)]
+    first, second = (spark.createDataFrame(x, "qid long, collection string, id long, score double, rank long, source_key string, content string") for x in rows)
+    short = [df.withColumn("digest", F.unhex(F.sha2("content", 256))).drop("content") for df in (first, second)]
+    got, want = (rk.merge_paths(*paths, 24, group=F.col("collection"), **options).select("qid", "collection", "id", "score", "rank").collect()
+                 for paths, options in ((short, {"text": F.col("digest")}), ((first, second), {})))
+    assert sorted(got) == sorted(want) and len(got) > 20
