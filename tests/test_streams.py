@@ -82,6 +82,66 @@ def test_a_late_early_event_does_not_win(spark, tmp_path):
     assert got.asDict() | {"batch": None} == want.asDict() | {"batch": None}
 
 
+def test_turns_of_a_bucket_close_one_by_one(spark, tmp_path):
+    """Turns of one state with other ends, a pause inside a turn, a turn without a name, and a turn that stays open."""
+    def at(name, *minutes):
+        return [event(name, m, m * 60_000, "token" if i else "model", "x" if i else {"resolved_model": f"m{m}"}) for i, m in enumerate(minutes)]
+
+    first = at("a", 0, 1) + at("b", 0, 30) + at("null", 5) + at(None, 2, 3) + at("c", 40)
+    second = at("b", 35) + at("d", 50, 52) + at("e", 400)
+    folder = str(tmp_path / "in")
+    for part in (first, second, at("f", 401)):
+        spark.createDataFrame(part, schemas.TURN_EVENTS).coalesce(1).write.mode("append").parquet(folder)
+    events = spark.readStream.schema(schemas.TURN_EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    streamed = run(st.roll_up_stream(events, delay="10 minutes", buckets=1), "turns-bucket")
+    batch = tn.roll_up(spark.read.schema(schemas.TURN_EVENTS).parquet(folder).where("turn_id NOT IN ('e', 'f') OR turn_id IS NULL"))
+    got, want = as_set(streamed.drop("batch").select(batch.columns)), as_set(batch)
+    assert set(got) == {"a", "b", "c", "d", "null", None}
+    models = batch.columns.index("attempted_models")
+    assert all(got[k][:models] + got[k][models + 1:] == want[k][:models] + want[k][models + 1:] for k in got)
+    assert streamed.select("turn_id", "batch").where("turn_id = 'a'").first().batch < streamed.where("turn_id = 'd'").first().batch
+
+
+def test_a_call_serves_all_turns_of_a_bucket():
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.calls, self.value, self.timers = 0, None, []
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.calls, self.value = self.calls + 1, None
+
+        def registerTimer(self, at):
+            self.calls, self.timers = self.calls + 1, [*self.timers, at]
+
+        def deleteTimer(self, at):
+            self.calls, self.timers = self.calls + 1, [t for t in self.timers if t != at]
+
+    class Now:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    held, turns = Held(), st.TurnProcessor(1_000)
+    turns.init(held)
+    rows = pd.DataFrame({"turn_id": [f"t{i}" for i in range(500)] * 2, "body": [json.dumps({"start": i * 1000, "end": i * 1000 + j, "done": 0, "places": {}}) for j in (0, 7) for i in range(500)]})
+    assert not list(turns.handleInputRows((3,), iter([rows]), Now(0))) and held.calls <= 4 and held.timers == [1_001]
+    closed = list(turns.handleExpiredTimer((3,), Now(1_101), None))
+    assert len(closed) == 1 and closed[0]["turn_id"].tolist() == [f"t{i}" for i in range(100)] and held.calls <= 8 and held.timers == [1_101]
+    assert json.loads(closed[0]["body"][9])["end"] == 9_007
+    assert len(list(turns.handleExpiredTimer((3,), Now(10_000), None))[0]) == 400 and held.value is None and held.timers == []
+
+
 def test_silent_turns_are_closed_by_the_timer(spark, tmp_path):
     rows = turn("silent", ("token", "x")) + [event("late", 0, 3_600_000, "token", "y"), event("later", 0, 7_200_000, "token", "z")]
     got = run(st.roll_up_stream(stream(spark, tmp_path, rows, schemas.TURN_EVENTS), delay="0 seconds"), "silent-test")
