@@ -71,7 +71,7 @@ class TurnProcessor(StatefulProcessor):
         if held:
             turns = json.loads(held[0])
             passed = timerValues.getCurrentWatermarkInMs()
-            closed = [self.closes(body) < passed for _, body in turns]
+            closed = [self.closes(body) < passed or self.closes(body) <= held[1] for _, body in turns]  # a fired timer is not kept
             self.hold(dict(t for t, done in zip(turns, closed) if not done), held[1])
             done = [t for t, done in zip(turns, closed) if done]
             yield pd.DataFrame({"turn_id": [turn for turn, _ in done], "body": [json.dumps(body) for _, body in done]}, dtype=object)
