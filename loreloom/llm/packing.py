@@ -18,7 +18,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +25,67 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import Remembered, slices
+from loreloom.llm.common import buffer_of, slices
 from loreloom.session import cut_lineage
 
 CAPACITY = 1_024
 END = 2
-CACHE = 200_000  # parts of a generation that a worker remembers; two generations are kept
-CHUNK = 2 << 20  # bytes of text split at once
-JOINED = 256  # parts encoded in one call
+CACHE = 300_000  # words that a worker remembers between chunks
+CHUNK = 4 << 20  # bytes of text split at once
+JOINED = 256  # words encoded in one row
+ROWS = 32  # rows encoded in one call
 BLOCK = 512  # pieces of one length numbered together
-# The tokenizer's own split (contractions, letters, digits, others, white space), written out for characters
+# The tokenizer's own split (contractions, letters, digits, others, white space) is made for characters
 # on which all versions of Unicode agree. Texts with others are encoded whole.
 LETTER, DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 WHITE = "\t-\r \x85\xa0   "
-SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{WHITE}{LETTER}{DIGIT}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-# A space with white space or nothing behind it: where there is none, texts are cut at every space instead.
-HARD = rf" (?:[{WHITE}]|$)"
-FIRST = "\ue000"  # an unusual character
-UNUSUAL = ("[^\\x00-ɏ‐-‧   ‰-⁞]")
+UNUSUAL = "[^\\x00-ɏ‐-‧   ‰-⁞]"
+BETWEEN = "\ue000"  # an unusual character
+SPACE, QUOTE = 32, 39
+KINDS = np.array([next((k for k, kind in enumerate((WHITE, LETTER, DIGIT)) if re.match(f"[{kind}]", chr(c))), 3) for c in range(0x2060)], np.uint8)
+ONE, TWO = list(b"stmd"), [256 * a + b for a, b in (b"re", b"ve", b"ll")]  # contractions behind a quote
+
+
+def kinds(raw: np.ndarray) -> np.ndarray:
+    """Per byte of usual texts the kind of its character: 0 white space, 1 letter, 2 digit, 3 other."""
+    kind = KINDS[raw]
+    wide = np.flatnonzero(raw >= 0xC0)
+    lead = raw[wide].astype(np.int64)
+    two, three = wide[lead < 0xE0], wide[lead >= 0xE0]
+    kind[two] = kind[two + 1] = KINDS[(lead[lead < 0xE0] & 31) << 6 | raw[two + 1] & 63]
+    low = (raw[three + 1].astype(np.int64) & 63) << 6 | raw[three + 2] & 63
+    kind[three] = kind[three + 1] = kind[three + 2] = KINDS[(lead[lead >= 0xE0] & 15) << 12 | low]
+    return kind
+
+
+def word_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the pre-tokens of usual texts, in order."""
+    n, kind = len(raw), kinds(raw)
+    first = np.ones(n + 3, bool)  # of a text
+    first[:n] = False
+    first[offsets] = True
+    start = first.copy()
+    start[1:n] |= kind[1:] != kind[:-1]
+    # The last character of white space stands alone before a word, or belongs to it if it is a space.
+    word = np.flatnonzero((kind[1:] != 0) & (kind[:-1] == 0)) + 1
+    word = word[~first[word]]
+    last = word - 1
+    for _ in range(2):
+        last = last - (raw[last] & 0xC0 == 0x80)
+    start[last] = True
+    start[word[raw[last] == SPACE]] = False
+    quote = np.flatnonzero((raw == QUOTE) & start[:n])
+    quote = quote[~first[quote + 1]]
+    one = quote[np.isin(raw[quote + 1], ONE)]
+    quote = quote[~first[quote + 2]]
+    two = quote[np.isin(raw[quote + 1].astype(np.int64) << 8 | raw[quote + 2], TWO)]
+    start[one + 1] = start[two + 1] = False
+    start[one + 2] = start[two + 3] = True
+    return np.flatnonzero(start[:n])
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit words; each distinct part between spaces is put together once, from words encoded once.
+    """Token ids as little-endian 32-bit words; each distinct pre-token of a chunk is looked up once, and encoded if not remembered.
 
     Broadcast, so that a Python worker keeps its tokenizer and what it has encoded over all its tasks.
     """
@@ -62,82 +100,81 @@ class Encoder:
     def prepare(self) -> Encoder:
         if self.tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
 
             self.tokenizer = Tokenizer.from_str(self.definition)
+            self.library = self.tokenizer.pre_tokenizer
+            self.split = pre_tokenizers.Sequence([
+                pre_tokenizers.Split(BETWEEN, "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
             vocabulary = self.tokenizer.get_vocab()  # a character of a token stands for a byte
             self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
             for token, i in vocabulary.items():
                 self.bytes[i] = len(token)
-            self.known = Remembered(self.learn, CACHE)
+            self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+            self.asked, self.chunks = np.empty(0, np.int64), 0  # the chunk that last asked for a word
         return self
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, parts: list[str]) -> list[bytes]:
-        """Encode parts from their pre-tokens, so a word is known whatever stands behind it."""
-        words = [[p] if p.isalpha() else self.words(p) for p in parts]
-        seen, before = self.known.new, self.known.old
-        new = [w for w in set().union(*words) if w not in seen and w not in before]
-        seen.update(zip(new, self.encoded(new), strict=True))
-        return [b"".join([seen[w] if w in seen else before[w] for w in ws]) for ws in words]
-
-    def words(self, part: str) -> list[str]:
-        """Pre-tokens, as parts."""
-        text = part[1:] if part[:1] == FIRST else " " + part
-        return [w[1:] if w[0] == " " else FIRST + w for w in SPLIT.findall(text)]
-
-    def encoded(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens; those behind a space keep their borders in a row, so many go in one call and are cut by their bytes."""
-        out = [b""] * len(words)
-        lone = [i for i, p in enumerate(words) if not p or p[0] == FIRST]
-        for i, found in zip(lone, self.ids([words[i][1:] or " " for i in lone]), strict=True):
-            out[i] = found
-        spaced = [i for i, p in enumerate(words) if p and p[0] != FIRST]
-        rows = [" " + " ".join([words[i] for i in spaced[at:at + JOINED]]) for at in range(0, len(spaced), JOINED)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
-        ends = np.cumsum([len(words[i].encode()) + 1 for i in spaced])
-        cuts = (4 * np.searchsorted(np.cumsum(self.bytes[ids]), ends, "right")).tolist()
-        raw = ids.tobytes()
-        for i, first, last in zip(spaced, [0, *cuts], cuts):
-            out[i] = raw[first:last]
-        return out
+    def tokens(self, texts: list[str], pre_tokenizer) -> list[np.ndarray]:
+        self.tokenizer.pre_tokenizer = pre_tokenizer
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of pre-tokens; many go in one call and are cut by their bytes."""
+        rows = pa.LargeListArray.from_arrays(np.append(np.arange(0, len(words), JOINED), len(words)), words)
+        rows = pc.binary_join(rows, pa.scalar(BETWEEN, words.type))
+        calls = (rows.slice(at, ROWS).to_pylist() for at in range(0, len(rows), ROWS))
+        ids = np.concatenate([ids for call in calls for ids in self.tokens(call, self.split)])
+        ends = np.cumsum(pc.binary_length(words).to_numpy())
+        cuts = 4 * np.append(0, np.searchsorted(np.cumsum(self.bytes[ids]), ends, "right"))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+
+    def forget(self) -> None:
+        """Keeps the words asked for last."""
+        if len(self.known) > CACHE:
+            kept = np.sort(np.argpartition(self.asked, -CACHE)[-CACHE:])
+            self.known, self.ids, self.asked = self.known.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.asked[kept]
+
+    def places(self, words: pa.LargeStringArray) -> np.ndarray:
+        """Where the distinct *words* stand among the known ones; those that were not there are learned."""
+        self.forget()
+        found = pc.index_in(words, value_set=self.known)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            unseen = words.filter(found.is_null())
+            at[at < 0] = len(self.known) + np.arange(len(unseen))
+            self.known, self.ids = pa.concat_arrays([self.known, unseen]), pa.concat_arrays([self.ids, self.encoded(unseen)])
+            self.asked = np.append(self.asked, np.zeros(len(unseen), np.int64))
+        self.chunks += 1
+        self.asked[at] = self.chunks
+        return at
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, UNUSUAL)
         for special in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, special))
-        hard = pc.and_(pc.match_substring_regex(texts, HARD), pc.invert(whole))
         out: list[bytes] = [b""] * len(texts)
         for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
-            out[i] = self.ids([texts[i].as_py()])[0]
-        for i in np.flatnonzero(hard.to_numpy(zero_copy_only=False)).tolist():
-            parts = self.words(FIRST + texts[i].as_py())
-            out[i] = b"".join(map(self.known.of(set(parts)), parts))
-        easy = pc.invert(pc.or_(whole, hard))
-        rows = np.flatnonzero(easy.to_numpy(zero_copy_only=False)).tolist()
-        if rows:
-            for i, found in zip(rows, self.spaced(texts.filter(easy)), strict=True):
-                out[i] = found
+            out[i] = self.tokens([texts[i].as_py()], self.library)[0].tobytes()
+        usual = pc.invert(whole)
+        for i, found in zip(np.flatnonzero(usual.to_numpy(zero_copy_only=False)).tolist(), self.usual(texts.filter(usual)), strict=True):
+            out[i] = found
         return out
 
-    def spaced(self, texts: pa.Array) -> list[bytes]:
-        """Texts cut at every space; what follows no space has a mark in front. Each distinct part is looked up once for all texts."""
-        parts = pc.split_pattern(pc.binary_join_element_wise(FIRST, texts, ""), " ")
-        numbered = parts.flatten().dictionary_encode()
-        distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
-        known = list(map(self.known.of(distinct), distinct))
-        words = np.frombuffer(b"".join(known), np.uint32)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        begin, own = np.cumsum(size) - size, size[at]
-        ends = np.cumsum(own)
-        raw = words[np.repeat(begin[at] - ends + own, own) + np.arange(ends[-1])].tobytes()
-        cuts = (4 * np.append(0, ends)[parts.offsets.to_numpy() - parts.offsets[0].as_py()]).tolist()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    def usual(self, texts: pa.Array) -> list[bytes]:
+        """Texts cut into pre-tokens; each distinct one is looked up once for all texts."""
+        raw, offsets = buffer_of(texts)
+        if not len(raw):
+            return [b""] * len(texts)
+        starts = word_starts(raw, offsets)
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw))
+        numbered = words.dictionary_encode()
+        at = self.places(numbered.dictionary)
+        found = self.ids.take(pa.array(at[numbered.indices.to_numpy()]))
+        ends, ids = np.frombuffer(found.buffers()[1], np.int64), memoryview(found.buffers()[2])
+        cuts = ends[np.searchsorted(starts, offsets)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", *, capacity: int = CAPACITY, end: int = END) -> DataFrame:

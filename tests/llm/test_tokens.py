@@ -48,6 +48,47 @@ def test_ids_are_those_of_the_library(monkeypatch):
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in HARD]
 
 
+def test_pre_tokens_are_those_of_the_library(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    parts = [*" \n\t\x85\xa0\u2028\u202f\x1c_ªéßɏ½²…–“×a1.,", "  ", "\r\n", "'", "''", "'s", "'S", "'t", "'re", "'ve", "'ll", "'l", "'r", "s", "re", "ll", "Word", "23", "!?"]
+    odd, r = [*parts, *"日🙂\u3000\u2009\u0301\ue000", "<|endoftext|>"], random.Random(11)
+    tokenizer = Tokenizer.from_file(JSON)
+    encoder = packing.Encoder(open(JSON, encoding="utf-8").read()).prepare()
+    for size in (300_000, 3):
+        monkeypatch.setattr(packing, "CACHE", size)
+        for _ in range(600):
+            texts = ["".join(r.choices(parts if r.random() < 0.9 else odd, k=r.randrange(14))) for _ in range(r.randrange(1, 12))]
+            got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
+            assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_words_cost_little_beside_the_library(monkeypatch):
+    """20,000 words before nine signs, none of which the encoder has met."""
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "false")
+    r = random.Random(3)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randrange(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(r.choice(words) + r.choice([*",.;:!?\n", ".\n", "),"]) for _ in range(500)) for _ in range(400)]
+    took = {"library": [], "encoder": []}
+    for _ in range(3):
+        tokenizer = Tokenizer.from_file(JSON)
+        encoder = packing.Encoder(open(JSON, encoding="utf-8").read()).prepare()
+        begin = time.process_time()
+        want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        middle = time.process_time()
+        got = encoder.encode(texts)
+        took["library"].append(middle - begin), took["encoder"].append(time.process_time() - middle)
+        assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
+    assert min(took["encoder"]) < 0.25 * min(took["library"])
+
+
 @pytest.mark.parametrize("name", ["odd_docs", "skewed_docs", "no_docs"])
 def test_packing(request, name):
     from tokenizers import Tokenizer
