@@ -11,27 +11,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loreloom.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from loreloom.session import work_folder
+from loreloom.session import gathered, work_folder
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(gathered(docs, "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_copies(docs)
+    return exact_dedup.drop_copies(gathered(docs, "text"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.drop_near_copies(docs)
+    return ngram_join.drop_near_copies(gathered(docs, "text"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    return mixing.mixed(gathered(docs, "text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(gathered(docs, "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -106,6 +107,17 @@ class Words:
         return np.searchsorted(offsets, start, "right") - 1, start, stop, mix(sums * self.inverse[start])
 
 
+def give_back() -> None:
+    """Return what was freed to the system, as a worker's other tasks, of any stage, run beside it for as long as the job.
+
+    Arrow's pool and the C library keep freed memory for themselves; where the library cannot trim, nothing happens.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def row_chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Ranges of whole rows with about *size* bytes each."""
     at = 0

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.llm.common import fresh
-from loreloom.session import cut_lineage
+from loreloom.session import TEXT_ROWS, cut_lineage, in_few_parts
 
 MAX_BITS = 1 << 27
 SEGMENT = 1 << 16  # filter positions merged by one group
@@ -116,5 +116,5 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keep = suspects.groupBy(sha).agg(F.max(doc_id).alias("__keep"))
     same = (suspects[sha] == keep[sha]) & suspects[doc_id].eqNullSafe(keep["__keep"])
     # (hash, id) are the join's keys, so a text that a third of all rows share does not meet in one task.
-    stay = suspects.join(keep, same, "left_semi").dropDuplicates([sha, doc_id]).drop(sha)
+    stay = in_few_parts(suspects.join(keep, same, "left_semi").dropDuplicates([sha, doc_id]).drop(sha), docs.count(), TEXT_ROWS)
     return flagged.where(~F.col(again)).drop(again).unionByName(stay)

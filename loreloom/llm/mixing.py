@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.llm.common import word_count
-from loreloom.session import cut_lineage
+from loreloom.session import TEXT_ROWS, cut_lineage, in_few_parts
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -83,7 +83,8 @@ def copies(rows: DataFrame, keys: DataFrame, *, weights: Sequence[int] = WEIGHTS
     of_long = Window.partitionBy("__source").orderBy(*inside)  # fewer than long_part * source size / target rows
     long_taken = (slim.where("__class = -1").withColumn("__copies", _crossed(F.row_number().over(of_long) - 1, target_rate, seed))
                   .groupBy(F.col("__source").alias("__t")).agg(F.sum(F.col("__copies") * F.col("__size")).alias("__long")))
-    classes = cut_lineage(slim.groupBy("__source", "__class", "__target").agg(F.count("*").alias("__n"), F.sum("__size").alias("__sum")))
+    # Classes and runs are at most sources x size classes, so they need no more than a partition a core.
+    classes = cut_lineage(in_few_parts(slim.groupBy("__source", "__class", "__target").agg(F.count("*").alias("__n"), F.sum("__size").alias("__sum")), 0))
     rest = classes.groupBy("__source", "__target").agg(F.sum(F.when(F.col("__class") >= 0, F.col("__sum")).otherwise(0)).alias("__rest"))
     made_up = rest.join(long_taken, rest["__source"].eqNullSafe(long_taken["__t"]), "left").select(
         F.col("__source").alias("__t"),
@@ -92,7 +93,7 @@ def copies(rows: DataFrame, keys: DataFrame, *, weights: Sequence[int] = WEIGHTS
     runs = classes.join(made_up, classes["__source"].eqNullSafe(made_up["__t"])).select(
         F.col("__source").alias("__s"), F.col("__class").alias("__c"), "__rest_rate",
         F.when(F.col("__class") >= 0, F.ceil(F.col("__n") / RUN)).otherwise(1).alias("__runs"))
-    runs = cut_lineage(runs)  # at most sources x size classes
+    runs = cut_lineage(in_few_parts(runs, 0))
 
     def in_runs(df: DataFrame) -> DataFrame:
         same = df["__source"].eqNullSafe(runs["__s"]) & (df["__class"] == runs["__c"])
@@ -120,6 +121,7 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *, seed: int = SEED, **how) -> DataFrame:
     """The rows of the mix: every row of *docs* as often as it is taken, all columns as they were."""
     rows = _keyed(docs, doc_id, text, source, seed)
-    out = copies(rows, cut_lineage(rows.select("__id", "__source", "__size", "__h")), seed=seed, **how)
-    repeated = out.where("__copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    keys = cut_lineage(rows.select("__id", "__source", "__size", "__h"))
+    out = copies(rows, keys, seed=seed, **how)
+    repeated = in_few_parts(out, keys.count(), TEXT_ROWS).where("__copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return repeated.select("__row.*")

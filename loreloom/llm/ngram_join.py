@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import Words, buffer_of, mix, row_chunks
-from loreloom.session import Scratch, cut_lineage
+from loreloom.llm.common import Words, buffer_of, give_back, mix, row_chunks
+from loreloom.session import TEXT_ROWS, Scratch, cut_lineage, in_few_parts
 
 WIDTH = 5
 BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -73,7 +73,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: Words, width: int
 
 def _sets(table: pa.Table) -> list[np.ndarray]:
     words = Words(BREAKS, CHUNK)
-    return [s for chunk in table["text"].chunks for s in shingle_sets(*buffer_of(chunk), words)]
+    sets = [s for chunk in table["text"].chunks for s in shingle_sets(*buffer_of(chunk), words)]
+    give_back()
+    return sets
 
 
 def _bounds(ranges: int) -> np.ndarray:
@@ -140,7 +142,8 @@ def shared_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kind = docs.schema[doc_id].dataType.simpleString()
     pieces = blocked.groupBy("block").applyInArrow(send, "range int, block int, keys binary, times binary")
     answers = pieces.groupBy("range").applyInArrow(count, "block int, range int, levels binary")
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, t long, n long, k1 long, k2 long, links boolean, tokens binary")
+    kept = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, t long, n long, k1 long, k2 long, links boolean, tokens binary")
+    return in_few_parts(kept, blocks, 2)
 
 
 # --- prefix tree -----------------------------------------------------------------------------------------------------
@@ -384,7 +387,8 @@ def _pairs(entries: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _checked(pairs: DataFrame, parts: DataFrame | None, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links among the pairs: a tree of the partners of each first set, walked with it."""
-    pairs = scratch.keep(pairs)
+    pairs = scratch.keep(pairs, bounded=False)
+    scratch.rows = max(scratch.rows or 0, 2 * pairs.count())
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = pairs.join(counts, "a").withColumn("g2", F.pmod(F.xxhash64("b"), F.col("blocks")))
     partners = placed.select(F.col("a").alias("g1"), "g2", F.col("b").alias("node"), F.lit(False).alias("probe"))
@@ -442,7 +446,10 @@ def linked_parts(nodes: DataFrame, same: DataFrame) -> DataFrame | None:
     """
     scratch = Scratch(nodes.sparkSession)
     parts = None if same.isEmpty() else _connected(None, same, scratch)
+    most = nodes.agg(F.count("*").alias("nodes"), F.sum(F.col("n") - F.ceil(NUMERATOR * F.col("n") / DENOMINATOR) + 1).alias("branches")).first()
+    scratch.rows = int(most.branches or 0)
     entries = _unsettled(branches(nodes), parts, scratch)
+    scratch.rows = max(entries.count(), most.nodes)
     scratch.clear(parts, entries)
     for round_ in range(SCOUTS):
         links = _scout(entries, nodes, round_, scratch)
@@ -516,17 +523,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """Rows, those that may link, classes (k1, k2, node, weight: its documents), nodes with tokens, and parts."""
+    count = docs.count()
     rows = cut_lineage(shared_sets(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, text))
     some = rows.where("links").drop("tokens")
-    classes = cut_lineage(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("weight")))
+    classes = cut_lineage(in_few_parts(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("weight")), count))
     firsts = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "node")
     # The id is a key of this join, so a class that a third of all rows share does not meet in one task.
     same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("doc_id") == F.col("node"))
-    nodes = cut_lineage(rows.where(F.col("tokens").isNotNull()).join(firsts, same).select("k1", "k2", "node", "n", "tokens"))
+    nodes = cut_lineage(in_few_parts(rows.where(F.col("tokens").isNotNull()).join(firsts, same).select("k1", "k2", "node", "n", "tokens"), count, TEXT_ROWS))
     # Classes that share an id are one document, hence connected.
-    own = cut_lineage(some.join(firsts, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("doc_id", "node").distinct())
+    own = cut_lineage(in_few_parts(some.join(firsts, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("doc_id", "node").distinct(), count))
     several = own.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last")
-    same = cut_lineage(own.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct())
+    same = cut_lineage(in_few_parts(own.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct(), count))
     return rows, some, classes, nodes, linked_parts(nodes, same)
 
 
@@ -536,7 +544,8 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Rows go by id and text: another text under the id of a near copy stays, if it links with nothing.
     """
     _, some, classes, _, parts = _grouped(docs, doc_id, text)
-    groups = some.join(cut_lineage(_with_part(classes, parts)), ["k1", "k2"])
-    go = cut_lineage(groups.where("doc_id != part").select(F.col("doc_id").alias("__gone"), F.col("t").alias("__text")).distinct())
+    count = docs.count()
+    groups = some.join(cut_lineage(in_few_parts(_with_part(classes, parts), count)), ["k1", "k2"])
+    go = cut_lineage(in_few_parts(groups.where("doc_id != part").select(F.col("doc_id").alias("__gone"), F.col("t").alias("__text")).distinct(), count))
     same = (docs[doc_id].cast("long") == go["__gone"]) & (F.xxhash64(docs[text]) == go["__text"])
-    return docs.join(go, same, "left_anti").select(*docs.columns)
+    return in_few_parts(docs.join(go, same, "left_anti").select(*docs.columns), count, TEXT_ROWS)

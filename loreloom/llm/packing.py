@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import buffer_of, slices
-from loreloom.session import cut_lineage
+from loreloom.llm.common import buffer_of, give_back, slices
+from loreloom.session import cut_lineage, in_few_parts
 
 CAPACITY = 1_024
 END = 2
@@ -162,6 +162,12 @@ class Encoder:
             out[i] = found
         return out
 
+    def lean(self, texts: pa.Array) -> list[bytes]:
+        """As `encode`; what the chunk took besides its ids and the words remembered goes back to the system."""
+        ids = self.encode(texts)
+        give_back()
+        return ids
+
     def usual(self, texts: pa.Array) -> list[bytes]:
         """Texts cut into pre-tokens; each distinct one is looked up once for all texts."""
         raw, offsets = buffer_of(texts)
@@ -187,7 +193,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: s
         encoder = shared.value.prepare()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            encoded = (ids + closing for part in slices(batch.column(1), CHUNK) for ids in encoder.encode(part))
+            encoded = (ids + closing for part in slices(batch.column(1), CHUNK) for ids in encoder.lean(part))
             for i, ids in enumerate(encoded):
                 n = len(ids) // 4
                 for k, at in enumerate(range(n % capacity - capacity if n % capacity else 0, n, capacity)):
@@ -265,8 +271,9 @@ def numbered(rows: DataFrame, histogram: DataFrame) -> DataFrame:
 def pack(rows: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """*rows* (one per piece, with its length) with sequence_id and offset."""
     rows = cut_lineage(rows)
-    histogram = cut_lineage(rows.groupBy("length").agg(F.count("*").alias("n")))  # at most one row per length
-    plan = rows.sparkSession.sparkContext.broadcast(bins({r.length: r.n for r in histogram.collect()}, capacity))
+    histogram = cut_lineage(in_few_parts(rows.groupBy("length").agg(F.count("*").alias("n")), capacity))  # at most one row per length
+    counts = {r.length: r.n for r in histogram.collect()}
+    plan = rows.sparkSession.sparkContext.broadcast(bins(counts, capacity))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length, number):
@@ -277,7 +284,7 @@ def pack(rows: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
         nth = number - row[:, 1]
         return pd.DataFrame({"sequence_id": row[:, 3] + nth // row[:, 2], "offset": row[:, 4] + nth % row[:, 2] * length})
 
-    placed = numbered(rows, histogram).withColumn("__at", place("length", "__number"))
+    placed = in_few_parts(numbered(rows, histogram), sum(counts.values())).withColumn("__at", place("length", "__number"))
     return placed.select(*rows.columns, "__at.sequence_id", "__at.offset")
 
 

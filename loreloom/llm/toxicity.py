@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import Words, buffer_of, fresh, id_remainder, mix, row_chunks
+from loreloom.llm.common import Words, buffer_of, fresh, give_back, id_remainder, mix, row_chunks
 from loreloom.session import cut_lineage
 
 SAMPLE = 12_000  # labelled rows the machine is fitted on, at most
@@ -147,6 +147,8 @@ def learn(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str
             row, term = terms.of(raw, offsets)
             parts = np.split(term.astype(np.int32), np.searchsorted(row, np.arange(1, len(batch))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.tobytes() for p in parts], pa.binary())], ["id", "label", "terms"])
+            del raw, offsets, row, term, parts
+            give_back()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     read_in = texts.select("__id", "__label", "__text").mapInArrow(read, f"id {kind}, label int, terms binary")
@@ -163,7 +165,10 @@ def scored(docs: DataFrame, machine: Machine, text: str, out: str) -> DataFrame:
         machine = shared.value
         raw, offsets = buffer_of(texts)
         row, term = Terms().of(raw, offsets, machine.known)
-        return pa.array(machine.scores(len(texts), row, term), pa.float64())
+        scores = pa.array(machine.scores(len(texts), row, term), pa.float64())
+        del raw, offsets, row, term
+        give_back()
+        return scores
 
     return docs.withColumn(out, score(F.coalesce(F.col(text), F.lit(""))))
 
