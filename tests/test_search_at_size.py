@@ -103,6 +103,9 @@ def test_vectors_and_postings_are_tables_on_disk(spark):
     assert weights == {(r.id, r.term, round(r.weight, 12)) for r in pt.point_weights(points).collect()}
 
 
+BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
+
+
 def shuffled(spark):
     """Bytes that shuffles hold now."""
     files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
@@ -117,7 +120,7 @@ def test_written_tables_leave_no_shuffle(spark):
     assert shuffled(spark) - before < 100_000 and spark.conf.get(CLEANUP_KEY, None) == setting
 
 
-def test_pairs_carry_no_vector(spark):
+def test_pairs_carry_no_vector(spark, monkeypatch):
     r = np.random.default_rng(4)
     own = [[f"own{i}word{j}" for j in range(300)] for i in range(600)]
     tokens = [t + [f"w{int(x)}" for x in r.integers(0, 12, 6)] for t in own]
@@ -126,8 +129,14 @@ def test_pairs_carry_no_vector(spark):
     queries = spark.createDataFrame(asked, "qid long, terms array<string>, weights array<double>")
     postings, vectors = pt.prepared(points)
     before = shuffled(spark)
-    got = {(x.qid, x.rank): (x.id, x.score) for x in pt.topk(postings, vectors, queries, 3).collect()}
-    assert shuffled(spark) - before < 2_000_000
+    monkeypatch.setattr(pt, "SEEDS", 200)
+    with_broadcast = spark.conf.get(BROADCAST)
+    spark.conf.set(BROADCAST, "-1")
+    try:
+        got = {(x.qid, x.rank): (x.id, x.score) for x in pt.topk(postings, vectors, queries, 3).collect()}
+    finally:
+        spark.conf.set(BROADCAST, with_broadcast)
+    assert shuffled(spark) - before < 500_000
     want = {}
     for q, terms, _ in asked:
         s = [round(float(sum(1 + np.log(t.count(x)) for x in terms if x in t)), 9) for t in tokens]
@@ -153,3 +162,18 @@ def test_document_texts_have_the_rows_of_points(spark, tmp_path):
         got = tb.document_texts(spark, str(tmp_path))
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         assert ("Join" in got._jdf.queryExecution().toString()) == (len(ids) == 5)
+
+
+def test_points_do_not_move_to_blocks_of_questions(spark, monkeypatch, tmp_path):
+    r = np.random.default_rng(6)
+    words = [[f"w{int(x)}" for x in r.integers(0, 400, 60)] + [f"own{i}word{j}" for j in range(60)] for i in range(300)]
+    spark.createDataFrame(list(enumerate(words)), "id long, tokens array<string>").write.parquet(f"{tmp_path}/points")
+    points = spark.read.parquet(f"{tmp_path}/points")
+    asked = [[f"w{int(x)}" for x in r.choice(400, 2, replace=False)] for _ in range(260)] + [["w1"]] * 9
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid long, match array<string>")
+    before = shuffled(spark)
+    monkeypatch.setattr(rt, "MATCH_BLOCK", 16)
+    rows = [tuple(x) for x in rt.text_match(points, queries, max_broadcast=10).collect()]
+    want = {(q, i) for q, m in enumerate(asked) for i, t in enumerate(words) if set(m) <= set(t)}
+    assert len(rows) == len(want) > 1_000 and set(rows) == want
+    assert shuffled(spark) - before < 100_000
