@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loreloom.functions import classify as cl
 from loreloom.operators import postings as pt, ranking as rk, retrieval as rt
-from loreloom.plans import tables as tb
+from loreloom.plans import ranking, tables as tb
 from loreloom.session import CLEANUP_KEY, written, written_in_parts
 
 
@@ -177,3 +178,27 @@ def test_points_do_not_move_to_blocks_of_questions(spark, monkeypatch, tmp_path)
     want = {(q, i) for q, m in enumerate(asked) for i, t in enumerate(words) if set(m) <= set(t)}
     assert len(rows) == len(want) > 1_000 and set(rows) == want
     assert shuffled(spark) - before < 100_000
+
+
+def test_hits_of_competition_carry_no_texts(spark, tmp_path):
+    r = np.random.default_rng(7)
+    names = ["", "e-formula", "the Formula rules", "BAJA car", "an ev", "electric  vehicle"]
+    rows = [(i, None if i == 5 else names[i % 6] + " " + " ".join(map(str, r.integers(0, 1 << 40, 400))), "ab"[i % 2], "s", 1) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    v = [(i, [float(x) for x in r.normal(size=4)], int(r.integers(0, 6))) for i in range(120)]
+    spark.createDataFrame(v, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # The same by hits with their texts.
+    label = F.col("label").cast("string")
+    h = ranking.hits_with_texts(spark, str(tmp_path)).withColumn("competition", cl.lookup(label, {"1": "formula", "2": "baja", "3": "other", "4": "ev"}))
+    q = spark.read.parquet(f"{tmp_path}/embeddings.parquet").select(F.col("vec_id").alias("qid"), cl.lookup(label, {"1": "formula", "2": "baja"}).alias("q_competition"))
+    want = sorted(tuple(x) for x in rk.same_competition(h.join(q, "qid")).select("qid", "collection", "id").collect())
+    setting = spark.conf.get(BROADCAST)
+    spark.conf.set(BROADCAST, "-1")
+    try:
+        before = shuffled(spark)
+        got = sorted(tuple(x) for x in ranking.hits_of_competition(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set(BROADCAST, setting)
+    assert shuffled(spark) - before < 1_000_000
+    assert got == want and 2_000 < len(got) < 120 * 48
