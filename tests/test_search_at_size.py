@@ -1,13 +1,15 @@
 """Searches with more queries than a task is sent: work is dealt over the cores, and what a task holds is bounded."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loreloom.functions import classify as cl
 from loreloom.operators import postings as pt, ranking as rk, retrieval as rt
-from loreloom.plans import ranking, tables as tb
-from loreloom.session import CLEANUP_KEY, written, written_in_parts
+from loreloom.plans import ranking, stores, tables as tb
+from loreloom.session import CLEANUP_KEY, ensure_checkpoint_dir, written, written_in_parts
 
 
 @pytest.fixture(scope="module")
@@ -202,3 +204,27 @@ def test_hits_of_competition_carry_no_texts(spark, tmp_path):
         spark.conf.set(BROADCAST, setting)
     assert shuffled(spark) - before < 1_000_000
     assert got == want and 2_000 < len(got) < 120 * 48
+
+
+def test_vectors_by_shares_of_blocks_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(rt, "BLOCK_WORDS", 60)
+    r = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 50, int(r.integers(0, 25))))) for i in range(150)] + [(3, "w1 again"), (None, "w2"), (None, "w2 w3"), (200, None), (201, "")]
+    for docs in (spark.createDataFrame(rows, "id long, text string").repartition(4), spark.createDataFrame(rows[:40], "id long, text string"), spark.createDataFrame([], "id long, text string")):
+        whole, shared = (rt.lexical_vectors(docs, "id", "text", **options)[0] for options in ({}, {"shares": 3}))
+        assert sorted(map(str, whole.collect())) == sorted(map(str, shared.collect())) and whole.dtypes == shared.dtypes
+
+
+def test_a_copy_holds_no_more_than_itself(spark, tmp_path):
+    r = np.random.default_rng(11)
+    docs = [(i, " ".join(f"word{x}" for x in r.integers(0, 1 << 30, 300)) if i % 9 else None, "en") for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i)], i % 3) for i in range(0, 400, 2)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ensure_checkpoint_dir(spark)
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before, there = shuffled(spark), set(shared.iterdir())
+    copied = stores.enriched_copy(spark, str(tmp_path))
+    assert shuffled(spark) - before < 500_000
+    assert {x.name.split("-")[0] for x in set(shared.iterdir()) - there} == {"copy", "differences", "often"}
+    want = {(i, len(set((t or "").split())), int(i % 2 == 1), 0) for i, t, _ in docs}
+    assert {tuple(x) for x in copied.collect()} == want
